@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantwatch.llm import byte_bpe, html_blocks, toxicity
 from plantwatch.llm.exact_dedup import exact_dedup
+from plantwatch.llm.licenses import license_scan
+from plantwatch.llm.line_dedup import line_dedup
+from plantwatch.llm.nearest import nearest
 from plantwatch.llm.ngram_join import near_duplicates
+from plantwatch.llm.packing import pack
+from plantwatch.llm.secrets import scan_secrets, span_digest
 from plantwatch.llm.tables import read_table
 
+#: Folder of the public vocabulary files on every machine; None: that of the installed package.
+VOCABULARIES: str | None = None
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    if VOCABULARIES is not None:
+        return f"{VOCABULARIES}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    found = html_blocks.main_text(pages, html_blocks.train(pages), keep=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.encode(read_table(spark, sf_dir, "documents"), ranks, offsets=False)
+    both = byte_bpe.decode(tokens, ranks)
+    return both.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = exact_dedup(read_table(spark, sf_dir, "documents"))
@@ -20,7 +51,39 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_ngram_join)}
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", F.round("dice", 6).alias("dice"), F.col("unit").cast("long").alias("unit"), "n_matches")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
+
+
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, keep="none")
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"), into="s").select("doc_id", "s")
+    base = F.filter("s", lambda x: x["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("s")).alias("spans"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_byte_bpe, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_nearest_vectors, op8_line_dedup, op9_secret_scan, op10_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,4 +107,33 @@ ORACLE_SQL = {
         select s.doc_id, cast(len(sh) as bigint) as n_shingles, m.component_id
         from s join (select node, min(seen) as component_id from r group by node) m on m.node = s.doc_id
     """,
+    "op8_line_dedup": r"""
+        with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+        k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+        f as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10)
+        select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (where f.key is null), '')) as kept_sha256
+        from k left join f using (key) group by doc_id
+    """,
+    "op9_secret_scan": r"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        p(kind, rank, whole, value, least) as (values
+            ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 6),
+            ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24),
+            ('c_hex', 3, '[0-9a-fA-F]{24,}', 0, 24), ('c_base64', 3, '[A-Za-z0-9+/_=-]{24,}', 0, 24)),
+        a as (select doc_id, kind, rank, least, regexp_extract_all(t, whole) as m, case when value = 1 then regexp_extract_all(t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) else regexp_extract_all(t, whole) end as v, string_split_regex(t, whole) as g from d, p),
+        e as (select doc_id, kind, rank, least, unnest(m) as m, unnest(v) as v, unnest(g[1:len(m)]) as g, generate_subscripts(m, 1) as i from a where len(m) > 0),
+        s as (select doc_id, kind, rank, m, length(v) >= least as ok, cast(sum(length(g) + length(m)) over (partition by doc_id, kind order by i) as bigint) as b from e),
+        w as (select *, b - length(m) as a, string_split(m, '') as c from s where ok),
+        n as (select doc_id, kind, rank, a, b, kind like 'c%' as cand, case kind
+                when 'c_hex' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-fA-F]') and list_max(list_transform(range(1, len(c) - 22), lambda i: list_entropy(c[i:i + 23]))) >= 3.01
+                when 'c_base64' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and list_max(list_transform(range(1, len(c) - 18), lambda i: list_entropy(c[i:i + 19]))) >= 3.71
+                else true end and (kind not like 'c%' or not (regexp_matches(m, '(?i)example|sample|placeholder|change_?me|your[_-]|dummy|0123456789|abcdefgh')
+                or len(list_filter(range(1, len(c) - 6), lambda i: len(list_distinct(list_transform(c[i:i + 7], lambda x: lower(x)))) = 1)) > 0)) as ok from w),
+        r as (select distinct doc_id, case when cand then 'entropy' else kind end as kind, rank, a, b from n where ok)
+        select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+            sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, rank, b) filter (where kind <> 'entropy'), '')) as base_sha256,
+            coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, rank, b) filter (where kind is not null), '') as spans
+        from d left join r using (doc_id) group by doc_id
+    """,
 }
