@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to a new folder in the shared checkpoint folder and read again."""
+    session = df.sparkSession
+    base = session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stored-")
+    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.parquet(path)
