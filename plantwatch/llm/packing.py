@@ -148,7 +148,7 @@ def _tokens(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         end = end_id.to_bytes(enc.width, "little")
         had: dict[str, int] = {}
         for batch in slices(batches, "text", 4 << 20):
-            ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in enc.encode_all(batch.column("text").to_pylist())]
             sizes = [len(x) // enc.width for x in ids]
             starts = []
             for s, n in zip(batch.column("queue").to_pylist(), sizes, strict=True):

@@ -2,46 +2,126 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+
+import numpy as np
+from tokenizers import Tokenizer
 
 #: Words whose ids a Python worker keeps; when full, it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+#: Words that are looked up together once a word isn't known.
+LEARNED_AT_ONCE = 50_000
 #: The white space at which texts are cut here; all tokenizers agree on it.
 _BLANKS = re.compile(r"[ \t\n\x0b\x0c\r]+")
 #: What str.split() takes for white space besides.
 _OTHER_BLANKS = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
+#: Signs that, after letters, are a piece of their own whatever they are.
+_TAIL = ".,;:!?*%$&#|()"
+
+
+def _without_splitting(path: str) -> Tokenizer | None:
+    """The vocabulary with no normalising and splitting, for words that need none; None if the file has other steps than these."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or cuts[0]["pattern"] != {"Regex": _PIECES}:
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": cuts[1], "added_tokens": []}))
+
+
+#: The pattern for which letters followed by signs are two pieces.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
-    """ids of a text as little-endian unsigned integers, word by word through a bounded cache."""
+    """ids of a text as little-endian unsigned integers, word by word through a bounded cache.
+
+    The cache has two generations: when the young one is full it becomes the
+    old one, and words that are met again move up from there.
+    """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.width, self.most = int(self.code[-1]), cached_words
+        self.width, self.most = int(self.code[-1]), cached_words // 2
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.plain = _without_splitting(path)
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, tokenizer: Tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of each word; all words in one call, each a sequence of its own."""
+        found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, self.code).tobytes()
+        ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * self.width).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _cold(self, words: list[str]) -> None:
+        """Words that aren't cached. Letters followed by signs, the most, share the ids of their letters."""
+        whole, parts, need = [], [], set()
+        for w in words:
+            core = w.rstrip(_TAIL)
+            low = core.lower()
+            if self.plain is not None and core.isalpha() and low.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and "\u03a3" not in core)):
+                tail = w[len(core) :]
+                parts.append((w, low, tail))
+                need.add(low)
+            else:
+                whole.append(w)
+        if len(self.cores) + len(need) > self.most:
+            self.cores.clear()
+        new = [x for x in need if x not in self.cores]
+        if new:
+            self.cores.update(zip(new, self._ids(self.plain, new), strict=True))
+        tails = {t for _, _, t in parts if t} - self.tails.keys()
+        if tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+                tails = {t for _, _, t in parts if t}
+            self.tails.update(zip(tails, self._ids(self.tokenizer, list(tails)), strict=True))
+        cores, after = self.cores, self.tails
+        self.known.update({w: cores[c] + after[t] if t else cores[c] for w, c, t in parts})
+        if whole:
+            self.known.update(zip(whole, self._ids(self.tokenizer, whole), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = b"".join(i.to_bytes(self.width, "little") for i in e.ids)
-
-    def encode(self, text: str) -> bytes:
-        words = text.split() if not _OTHER_BLANKS.search(text) else [w for w in _BLANKS.split(text) if w]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn(words)
+            self.old, self.known = self.known, {}
+            new = set(words)
+        old = self.old
+        self.known.update({w: old[w] for w in new if w in old})
+        cold = [w for w in new if w not in old]
+        if cold:
+            self._cold(cold)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; new words of all texts are learned together."""
+        split = [(t.split() if not _OTHER_BLANKS.search(t) else [w for w in _BLANKS.split(t) if w]) if t else [] for t in texts]
+        out, at = [], 0
+        while at < len(split):
             known = self.known
-            return b"".join([known[w] for w in words])
+            try:
+                while at < len(split):
+                    out.append(b"".join([known[w] for w in split[at]]))
+                    at += 1
+            except KeyError:
+                ahead, size = [], 0
+                for own in split[at:]:
+                    ahead += own
+                    size += 1
+                    if len(ahead) > LEARNED_AT_ONCE:
+                        break
+                self._learn(ahead)
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
