@@ -20,8 +20,10 @@ from plantwatch.llm.utf8 import LOWER_AZ, slices, span_hashes, text_bytes, words
 #: Most labelled documents that a model is fitted on: those with the smallest hashes of their ids.
 TRAIN_DOCS = 8000
 #: Labelled documents that a word must be in to get a weight; rarer ones would only be learned by heart.
-LEAST_DOCS = 8
-ROUNDS = 160
+LEAST_DOCS = 4
+#: Standard deviations by which a word must be more frequent in toxic documents than by chance.
+LEAST_Z = 4.0
+ROUNDS = 100
 
 _NO_WORD = np.ones(256, bool)
 _NO_WORD[48:58] = _NO_WORD[65:91] = _NO_WORD[97:123] = _NO_WORD[128:] = False
@@ -60,21 +62,24 @@ class Model(NamedTuple):
         return np.bincount(sentence[known], self.weights[at[known]], minlength=n) + self.bias
 
 
-def fit(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least_docs: int = LEAST_DOCS, rounds: int = ROUNDS, rate: float = 0.15, sparse: float = 5e-5) -> Model:
-    """Adam on the noisy-or likelihood of the document labels, with an L1 penalty by soft thresholds.
+def fit(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least_docs: int = LEAST_DOCS, rounds: int = ROUNDS, rate: float = 0.15) -> Model:
+    """Adam on the noisy-or likelihood of the document labels, over words that go with toxic documents, from their log-odds.
 
     With S the sum of softplus(z) over a document's sentences the noisy-or is
     1 - exp(-S); the loss is S for label 0 and -log(1 - exp(-S)) for label 1.
     """
-    n = max(1, len(toxic))
+    n, bias = max(1, len(toxic)), -6.0
     vocabulary, at = np.unique(word, return_inverse=True)
-    docs_of = np.bincount(np.unique(at.astype(np.int64) * n + doc[sentence]) // n, minlength=len(vocabulary))
-    kept = docs_of >= least_docs
+    pair = np.unique(at.astype(np.int64) * n + doc[sentence])
+    seen = np.bincount(pair // n, minlength=len(vocabulary)).astype(float)
+    with_label = np.bincount(pair // n, toxic[pair % n], minlength=len(vocabulary)) if len(pair) else seen
+    share = toxic.mean() if len(toxic) else 0.0
+    z = (with_label - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9)
+    kept = (seen >= least_docs) & (z > LEAST_Z)
     own = kept[at]
     at, sentence = (np.cumsum(kept) - 1)[at[own]], sentence[own]
-    vocabulary = vocabulary[kept]
-    w = np.zeros(len(vocabulary) + 1)
-    w[-1] = -6.0
+    vocabulary, seen, with_label = vocabulary[kept], seen[kept], with_label[kept]
+    w = np.append(np.clip(np.log((with_label + 0.1) / (seen - with_label + 1)) - bias, 0, 9), bias)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         z = np.bincount(sentence, w[at], minlength=len(doc)) + w[-1]
@@ -83,11 +88,8 @@ def fit(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarr
         dz = slope[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
         g = np.append(np.bincount(at, dz[sentence], minlength=len(vocabulary)), dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        w -= step * m / (1 - 0.9**t)
-        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - np.minimum(step[:-1] * sparse, 1))
-    some = np.flatnonzero(w[:-1])
-    return Model(vocabulary[some], w[some], float(w[-1]))
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    return Model(vocabulary, w[:-1], float(w[-1]))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
