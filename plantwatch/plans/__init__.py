@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_clean", "q_series", "q_state", "q_eval")
+MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more")
 
 
 def load() -> None:

@@ -90,7 +90,7 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j13_baseline_homogeneity", f"""with {_Z}, h as (select *, ntile(2) over ({_P}) as half from zs) select asset, tag, round(quantile_cont(abs(z), 0.99) filter (where half = 2) / quantile_cont(abs(z), 0.99) filter (where half = 1), 6) as ratio from h group by all""")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    h = z_scores(spark, d).withColumn("half", F.ntile(2).over(W))
+    h = z_scores(spark, d).withColumn("half", F.ntile(2).over(W()))
     q = lambda k: F.percentile(F.when(F.col("half") == k, F.abs("z")), 0.99)
     return h.groupBy(*KEYS).agg(r6(q(2) / q(1)).alias("ratio"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plantwatch.functions import columns as C
@@ -14,7 +14,11 @@ from plantwatch.plans.q_clean import r6
 from plantwatch.plans.registry import query
 
 KEYS = ["asset", "tag"]
-W = Window.partitionBy(*KEYS).orderBy("t")
+
+
+def W() -> WindowSpec:
+    """Rows of a series in time order."""
+    return Window.partitionBy(*KEYS).orderBy("t")
 
 
 @query("c01_inner_alignment", f"""with {T.BINS}, n as (select asset, t, max(value) filter (where tag = 'click') as click, max(value) filter (where tag = 'view') as "view" from bins group by all)
@@ -29,7 +33,7 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
 def c02(spark: SparkSession, d: str) -> DataFrame:
     b = T.bins(spark, d)
     frame = b.select("asset", "t").distinct().crossJoin(F.broadcast(b.select("tag").distinct())).join(b, ["asset", "t", "tag"], "left")
-    return frame.withColumn("v", F.coalesce(F.last("value", ignorenulls=True).over(W), F.lit(0.0))).groupBy("asset", "t").agg(r6(F.max("v")).alias("health"))
+    return frame.withColumn("v", F.coalesce(F.last("value", ignorenulls=True).over(W()), F.lit(0.0))).groupBy("asset", "t").agg(r6(F.max("v")).alias("health"))
 
 
 @query("c03_state_at_row", f"""with {T.RUNNING} select b.asset, b.tag, b.t, coalesce(r."on", false) as "on" from bins b left join running r using (asset, t)""")
@@ -151,7 +155,7 @@ def d03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d04_sampling_interval", f"""with {T.READINGS}, x as (select *, (t - lag(t) over (partition by asset, tag order by t)) / 1000000.0 as dt from readings) select asset, tag, round(coalesce(quantile_cont(dt, 0.5) filter (where dt > 0), 1.0), 6) as seconds, round(8 * 3600 / quantile_cont(dt, 0.5) filter (where dt > 0), 0) as steps_8h from x group by all""")
 def d04(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.readings(spark, d).withColumn("dt", (F.col("t") - F.lag("t").over(W)) / 1e6).where("dt > 0")
+    rows = T.readings(spark, d).withColumn("dt", (F.col("t") - F.lag("t").over(W())) / 1e6).where("dt > 0")
     q = F.percentile("dt", 0.5)
     return rows.groupBy("asset", "tag").agg(r6(F.coalesce(q, F.lit(1.0))).alias("seconds"), F.round(8 * 3600 / q).alias("steps_8h"))
 
@@ -294,13 +298,13 @@ def e01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e02_rolling_slope", f"""with {T.READINGS}, n as (select *, row_number() over (partition by asset, tag order by t) as k from readings) select asset, tag, t, round(case when count(*) {_BACK} = 12 then regr_slope(value, k) {_BACK} else 0 end, 6) as slope from n""")
 def e02(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.readings(spark, d).withColumn("k", F.row_number().over(W))
+    rows = T.readings(spark, d).withColumn("k", F.row_number().over(W()))
     return rows.select("asset", "tag", "t", r6(rolling.slope("value", "k", 12)).alias("slope"))
 
 
 @query("e03_covered_slope", f"""with {T.GRID}, n as (select *, row_number() over (partition by asset, tag order by t) as k from grid) select asset, tag, t, round(case when count(value) over w >= 0.5 * 24 then regr_slope(value, k) over w else 0 end, 6) as slope from n window w as (partition by asset, tag order by t rows between 23 preceding and current row)""")
 def e03(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.grid(spark, d).withColumn("k", F.row_number().over(W))
+    rows = T.grid(spark, d).withColumn("k", F.row_number().over(W()))
     return rows.select("asset", "tag", "t", r6(rolling.slope("value", "k", 24, coverage=0.5)).alias("slope"))
 
 
@@ -329,12 +333,12 @@ def e06(spark: SparkSession, d: str) -> DataFrame:
     window o as (partition by asset, tag order by t), a as (partition by asset, tag order by t rows between 11 preceding and current row), b as (partition by asset, tag order by t rows between 47 preceding and current row)""")
 def e07(spark: SparkSession, d: str) -> DataFrame:
     std = lambda n: r6(F.when(F.count("value").over(rolling.back(n)) >= n // 3, F.stddev_samp("value").over(rolling.back(n))))
-    return T.readings(spark, d).select("asset", "tag", "t", std(12).alias("s12"), std(48).alias("s48"), r6(F.col("value") - F.lag("value", 12).over(W)).alias("d12"))
+    return T.readings(spark, d).select("asset", "tag", "t", std(12).alias("s12"), std(48).alias("s48"), r6(F.col("value") - F.lag("value", 12).over(W())).alias("d12"))
 
 
 @query("e09_central_gradient", f"""with {T.READINGS} select asset, tag, t, round(case when lag(value) over w is null then lead(value) over w - value when lead(value) over w is null then value - lag(value) over w else (lead(value) over w - lag(value) over w) / 2 end, 6) as g from readings window w as (partition by asset, tag order by t)""")
 def e09(spark: SparkSession, d: str) -> DataFrame:
-    a, b, v = F.lag("value").over(W), F.lead("value").over(W), F.col("value")
+    a, b, v = F.lag("value").over(W()), F.lead("value").over(W()), F.col("value")
     return T.readings(spark, d).select("asset", "tag", "t", r6(F.coalesce((b - a) / 2, b - v, v - a)).alias("g"))
 
 
@@ -359,7 +363,7 @@ def e12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e13_relative_baseline", f"""with {T.READINGS}, q as (select *, quantile_cont(value, 0.5) over w as m, (quantile_cont(value, 0.75) over w - quantile_cont(value, 0.25) over w) / 1.349 as s, count(*) over w as n from readings window w as (partition by asset, tag order by t rows between 60 preceding and 1 preceding)) select asset, tag, t, round(case when n >= 3 and s <> 0 then (value - m) / s end, 6) as z from q""")
 def e13(spark: SparkSession, d: str) -> DataFrame:
-    return T.readings(spark, d).select("asset", "tag", "t", r6(rolling.robust_z("value", W.rowsBetween(-60, -1))).alias("z"))
+    return T.readings(spark, d).select("asset", "tag", "t", r6(rolling.robust_z("value", W().rowsBetween(-60, -1))).alias("z"))
 
 
 @query("e14_common_mode_z", f"""with {T.BINS}, g as (select asset, t, avg(value) as m from bins group by all), q as (select *, quantile_cont(m, 0.5) over w as md, (quantile_cont(m, 0.75) over w - quantile_cont(m, 0.25) over w) / 1.349 as s, count(*) over w as n from g window w as (partition by asset order by t rows between 48 preceding and 1 preceding)) select asset, t, round(case when n >= 3 and s <> 0 then (m - md) / s end, 6) as z from q""")
@@ -371,7 +375,7 @@ def e14(spark: SparkSession, d: str) -> DataFrame:
 @query("e15_class_spread", f"""with {T.BINS}, c as (select *, abs(value - quantile_cont(value, 0.5) over (partition by asset, t)) as dev from bins), z as (select *, quantile_cont(dev, 0.5) over (partition by asset, tag order by t rows between 48 preceding and 1 preceding) as mad from c) select asset, t, round(max(dev / nullif(mad, 0)), 6) as z from z group by all""")
 def e15(spark: SparkSession, d: str) -> DataFrame:
     rows = T.bins(spark, d).withColumn("dev", F.abs(F.col("value") - F.percentile("value", 0.5).over(Window.partitionBy("asset", "t"))))
-    mad = F.percentile("dev", 0.5).over(W.rowsBetween(-48, -1))
+    mad = F.percentile("dev", 0.5).over(W().rowsBetween(-48, -1))
     return rows.withColumn("z", F.when(mad != 0, F.col("dev") / mad)).groupBy("asset", "t").agg(r6(F.max("z")).alias("z"))
 
 
@@ -428,7 +432,7 @@ def e25(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e28_guarded_causal_z", f"""with {T.READINGS}, m as (select *, quantile_cont(value, 0.5) over w as m from readings window w as (partition by asset, tag order by t rows between 44 preceding and 5 preceding)), q as (select *, quantile_cont(abs(value - m), 0.5) over (partition by asset, tag order by t rows between 44 preceding and 5 preceding) as mad from m) select asset, tag, t, round((value - m) / nullif(1.4826 * mad, 0), 6) as z from q""")
 def e28(spark: SparkSession, d: str) -> DataFrame:
-    w = W.rowsBetween(-44, -5)
+    w = W().rowsBetween(-44, -5)
     rows = T.readings(spark, d).withColumn("m", F.percentile("value", 0.5).over(w))
     mad = 1.4826 * F.percentile(F.abs(F.col("value") - F.col("m")), 0.5).over(w)
     return rows.select("asset", "tag", "t", r6(F.when(mad != 0, (F.col("value") - F.col("m")) / mad)).alias("z"))

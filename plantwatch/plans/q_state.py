@@ -50,7 +50,7 @@ def i04(spark: SparkSession, d: str) -> DataFrame:
     select asset, tag, t, round(s, 6) as cusum from r""")
 def i05(spark: SparkSession, d: str) -> DataFrame:
     day = F.floor(F.col("t") / DAY)
-    rows = z_scores(spark, d).where("asset < 2").withColumn("_day", day).withColumn("reset", F.col("_day") != F.lag("_day").over(W))
+    rows = z_scores(spark, d).where("asset < 2").withColumn("_day", day).withColumn("reset", F.col("_day") != F.lag("_day").over(W()))
     return state.cusum_segments(rows, 0.2, "reset", 0.25).select(*KEYS, "t", r6("cusum").alias("cusum"))
 
 
@@ -73,7 +73,7 @@ def i09(spark: SparkSession, d: str) -> DataFrame:
 @query("i11_k_of_n", f"""with {_Z} select asset, tag, t, sum(case when z > 0 then 1 else 0 end) over ({_P} rows between 7 preceding and current row) >= 5 as dense, round(avg(case when z > 0 then 1.0 else 0 end) over ({_P} range between 43200000000 preceding and current row), 6) as density from zs""")
 def i11(spark: SparkSession, d: str) -> DataFrame:
     up = F.col("z") > 0
-    return z_scores(spark, d).select(*KEYS, "t", state.k_of_n(up, 5, 8).alias("dense"), r6(F.avg(up.cast("double")).over(W.rangeBetween(-12 * HOUR, 0))).alias("density"))
+    return z_scores(spark, d).select(*KEYS, "t", state.k_of_n(up, 5, 8).alias("dense"), r6(F.avg(up.cast("double")).over(W().rangeBetween(-12 * HOUR, 0))).alias("density"))
 
 
 @query("i12_short_run_removal", f"""with {_Z}, f as (select *, z > 0 as up, lag(z > 0) over ({_P}) as p from zs), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from f) select asset, tag, t, up and count(*) over (partition by asset, tag, run) >= 3 as up from g""")
@@ -101,7 +101,7 @@ def i15(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i16_non_decay_gate", f"""with {_Z} select asset, tag, t, coalesce(value >= lag(value, 6) over ({_P}) * 0.9, false) as holds from zs""")
 def i16(spark: SparkSession, d: str) -> DataFrame:
-    return z_scores(spark, d).select(*KEYS, "t", F.coalesce(F.col("value") >= F.lag("value", 6).over(W) * 0.9, F.lit(False)).alias("holds"))
+    return z_scores(spark, d).select(*KEYS, "t", F.coalesce(F.col("value") >= F.lag("value", 6).over(W()) * 0.9, F.lit(False)).alias("holds"))
 
 
 @query("i17_episodes_chained", f"with {_EPISODES} select asset, episode, start, \"end\", points from ep")
@@ -179,7 +179,7 @@ def i28(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i29_sequence_to_point", f"""with {_Z}, n as (select *, row_number() over ({_P}) as k, avg(abs(z)) over ({_P} rows between 5 preceding and current row) as score from zs), s as (select *, score > 0.9 as is_anom from n where k >= 6 and (k - 6) % 2 = 0) select asset, tag, t, sum(case when is_anom then 1 else 0 end) over ({_P} rows between 2 preceding and current row) >= 2 as point from s""")
 def i29(spark: SparkSession, d: str) -> DataFrame:
-    rows = z_scores(spark, d).withColumn("k", F.row_number().over(W)).withColumn("score", F.avg(F.abs("z")).over(W.rowsBetween(-5, 0)))
+    rows = z_scores(spark, d).withColumn("k", F.row_number().over(W())).withColumn("score", F.avg(F.abs("z")).over(W().rowsBetween(-5, 0)))
     seq = rows.where("k >= 6 and (k - 6) % 2 = 0").withColumn("is_anom", F.col("score") > 0.9)
     return state.sequence_to_point(seq, 2, 3).select(*KEYS, "t", "point")
 
@@ -240,7 +240,7 @@ def i39(spark: SparkSession, d: str) -> DataFrame:
     d as (select *, abs(value - m) as inn from e) select asset, tag, t, round(inn / case when quantile_cont(inn, 0.5) over ({_P} rows between 60 preceding and 1 preceding) > 1e-6 then quantile_cont(inn, 0.5) over ({_P} rows between 60 preceding and 1 preceding) end, 4) as score from d""")
 def i40(spark: SparkSession, d: str) -> DataFrame:
     rows = state.ewma_time(T.readings(spark, d), 12 * HOUR).withColumn("inn", F.abs(F.col("value") - F.col("ewma")))
-    typical = F.percentile("inn", 0.5).over(W.rowsBetween(-60, -1))
+    typical = F.percentile("inn", 0.5).over(W().rowsBetween(-60, -1))
     return rows.select(*KEYS, "t", F.round(F.when(typical > 1e-6, F.col("inn") / typical), 4).alias("score"))
 
 
