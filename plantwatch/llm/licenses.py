@@ -37,6 +37,12 @@ def _python_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
 
 
+def python_bigrams(text: str) -> list[str]:
+    """Sorted distinct word bigrams of a template."""
+    w = _python_words(text)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+
+
 def _bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(F.size(words) < 2, F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(pairs))
@@ -54,11 +60,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     literal of the plan.
     """
     templates = TEMPLATES if templates is None else templates
-    sizes, grams = {}, {}
-    for name, t in templates.items():
-        w = _python_words(t)
-        grams[name] = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-        sizes[name] = len(grams[name])
+    grams = {name: python_bigrams(t) for name, t in templates.items()}
+    sizes = {name: len(g) for name, g in grams.items()}
     low = min(int(-(-threshold * n // (2 - threshold))) for n in sizes.values())
     high = max(int((2 - threshold) * n / threshold) for n in sizes.values())
     value = F.coalesce(F.col(text), F.lit(""))
