@@ -122,9 +122,11 @@ def j18(spark: SparkSession, d: str) -> DataFrame:
     return models.regression_residual(loaded(spark, d), "y", "load", ["asset"]).select("asset", "t", r6("residual").alias("residual"))
 
 
-@query("j19_quadratic_load_residual")
+@query("j19_quadratic_load_residual", f"""with {_LOAD}, s as (select asset, count(*)::double as s0, sum(load) as s1, sum(load * load) as s2, sum(power(load, 3)) as s3, sum(power(load, 4)) as s4, sum(y) as m0, sum(y * load) as m1, sum(y * load * load) as m2 from x group by asset),
+    w as (select *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) as d from s), b as (select asset, (m0 * (s2 * s4 - s3 * s3) - s1 * (m1 * s4 - s3 * m2) + s2 * (m1 * s3 - s2 * m2)) / d as b0, (s0 * (m1 * s4 - s3 * m2) - m0 * (s1 * s4 - s3 * s2) + s2 * (s1 * m2 - m1 * s2)) / d as b1, (s0 * (s2 * m2 - m1 * s3) - s1 * (s1 * m2 - m1 * s2) + m0 * (s1 * s3 - s2 * s2)) / d as b2 from w)
+    select x.asset, x.t, round(y - b0 - b1 * load - b2 * load * load, 4) as residual from x join b using (asset)""")
 def j19(spark: SparkSession, d: str) -> DataFrame:
-    return models.quadratic_residual(loaded(spark, d), "y", "load", ["asset"]).select("asset", "t", r6("residual").alias("residual"))
+    return models.quadratic_residual(loaded(spark, d), "y", "load", ["asset"]).select("asset", "t", F.round("residual", 4).alias("residual"))
 
 
 @query("j20_window_statistics", f"""with {_WIN} select asset, tag, seq, round(list_avg(x), 6) as mean, round(list_stddev_pop(x), 6) as std, list_min(x) as low, list_max(x) as top, round(list_max(x) - list_min(x), 6) as "range",

@@ -64,3 +64,13 @@ def alert_stream(stream: DataFrame, half_life: int, threshold: float, debounce:
         yield pd.DataFrame(out, columns=["asset", "tag", "t", "ewma", "alert"])
 
     return stream.groupBy("asset", "tag").applyInPandasWithState(fold, "asset long, tag string, t long, ewma double, alert boolean", "num double, den double, last long, since long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what its source holds now, appends to a new Parquet table in `folder`, and reads it."""
+    import uuid
+
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
