@@ -1,18 +1,20 @@
 """Near-duplicate join on word n-gram sets by signature trees.
 
-1. Equal sets become one representative.
+1. Equal sets become one node.
 2. The elements of a set are dealt to K partitions by hash. Two sets within the
    threshold differ by D elements at most, so with K > D some partition holds
-   the same elements in both: representatives that share the hash of a
-   partition may link, others can't. K follows the size band of a set.
-3. Representatives that may link, directly or by others, form a block.
+   the same elements in both: nodes that share the hash of a partition may link,
+   others can't. K follows the size band of a set.
+3. Nodes of a size band that may link, directly or by others, form a block; a
+   node near the end of its band is in two.
 4. In a block each set has a token bitmap. A signature tree's nodes hold the OR
    of the bitmaps and the range of sizes below; a dual traversal drops a pair of
-   nodes when the greatest overlap possible can't reach the threshold, or when
-   all below both is linked already. Pairs of sets that are left are compared
-   exactly.
-5. A block too large for one task is dealt to tiles; what the tiles and common
-   pivots leave unlinked is compared with all tiles, tile by tile.
+   tree nodes when the greatest overlap possible can't reach the threshold, or
+   when all below both is linked already. Pairs of sets that are left are
+   compared exactly.
+5. A block too large for one task is dealt to tiles that share a few pivots;
+   what isn't linked to the block's largest component by then is compared with
+   all tiles, tile by tile.
 """
 
 from __future__ import annotations
@@ -31,15 +33,17 @@ from plantwatch.llm.tables import cut_lineage
 from plantwatch.llm.utf8 import mix64, shingle_sets, slices
 
 #: Set elements that one task compares at once; larger blocks are dealt to tiles.
-TILE_ELEMENTS = 2_000_000
+TILE_ELEMENTS = 1_000_000
 #: Sets below a leaf and nodes below a node of a signature tree.
 FANOUT = 8
 #: The widest bitmap; widths follow the largest set of a task up to here.
 MOST_BITS = 1 << 16
+#: Hashes by which a set is dealt, one after the other, while it has too few telling partitions.
+DEALS = 6
+#: Sets that every tile of a large block holds.
+PIVOTS = 16
 #: Most bits of the Bloom filter that is broadcast to fetch the sets of blocks (16 MB).
 FILTER_BITS = 1 << 27
-#: Representatives that every tile of a large block holds, so that tiles link to each other.
-PIVOTS = 16
 
 
 class Bands:
@@ -57,8 +61,18 @@ class Bands:
         self.lows, self.highs = np.array(lows, np.int64), np.array(highs, np.int64)
         # |A xor B| <= (den - num) / (den + num) * (|A| + |B|), both sizes up to the band's highest
         self.differ = (den - num) * 2 * self.highs // (den + num)
-        k0 = self.differ + 4.0
-        self.slack = 3 + np.ceil(1.5 * k0 * np.exp(-self.lows / k0)).astype(np.int64)
+        self.least = np.ones(len(lows), np.int64)
+        self.slack = np.zeros(len(lows), np.int64)
+        for i, (d, n) in enumerate(zip(self.differ, self.lows, strict=True)):
+            for least in (2, 1):  # partitions with one element tell little: leave them out where few more partitions allow it
+                slack = 1
+                for _ in range(60):
+                    k = d + 1 + slack
+                    weak = k * np.exp(-n / k) * (1 + (n / k if least == 2 else 0))
+                    slack = max(slack, 1 + int(np.ceil(weak + np.sqrt(weak))))
+                if least == 1 or slack <= 0.45 * (d + 1):
+                    break
+            self.least[i], self.slack[i] = least, min(slack, 3 * d + 6)
         self.parts = self.differ + 1 + self.slack
 
     def classes(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,37 +82,48 @@ class Bands:
         yield np.flatnonzero((sizes > 0) & (self.den * sizes >= self.num * self.lows[own + 1])), own + 1
 
 
-def partition_keys(sets: np.ndarray, bounds: np.ndarray, bands: Bands, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) rows of the wanted sets: sets that are within the threshold and differ share a key.
+def partition_keys(sets: np.ndarray, bounds: np.ndarray, bands: Bands, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, band) rows of the wanted sets: sets that are within the threshold and differ share a key.
 
-    Only partitions with elements give keys. With more empty partitions than
-    the band's slack a set gets one key that all such sets of the band share,
-    so an equal pair of empty partitions is never what a pair hangs on.
+    Only partitions with the band's least number of elements, one or two, give
+    keys. Of two sets at least one of which has no more partitions below that
+    than the band's slack, one of the equal partitions, slack + 1 at least,
+    gives both a key. Sets with more are dealt anew by the next hash, as all
+    such sets are; after the last one they share one key of their band.
     """
     sizes = np.diff(bounds)
-    docs, keys = [], []
+    docs, keys, of_band = [], [], []
     for which, band in bands.classes(sizes):
         which = which[wanted[which] & (bands.differ[band[which]] > 0)]  # otherwise only equal sets link
-        if not len(which):
-            continue
-        size = sizes[which]
-        at = np.repeat(bounds[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        h, doc = sets[at], np.repeat(np.arange(len(which)), size)
-        k = bands.parts[band[which]].astype(np.uint64)
-        part = ((h >> np.uint64(32)) * k[doc]) >> np.uint64(32)  # grows with h, so each partition is one run
-        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
-        sums = np.add.reduceat(mix64(h), first)
-        of = doc[first]
-        tag = mix64(band[which].astype(np.uint64) * np.uint64(1 << 40) + np.uint64(7))
-        docs.append(which[of])
-        keys.append(mix64(sums ^ mix64(tag[of] + part[first])))
-        full = np.bincount(of, minlength=len(which))
-        holes = np.flatnonzero(k.astype(np.int64) - full > bands.slack[band[which]])
-        docs.append(which[holes])
-        keys.append(mix64(tag[holes] ^ np.uint64(0x5851F42D4C957F2D)))
+        for deal in range(DEALS):
+            if not len(which):
+                break
+            size, own = sizes[which], band[which]
+            at = np.repeat(bounds[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            h, doc = sets[at], np.repeat(np.arange(len(which)), size)
+            if deal:
+                h = mix64(h ^ mix64(np.array([100 + deal], np.uint64)))
+                h = h[np.lexsort((h, doc))]
+            k = bands.parts[own].astype(np.uint64)
+            part = ((h >> np.uint64(32)) * k[doc]) >> np.uint64(32)  # grows with h, so each partition is one run
+            first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
+            sums = np.add.reduceat(mix64(h), first)
+            strong = np.diff(np.append(first, len(h))) >= bands.least[own][doc[first]]
+            first, sums = first[strong], sums[strong]
+            of = doc[first]
+            tag = mix64(own.astype(np.uint64) * np.uint64(1 << 40) + np.uint64(7 + deal))
+            docs.append(which[of])
+            of_band.append(own[of])
+            keys.append(mix64(sums ^ mix64(tag[of] + part[first])))
+            given = np.bincount(of, minlength=len(which))
+            which = which[k.astype(np.int64) - given > bands.slack[own]]
+        if len(which):
+            docs.append(which)
+            of_band.append(band[which])
+            keys.append(mix64(mix64(band[which].astype(np.uint64) * np.uint64(1 << 40)) ^ np.uint64(0x5851F42D4C957F2D)))
     if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(of_band)
 
 
 def set_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -111,7 +136,7 @@ def set_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _emit(what: str, size: int, num: int = 0, den: int = 1, wanted: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over texts: digests of every row, or partition keys or elements of the distinct sets of a task.
+    """For mapInArrow over texts: digests of every row, or partition keys or texts of the distinct sets of a task.
 
     A set is named by its first digest, so copies of a text are merged here,
     before anything is shuffled. `wanted` are the bits of a Bloom filter of names.
@@ -135,11 +160,11 @@ def _emit(what: str, size: int, num: int = 0, den: int = 1, wanted: Broadcast |
                     seen.add(name)
                     new[i] = True
             if what == "keys":
-                doc, key = partition_keys(sets, bounds, bands, new)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d1[doc])], ["key", "node"])
+                doc, key, band = partition_keys(sets, bounds, bands, new)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d1[doc]), pa.array(band.astype(np.int16))], ["key", "node", "band"])
             else:
-                raw, some = sets.tobytes(), np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(d1[some]), pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in some], pa.binary())], ["node", "elements"])
+                some = pa.array(np.flatnonzero(new))
+                yield pa.RecordBatch.from_arrays([pa.array(d1).take(some), batch.column("text").take(some)], ["node", "text"])
 
     return run
 
@@ -296,26 +321,32 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
     return out
 
 
-def _link_unit(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For applyInPandas over the rows (node, elements, hint, known, side) of one task."""
+def _link_unit(words: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas over the rows (node, text, hint, known, side) of one task."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "node"], ignore_index=True).drop_duplicates("node", ignore_index=True)
-        ids = rows["node"].to_numpy(np.int64)
-        place = {int(x): i for i, x in enumerate(ids)}
-        sets = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+        names = rows["node"].to_numpy(np.int64)
+        place = {int(x): i for i, x in enumerate(names)}
+        elements, bounds = shingle_sets(pa.array(rows["text"], pa.string()), words)
+        sets = [elements[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         hints = np.array([-1 if pd.isna(x) else place.get(int(x), -1) for x in rows["hint"]], np.int64)
         side = rows["side"].to_numpy(np.int64)
-        known = rows["known"].to_numpy(np.int64)
-        pairs = link_sets(sets, num, den, known, hints, side if side.any() else None)
-        return pd.DataFrame({"u": [ids[i] for i, _ in pairs], "v": [ids[j] for _, j in pairs]}, dtype="int64")
+        pairs = link_sets(sets, num, den, rows["known"].to_numpy(np.int64), hints, side if side.any() else None)
+        return pd.DataFrame({"u": [names[i] for i, _ in pairs], "v": [names[j] for _, j in pairs]}, dtype="int64")
 
     return run
 
 
-def _link(units: DataFrame, num: int, den: int) -> DataFrame:
-    kept = units.select("unit", "tile", "other", "node", "elements", "hint", "known", "side")
-    return kept.groupBy("unit", "tile", "other").applyInPandas(_link_unit(num, den), "u long, v long")
+_UNIT = ["unit", "tile", "other", "node", "hint", "known", "side"]
+
+
+def _link(units: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links within each unit; only the texts of the units' sets are fetched, each to its units."""
+    wanted = texts.sparkSession.sparkContext.broadcast(_name_filter(units.select("node").distinct()))
+    held = texts.mapInArrow(_emit("texts", words, wanted=wanted), "node long, text string")
+    rows = units.select(_UNIT).join(held, "node")
+    return rows.groupBy("unit", "tile", "other").applyInPandas(_link_unit(words, num, den), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
@@ -340,9 +371,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise RuntimeError("two different sets have one digest")
     nodes = nodes.select(F.col("d1").alias("node"), "n", "class_id")
 
-    keys = texts.mapInArrow(_emit("keys", words, num, den), "key long, node long")
+    keys = texts.mapInArrow(_emit("keys", words, num, den), "key long, node long, band short")
     low = F.min("node").over(Window.partitionBy("key"))
-    stars = cut_lineage(keys.withColumn("low", low).where("node > low").groupBy("low", "node").agg(F.count("*").alias("shared")))
+    stars = cut_lineage(keys.withColumn("low", low).where("node > low").groupBy("band", "low", "node").agg(F.count("*").alias("shared")))
     links = _block_links(texts, nodes, stars, words, num, den, tile_elements)
     linked = connected_components(links)
 
@@ -354,49 +385,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.union(alone)
 
 
+_UNIT = ["unit", "tile", "other", "node", "hint", "known", "side"]
+
+
 def _block_links(texts: DataFrame, nodes: DataFrame, stars: DataFrame, words: int, num: int, den: int, tile_elements: int) -> DataFrame:
     """(u, v) links between nodes that connect all that the links of the blocks connect."""
-    blocks = connected_components(stars.select(F.col("node").alias("u"), F.col("low").alias("v"))).withColumnRenamed("component", "unit")
-    hint = stars.groupBy("node").agg(F.max_by("low", F.struct("shared", -F.col("low"))).alias("hint"))
-    active = cut_lineage(blocks.join(hint, "node", "left").join(nodes.select("node", "n"), "node"))
+    name = lambda node: F.xxhash64("band", node)  # noqa: E731  two names that collide only make one block of two
+    blocks = connected_components(stars.select(name("node").alias("u"), name("low").alias("v"))).select(F.col("node").alias("name"), F.col("component").alias("unit"))
+    members = stars.groupBy("band", "node").agg(F.max_by("low", F.struct("shared", -F.col("low"))).alias("hint"))
+    members = members.unionByName(stars.select("band", F.col("low").alias("node")).distinct(), allowMissingColumns=True).groupBy("band", "node").agg(F.max("hint").alias("hint"))
+    active = members.withColumn("name", name("node")).join(blocks, "name").join(nodes.select("node", "n"), "node")
+    active = cut_lineage(active.groupBy("unit", "node", "n").agg(F.max("hint").alias("hint")))
     weight = active.groupBy("unit").agg(F.ceil(F.sum("n") / tile_elements).cast("int").alias("tiles"), F.count("*").alias("members"))
     active = cut_lineage(active.join(weight, "unit"))
-    if active.isEmpty():
-        return stars.selectExpr("node u", "low v").limit(0)
-    wanted = texts.sparkSession.sparkContext.broadcast(_name_filter(active.select("node")))
-    sets = texts.mapInArrow(_emit("sets", words, wanted=wanted), "node long, elements binary")
-    rows = active.join(sets, "node").dropDuplicates(["node"])
-    rows = rows.select("unit", F.lit(0).alias("tile"), F.lit(0).alias("other"), "node", "elements", "hint", F.col("node").alias("known"), F.lit(0).alias("side"), "tiles", "members")
-    large = active.where("tiles > 1")
-    if large.isEmpty():
-        return _link(rows, num, den)
-    rows = cut_lineage(rows)
-    return _link(rows.where("tiles = 1"), num, den).union(_large_block_links(rows.where("tiles > 1"), large, num, den))
-
-
-def _large_block_links(rows: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of blocks that are dealt to tiles: within each tile and with the pivots, then of what is left with all tiles."""
+    units = active.select("unit", F.lit(0).alias("tile"), F.lit(0).alias("other"), "node", "hint", F.col("node").alias("known"), F.lit(0).alias("side"), "tiles", "members")
+    links = _link(units.where("tiles = 1"), texts, words, num, den)
+    large = cut_lineage(units.where("tiles > 1"))
+    return cut_lineage(links if large.isEmpty() else links.union(_large_block_links(large, texts, words, num, den)))
+
+
+def _large_block_links(large: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links of blocks of several tiles: within each tile and with the pivots, then of what isn't in a block's largest component with all tiles."""
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     every_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     uses = large.where("hint is not null").groupBy("unit", "hint").agg(F.count("*").alias("uses"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("uses"), "hint"))
-    pivots = uses.withColumn("k", rank).where(f"k <= {PIVOTS}").select(F.col("hint").alias("node"))
-    everywhere = rows.join(pivots, "node", "left_semi").withColumn("tile", every_tile)
-    first = cut_lineage(_link(rows.withColumn("tile", tile).unionByName(everywhere), num, den))
-    so_far = connected_components(first)
-    known = large.select("node", "unit").join(so_far, "node", "left").select("node", "unit", F.coalesce("component", "node").alias("known"))
+    pivots = uses.withColumn("k", rank).where(f"k <= {PIVOTS}").select("unit", F.col("hint").alias("node"))
+    everywhere = large.join(pivots, ["unit", "node"], "left_semi").withColumn("tile", every_tile)
+    first = cut_lineage(_link(large.withColumn("tile", tile).unionByName(everywhere), texts, words, num, den))
+    known = large.drop("known").join(connected_components(first), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
     biggest = known.groupBy("unit", "known").agg(F.count("*").alias("c")).groupBy("unit").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
     known = cut_lineage(known.join(biggest, "unit"))
     asked = known.where("known <> main").groupBy("unit").agg(F.count("*").alias("asked"))
-    if asked.isEmpty():
-        return first
     # a tile of what is left is as large as a tile of all
-    rows = rows.drop("known").join(known.select("node", "known", "main"), "node").join(asked, "unit")
-    rows = rows.withColumn("others", F.ceil(F.col("tiles") * F.col("asked") / F.col("members")).cast("int"))
+    rows = known.join(asked, "unit").withColumn("others", F.ceil(F.col("tiles") * F.col("asked") / F.col("members")).cast("int"))
     ask = rows.where("known <> main").withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int")).withColumn("tile", every_tile)
     told = rows.withColumn("tile", tile).withColumn("side", F.lit(1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    kept = ["unit", "tile", "other", "node", "elements", "hint", "known", "side"]
-    return first.union(_link(ask.select(kept).unionByName(told.select(kept)), num, den))
+    pairs = cut_lineage(ask.select(_UNIT).unionByName(told.select(_UNIT)))
+    return first if pairs.isEmpty() else first.union(_link(pairs, texts, words, num, den))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -147,7 +147,7 @@ def test_pairs_within_the_threshold_share_a_key(ratio):
         lost = (den - num) * len(a) // den  # as many as one set alone may lack
         b = a[np.sort(rng.permutation(len(a))[lost:])]
         sets, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-        doc, key = ngram_join.partition_keys(sets, bounds, bands, np.ones(2, bool))
+        doc, key, _ = ngram_join.partition_keys(sets, bounds, bands, np.ones(2, bool))
         if len(b) < len(a) and len(b):
             assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), n
 
