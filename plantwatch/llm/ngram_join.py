@@ -33,9 +33,11 @@ from plantwatch.llm.tables import cut_lineage
 from plantwatch.llm.utf8 import mix64, shingle_sets, slices
 
 #: Set elements that one task compares at once; larger blocks are dealt to tiles.
-TILE_ELEMENTS = 1_000_000
+TILE_ELEMENTS = 2_000_000
 #: Sets below a leaf and nodes below a node of a signature tree.
 FANOUT = 8
+#: Pairs of tree nodes whose children are looked at together.
+PAIRS_AT_ONCE = 1 << 14
 #: The widest bitmap; widths follow the largest set of a task up to here.
 MOST_BITS = 1 << 16
 #: Hashes by which a set is dealt, one after the other, while it has too few telling partitions.
@@ -69,7 +71,7 @@ class Bands:
                 for _ in range(60):
                     k = d + 1 + slack
                     weak = k * np.exp(-n / k) * (1 + (n / k if least == 2 else 0))
-                    slack = max(slack, 1 + int(np.ceil(weak + np.sqrt(weak))))
+                    slack = max(slack, 1 + int(np.ceil(weak + 2 * np.sqrt(weak))))
                 if least == 1 or slack <= 0.45 * (d + 1):
                     break
             self.least[i], self.slack[i] = least, min(slack, 3 * d + 6)
@@ -292,10 +294,12 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
         lo, hi = np.minimum.reduceat(labels, first), np.maximum.reduceat(labels, first)
         return np.where(lo == hi, lo, -1)
 
-    for depth in range(len(levels) - 1, -1, -1):
+    grid = np.arange(FANOUT)
+
+    def descend(depth: int, pairs: np.ndarray) -> None:
+        """Pairs of nodes of one level: what may link goes on to the pairs of their children, a bounded number at a time."""
         b, lo, hi, ex = levels[depth]
-        kept = []
-        step = max(1, (1 << 22) // b.shape[1])
+        step = max(1, min(PAIRS_AT_ONCE, (1 << 22) // b.shape[1]))
         for at in range(0, len(pairs), step):
             p = pairs[at : at + step]
             i, j = p[:, 0], p[:, 1]
@@ -305,19 +309,17 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
             p, i, j = p[ok], i[ok], j[ok]
             most = np.minimum(np.bitwise_count(b[i] & b[j]).sum(axis=1).astype(np.int64) + np.minimum(ex[i], ex[j]), np.minimum(hi[i], hi[j]))
             p = p[(num + den) * most >= num * (lo[i] + lo[j])]
-            if depth:
-                kept.append(p)
-            else:
+            if not depth:
                 for x, y in p:
                     test(order[x], order[y])
-        if depth:
-            p = np.concatenate(kept) if kept else np.zeros((0, 2), np.int64)
-            below = len(levels[depth - 1][0])
-            grid = np.arange(FANOUT)
-            left = (p[:, 0, None, None] * FANOUT + grid[None, :, None]).repeat(FANOUT, axis=2).reshape(-1)
-            right = (p[:, 1, None, None] * FANOUT + grid[None, None, :]).repeat(FANOUT, axis=1).reshape(-1)
-            ok = (left < below) & (right < below) & (left <= right)
-            pairs = np.stack([left[ok], right[ok]], axis=1)
+            elif len(p):
+                below = len(levels[depth - 1][0])
+                left = (p[:, 0, None, None] * FANOUT + grid[None, :, None]).repeat(FANOUT, axis=2).reshape(-1)
+                right = (p[:, 1, None, None] * FANOUT + grid[None, None, :]).repeat(FANOUT, axis=1).reshape(-1)
+                ok = (left < below) & (right < below) & (left <= right)
+                descend(depth - 1, np.stack([left[ok], right[ok]], axis=1))
+
+    descend(len(levels) - 1, pairs)
     return out
 
 
