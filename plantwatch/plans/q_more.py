@@ -12,7 +12,7 @@ from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _ALERTS, _CURVE, _LABEL, _LOAD, alerts, curve, labelled, loaded
 from plantwatch.plans.q_series import _EPISODES, KEYS, W, alert_episodes
-from plantwatch.plans.q_state import _P, _Z, z_scores
+from plantwatch.plans.q_state import _P, _Z, every_series, z_scores
 from plantwatch.plans.registry import query
 
 _TAIL = lambda x: x.removeprefix(T.READINGS + ", ")
@@ -204,7 +204,16 @@ def h06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i06_forgetting_cusum", f"""with {_Z} select a.asset, a.tag, a.t, round(sum(b.z * power(0.5, (a.k - b.k) / 10.0)), 6) as leaky from (select *, row_number() over ({_P}) as k from zs where asset < 2) a join (select *, row_number() over ({_P}) as k from zs where asset < 2) b on a.asset = b.asset and a.tag = b.tag and b.k <= a.k group by all""")
 def i06(spark: SparkSession, d: str) -> DataFrame:
-    rows = blocks.row_numbers(z_scores(spark, d).where("asset < 2"), KEYS, 10 * DAY)
+    return _forgetting_cusum(z_scores(spark, d).where("asset < 2"))
+
+
+@query("i06_forgetting_cusum_all", every_series("i06_forgetting_cusum"))
+def i06_all(spark: SparkSession, d: str) -> DataFrame:
+    return _forgetting_cusum(z_scores(spark, d))
+
+
+def _forgetting_cusum(rows: DataFrame) -> DataFrame:
+    rows = blocks.row_numbers(rows, KEYS, 10 * DAY)
     return blocks.decayed_sums(rows, KEYS, "n", 10.0, {"leaky": F.col("z")}).select(*KEYS, "t", r6("leaky").alias("leaky"))
 
 
