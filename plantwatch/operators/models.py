@@ -146,14 +146,14 @@ def nearest_template(df: DataFrame, templates: DataFrame, vector: str = "x", nam
 def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int = 32, sample: int = 256, seed: int = 1) -> DataFrame:
     """(key, score): isolation-forest score, 2^(-mean path / c), of every row.
 
-    Each tree takes the `sample` rows with the smallest hashes for it; trees
-    grow in parallel, one group each, and the forest, whose size is bounded by
+    Each tree takes the `sample` rows with the smallest hashes for it. Hashes
+    are uniform over 64 bits, so only rows below a bound that twice as many are
+    expected under are dealt to the tree. Trees grow in parallel, one group each, and the forest, whose size is bounded by
     trees * sample nodes, is broadcast to score all rows in batches.
     """
     rows = df.select(key, *columns)
     draws = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", F.xxhash64(key, "_tree", F.lit(seed)))
-    limit = F.percentile_approx("_h", min(1.0, 1.5 * sample / max(1, rows.count())), F.lit(10_000))
-    draws = draws.join(F.broadcast(draws.groupBy("_tree").agg(limit.alias("_top"))), "_tree").where("_h <= _top")
+    draws = draws.where(F.col("_h") <= _hash_bound(rows.count(), sample))
     names = list(columns)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -198,6 +198,11 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int
     return rows.dropna().mapInPandas(score, f"{key} {kind}, score double")
 
 
+def _hash_bound(n: int, sample: int) -> int:
+    """The 64-bit value under which 2 * sample of n uniform hashes are expected, the greatest where there are no more rows than that."""
+    return min(2**63 - 1, -(2**63) + 2**65 * sample // max(1, n))
+
+
 def _average_path(n: int) -> float:
     """Mean path length of an unsuccessful search among n points."""
     return 0.0 if n < 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n

@@ -280,3 +280,17 @@ def test_empty_tables_give_no_rows(spark):
     none = spark.createDataFrame([], "asset long, tag string, t long, value double")
     assert clean.hampel(none, 2).count() == 0 and state.ewma_points(none, 3.0).count() == 0 and align.regular_grid(none, 5).count() == 0
     assert episodes.episodes(none, ["asset"], 3).count() == 0 and models.walk_forward(none, 5, 10, 2).count() == 0
+
+
+def test_isolation_trees_have_their_samples_of_many_rows(spark):
+    n, sample = 5_000_000, 256
+    rows = spark.range(n).select("id", ((F.col("id") * 7919) % 10_007).cast("double").alias("p"))
+    # the sample of a tree is exactly the rows with the smallest hashes
+    h = F.xxhash64("id", F.lit(0), F.lit(1))
+    under = rows.where(h <= models._hash_bound(n, sample)).count()
+    assert sample <= under <= 4 * sample
+    assert models._hash_bound(100, sample) == 2**63 - 1
+    scores = models.isolation_scores(rows, ["p"], "id", trees=2, sample=sample).where("id % 1000 = 0")
+    got = scores.agg(F.count("*").alias("n"), F.count_if(F.isnan("score")).alias("nan"), F.min("score").alias("low"), F.max("score").alias("top")).first()
+    assert got["n"] == n // 1000 and got["nan"] == 0
+    assert 0.2 < got["low"] < 0.7 and got["low"] < got["top"] < 1.0
