@@ -13,16 +13,25 @@ from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _ALERTS, _CURVE, _LABEL, _LOAD, alerts, curve, labelled, loaded
 from plantwatch.plans.q_series import _EPISODES, KEYS, W, alert_episodes
 from plantwatch.plans.q_state import _P, _Z, every_series, z_scores
-from plantwatch.plans.registry import query
+from plantwatch.plans.registry import SQL, query
 
 _TAIL = lambda x: x.removeprefix(T.READINGS + ", ")
 
 
 @query("a02_wide_to_long", "select o_orderkey as asset, epoch_us(o_orderdate) as t, unnest(['price', 'customer']) as tag, unnest([o_totalprice, cast(o_custkey as double)]) as value from orders where o_orderkey % 7 = 0")
 def a02(spark: SparkSession, d: str) -> DataFrame:
+    return _orders_to_long(T.table(spark, d, "orders").where("o_orderkey % 7 = 0"))
+
+
+@query("a02_wide_to_long_all", SQL["a02_wide_to_long"].removesuffix(" where o_orderkey % 7 = 0"))
+def a02_all(spark: SparkSession, d: str) -> DataFrame:
+    return _orders_to_long(T.table(spark, d, "orders"))
+
+
+def _orders_to_long(orders: DataFrame) -> DataFrame:
     from plantwatch.sources.sensors import to_long
 
-    wide = T.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("asset"), C.micros(F.col("o_orderdate")).alias("t"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))
+    wide = orders.select(F.col("o_orderkey").alias("asset"), C.micros(F.col("o_orderdate")).alias("t"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))
     return to_long(wide, ["price", "customer"])
 
 

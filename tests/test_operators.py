@@ -294,3 +294,12 @@ def test_isolation_trees_have_their_samples_of_many_rows(spark):
     got = scores.agg(F.count("*").alias("n"), F.count_if(F.isnan("score")).alias("nan"), F.min("score").alias("low"), F.max("score").alias("top")).first()
     assert got["n"] == n // 1000 and got["nan"] == 0
     assert 0.2 < got["low"] < 0.7 and got["low"] < got["top"] < 1.0
+
+
+def test_wide_to_long_takes_every_order(spark, tmp_path):
+    import __spark_entry__
+
+    orders = spark.sql("select id as o_orderkey, timestamp_ntz'2024-01-01' as o_orderdate, id * 1.5D as o_totalprice, id + 100 as o_custkey from range(1, 22)")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["asset"], r["tag"]): r["value"] for r in __spark_entry__.queries()["a02_wide_to_long_all"](spark, str(tmp_path)).collect()}
+    assert got == {(k, "price"): k * 1.5 for k in range(1, 22)} | {(k, "customer"): k + 100.0 for k in range(1, 22)}
