@@ -7,6 +7,9 @@ has had by window w follows from w and the queue totals alone: a balanced tree
 over the queues splits the quanta so far at each node by floor(n * left / all),
 which never falls and adds up exactly. So every task finds the places of its
 own documents, and deficits carry across windows and partitions.
+
+Queues that many sources share are sequences dealt by a second such tree over
+their sources, one quantum at a time; each source has its path in it as a row.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ from plantwatch.llm.word_bpe import encoder
 
 #: Tokens of a window and of a quantum.
 WINDOW, GRAIN = 4096, 64
-#: Sources with queues of their own, the largest ones, and queues that the others are dealt to by hash.
+#: Sources with queues of their own besides those with targets, the largest ones, and queues that the others are dealt to by hash.
 OWN_QUEUES, SHARED_QUEUES = 192, 64
 
 
@@ -159,6 +163,70 @@ def _tokens(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _paths(grain: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of the sources (queue, all) of a shared queue: whole quanta, place of the tokens left over, and the path from the source up the tree.
+
+    whole has the quanta of each node, side those of the side the path comes
+    from, negative from the right; whole is 0 beyond the path.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("queue")
+        total = group["all"].to_numpy(np.int64)
+        grains = total // grain
+        rest = total - grains * grain
+        sums = np.concatenate([[0], np.cumsum(grains)])
+        q, whole, part = np.arange(len(total)), [], []
+        a, b = np.zeros_like(q), np.full_like(q, len(q))
+        while (b - a > 1).any():
+            mid, inner = (a + b) // 2, b - a > 1
+            right = inner & (q >= mid)
+            whole.append(np.where(inner, sums[b] - sums[a], 0))
+            part.append(np.where(right, sums[mid] - sums[b], sums[mid] - sums[a]))
+            a, b = np.where(right, mid, a), np.where(inner & ~right, mid, b)
+        up = lambda x: list(np.array(x[::-1], np.int64).reshape(-1, len(q)).T)
+        return pd.DataFrame({"queue": group["queue"].to_numpy(), "grains": grains, "rest_at": sums[-1] * grain + np.cumsum(rest) - rest, "whole": up(whole), "side": up(part)})
+
+    return run
+
+
+def shared_quanta(x: np.ndarray, whole: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Number in its shared queue of each source's quantum x; whole and part have a row of whole and side of _paths() each.
+
+    The left side of a node has floor(n * left / whole) of its first n quanta
+    and the right side the others, so quantum x of a side is that of the node
+    with the least n after which the side has more than x.
+    """
+    for w, p in zip(whole.T, part.T, strict=True):
+        side, left = np.abs(p), p > 0
+        n = exact_share(x + left, w, side)
+        with np.errstate(over="ignore"):
+            n = n - (left & ((x + 1) * w == n * side))
+        x = np.where((w > 0) & (side > 0), n, x)
+    return x
+
+
+def _shared(batch: pa.RecordBatch, grain: int, doc: np.ndarray, token: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, start, size, token) of pieces, tokens numbered in the shared queue instead of the source, cut at its quanta."""
+    whole, part = batch.column("whole").to_pylist(), batch.column("side").to_pylist()
+    depth = max((len(x) for x in whole if x is not None), default=0)
+    paths = np.zeros((2, len(whole), depth), np.int64)
+    for k, (w, p) in enumerate(zip(whole, part, strict=True)):
+        if w:
+            paths[0, k, : len(w)], paths[1, k, : len(p)] = w, p
+    nested = np.array([x is not None for x in whole], bool)
+    grains, rest_at = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("grains", "rest_at"))
+    late = nested[doc] & (token // grain >= grains[doc])
+    full = np.flatnonzero(nested[doc] & ~late)
+    token = np.where(late, token + (rest_at - grains * grain)[doc], token)
+    token[full] = shared_quanta(token[full] // grain, paths[0, doc[full]], paths[1, doc[full]]) * grain + token[full] % grain
+    room = grain - token % grain
+    at = np.repeat(np.arange(len(token)), np.where(size > room, 2, 1))
+    second = np.concatenate([[False], at[1:] == at[:-1]]) if len(at) else np.zeros(0, bool)
+    skip = np.where(second, room[at], 0)
+    return doc[at], start[at] + skip, np.where(second, size[at] - room[at], np.minimum(size, room)[at]), token[at] + skip
+
+
 def _pieces(schedule: Schedule, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = schedule.grain
@@ -168,8 +236,10 @@ def _pieces(schedule: Schedule, width: int) -> Callable[[Iterator[pa.RecordBatch
             doc = np.repeat(np.arange(len(n)), count)
             u = (o // g)[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             a, b = np.maximum(u * g, o[doc]), np.minimum((u + 1) * g, (o + n)[doc])
-            at = schedule.places(q[doc], a)
             start, size = a - o[doc], b - a
+            if "whole" in batch.schema.names:
+                doc, start, size, a = _shared(batch, g, doc, a, start, size)
+            at = schedule.places(q[doc], a)
             late = np.flatnonzero((at // schedule.window != (at + size - 1) // schedule.window) | (at + size > schedule.whole))
             if len(late):
                 keep = np.ones(len(at), bool)
@@ -203,9 +273,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, doc_id: str = "doc_i
     `targets` gives weights (0 for a source that isn't named), None the corpus'
     own proportions, so that all queues end together. With targets, windows
     keep to them until a source is used up and then to their ratio among the
-    sources left. The OWN_QUEUES largest sources have queues of their own, the
-    others share SHARED_QUEUES; a null source is a source. Rows that repeat an
-    id are documents of their own. An empty table gives no rows. Other columns
+    sources left. Sources with targets and the OWN_QUEUES largest ones have
+    queues of their own, the others share SHARED_QUEUES, in which each has its
+    proportion of any run of quanta; a null source is a source. Rows that
+    repeat an id are documents of their own. An empty table gives no rows. Other columns
     are ignored.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")).alias("queue"), F.col(text).alias("text"))
@@ -214,18 +285,24 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, doc_id: str = "doc_i
     tokens = cut_lineage(tokens.withColumn("part", F.spark_partition_id()))
     parts = cut_lineage(tokens.groupBy("part", "queue").agg(F.sum("n").alias("had")))
     totals = parts.groupBy("queue").agg(F.sum("had").alias("all"))
+    asked = {"-" if k is None else f"={k}": float(v) for k, v in (targets or {}).items()}
     largest = [r["queue"] for r in totals.orderBy(F.desc("all"), "queue").limit(OWN_QUEUES).collect()]
     shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(SHARED_QUEUES)).cast("string"))
-    parts = parts.withColumn("lane", F.when(F.col("queue").isin(largest), F.col("queue")).otherwise(shared) if largest else shared)
+    alone = sorted({*largest, *asked})
+    lane = F.when(F.col("queue").isin(alone), F.col("queue")).otherwise(shared) if alone else shared
+    parts = parts.withColumn("lane", lane)
     lanes = parts.groupBy("lane").agg(F.sum("had").alias("all")).orderBy("lane").collect()  # one row a queue
     names = [r["lane"] for r in lanes]
     weights = None
     if targets is not None:
-        asked = {"-" if k is None else f"={k}": float(v) for k, v in targets.items()}
         weights = [asked.get(x, 0.0) for x in names]
     schedule = Schedule([r["all"] for r in lanes], weights, window, grain)
-    before = F.sum("had").over(Window.partitionBy("lane").orderBy("part", "queue")) - F.col("had")
+    before = F.sum("had").over(Window.partitionBy("queue").orderBy("part")) - F.col("had")
     number = F.array_position(F.array(*map(F.lit, names)), F.col("lane")) - 1 if names else F.lit(0)
     parts = parts.select("part", "queue", before.alias("before"), number.alias("k"))
-    placed = tokens.join(parts, ["part", "queue"]).select("id", "ids", "n", "k", (F.col("before") + F.col("start")).alias("first"))
+    nested: list[str] = []
+    if any(x.startswith("#") for x in names):
+        inner = totals.withColumn("lane", lane).where("lane like '#%'").groupBy("lane").applyInPandas(_paths(grain), "queue string, grains long, rest_at long, whole array<long>, side array<long>")
+        parts, nested = parts.join(inner, "queue", "left"), ["grains", "rest_at", "whole", "side"]
+    placed = tokens.join(parts, ["part", "queue"]).select("id", "ids", "n", "k", (F.col("before") + F.col("start")).alias("first"), *nested)
     return placed.mapInArrow(_pieces(schedule, encoder(vocabulary).width), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -495,3 +495,46 @@ def test_span_hashes_depend_on_the_bytes_alone():
     table = pd.DataFrame({"w": words, "h": h})
     assert (table.groupby("w").h.nunique() == 1).all() and table.h.nunique() == table.w.nunique()
     assert doc[0] == 0 and doc[-1] == 2
+
+
+def test_shared_quanta_are_the_trees(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    for totals in ([7], [5, 0, 90], rng.integers(0, 60, 37).tolist()):
+        rows = packing._paths(1)(pd.DataFrame({"queue": [f"={k:03d}" for k in range(len(totals))], "all": totals}))
+        paths = lambda r, column: np.tile(np.array(r[column], np.int64), (totals[r.name], 1))
+        dealt = [(int(n), k) for k, r in rows.iterrows() for n in packing.shared_quanta(np.arange(totals[k]), paths(r, "whole"), paths(r, "side"))]
+        assert sorted(n for n, _ in dealt) == list(range(sum(totals)))
+        had = np.zeros(len(totals))
+        for n, k in sorted(dealt):
+            had[k] += 1
+            assert (np.abs(had - np.array(totals) * (n + 1) / sum(totals)) <= 1 + np.log2(len(totals))).all()
+
+
+def test_packing_keeps_the_share_of_every_source(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "OWN_QUEUES", 3)
+    monkeypatch.setattr(packing, "SHARED_QUEUES", 2)
+    path = P.path("word_bpe_49k.json")
+    rng = np.random.default_rng(13)
+    source = [f"h{k:02d}" for k in range(12) for _ in range(8 + k)] + ["tiny"]
+    texts = [text(rng, int(n)) for n in rng.integers(20, 200, len(source) - 1)] + ["one"]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, source, strict=True)), "doc_id long, text string, source string").repartition(4)
+    plain = Tokenizer.from_file(path)
+    ids_of = {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    total = sum(map(len, ids_of.values()))
+    by_seq, sizes = check_packing(texts, packing.pack(df, path, window=256, grain=16).collect(), 256, ids_of)
+    for s in sorted(set(source)):
+        all_of = sum(len(x) for i, x in ids_of.items() if source[i] == s)
+        had = 0
+        for k in range(total // 256 - 2):
+            had += sum(r["length"] for r in by_seq[k] if source[r["id"]] == s)
+            assert abs(had - all_of / total * 256 * (k + 1)) <= 6 * 16, (s, k)
+    # a target holds whatever the rank
+    by_seq, _ = check_packing(texts, packing.pack(df, path, window=256, grain=16, targets={"h00": 1.0, "h01": 1.0}).collect(), 256, ids_of)
+    for k in range(4):
+        for s in ("h00", "h01"):
+            assert abs(sum(r["length"] for r in by_seq[k] if source[r["id"]] == s) - 128) <= 16
