@@ -4,6 +4,10 @@ Units are the whole text and each of its lines. A unit and a template with a
 and b distinct bigrams share min(a, b) at most, so only sizes with
 2 * min(a, b) / (a + b) >= threshold are compared: units of other sizes are
 dropped by their word count before any bigram is made.
+
+A notice within a line or over several is found in the spans of bigrams of the
+whole text. The best span starts and ends with a bigram of its template and
+has as many as the threshold asks for, so only such spans are compared.
 """
 
 from __future__ import annotations
@@ -43,9 +47,49 @@ def python_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def _bigrams(words: Column) -> Column:
+def _all_bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) < 2, F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(pairs))
+    return F.when(F.size(words) < 2, F.expr("cast(array() as array<string>)")).otherwise(pairs)
+
+
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_all_bigrams(words))
+
+
+def _sizes(n: int, threshold: float) -> tuple[int, int]:
+    """Least number of shared bigrams, and most bigrams, of what reaches the threshold with a template of n."""
+    return max(1, int(-(-threshold * n // (2 - threshold)))), int((2 - threshold) * n / threshold)
+
+
+def _anchors(text: str, threshold: float) -> list[str]:
+    """Longest words of a template, one of which is in whatever reaches the threshold: fewer bigrams than it needs are without them."""
+    left, out = python_bigrams(text), []
+    least = _sizes(len(left), threshold)[0]
+    for w in sorted(set(_python_words(text)), key=lambda w: (-len(w), w)):
+        if len(left) < least:
+            break
+        out.append(w)
+        left = [g for g in left if w not in g.split(" ")]
+    return out
+
+
+def _span(pairs: Column, name: str, gram: list[str], threshold: float) -> Column:
+    """The best span of `pairs` for a template that reaches the threshold, or null."""
+    least, most = _sizes(len(gram), threshold)
+    own = F.array(*map(F.lit, gram))
+    at = F.filter(F.transform(pairs, lambda x, i: F.when(F.array_contains(own, x), i + 1)), lambda i: i.isNotNull())
+
+    def spans(at: Column) -> Column:
+        starts = F.filter(at, lambda p, k: F.get(at, k + (least - 1)) - p < most)
+        return F.flatten(F.transform(starts, lambda p: F.transform(F.filter(at, lambda q: (q >= p + (least - 1)) & (q < p + most)), lambda q: one(p, q))))
+
+    def one(p: Column, q: Column) -> Column:
+        span = F.slice(pairs, p, q - p + 1)
+        d = 2.0 * F.size(F.array_intersect(span, own)) / (F.size(F.array_distinct(span)) + len(gram))
+        return F.struct((-d).alias("less"), F.lit(name).alias("license"), (-p).alias("unit"), d.alias("dice"))
+
+    each = F.flatten(F.transform(F.array(at), spans))
+    return F.array_min(F.filter(each, lambda s: s["dice"] >= threshold))
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -55,6 +99,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     that reach the threshold, null without one; ties go to the smaller name,
     then to the smaller unit. unit is the line number from 1, or 0 for the
     whole text; n_matches counts units and templates that reach the threshold.
+    Of a template that neither the text nor a line matches, the best span of
+    the text counts, with up to as many bigrams as the threshold leaves; its
+    unit is -p, p the number from 1 of its first word.
     Null and empty texts match nothing; rows that repeat an id give rows of
     their own. Templates need two words; their number is small, as each is a
     literal of the plan.
@@ -68,9 +115,17 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     units = F.concat(F.array(value), F.split(value, "\n", -1))
     # a unit with g distinct bigrams has g + 1 words at least; a very long one is left out only if its distinct bigrams are too many
     unit = F.filter(F.transform(units, lambda u, k: F.struct(k.alias("unit"), _bigrams(F.when(F.length(u) < 2 * low + 1, F.expr("cast(array() as array<string>)")).otherwise(_words(u))).alias("grams"))), lambda x: F.size(x["grams"]).between(low, high))
-    rows = docs.select(F.col(doc_id).alias("id"), unit.alias("units"))
+    anchors = sorted({w for t in templates.values() for w in _anchors(t, threshold)})
+    lower = F.lower(value)
+    near = F.lit(False)
+    for w in anchors:
+        near = near | lower.contains(w)
+    pairs = F.when(near, _all_bigrams(_words(value))).otherwise(F.expr("cast(array() as array<string>)"))
+    rows = docs.select(F.col(doc_id).alias("id"), unit.alias("units"), pairs.alias("pairs"))
     per_unit = F.transform("units", lambda u: F.filter(F.array(*(F.struct((-d).alias("less"), F.lit(n).alias("license"), u["unit"].alias("unit"), d.alias("dice")) for n, d in _dice(u["grams"], grams, threshold))), lambda s: s["dice"] >= threshold))
-    hits = rows.select("id", F.array_sort(F.flatten(per_unit)).alias("hits"))
+    hits = rows.select("id", "pairs", F.flatten(per_unit).alias("hits"))
+    spans = [F.when(~F.array_contains(F.transform("hits", lambda s: s["license"]), n), _span(F.col("pairs"), n, grams[n], threshold)) for n in sorted(grams)]
+    hits = hits.select("id", F.array_sort(F.concat("hits", F.filter(F.array(*spans), lambda s: s.isNotNull()))).alias("hits"))
     top = F.get("hits", F.lit(0))
     return hits.select("id", top["license"].alias("license"), top["dice"].alias("dice"), top["unit"].alias("unit"), F.size("hits").cast("long").alias("n_matches"))
 

@@ -538,3 +538,21 @@ def test_packing_keeps_the_share_of_every_source(spark, monkeypatch):
     for k in range(4):
         for s in ("h00", "h01"):
             assert abs(sum(r["length"] for r in by_seq[k] if source[r["id"]] == s) - 128) <= 16
+
+
+def test_license_scan_finds_notices_within_and_over_lines(spark):
+    from plantwatch.llm.licenses import TEMPLATES, python_bigrams
+
+    grant = TEMPLATES["MIT-grant"]
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    filler = "some other words that say nothing about it "
+    texts = ["The code is free. Released under the MIT License.", filler * 40 + wrapped + ", including without limitation the rights\n" + filler, filler + grant + ", including without limitation the rights to use " + filler, filler + "the released license of the work is under version 3", "Released under the MIT License.\n" + filler]
+    rows = {r["id"]: r for r in license_scan(corpus(spark, texts)).collect()}
+    assert [rows[k]["license"] for k in range(5)] == ["MIT", "MIT-grant", "MIT-grant", None, "MIT"]
+    assert [rows[k]["unit"] for k in range(5)] == [-5, -321, -9, None, 1]
+    assert rows[0]["dice"] == rows[2]["dice"] == 1.0 and all(rows[k]["n_matches"] == 1 for k in (0, 1, 2, 4))
+    # brute force over all spans of words of one text
+    words = re.findall(r"[^\W_]+(?:\.[0-9]+)*", texts[0].lower())
+    own = set(python_bigrams(TEMPLATES["MIT"]))
+    best = max(2 * len(own & set(g)) / (len(set(g)) + len(own)) for a in range(len(words)) for b in range(a + 2, len(words) + 1) for g in [[" ".join(x) for x in zip(words[a:b], words[a + 1 : b], strict=False)]])
+    assert best == rows[0]["dice"]
