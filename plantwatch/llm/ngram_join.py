@@ -20,20 +20,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.llm.components import connected_components
-from plantwatch.llm.tables import cut_lineage
+from plantwatch.llm.tables import cut_lineage, numbered
 from plantwatch.llm.utf8 import mix64, shingle_sets, slices
 
 #: Set elements that one task compares at once; larger blocks are dealt to tiles.
 TILE_ELEMENTS = 2_000_000
+#: Bytes of text that one task compares at once.
+TILE_BYTES = 16 << 20
+#: Names of sets that a task remembers to leave out repeats; beyond, it starts anew and repeats are merged later.
+REMEMBERED = 1 << 18
 #: Sets below a leaf and nodes below a node of a signature tree.
 FANOUT = 8
 #: Pairs of tree nodes whose children are looked at together.
@@ -46,6 +52,8 @@ DEALS = 6
 PIVOTS = 16
 #: Most bits of the Bloom filter that is broadcast to fetch the sets of blocks (16 MB).
 FILTER_BITS = 1 << 27
+#: Bits of one slice of it.
+SLICE_BITS = 1 << 21
 
 
 class Bands:
@@ -137,11 +145,28 @@ def set_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix64(sums).view(np.int64)
 
 
-def _emit(what: str, size: int, num: int = 0, den: int = 1, wanted: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Naming(NamedTuple):
+    """A set's name is its first digest, or its second one where different sets share the first; `bits` of the first count."""
+
+    bits: int
+    shared: tuple[int, ...] = ()
+
+    def digests(self, sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d1, d2 = set_digests(sets, bounds)
+        return (d1 if self.bits == 64 else d1 & np.int64((1 << self.bits) - 1)), d2
+
+    def names(self, sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        d1, d2 = self.digests(sets, bounds)
+        return np.where(np.isin(d1, np.array(self.shared, np.int64)), d2, d1) if self.shared else d1
+
+
+def _emit(what: str, size: int, naming: Naming, num: int = 0, den: int = 1, wanted: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over texts: digests of every row, or partition keys or texts of the distinct sets of a task.
 
-    A set is named by its first digest, so copies of a text are merged here,
-    before anything is shuffled. `wanted` are the bits of a Bloom filter of names.
+    Copies of a text are merged here, before anything is shuffled, and so are
+    the sets of a slice that share a key: the one with the least name stands
+    for them, and each other one goes on as a row with it as `own` low, under
+    a key of its own. `wanted` are the bits of a Bloom filter of names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,45 +174,79 @@ def _emit(what: str, size: int, num: int = 0, den: int = 1, wanted: Broadcast |
         seen: set[int] = set()
         for batch in slices(batches, "text"):
             sets, bounds = shingle_sets(batch.column("text"), size)
-            d1, d2 = set_digests(sets, bounds)
             n = np.diff(bounds)
             if what == "digests":
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(d1), pa.array(d2)], ["id", "n", "d1", "d2"])
+                d1, d2 = naming.digests(sets, bounds)
+                sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), sizes, pa.array(d1), pa.array(d2)], ["id", "n", "size", "d1", "d2"])
                 continue
+            node = naming.names(sets, bounds)
             new = np.zeros(len(n), bool)
-            ask = n > 0 if wanted is None else (n > 0) & _in_filter(wanted.value, d1)
+            ask = n > 0 if wanted is None else (n > 0) & _in_filter(wanted.value, node)
             for i in np.flatnonzero(ask):
-                name = int(d1[i])
+                name = int(node[i])
                 if name not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(name)
                     new[i] = True
             if what == "keys":
                 doc, key, band = partition_keys(sets, bounds, bands, new)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d1[doc]), pa.array(band.astype(np.int16))], ["key", "node", "band"])
+                key, low = _merge_keys(key, node[doc])
+                alone = low == node[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[doc]), pa.array(band.astype(np.int16)), pa.array(low, mask=alone)], ["key", "node", "band", "own"])
             else:
                 some = pa.array(np.flatnonzero(new))
-                yield pa.RecordBatch.from_arrays([pa.array(d1).take(some), batch.column("text").take(some)], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(node).take(some), batch.column("text").take(some)], ["node", "text"])
+
+    return run
+
+
+def _merge_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, low) of rows: low is the least node of the rows with the same key; other rows than that one get a key of their own."""
+    order = np.lexsort((node, key))
+    first = np.ones(len(order), bool)
+    first[1:] = key[order[1:]] != key[order[:-1]]
+    at = np.flatnonzero(first)
+    low = np.empty(len(order), np.int64)
+    low[order] = np.repeat(node[order[at]], np.diff(np.append(at, len(order))))
+    return np.where(low == node, key, mix64(key ^ mix64(node.view(np.uint64)))), low
+
+
+def _filter_slices(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (slice, bit): the bytes of each slice of a Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = (batch.column(c).to_numpy() for c in ("slice", "bit"))
+            for k in np.unique(part):
+                flags.setdefault(int(k), np.zeros(min(bits, SLICE_BITS), bool))[bit[part == k] % SLICE_BITS] = True
+        if flags:
+            yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in flags.values()], pa.binary())], ["slice", "bytes"])
 
     return run
 
 
 def _name_filter(names: DataFrame) -> bytes:
-    """Bits of a Bloom filter of the column `node`: 16 bits a name, at most FILTER_BITS, whatever the number of names."""
+    """Bits of a Bloom filter of the column `node`: 16 bits a name, at most FILTER_BITS, whatever the number of names; made in slices by tasks."""
     bits = 1 << 16
     while bits < min(FILTER_BITS, 16 * names.count()):
         bits *= 2
     at = names.select(F.explode(F.array(F.pmod("node", F.lit(bits)), F.pmod(F.shiftright("node", 32), F.lit(bits)))).alias("bit"))
-    words = at.groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask")).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.uint32)
+    at = at.select(F.expr(f"bit div {SLICE_BITS}").alias("slice"), "bit").repartition(-(-bits // SLICE_BITS), "slice")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in at.mapInArrow(_filter_slices(bits), "slice long, bytes binary").toLocalIterator():  # FILTER_BITS at most
+        own = np.frombuffer(row["bytes"], np.uint8)
+        out[row["slice"] * SLICE_BITS // 8 :][: len(own)] = own
     return out.tobytes()
 
 
 def _in_filter(raw: bytes, names: np.ndarray) -> np.ndarray:
-    words = np.frombuffer(raw, np.uint32)
+    own = np.frombuffer(raw, np.uint8)
     found = np.ones(len(names), bool)
-    for bit in (names % (32 * len(words)), (names >> 32) % (32 * len(words))):
-        found &= (words[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1
+    for bit in (names % (8 * len(own)), (names >> 32) % (8 * len(own))):
+        found &= (own[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
     return found
 
 
@@ -330,8 +389,10 @@ def _link_unit(words: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.Da
         rows = rows.sort_values(["side", "node"], ignore_index=True).drop_duplicates("node", ignore_index=True)
         names = rows["node"].to_numpy(np.int64)
         place = {int(x): i for i, x in enumerate(names)}
-        elements, bounds = shingle_sets(pa.array(rows["text"], pa.string()), words)
-        sets = [elements[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        sets = []
+        for part in slices([pa.RecordBatch.from_pandas(rows[["text"]], pa.schema([("text", pa.large_string())]), preserve_index=False)], "text"):
+            elements, bounds = shingle_sets(part.column("text"), words)
+            sets += [elements[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         hints = np.array([-1 if pd.isna(x) else place.get(int(x), -1) for x in rows["hint"]], np.int64)
         side = rows["side"].to_numpy(np.int64)
         pairs = link_sets(sets, num, den, rows["known"].to_numpy(np.int64), hints, side if side.any() else None)
@@ -343,15 +404,17 @@ def _link_unit(words: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.Da
 _UNIT = ["unit", "tile", "other", "node", "hint", "known", "side"]
 
 
-def _link(units: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _link(units: DataFrame, texts: DataFrame, words: int, naming: Naming, num: int, den: int) -> DataFrame:
     """Links within each unit; only the texts of the units' sets are fetched, each to its units."""
     wanted = texts.sparkSession.sparkContext.broadcast(_name_filter(units.select("node").distinct()))
-    held = texts.mapInArrow(_emit("texts", words, wanted=wanted), "node long, text string")
+    held = texts.mapInArrow(_emit("texts", words, naming, wanted=wanted), "node long, text string")
     rows = units.select(_UNIT).join(held, "node")
-    return rows.groupBy("unit", "tile", "other").applyInPandas(_link_unit(words, num, den), "u long, v long")
+    links = cut_lineage(rows.groupBy("unit", "tile", "other").applyInPandas(_link_unit(words, num, den), "u long, v long"))
+    wanted.destroy()
+    return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, tile_elements: int = TILE_ELEMENTS, tile_bytes: int = TILE_BYTES, name_bits: int = 64) -> DataFrame:
     """(id, n_shingles, class_id, component_id): one row for each row of `docs`.
 
     Two documents link when den * |A and B| >= num * |A or B| for their sets
@@ -362,24 +425,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null, has none and links with nothing. Rows that repeat an id are documents
     of their own with one id; a row with a null id is a document too, and where
     no id is reachable the component is null. Other columns are ignored. Ids
-    are whole numbers. An empty table gives no rows. The job fails if two
-    different sets have one 64-bit digest.
+    are whole numbers. An empty table gives no rows.
+
+    Sets are told apart by 128 bits. `name_bits` of the first 64 are their
+    names in the tables between; the few sets that share those are named by the
+    other 64. By the birthday bound some n * n / 2**65 names are shared, so the
+    list of them is short.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     texts = own.select("text")
-    rows = cut_lineage(own.mapInArrow(_emit("digests", words), "id long, n long, d1 long, d2 long"))
-    nodes = cut_lineage(rows.where("n > 0").groupBy("d1").agg(F.min("n").alias("n"), F.max("n").alias("n2"), F.min("d2").alias("d2"), F.max("d2").alias("d3"), F.min("id").alias("class_id")))
-    if not nodes.where("n <> n2 or d2 <> d3").isEmpty():
-        raise RuntimeError("two different sets have one digest")
-    nodes = nodes.select(F.col("d1").alias("node"), "n", "class_id")
-
-    keys = texts.mapInArrow(_emit("keys", words, num, den), "key long, node long, band short")
-    low = F.min("node").over(Window.partitionBy("key"))
+    naming = Naming(name_bits)
+    rows = cut_lineage(own.mapInArrow(_emit("digests", words, naming), "id long, n long, size long, d1 long, d2 long"))
+    nodes = cut_lineage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("n").alias("n"), F.min("id").alias("class_id"), F.max("size").alias("size")))
+    name = F.col("d1")
+    shared = tuple(sorted(r["d1"] for r in nodes.groupBy("d1").count().where("count > 1").select("d1").toLocalIterator()))
+    if shared:
+        naming = Naming(name_bits, shared)
+        name = F.when(F.col("d1").isin(list(shared)), F.col("d2")).otherwise(F.col("d1"))
+    nodes, rows = (df.withColumn("node", name).drop("d1", "d2") for df in (nodes, rows))
+    if shared and not nodes.groupBy("node").count().where("count > 1").isEmpty():
+        raise RuntimeError("a second digest is the name of another set")
+
+    keys = texts.mapInArrow(_emit("keys", words, naming, num, den), "key long, node long, band short, own long")
+    low = F.coalesce("own", F.min("node").over(Window.partitionBy("key")))
     stars = cut_lineage(keys.withColumn("low", low).where("node > low").groupBy("band", "low", "node").agg(F.count("*").alias("shared")))
-    links = _block_links(texts, nodes, stars, words, num, den, tile_elements)
+    links = _block_links(texts, nodes, stars, words, naming, num, den, tile_elements, tile_bytes)
     linked = connected_components(links)
 
-    named = rows.where("n > 0").withColumnRenamed("d1", "node").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    named = rows.where("n > 0").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
     named = cut_lineage(named.select("id", "n", "node", "group"))
     least = cut_lineage(named.groupBy("group").agg(F.min("id").alias("component_id")))
     named = named.join(least, "group").join(nodes.select("node", "class_id"), "node").select("id", F.col("n").alias("n_shingles"), "class_id", "component_id")
@@ -387,26 +460,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.union(alone)
 
 
-_UNIT = ["unit", "tile", "other", "node", "hint", "known", "side"]
-
-
-def _block_links(texts: DataFrame, nodes: DataFrame, stars: DataFrame, words: int, num: int, den: int, tile_elements: int) -> DataFrame:
+def _block_links(texts: DataFrame, nodes: DataFrame, stars: DataFrame, words: int, naming: Naming, num: int, den: int, tile_elements: int, tile_bytes: int) -> DataFrame:
     """(u, v) links between nodes that connect all that the links of the blocks connect."""
     name = lambda node: F.xxhash64("band", node)  # noqa: E731  two names that collide only make one block of two
     blocks = connected_components(stars.select(name("node").alias("u"), name("low").alias("v"))).select(F.col("node").alias("name"), F.col("component").alias("unit"))
     members = stars.groupBy("band", "node").agg(F.max_by("low", F.struct("shared", -F.col("low"))).alias("hint"))
     members = members.unionByName(stars.select("band", F.col("low").alias("node")).distinct(), allowMissingColumns=True).groupBy("band", "node").agg(F.max("hint").alias("hint"))
-    active = members.withColumn("name", name("node")).join(blocks, "name").join(nodes.select("node", "n"), "node")
-    active = cut_lineage(active.groupBy("unit", "node", "n").agg(F.max("hint").alias("hint")))
-    weight = active.groupBy("unit").agg(F.ceil(F.sum("n") / tile_elements).cast("int").alias("tiles"), F.count("*").alias("members"))
+    active = members.withColumn("name", name("node")).join(blocks, "name").join(nodes.select("node", "n", "size"), "node")
+    active = cut_lineage(active.groupBy("unit", "node", "n", "size").agg(F.max("hint").alias("hint")))
+    tiles = F.greatest(F.ceil(F.sum("n") / tile_elements), F.ceil(F.sum("size") / tile_bytes)).cast("int")
+    weight = active.groupBy("unit").agg(tiles.alias("tiles"), F.count("*").alias("members"))
     active = cut_lineage(active.join(weight, "unit"))
     units = active.select("unit", F.lit(0).alias("tile"), F.lit(0).alias("other"), "node", "hint", F.col("node").alias("known"), F.lit(0).alias("side"), "tiles", "members")
-    links = _link(units.where("tiles = 1"), texts, words, num, den)
+    links = _link(units.where("tiles = 1"), texts, words, naming, num, den)
     large = cut_lineage(units.where("tiles > 1"))
-    return cut_lineage(links if large.isEmpty() else links.union(_large_block_links(large, texts, words, num, den)))
+    return links if large.isEmpty() else links.union(_large_block_links(large, texts, words, naming, num, den))
 
 
-def _large_block_links(large: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _large_block_links(large: DataFrame, texts: DataFrame, words: int, naming: Naming, num: int, den: int) -> DataFrame:
     """Links of blocks of several tiles: within each tile and with the pivots, then of what isn't in a block's largest component with all tiles."""
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     every_tile = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -414,7 +485,7 @@ def _large_block_links(large: DataFrame, texts: DataFrame, words: int, num: int,
     rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("uses"), "hint"))
     pivots = uses.withColumn("k", rank).where(f"k <= {PIVOTS}").select("unit", F.col("hint").alias("node"))
     everywhere = large.join(pivots, ["unit", "node"], "left_semi").withColumn("tile", every_tile)
-    first = cut_lineage(_link(large.withColumn("tile", tile).unionByName(everywhere), texts, words, num, den))
+    first = _link(large.withColumn("tile", tile).unionByName(everywhere), texts, words, naming, num, den)
     known = large.drop("known").join(connected_components(first), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
     biggest = known.groupBy("unit", "known").agg(F.count("*").alias("c")).groupBy("unit").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
     known = cut_lineage(known.join(biggest, "unit"))
@@ -424,11 +495,23 @@ def _large_block_links(large: DataFrame, texts: DataFrame, words: int, num: int,
     ask = rows.where("known <> main").withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int")).withColumn("tile", every_tile)
     told = rows.withColumn("tile", tile).withColumn("side", F.lit(1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     pairs = cut_lineage(ask.select(_UNIT).unionByName(told.select(_UNIT)))
-    return first if pairs.isEmpty() else first.union(_link(pairs, texts, words, num, den))
+    return first if pairs.isEmpty() else first.union(_link(pairs, texts, words, naming, num, den))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with all its columns; documents without words or id stay."""
-    verdict = near_duplicates(docs, doc_id, text, words, num, den)
-    drop = verdict.where("component_id < id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(drop, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    """One document of each group of near copies, the one with the smallest id, with all its columns; documents without words stay.
+
+    Of rows that repeat the smallest id one stays; a null id comes after all
+    others. Columns may have any names.
+    """
+    verdict = near_duplicates(docs, doc_id, text, words, num, den).select("id", "component_id")
+    verdict = cut_lineage(verdict)
+    if not verdict.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        rows = numbered(docs)
+        verdict = near_duplicates(rows.select("k", F.col(f"row.`{text}`").alias("text")), "k", "text", words, num, den).select(F.col("id").alias("k"), "component_id")
+        place = F.struct(F.col(f"row.`{doc_id}`").isNull().alias("last"), F.col(f"row.`{doc_id}`").alias("id"), "k")
+        placed = cut_lineage(verdict.join(rows.select("k", place.alias("place")), "k"))
+        stays = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.k").alias("k"))
+        return rows.join(stays, "k", "left_semi").select("row.*")
+    drop = verdict.where("component_id < id").select("id")
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id")).join(drop, "id", "left_anti").select("row.*")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,22 +14,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder of the cluster.
+def _shared_folder(spark: SparkSession, kind: str) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine, where it is unset, a new temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix=f"spark-{kind}-")
+    return base.rstrip("/")
+
 
-    spark.checkpoint.dir is read from the session. Where it is unset, as in
-    tests on one machine, a new temporary folder is used.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared checkpoint folder of the cluster."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(_shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to a new folder in the shared checkpoint folder and read again."""
-    session = df.sparkSession
-    base = session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stored-")
-    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows, written as Parquet to a new folder in the shared folder and read again, and that folder."""
+    path = f"{_shared_folder(df.sparkSession, 'stored')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return session.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes away a folder of stored()."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(k, row): every row of `docs` as a struct, with a number of its own that stays."""
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("k"), F.struct("*").alias("row")))

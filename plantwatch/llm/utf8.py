@@ -37,7 +37,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes that are hashed at once; the tables of powers are as long, whatever the texts.
+_HASH_BYTES = 1 << 17
+_UP, _DOWN = (np.multiply.accumulate(np.append(np.uint64(1), np.full(_HASH_BYTES, base, np.uint64))) for base in (_BASE, _inverse(_BASE)))
 
 LOWER_AZ = np.arange(256, dtype=np.uint8)
 LOWER_AZ[65:91] += 32
@@ -46,23 +48,36 @@ IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse; kept and grown."""
-    if len(_POWERS["up"]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        for name, base in (("up", _BASE), ("down", _inverse(_BASE))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def _long_hash(data: np.ndarray, start: int, end: int) -> int:
+    """The running sum of one span that is longer than the tables of powers."""
+    total = 0
+    for at in range(start, end, _HASH_BYTES):
+        own = _BYTE_CODES[data[at : min(end, at + _HASH_BYTES)]]
+        total += int((own * _UP[: len(own)]).sum()) * pow(_BASE, at - start, 1 << 64)
+    return total & 0xFFFFFFFFFFFFFFFF
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for every span, by one running sum."""
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of data[start:end] for every span, by running sums over stretches of _HASH_BYTES.
+
+    Spans are in order and don't overlap. Besides the result, memory doesn't
+    grow with the bytes; a span longer than a stretch is summed in parts.
+    """
+    out, at = np.zeros(len(starts), np.uint64), 0
+    total = np.zeros(_HASH_BYTES + 1, np.uint64)
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + _HASH_BYTES, side="right"))
+        if to <= at:
+            out[at] = _long_hash(data, base, int(ends[at]))
+            at += 1
+            continue
+        own = _BYTE_CODES[data[base : int(ends[to - 1])]]
+        np.cumsum(own * _UP[: len(own)], out=total[1 : len(own) + 1])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = (total[b] - total[a]) * _DOWN[a]
+        at = to
+    return mix64(out + (ends - starts).astype(np.uint64))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
