@@ -26,7 +26,7 @@ from plantwatch.llm.ngram_join import drop_near_copies
 from plantwatch.llm.packing import pack
 from plantwatch.llm.queries import vocabulary
 from plantwatch.llm.secrets import redact_secrets
-from plantwatch.llm.tables import read_table, stored
+from plantwatch.llm.tables import read_table, removed, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that all stages keep."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            removed(spark, before)  # the next stage has all its rows
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
