@@ -31,6 +31,8 @@ from plantwatch.llm.word_bpe import encoder
 WINDOW, GRAIN = 4096, 64
 #: Sources with queues of their own besides those with targets, the largest ones, and queues that the others are dealt to by hash.
 OWN_QUEUES, SHARED_QUEUES = 192, 64
+#: Most places of queues in partitions, rows of a few numbers, that are sent to all tasks; beyond, the tokens are shuffled to them.
+BROADCAST_ROWS = 200_000
 
 
 def exact_share(n: np.ndarray, left: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -149,16 +151,20 @@ class Schedule:
 def _tokens(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = end_id.to_bytes(enc.width, "little")
         had: dict[str, int] = {}
-        for batch in slices(batches, "text", 4 << 20):
-            ids = [x + end for x in enc.encode_all(batch.column("text").to_pylist())]
-            sizes = [len(x) // enc.width for x in ids]
-            starts = []
-            for s, n in zip(batch.column("queue").to_pylist(), sizes, strict=True):
+        for batch in slices(batches, "text"):
+            flat, offs = enc.encode(batch.column("text"))
+            offs = offs + np.arange(len(offs))
+            ids = np.full(offs[-1], end_id, enc.code)
+            inner = np.ones(len(ids), bool)
+            inner[offs[1:] - 1] = False
+            ids[inner] = flat
+            sizes, starts = np.diff(offs), []
+            for s, n in zip(batch.column("queue").to_pylist(), sizes.tolist(), strict=True):
                 starts.append(had.get(s, 0))
                 had[s] = starts[-1] + n
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("queue"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(starts, pa.int64())], ["id", "queue", "ids", "n", "start"])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer((offs * enc.width).astype(np.int64)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("queue"), raw.cast(pa.binary()), pa.array(sizes), pa.array(starts, pa.int64())], ["id", "queue", "ids", "n", "start"])
 
     return run
 
@@ -227,7 +233,7 @@ def _shared(batch: pa.RecordBatch, grain: int, doc: np.ndarray, token: np.ndarra
     return doc[at], start[at] + skip, np.where(second, size[at] - room[at], np.minimum(size, room)[at]), token[at] + skip
 
 
-def _pieces(schedule: Schedule, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(schedule: Schedule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = schedule.grain
         for batch in slices(batches, "ids", 4 << 20):
@@ -256,7 +262,7 @@ def _pieces(schedule: Schedule, width: int) -> Callable[[Iterator[pa.RecordBatch
             first = np.flatnonzero(new)
             size = np.add.reduceat(size, first) if len(first) else size
             doc, start, seq, off = doc[first], start[first], seq[first], off[first]
-            raw = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in batch.column("ids").to_pylist()]
+            raw = [np.frombuffer(x, f"<u{len(x) // m}").astype("<u4") for x, m in zip(batch.column("ids").to_pylist(), n, strict=True)]
             crc = [zlib.crc32(raw[d][s : s + m]) for d, s, m in zip(doc, start, size, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), *map(pa.array, (start, size, np.array(crc, np.int64), n[doc], seq, off))], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -304,5 +310,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, doc_id: str = "doc_i
     if any(x.startswith("#") for x in names):
         inner = totals.withColumn("lane", lane).where("lane like '#%'").groupBy("lane").applyInPandas(_paths(grain), "queue string, grains long, rest_at long, whole array<long>, side array<long>")
         parts, nested = parts.join(inner, "queue", "left"), ["grains", "rest_at", "whole", "side"]
+    if not nested and parts.count() <= BROADCAST_ROWS:  # then the tokens stay where they are
+        parts = F.broadcast(parts)
     placed = tokens.join(parts, ["part", "queue"]).select("id", "ids", "n", "k", (F.col("before") + F.col("start")).alias("first"), *nested)
-    return placed.mapInArrow(_pieces(schedule, encoder(vocabulary).width), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(_pieces(schedule), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
