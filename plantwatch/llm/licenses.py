@@ -2,8 +2,13 @@
 
 Units are the whole text and each of its lines. A unit and a template with a
 and b distinct bigrams share min(a, b) at most, so only sizes with
-2 * min(a, b) / (a + b) >= threshold are compared: units of other sizes are
-dropped by their word count before any bigram is made.
+2 * min(a, b) / (a + b) >= threshold are compared. A unit needs one word more
+than it has bigrams, so short units go before any bigram is made; long ones go
+by the number of their distinct bigrams, as words may repeat.
+
+What reaches the threshold with a template has a certain number of its
+bigrams, and the whole text has them too. A text that hasn't so many of any
+template goes before its lines are looked at.
 
 A notice within a line or over several is found in the spans of bigrams of the
 whole text. The best span starts and ends with a bigram of its template and
@@ -12,21 +17,16 @@ has as many as the threshold asks for, so only such spans are compared.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed texts: notices and statements of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-}
+from plantwatch.llm.licence_texts import TEMPLATES
+
+#: Slots of the table that tells by a bigram's checksum which templates may hold it.
+SLOTS = 1 << 15
 THRESHOLD = 0.8
 
 
@@ -36,8 +36,6 @@ def _words(text: Column) -> Column:
 
 
 def _python_words(text: str) -> list[str]:
-    import re
-
     return re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
 
 
@@ -61,23 +59,36 @@ def _sizes(n: int, threshold: float) -> tuple[int, int]:
     return max(1, int(-(-threshold * n // (2 - threshold)))), int((2 - threshold) * n / threshold)
 
 
-def _anchors(text: str, threshold: float) -> list[str]:
-    """Longest words of a template, one of which is in whatever reaches the threshold: fewer bigrams than it needs are without them."""
-    left, out = python_bigrams(text), []
-    least = _sizes(len(left), threshold)[0]
-    for w in sorted(set(_python_words(text)), key=lambda w: (-len(w), w)):
-        if len(left) < least:
-            break
-        out.append(w)
-        left = [g for g in left if w not in g.split(" ")]
-    return out
+def _marks(pairs: Column, grams: dict[str, list[str]]) -> Column:
+    """Of each bigram the bits of the templates that may hold it, by its checksum."""
+    table = [0] * SLOTS
+    for k, name in enumerate(sorted(grams)):
+        for g in grams[name]:
+            table[zlib.crc32(g.encode()) % SLOTS] |= 1 << k
+    bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # one constant of the plan
+    return F.transform(pairs, lambda x: F.element_at(bits, (F.crc32(x.cast("binary")) % SLOTS + 1).cast("int")))
+
+
+def _places(marks: Column, pairs: Column) -> Column:
+    """(at, pair, bits) of the bigrams that some template may hold, at from 1."""
+    return F.filter(F.transform(marks, lambda b, i: F.when(b != 0, F.struct((i + 1).alias("at"), F.get(pairs, i).alias("pair"), b.alias("bits")))), lambda x: x.isNotNull())
+
+
+def _enough(marks: Column, grams: dict[str, list[str]], threshold: float) -> Column:
+    """Whether some template may have as many of its bigrams among those marked as the threshold asks for."""
+    some = F.lit(False)
+    for k, name in enumerate(sorted(grams)):
+        bit = F.lit(1 << k)
+        own = F.size(F.filter(marks, lambda x: x["bits"].bitwiseAND(bit) != 0))  # noqa: B023
+        some = some | (own >= _sizes(len(grams[name]), threshold)[0])
+    return some
 
 
-def _span(pairs: Column, name: str, gram: list[str], threshold: float) -> Column:
+def _span(pairs: Column, marks: Column, bit: int, name: str, gram: list[str], threshold: float) -> Column:
     """The best span of `pairs` for a template that reaches the threshold, or null."""
     least, most = _sizes(len(gram), threshold)
     own = F.array(*map(F.lit, gram))
-    at = F.filter(F.transform(pairs, lambda x, i: F.when(F.array_contains(own, x), i + 1)), lambda i: i.isNotNull())
+    at = F.transform(F.filter(marks, lambda x: (x["bits"].bitwiseAND(F.lit(1 << bit)) != 0) & F.array_contains(own, x["pair"])), lambda x: x["at"])
 
     def spans(at: Column) -> Column:
         starts = F.filter(at, lambda p, k: F.get(at, k + (least - 1)) - p < most)
@@ -86,7 +97,7 @@ def _span(pairs: Column, name: str, gram: list[str], threshold: float) -> Column
     def one(p: Column, q: Column) -> Column:
         span = F.slice(pairs, p, q - p + 1)
         d = 2.0 * F.size(F.array_intersect(span, own)) / (F.size(F.array_distinct(span)) + len(gram))
-        return F.struct((-d).alias("less"), F.lit(name).alias("license"), (-p).alias("unit"), d.alias("dice"))
+        return F.struct((-d).alias("less"), F.lit(name).alias("license"), (-p).cast("int").alias("unit"), d.alias("dice"))
 
     each = F.flatten(F.transform(F.array(at), spans))
     return F.array_min(F.filter(each, lambda s: s["dice"] >= threshold))
@@ -103,28 +114,32 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     the text counts, with up to as many bigrams as the threshold leaves; its
     unit is -p, p the number from 1 of its first word.
     Null and empty texts match nothing; rows that repeat an id give rows of
-    their own. Templates need two words; their number is small, as each is a
-    literal of the plan.
+    their own; an empty table gives no rows. Templates need two words; there
+    are 63 at most, as each is a literal of the plan.
     """
     templates = TEMPLATES if templates is None else templates
+    if len(templates) > 63:
+        raise ValueError("at most 63 templates")
     grams = {name: python_bigrams(t) for name, t in templates.items()}
-    sizes = {name: len(g) for name, g in grams.items()}
-    low = min(int(-(-threshold * n // (2 - threshold))) for n in sizes.values())
-    high = max(int((2 - threshold) * n / threshold) for n in sizes.values())
-    value = F.coalesce(F.col(text), F.lit(""))
-    units = F.concat(F.array(value), F.split(value, "\n", -1))
-    # a unit with g distinct bigrams has g + 1 words at least; a very long one is left out only if its distinct bigrams are too many
-    unit = F.filter(F.transform(units, lambda u, k: F.struct(k.alias("unit"), _bigrams(F.when(F.length(u) < 2 * low + 1, F.expr("cast(array() as array<string>)")).otherwise(_words(u))).alias("grams"))), lambda x: F.size(x["grams"]).between(low, high))
-    anchors = sorted({w for t in templates.values() for w in _anchors(t, threshold)})
-    lower = F.lower(value)
-    near = F.lit(False)
-    for w in anchors:
-        near = near | lower.contains(w)
-    pairs = F.when(near, _all_bigrams(_words(value))).otherwise(F.expr("cast(array() as array<string>)"))
-    rows = docs.select(F.col(doc_id).alias("id"), unit.alias("units"), pairs.alias("pairs"))
+    low = min(_sizes(len(g), threshold)[0] for g in grams.values())
+    high = max(_sizes(len(g), threshold)[1] for g in grams.values())
+    nothing = F.expr("cast(array() as array<string>)")
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("value"))
+    rows = rows.select("id", "value", _words(F.col("value")).alias("words"))
+    rows = rows.select("id", "value", "words", _all_bigrams(F.col("words")).alias("pairs"))
+    rows = rows.select("id", "value", "words", "pairs", _marks(F.col("pairs"), grams).alias("bits"))
+    rows = rows.select("id", "value", "words", "pairs", _places(F.col("bits"), F.col("pairs")).alias("marks"))
+    rows = rows.select("id", "value", "words", "pairs", "marks", _enough(F.col("marks"), grams, threshold).alias("near"))
+    lines = F.transform(F.split("value", "\n", -1), lambda u, k: F.struct((k + 1).alias("unit"), F.when(F.length(u) < 2 * low + 1, nothing).otherwise(_words(u)).alias("words")))
+    units = F.concat(F.array(F.struct(F.lit(0).alias("unit"), F.col("words").alias("words"))), lines)
+    no_units = F.expr("cast(array() as array<struct<unit:int,words:array<string>>>)")
+    rows = rows.select("id", "near", "pairs", "marks", F.when(F.col("near"), F.filter(units, lambda x: F.size(x["words"]) > low)).otherwise(no_units).alias("units"))
+    bigrams = F.transform("units", lambda x: F.struct(x["unit"].alias("unit"), _bigrams(x["words"]).alias("grams")))
+    rows = rows.select("id", "near", "pairs", "marks", F.filter(bigrams, lambda x: F.size(x["grams"]).between(low, high)).alias("units"))
     per_unit = F.transform("units", lambda u: F.filter(F.array(*(F.struct((-d).alias("less"), F.lit(n).alias("license"), u["unit"].alias("unit"), d.alias("dice")) for n, d in _dice(u["grams"], grams, threshold))), lambda s: s["dice"] >= threshold))
-    hits = rows.select("id", "pairs", F.flatten(per_unit).alias("hits"))
-    spans = [F.when(~F.array_contains(F.transform("hits", lambda s: s["license"]), n), _span(F.col("pairs"), n, grams[n], threshold)) for n in sorted(grams)]
+    hits = rows.select("id", "near", "pairs", "marks", F.flatten(per_unit).alias("hits"))
+    hits = hits.select("id", "near", "pairs", "marks", "hits", F.transform("hits", lambda s: s["license"]).alias("known"))
+    spans = [F.when(F.col("near") & ~F.array_contains("known", n), _span(F.col("pairs"), F.col("marks"), k, n, grams[n], threshold)) for k, n in enumerate(sorted(grams))]
     hits = hits.select("id", F.array_sort(F.concat("hits", F.filter(F.array(*spans), lambda s: s.isNotNull()))).alias("hits"))
     top = F.get("hits", F.lit(0))
     return hits.select("id", top["license"].alias("license"), top["dice"].alias("dice"), top["unit"].alias("unit"), F.size("hits").cast("long").alias("n_matches"))
