@@ -99,19 +99,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
         firsts = np.searchsorted(doc, np.arange(batch.num_rows))
         rows = [(word[a:b].tobytes(), (sentence[a:b] - k).astype(np.int32).tobytes()) for a, b, k in zip(cut, cut[1:], firsts, strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["toxic", "word", "sentence"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["id", "toxic", "word", "sentence"])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_DOCS) -> Model:
-    """A model from at most `most` rows of `labels` that aren't held out, and the documents they name.
-
-    Held out are ids whose crc32, as text, is divisible by 5. Rows with a null
-    id or label aren't used. Without labelled documents the model scores low.
-    """
-    chosen = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "toxic").limit(most)
-    bagged = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(_features, "toxic int, word binary, sentence binary")
-    rows = sorted(((r["toxic"], bytes(r["word"]), bytes(r["sentence"])) for r in bagged.toLocalIterator()), key=lambda r: r)
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model of the given bags; the order in which they come doesn't matter."""
+    rows = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("toxic", "word", "sentence")), strict=True)))
     word, sentence, doc, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for k, (_, b, s) in enumerate(rows):
         own = np.frombuffer(s, np.int32)
@@ -120,7 +113,28 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         sentence.append(own.astype(np.int64) + n)
         doc.append(np.full(size, k))
         n += size
-    return fit(np.concatenate(word), np.concatenate(sentence), np.concatenate(doc), np.array([t for t, _, _ in rows], np.int64))
+    toxic = np.array([t for t, _, _ in rows], np.int64)
+    model = fit(np.concatenate(word), np.concatenate(sentence), np.concatenate(doc), toxic)
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in model[:2]] + [pa.array([model.bias])], ["words", "weights", "bias"])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_DOCS) -> Model:
+    """A model from at most `most` labelled documents that aren't held out; one task fits it.
+
+    Held out are ids whose crc32, as text, is divisible by 5. Rows with a null
+    id or label aren't used; of labels that repeat an id the largest counts,
+    and of documents that do one. Without labelled documents the model scores low.
+    """
+    chosen = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most `most` rows of two numbers
+    kind = own.schema["id"].dataType.simpleString()
+    bagged = own.select("id", "toxic", "text").mapInArrow(_features, f"id {kind}, toxic int, word binary, sentence binary")
+    one = bagged.groupBy("id").agg(F.max(F.struct("toxic", "word", "sentence")).alias("b")).select("b.*")
+    row = one.repartition(1).mapInArrow(_fitted, "words binary, weights binary, bias double").first()  # at most `most` documents in that task
+    if row is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0)
+    return Model(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["weights"]), row["bias"])
 
 
 def held_out(doc_id: str):
