@@ -15,23 +15,31 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.utf8 import slices
+from plantwatch.llm.utf8 import LOWER_AZ, slices, span_hashes, text_bytes, words
 
-#: Most pages whose texts the labeller is fitted with: those with the smallest hashes of their ids.
-TRAIN_PAGES = 160
+#: Most pages whose texts the labeller is fitted with: those with the smallest hashes of their ids, of the pages up to so many characters.
+TRAIN_PAGES, TRAIN_PAGE_CHARS = 160, 1 << 16
 #: Layouts that are made of the texts of these pages.
-TRAIN_LAYOUTS = 1500
+TRAIN_LAYOUTS = 4500
 #: Share of blocks whose words are hidden while fitting, so that paths and neighbours decide where words are new.
 HIDDEN_WORDS = 0.8
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, COUNTS, HIDDEN = 2048, 4096, 20, 8, 8, 20
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+#: Steps of a page whose inputs are made together.
+STEPS_AT_ONCE = 2048
+
+#: A tag without quotes; the start of any tag; what may end one.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)([^>"']*)>""")
+_TAG_START = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_TAG_STOP = re.compile(r"""[>"']""")
+#: Elements that are open at once; deeper ones count as their parents' content, as browsers have it.
+MOST_OPEN = 512
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements that run inside a block.
@@ -48,34 +56,87 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 _SPACE = re.compile(r"\s+")
 
 
+class _Tokens:
+    """The markup of a page from left to right; each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`: at the first ">" outside of quotes, or at any if quotes aren't closed."""
+        first = at
+        while self.quotes:
+            m = _TAG_STOP.search(self.page, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.quotes = False  # some quote isn't closed: from here on quotes are plain characters
+        return self.page.find(">", first)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str, str]:
+        """(start, end, tag, whether it's an end tag, attributes, text) of the next piece of markup; no tag for a comment and the like, text for what is to be read as text."""
+        page, n = self.page, len(self.page)
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return n, n, "", False, "", ""
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, (n if end < 0 else end + 3), "", False, "", ""
+            if page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                return start, (n if end < 0 else end + 3), "", False, "", page[start + 9 : n if end < 0 else end]
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                return start, (n if end < 0 else end + 1), "", False, "", ""
+            if start < self.last:
+                m = _TAG.match(page, start)
+                if m:
+                    return start, m.end(), m[2].lower(), bool(m[1]), m[3], ""
+                m = _TAG_START.match(page, start)
+                if m:
+                    end = self._end(m.end())
+                    return start, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end], ""
+            at = start + 1
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of the leaf blocks in page order.
 
     The path has the words of all open block elements, outermost first, each
     element's tag as "<tag>". Markup that isn't well formed never fails: an end
     tag without its start is skipped, what is left open ends with the page.
+    Time grows in proportion to the page.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked = raw_depth = in_link = 0
+    linked = raw_depth = in_link = beyond = 0
+    path: tuple[str, ...] | None = None
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if text:
             # the reference is decoded once, here, so that text pieces join first
             words = _SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if words:
-                out.append((tuple(w for _, own in stack for w in own), words, linked))
+                if path is None:
+                    path = tuple(dict.fromkeys(w for _, own in stack for w in own))
+                out.append((path, words, linked))
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal raw_depth, in_link
+        nonlocal raw_depth, in_link, path
         for tag, _ in stack[k:]:
             raw_depth -= tag in RAW
             in_link -= tag == "a"
         del stack[k:]
+        path = None
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -85,25 +146,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if in_link:
                 linked += len(piece)
 
-    at, n = 0, len(page)
+    tokens, at, n = _Tokens(page), 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end_at, tag, end, attributes, plain = tokens.next(at)
+        add(page[at:start])
+        at = end_at
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+            if plain:
+                add(html.escape(plain, quote=False))
             continue
-        tag, end, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if end:
             if tag == "br" and not raw_depth:
                 text.append(" ")
             if tag not in INLINE:
                 flush()
+            if beyond and tag not in RAW:
+                beyond -= 1
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
@@ -143,8 +202,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             e = _ENDS[tag].search(page, at)
             at = e.end() if e else n
             continue
+        if len(stack) >= MOST_OPEN and tag not in RAW:
+            beyond += 1
+            continue
         names = [p.lower() for a in _NAMES.findall(attributes) for p in _PARTS.findall(next(filter(None, a), "")) if not p.isdigit()] if attributes else []
         stack.append((tag, (f"<{tag}>", *names) if tag not in INLINE else tuple(names)))
+        path = None
         raw_depth += tag in RAW
         in_link += tag == "a"
     flush()
@@ -172,21 +235,29 @@ class _Hashed(dict):
         return b
 
 
-_PATHS, _WORDS = _Hashed(PATH_BUCKETS), _Hashed(WORD_BUCKETS)
-#: Words of a block that its vector is averaged over; they do not bound the text.
-_READ_WORDS = 40
+_PATHS = _Hashed(PATH_BUCKETS)
+
+
+class Words(NamedTuple):
+    """Buckets of the words of all blocks of a page, end to end, and the number of words of each block."""
 
+    buckets: np.ndarray
+    sizes: np.ndarray
 
-def features(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Path buckets, word buckets and counts of each block."""
+
+def features(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[list[list[int]], Words, np.ndarray]:
+    """Path buckets, word buckets and counts of each block; all words are read."""
     n = len(page_blocks)
-    paths = [[_PATHS[w] for w in dict.fromkeys(p)] for p, _, _ in page_blocks]
-    words = [[_WORDS[w] for w in t[:400].lower().split()[:_READ_WORDS]] for _, t, _ in page_blocks]
+    paths = [[_PATHS[w] for w in p] for p, _, _ in page_blocks]
+    data, offs = text_bytes(pa.array([t for _, t, _ in page_blocks], pa.large_string()))
+    data = LOWER_AZ[data]
+    starts, ends, of = words(data, offs)
+    read = Words((span_hashes(data, starts, ends) % np.uint64(WORD_BUCKETS)).astype(np.int32), np.bincount(of, minlength=n))
     c = np.zeros((n, COUNTS))
     for i, (p, t, linked) in enumerate(page_blocks):
         size = len(t)
         c[i] = (np.log1p(size) / 6, np.log1p(t.count(" ")) / 5, linked / size, min(1.0, (t.count(".") + t.count(",")) * 10 / size), min(len(p), 20) / 10, i / n, 1.0 if i == 0 else 0.0, float(any(len(w) == 4 and w[1] == "h" and w[2].isdigit() for w in p[-3:])))
-    return paths, words, c
+    return paths, read, c
 
 
 class Labeller:
@@ -203,24 +274,26 @@ class Labeller:
             b[h : 2 * h] = 1.0  # at first the cells forget little
             self.p[f"b{side}"] = b
 
-    def _inputs(self, pages: list) -> tuple[np.ndarray, np.ndarray, list]:
+    def _inputs(self, pages: list, kind: type = float) -> tuple[np.ndarray, np.ndarray, list]:
         t, b = max(len(c) for _, _, c in pages), len(pages)
-        x, mask = np.zeros((t, b, PATH_DIM + WORD_DIM + COUNTS)), np.zeros((t, b))
+        x, mask = np.zeros((t, b, PATH_DIM + WORD_DIM + COUNTS), kind), np.zeros((t, b), kind)
         used = []
-        for name, k, at, dim in (("path", 0, 0, PATH_DIM), ("word", 1, PATH_DIM, WORD_DIM)):
-            ids = np.array([i for page in pages for own in page[k] for i in own], np.int64)
-            sizes = np.array([len(own) for page in pages for own in page[k]], np.int64)
+        for name, at, dim in (("path", 0, PATH_DIM), ("word", PATH_DIM, WORD_DIM)):
+            if name == "path":
+                ids = np.array([i for page in pages for own in page[0] for i in own], np.int64)
+                sizes = np.array([len(own) for page in pages for own in page[0]], np.int64)
+            else:
+                ids, sizes = np.concatenate([page[1].buckets for page in pages]), np.concatenate([page[1].sizes for page in pages])
             row = np.repeat(np.arange(len(sizes)), sizes)
-            sums = np.zeros((len(sizes), dim))
-            some = np.flatnonzero(sizes)
-            if len(ids):
-                sums[some] = np.add.reduceat(self.p[name][ids], (np.cumsum(sizes) - sizes)[some], axis=0)
-            scale = 1 / np.sqrt(np.maximum(sizes, 1)) if k == 0 else 1 / np.maximum(sizes, 1)
+            scale = 1 / np.sqrt(np.maximum(sizes, 1)) if name == "path" else 1 / np.maximum(sizes, 1)
+            sums = np.empty((len(sizes), dim), kind)
+            for k in range(dim):  # one component at a time, so that memory doesn't grow with words times components
+                sums[:, k] = np.bincount(row, self.p[name][ids, k], minlength=len(sizes)) * scale
             used.append((name, ids, row, scale, at, dim))
             first = 0
             for j, page in enumerate(pages):
                 m = len(page[2])
-                x[:m, j, at : at + dim] = sums[first : first + m] * scale[first : first + m, None]
+                x[:m, j, at : at + dim] = sums[first : first + m]
                 first += m
         for j, page in enumerate(pages):
             m = len(page[2])
@@ -228,14 +301,20 @@ class Labeller:
             mask[:m, j] = 1
         return x, mask, used
 
-    def _lstm(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _lstm(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Outputs and, for the gradient, what each step had; without `keep` nothing but the outputs is kept."""
         h = HIDDEN
         t, b, _ = x.shape
         steps = range(t) if side == "f" else range(t - 1, -1, -1)
-        z = x @ self.p[f"x{side}"] + self.p[f"b{side}"]
-        out, state, cell, kept = np.zeros((t, b, h)), np.zeros((b, h)), np.zeros((b, h)), [None] * t
+        w, u, bias = (self.p[f"{k}{side}"].astype(x.dtype) for k in "xhb")
+        out, state, cell, kept = np.zeros((t, b, h), x.dtype), np.zeros((b, h), x.dtype), np.zeros((b, h), x.dtype), [None] * t if keep else []
+        lo = hi = 0
         for i in steps:
-            a = z[i] + state @ self.p[f"h{side}"]
+            if not lo <= i < hi:  # the inputs of STEPS_AT_ONCE steps
+                lo = i if side == "f" else max(0, i + 1 - STEPS_AT_ONCE)
+                hi = min(t, lo + STEPS_AT_ONCE) if side == "f" else i + 1
+                z = x[lo:hi] @ w + bias
+            a = z[i - lo] + state @ u
             gates = 1 / (1 + np.exp(-np.clip(a[:, : 3 * h], -40, 40)))
             new = np.tanh(a[:, 3 * h :])
             c = gates[:, h : 2 * h] * cell + gates[:, :h] * new
@@ -243,17 +322,18 @@ class Labeller:
             c = m * c + (1 - m) * cell
             th = np.tanh(c)
             s = m * gates[:, 2 * h :] * th + (1 - m) * state
-            kept[i] = (gates, new, cell, th, state)
+            if keep:
+                kept[i] = (gates, new, cell, th, state)
             state, cell = s, c
             out[i] = s
         return out, kept
 
     def scores(self, pages: list) -> list[np.ndarray]:
         """Probability of main text for every block of every page."""
-        x, mask, _ = self._inputs(pages)
-        f, b = self._lstm(x, mask, "f")[0], self._lstm(x, mask, "b")[0]
-        z = (np.concatenate([f, b, x], axis=2) @ self.p["out"])[:, :, 0] + self.p["bias"]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        x, mask, _ = self._inputs(pages, np.float32)
+        h, w = HIDDEN, self.p["out"].astype(np.float32)
+        z = self._lstm(x, mask, "f", False)[0] @ w[:h] + self._lstm(x, mask, "b", False)[0] @ w[h : 2 * h] + x @ w[2 * h :]
+        p = 1 / (1 + np.exp(-np.clip(z[:, :, 0] + self.p["bias"], -40, 40)))
         return [p[: len(page[2]), j] for j, page in enumerate(pages)]
 
     def gradients(self, pages: list, labels: list[np.ndarray]) -> dict[str, np.ndarray]:
@@ -292,16 +372,16 @@ class Labeller:
             dx += da @ self.p[f"x{side}"].T
         for name, ids, row, scale, at, dim in used:
             flat = np.concatenate([dx[: len(page[2]), j, at : at + dim] for j, page in enumerate(pages)]) * scale[:, None]
-            g[name] = np.zeros_like(self.p[name])
-            np.add.at(g[name], ids, flat[row])
+            g[name] = np.stack([np.bincount(ids, flat[row, k], minlength=len(self.p[name])) for k in range(dim)], axis=1)
         return g
 
-    def fit(self, pages: list, labels: list[np.ndarray], rounds: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Labeller:
+    def fit(self, pages: list, labels: list[np.ndarray], rounds: int = 3, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Labeller:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         t = 0
         by_size = np.argsort([len(c) for _, _, c in pages], kind="stable")
+        steps = rounds * -(-len(pages) // batch) + 1
         for _ in range(rounds):
             starts = np.arange(0, len(pages), batch)
             for at in r.permutation(starts):
@@ -313,7 +393,7 @@ class Labeller:
                     x = x * min(1.0, 5 / (norm + 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * x
                     v[k] = 0.999 * v[k] + 0.001 * x * x
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] -= rate * (1 - t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
 
@@ -334,6 +414,9 @@ MAIN_NAMES = "article content main post entry story body text page primary singl
 _LABELS = "Home|About us|Contact|News|Sports|Products|Log in|Sign up|Next page|Previous|Search|Share this|Follow us|Read more|All rights reserved|Privacy policy|Terms of use|Accept all cookies|We use cookies to improve your experience.|Subscribe to our newsletter|Advertisement|Sponsored content|Related articles|Most popular|Leave a reply|Posted by a reader|Reply|Comments|Report|Enter your email|Sitemap|Back to top|This site is archived.|Published|Tags|Copyright".split("|")
 
 
+_ANY_TAG = re.compile(r"<[^>]*>")
+
+
 class _Layouts:
     """Labelled pages: real texts in made layouts."""
 
@@ -357,6 +440,10 @@ class _Layouts:
             t = t[at : at + int(self.r.integers(20, 200))]
         return html.escape(t)
 
+    def odd(self) -> str:
+        """A name that says nothing."""
+        return "".join(self.pick(list("abcdefghijklmnopqrstuvwxyz")) for _ in range(int(self.r.integers(1, 8))))
+
     def name(self, part: str) -> str:
         own = self.pick(PART_NAMES[part])
         return self.pick([own, f"{own}-{self.pick('list box inner wrap area section block item unit 1')}", f"{self.pick('site page main post global left right')}-{own}", own.capitalize() + "Box"])
@@ -374,7 +461,7 @@ class _Layouts:
         elif part == "form":
             inner = f"<label>{self.pick(_LABELS)}</label><input name=q><p>{self.pick(_LABELS)}</p>" + (f"<p>{self.sentence()}</p>" if self.chance(0.3) else "")
         elif part in ("sidebar", "footer", "header"):
-            inner = "".join(self.pick([f"<h3>{self.pick(_LABELS)}</h3>", f"<p>{self.sentence()}</p>", f"<ul><li><a href=/y>{self.sentence()}</a></li></ul>", f"<a href=/z>{self.pick(_LABELS)}</a>"]) for _ in range(n))
+            inner = "".join(self.pick([f"<h{int(self.r.integers(1, 5))}>{self.pick([self.pick(_LABELS), self.odd(), self.sentence()[:40]])}</h4>", f"<p>{self.sentence()}</p>", f"<ul><li><a href=/y>{self.sentence()}</a></li></ul>", f"<a href=/z>{self.pick(_LABELS)}</a>"]) for _ in range(n))
             inner = self.sentence() if self.chance(0.35) else inner
         else:
             inner = self.pick([self.sentence(), f"<p>{self.sentence()}</p>", f"<a href=/ad>{self.sentence()}</a>", self.pick(_LABELS), f"<p>{self.pick(_LABELS)}</p><p>{self.sentence()}</p>"])
@@ -382,6 +469,8 @@ class _Layouts:
 
     def page(self) -> str:
         paragraphs = self.texts[int(self.r.integers(len(self.texts)))]
+        if self.chance(0.06):  # one line, many times
+            paragraphs = [paragraphs[0], *[self.pick(paragraphs)[: int(self.r.integers(3, 40))]] * int(self.r.integers(10, 150))]
         body = []
         head = self.pick(["h1", "h1", "h2"])
         short = [self.pick(_LABELS) for _ in range(2) if self.chance(0.3)]  # words of the parts around are no sign by themselves
@@ -395,21 +484,26 @@ class _Layouts:
                 body.append(self.pick([f"<p>{t}</p>"] * 12 + [f"<p><b>{t}<br>", f"<p>{t}", f"<ul><li>{t}</li></ul>", f"<blockquote>{t}</blockquote>", f"<div>{t}</div>", f"<table><tr><td>{t}</td></tr></table>", f"<p>{t[: len(t) // 2]}<a href=/l>{t[len(t) // 2 :]}</a></p>"]))
             if self.chance(0.05):
                 body.append(f"<!--out-->{self.part(self.pick('advert share sidebar notice form'))}<!--in-->")
-        if self.chance(0.3):
-            body.append(f"<!--out-->{self.part(self.pick('comments share sidebar form'))}<!--in-->")
+        if self.chance(0.4):
+            body.append(f"<!--out-->{self.part(self.pick('comments comments share sidebar form'))}<!--in-->")
+        bare = self.chance(0.15)  # no container
+        if bare and self.chance(0.2):
+            body = [x if x.startswith("<!--") else f"{_ANY_TAG.sub('', x)}<br><br>" for x in body]
         tag = self.pick("article article article main main div div div section td")
-        attr = f' {self.pick("class id")}="{self.pick(MAIN_NAMES)}{self.pick([""] * 3 + ["-" + self.pick(MAIN_NAMES)])}"' if tag in ("div", "section", "td") or self.chance(0.3) else ""
-        main = f"<{tag}{attr}><!--in-->{''.join(body)}<!--out--></{tag}>"
-        if tag == "td":
+        named = self.pick([*MAIN_NAMES.split(), *(self.odd() for _ in range(8))])
+        attr = f' {self.pick("class id")}="{named}{self.pick([""] * 3 + ["-" + self.pick(MAIN_NAMES)])}"' if tag in ("div", "section", "td") and self.chance(0.85) or self.chance(0.3) else ""
+        main = f"<!--in-->{''.join(body)}<!--out-->" if bare else f"<{tag}{attr}><!--in-->{''.join(body)}<!--out--></{tag}>"
+        if tag == "td" and not bare:
             main = f"<table><tr>{main}</tr></table>"
-        if self.chance(0.3):
+        if self.chance(0.3) and not bare:
             main = f"<main>{main}</main>" if tag != "main" else f'<div class="{self.pick(MAIN_NAMES)}">{main}</div>'
-        before = [self.part(x) for x in ("header", "menu", "notice", "advert", "form", "sidebar") if self.chance(0.45)]
-        after = [self.part(x) for x in ("comments", "share", "sidebar", "advert", "form", "notice", "footer") if self.chance(0.45)]
+        around = self.pick([0.1, 0.45]) if bare else 0.45
+        before = [self.part(x) for x in ("header", "menu", "notice", "advert", "form", "sidebar") if self.chance(around)]
+        after = [self.part(x) for x in ("comments", "share", "sidebar", "advert", "form", "notice", "footer") if self.chance(around)]
         whole = "".join(before) + main + "".join(after)
         if self.chance(0.4):
             whole = f'<div {self.pick("class id")}="{self.pick("wrapper page container site layout root app outer")}">{whole}</div>'
-        return f"<html><head><title>x</title></head><body>{whole}</body></html>"
+        return whole if bare and self.chance(0.4) else f"<html><head><title>x</title></head><body>{whole}</body></html>"
 
     def labelled(self) -> tuple[list, np.ndarray]:
         """Blocks and labels of one page: the marks in comments become marks in the texts, which are taken out again."""
@@ -431,14 +525,17 @@ class _Layouts:
 
 def train(pages: DataFrame, page_id: str = "page_id", markup: str = "html", most: int = TRAIN_PAGES, layouts: int = TRAIN_LAYOUTS) -> Labeller:
     """A labeller fitted with the texts of at most `most` pages; with no pages, with none but the fixed labels."""
-    own = pages.where(f"{markup} is not null").select(F.col(page_id).alias("id"), F.substring(F.col(markup), 1, 1 << 16).alias("html"))
+    own = pages.where(F.length(markup) <= TRAIN_PAGE_CHARS).select(F.col(page_id).alias("id"), F.col(markup).alias("html"))
     chosen = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)  # ids alone are ordered; the pages follow by a join
-    sample = sorted(own.join(F.broadcast(chosen), "id").collect(), key=lambda r: (str(r["id"]), r["html"]))[:most]
-    texts = [own for r in sample if (own := [t[:1500] for p, t, linked in blocks(r["html"]) if "<p>" in p or "<h1>" in p if linked * 2 < len(t)])]
+    sample = sorted(own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html").alias("html")).collect(), key=lambda r: str(r["id"]))
+    texts = [own for r in sample if (own := [t for p, t, linked in blocks(r["html"]) if "<p>" in p or "<h1>" in p if linked * 2 < len(t)])]
     made = _Layouts(texts or [["Some words of a text.", "More of them, in a row."]])
     data = [x for x in (made.labelled() for _ in range(layouts)) if x[0]]
     r = np.random.default_rng(3)
-    read = [(p, [[] if r.random() < HIDDEN_WORDS else own for own in w], c) for p, w, c in (features(b) for b, _ in data)]
+    read = []
+    for paths, own, counts in (features(b) for b, _ in data):
+        shown = r.random(len(own.sizes)) >= HIDDEN_WORDS
+        read.append((paths, Words(own.buckets[np.repeat(shown, own.sizes)], own.sizes * shown), counts))
     return Labeller().fit(read, [y for _, y in data])
 
 
