@@ -1,26 +1,36 @@
 """Nearest vectors by cosine through vantage-point trees.
 
 Vectors are scaled to length one, where the Euclidean distance orders as the
-cosine does. They are dealt to shards by hash; each shard is indexed whole by a
-vantage-point tree. A branch is left out when the triangle inequality, with the
-distance to the k-th neighbour so far multiplied by `factor`, says that it
-holds nothing nearer. Factor one is exact; smaller factors are faster.
+cosine does. A small vantage-point tree over a bounded sample deals all vectors
+to at most ROUTES regions, regions of many vectors to several shards; each shard
+is indexed whole by a tree of its own. A branch, and a region, is left out when
+the triangle inequality, with the distance to the k-th neighbour so far
+multiplied by `factor`, says that it holds nothing nearer. Factor one is exact;
+smaller factors are faster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.llm.tables import cut_lineage
+
 #: Vectors of a shard and queries of a block; both are memory bounds of a task.
 SHARD_ROWS, BLOCK_QUERIES = 32_768, 16_384
+#: Most regions, and vectors of the sample that draws them.
+ROUTES, SAMPLE = 256, 4096
 #: Vectors of a leaf.
 LEAF = 256
 FACTOR = 0.5
+#: Queries that are compared at once, and pairs that are scored at once.
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 128, 1 << 16
+#: Squared distances that are as near as this count as equal until the exact scores are known.
+NEARLY = 1e-11
 
 
 class VpTree:
@@ -48,6 +58,13 @@ class VpTree:
         self.nodes[me] = ("node", far, radius, self._build(rows[inside]), self._build(rows[~inside]))
         return me
 
+    def _apart(self, who: np.ndarray, rows: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Squared distances of queries to rows, a bounded number of them at once."""
+        step = max(1, (1 << 22) // max(1, len(rows)))
+        for at in range(0, len(who), step):
+            own = who[at : at + step]
+            yield own, np.maximum(0.0, 2.0 - 2.0 * (q[own] @ self.x[rows].T))
+
     def search(self, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
         """Squared distances and rows of the k nearest of each query (unset: infinity and -1), and the distances computed."""
         best, rows = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
@@ -55,16 +72,16 @@ class VpTree:
 
         def offer(who: np.ndarray, found: np.ndarray) -> None:
             nonlocal count
-            d = np.maximum(0.0, 2.0 - 2.0 * (q[who] @ self.x[found].T))
-            count += d.size
-            if d.shape[1] > k:
-                near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                d, ids = np.take_along_axis(d, near, 1), found[near]
-            else:
-                ids = np.broadcast_to(found, d.shape)
-            d, ids = np.concatenate([best[who], d], axis=1), np.concatenate([rows[who], ids], axis=1)
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            best[who], rows[who] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+            for own, d in self._apart(who, found, q):
+                count += d.size
+                if d.shape[1] > k:
+                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                    d, ids = np.take_along_axis(d, near, 1), found[near]
+                else:
+                    ids = np.broadcast_to(found, d.shape)
+                d, ids = np.concatenate([best[own], d], axis=1), np.concatenate([rows[own], ids], axis=1)
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                best[own], rows[own] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
 
         def visit(node: int, who: np.ndarray) -> None:
             if not len(who):
@@ -79,13 +96,77 @@ class VpTree:
             near = d <= radius
             visit(inner, who[near])
             visit(outer, who[~near])
-            reach = factor * np.sqrt(best[who, k - 1])
+            reach = factor * np.sqrt(best[who, k - 1] + NEARLY)
             visit(outer, who[near & (d + reach >= radius)])
             visit(inner, who[~near & (d - reach <= radius)])
 
         visit(self.root, np.arange(len(q)))
         return best, rows, count
 
+    def within(self, q: np.ndarray, most: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the rows whose squared distance is `most` of the query or less."""
+        out = [np.zeros((2, 0), np.int64)]
+
+        def visit(node: int, who: np.ndarray) -> None:
+            if not len(who):
+                return
+            kind, *rest = self.nodes[node]
+            found = rest[0] if kind == "leaf" else np.array([rest[0]])
+            for own, d in self._apart(who, found, q):
+                i, j = np.nonzero(d <= most[own, None])
+                out.append(np.stack([own[i], found[j]]))
+            if kind == "leaf":
+                return
+            point, radius, inner, outer = rest
+            d, reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (q[who] @ self.x[point]))), factor * np.sqrt(most[who])
+            visit(inner, who[d - reach <= radius])
+            visit(outer, who[d + reach >= radius])
+
+        visit(self.root, np.arange(len(q)))
+        return tuple(np.concatenate(out, axis=1))
+
+
+class Router:
+    """The regions of a vantage-point tree over a sample, as at most ROUTES leaves."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.nodes: list[tuple] = []
+        self.leaves = 0
+        self._build(_unit(sample), max(1, leaves))
+
+    def _build(self, x: np.ndarray, leaves: int) -> int:
+        me = len(self.nodes)
+        self.nodes.append(())
+        if leaves > 1 and len(x) > 2:
+            far = x[np.argmax(((x - x[0]) ** 2).sum(axis=1))]
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ far)))
+            radius = float(np.median(d))
+            if (d <= radius).any() and (d > radius).any():
+                self.nodes[me] = (far, radius, self._build(x[d <= radius], leaves - leaves // 2), self._build(x[d > radius], leaves // 2))
+                return me
+        self.nodes[me] = (self.leaves,)
+        self.leaves += 1
+        return me
+
+    def regions(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, region) of the regions that may hold something within `reach` of each unit vector; with reach 0 below nought, its own one alone."""
+        out = [np.zeros((2, 0), np.int64)]
+
+        def visit(node: int, who: np.ndarray) -> None:
+            if not len(who):
+                return
+            if len(self.nodes[node]) == 1:
+                out.append(np.stack([who, np.full(len(who), self.nodes[node][0])]))
+                return
+            far, radius, inner, outer = self.nodes[node]
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[who] @ far)))
+            own = reach[who] < 0
+            visit(inner, who[np.where(own, d <= radius, d - reach[who] <= radius)])
+            visit(outer, who[np.where(own, d > radius, d + reach[who] >= radius)])
+
+        visit(0, np.arange(len(x)))
+        return tuple(np.concatenate(out, axis=1))
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(axis=1, keepdims=True)  # first by the largest component, so that no square leaves the range
@@ -104,45 +185,93 @@ def _search_shard(k: int, factor: float) -> Callable[[tuple, pd.DataFrame, pd.Da
         if not len(shard) or not len(queries):
             return nothing
         shard = shard.sort_values("vec_id", ignore_index=True)
-        x, ids = np.stack(shard["v"]).astype(float), shard["vec_id"].to_numpy()
+        x, ids = np.stack(shard["v"]) + 0.0, shard["vec_id"].to_numpy()  # -0.0 becomes 0.0
         # equal vectors are one point of the tree; of its rows only the k + 1 with the smallest ids can be among the k nearest
         _, first, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
         points = x[first]
         tree = VpTree(_unit(points))
-        q, q_ids = np.stack(queries["v"]).astype(float), queries["vec_id"].to_numpy()
-        _, rows, _ = tree.search(_unit(q), min(k + 4, len(points)), factor)
-        who, point = np.nonzero(rows >= 0)[0], rows[rows >= 0]
-        score = cosine(q[who], points[point])
-        size = np.minimum(np.diff(cuts)[point], k + 1)
-        at = np.repeat(cuts[point] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        out = pd.DataFrame({"query_id": np.repeat(q_ids[who], size), "vec_id": ids[order[at]], "score": np.repeat(score, size)})
-        out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return out.groupby("query_id").head(k)
+        q, q_ids = np.stack(queries["v"]) + 0.0, queries["vec_id"].to_numpy()
+        unit, kept = _unit(q), [nothing]
+        most = min(k + 1, len(points))  # the query itself may be one of them
+        for at in range(0, len(q), QUERIES_AT_ONCE):
+            own = unit[at : at + QUERIES_AT_ONCE]
+            best, rows, _ = tree.search(own, most, factor)
+            who, point = tree.within(own, best[:, -1] + NEARLY, factor)  # all that are as near as the last one
+            pairs = np.unique(np.concatenate([who * len(points) + point, (np.arange(len(own))[:, None] * len(points) + rows)[rows >= 0]]))
+            who, point = pairs // len(points) + at, pairs % len(points)
+            score = np.concatenate([np.zeros(0), *(cosine(q[who[i : i + PAIRS_AT_ONCE]], points[point[i : i + PAIRS_AT_ONCE]]) for i in range(0, len(who), PAIRS_AT_ONCE))])
+            size = np.minimum(np.diff(cuts)[point], k + 1)
+            place = np.repeat(cuts[point] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out = pd.DataFrame({"query_id": np.repeat(q_ids[who], size), "vec_id": ids[order[place]], "score": np.repeat(score, size)})
+            out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            kept.append(out.groupby("query_id").head(k))
+        return pd.concat(kept, ignore_index=True)
 
     return run
 
 
-def usable(vector: str):
+def usable(vector: str) -> Column:
     """Whether a vector has components, none of them null or not finite, and isn't zero."""
     return F.coalesce(F.expr(f"size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0)"), F.lit(False))
 
 
+def _routed(df: DataFrame, routers: dict[int, Router], factor: float) -> DataFrame:
+    """`df` (vec_id, v, dim, reach) with a row for each region that may hold something within factor * reach; below nought: the vector's own region."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for dim, own in rows.groupby("dim"):
+                if dim not in routers:
+                    yield own.assign(region=0)
+                    continue
+                reach = own["reach"].to_numpy(float)
+                at, region = routers[dim].regions(_unit(np.stack(own["v"]) + 0.0), np.where(reach < 0, reach, factor * reach))
+                yield own.iloc[at].assign(region=region)
+
+    return df.mapInPandas(run, "vec_id long, v array<double>, dim int, reach double, region long") if routers else df.withColumn("region", F.lit(0).cast("long"))
+
+
+def _found(index: DataFrame, queries: DataFrame, k: int, factor: float, shard_rows: int, block_queries: int) -> DataFrame:
+    """The k nearest of each query in each shard of its region; both tables have (vec_id, v, dim, region)."""
+    shards = index.groupBy("dim", "region").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))  # ROUTES rows a length of vectors at most
+    blocks = queries.groupBy("dim", "region").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
+    sizes = cut_lineage(shards.join(blocks, ["dim", "region"]))
+    number = lambda name, most: F.pmod(F.xxhash64("vec_id"), F.col(most)).cast("int").alias(name)
+    every = lambda name, most: F.explode(F.sequence(F.lit(0), F.col(most) - 1)).alias(name)
+    keys = ["dim", "region", "shard", "block"]
+    left = index.join(F.broadcast(sizes), ["dim", "region"]).select("dim", "region", number("shard", "shards"), every("block", "blocks"), "vec_id", "v")
+    right = queries.join(F.broadcast(sizes), ["dim", "region"]).select("dim", "region", every("shard", "shards"), number("block", "blocks"), "vec_id", "v")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search_shard(k, factor), "query_id long, vec_id long, score double")
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = FACTOR, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest rows of `index` other than those with its id.
 
     score is the cosine of the original vectors in double precision; ties go
     to the smaller id. Vectors that are null, empty, zero or hold a null or
-    non-finite component take no part, nor do rows with a null id; all others
-    have one length. Rows that repeat an id of the index count once each, rows
-    that repeat a query id must be equal. An empty table gives no rows.
+    non-finite component take no part, nor do rows with a null id; vectors of
+    different lengths aren't compared. Rows that repeat an id of the index count
+    once each, rows that repeat a query id must be equal. An empty table gives
+    no rows. Every query is first compared with its own region; the distance to
+    the k-th nearest there tells which other regions it goes to.
     """
-    clean = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
-    left, right = clean(index), clean(queries)
-    shards, blocks = max(1, -(-left.count() // shard_rows)), max(1, -(-right.count() // block_queries))
-    left = left.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = right.dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search_shard(k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k)
+    clean = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
+    left, right = clean(index), clean(queries).dropDuplicates(["vec_id"])
+    routers = {}
+    for row in left.groupBy("dim").count().where(F.col("count") > shard_rows).collect():  # a row a length of vectors
+        sample = left.where(F.col("dim") == row["dim"]).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        routers[row["dim"]] = Router(np.array([r["v"] for r in sample]) + 0.0, min(ROUTES, -(-row["count"] // shard_rows)))
+    left = _routed(left.withColumn("reach", F.lit(-1.0)), routers, factor)
+    first = _found(left, _routed(right.withColumn("reach", F.lit(-1.0)), routers, factor), k, factor, shard_rows, block_queries)
+    if not routers:
+        return top(first).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    first = cut_lineage(top(first))
+    reach = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")) + NEARLY)).alias("reach"))
+    asked = _routed(right.join(reach, "vec_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))), routers, factor)
+    home = _routed(right.withColumn("reach", F.lit(-1.0)), routers, factor).select("vec_id", "region")
+    second = _found(left, asked.join(home, ["vec_id", "region"], "left_anti"), k, factor, shard_rows, block_queries)
+    return top(first.drop("rank").union(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
