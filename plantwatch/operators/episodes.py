@@ -28,7 +28,7 @@ def episodes(df: DataFrame, keys: Sequence[str], gap: int, strict: bool = False,
     return chain(df, keys, gap, strict=strict).groupBy(*keys, "episode").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("points"), *(c.alias(k) for k, c in more.items()))
 
 
-def drop_short_runs(df: DataFrame, keys: Sequence[str], flag: str, least: int) -> DataFrame:
+def drop_short_runs(df: DataFrame, keys: Sequence[str], flag: str, least: int | Column) -> DataFrame:
     """`df` with `flag` false in runs of fewer than `least` rows."""
     size = F.count("*").over(Window.partitionBy(*keys, "_run"))
     return runs(df, keys, flag, "_run").withColumn(flag, F.col(flag) & (size >= least)).drop("_run")

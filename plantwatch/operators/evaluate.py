@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, floor_to
-from plantwatch.operators.align import overlaps, range_join
+from plantwatch.operators.align import asof, overlaps, range_join
 from plantwatch.operators.episodes import episodes
 
 
@@ -109,19 +109,66 @@ def coverage_null(df: DataFrame, keys: Sequence[str], flag: str, span: int, even
     return g.withColumn("all_hit", F.pow("p", F.lit(float(events))))
 
 
+def log_factorial(n: Column) -> Column:
+    """log(n!), to about twelve digits, by Stirling's series ten steps further up."""
+    z = n.cast("double") + 11
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0)))
+    return series - sum((F.log(n + j) for j in range(2, 11)), F.log(n + 1))
+
+
+def _tail(start: Column, steps: Column, width: Column, ratio: Callable[[Column], Column]) -> Column:
+    """Log of e^start * (1 + r(0) + r(0) r(1) + ...), `steps` more terms, of which those beyond `width` are nought in doubles."""
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    last = F.least(steps, width).cast("int")
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * ratio(i)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    total = F.when(last < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), first, step)["sum"])
+    return start + F.log(total)
+
+
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k), X binomial(n, p), by a sum of terms in logarithms; n is small."""
-    logs = lambda m: F.when(m < 1, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(m.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double"))))
-    term = lambda i: F.exp(logs(n) - logs(i) - logs(n - i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    total = F.aggregate(F.sequence(k.cast("int"), n.cast("int")), F.lit(0.0), lambda a, i: a + term(i))
-    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), total))
+    """P(X >= k), X binomial(n, p), for any n: the terms of the smaller side from k on, each by its ratio to the one before.
+
+    Terms farther than 40 standard widths from k add nothing to a double, so
+    the number of terms grows with the root of n.
+    """
+    q, width = 1 - p, 40 * F.sqrt(n.cast("double")) + 200
+    log_term = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.log(p) + (n - i) * F.log(q)
+    upper = F.exp(_tail(log_term(k), n - k, width, lambda i: (n - k - i) / (k + i + 1) * p / q))
+    lower = F.exp(_tail(log_term(k - 1), k - 1, width, lambda i: (k - 1 - i) / (n - k + 2 + i) * q / p))
+    tail = F.when(k > n * p, upper).otherwise(1 - lower)
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), tail))
+
+
+def fisher_tail(a: Column, row: Column, column: Column, n: Column) -> Column:
+    """P(X >= a) for the count in one cell of a 2 x 2 table of n rows with fixed margins: Fisher's exact test, one side."""
+    most = F.least(row, column)
+    log_term = log_factorial(row) + log_factorial(n - row) + log_factorial(column) + log_factorial(n - column) - log_factorial(n) - log_factorial(a) - log_factorial(row - a) - log_factorial(column - a) - log_factorial(n - row - column + a)
+    ratio = lambda i: (row - a - i) * (column - a - i) / ((a + i + 1) * (n - row - column + a + i + 1.0))
+    return F.when(a <= F.greatest(F.lit(0), row + column - n), 1.0).when(a > most, 0.0).otherwise(F.least(F.lit(1.0), F.exp(_tail(log_term, most - a, 40 * F.sqrt(n.cast("double")) + 200, ratio))))
+
+
+def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
+    """(by, u, z): Mann-Whitney U of the rows with `group` against the others, ties half, and its normal deviate with the tie correction."""
+    w = Window.partitionBy(*by)
+    ties = F.count("*").over(Window.partitionBy(*by, value))
+    rows = df.withColumn("_r", F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0).withColumn("_t", ties.cast("double"))
+    g = rows.groupBy(*by).agg(F.sum(F.when(F.col(group), F.col("_r"))).alias("s"), F.count_if(group).cast("double").alias("a"), F.count_if(~F.col(group)).cast("double").alias("b"), F.sum(F.col("_t") * F.col("_t") - 1).alias("t"))
+    n, u = F.col("a") + F.col("b"), F.col("s") - F.col("a") * (F.col("a") + 1) / 2
+    spread = F.sqrt(F.col("a") * F.col("b") / 12 * (n + 1 - F.col("t") / (n * (n - 1))))
+    return g.select(*by, u.alias("u"), F.when(spread > 0, (u - F.col("a") * F.col("b") / 2) / spread).alias("z"))
 
 
 def poisson_tail(k: Column, mean: Column) -> Column:
-    """P(X >= k), X Poisson."""
-    start = F.struct(F.exp(-mean).alias("term"), F.lit(0.0).alias("sum"))
-    below = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), start, lambda a, i: F.struct((a["term"] * mean / i).alias("term"), (a["sum"] + a["term"]).alias("sum")))["sum"]
-    return F.when(k <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below))
+    """P(X >= k), X Poisson, for any mean: the terms of the smaller side from k on, as in binomial_tail()."""
+    width = 40 * F.sqrt(mean.cast("double")) + 200
+    log_term = lambda i: i * F.log(mean) - mean - log_factorial(i)
+    upper = F.exp(_tail(log_term(k), width, width, lambda i: mean / (k + i + 1)))
+    lower = F.exp(_tail(log_term(k - 1), k - 1, width, lambda i: (k - 1 - i) / mean))
+    return F.when(k <= 0, 1.0).when(mean <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.when(k > mean, upper).otherwise(1 - lower)))
 
 
 def shifted_overlap(df: DataFrame, keys: Sequence[str], gate: str, alert: str, shifts: Sequence[int]) -> DataFrame:
@@ -146,3 +193,78 @@ def buckets_between(df: DataFrame, starts: DataFrame, keys: Sequence[str], back:
 
 def day_of(t: Column) -> Column:
     return floor_to(t, DAY)
+
+
+def ruler(rows: DataFrame, incidents: DataFrame, keys: Sequence[str], before: int, gap: int, step: int, flag: str = "alert", hot: str = "on") -> DataFrame:
+    """(keys, found, events, episodes, false, false_per_month, false_hours_per_month, lead_mean, lead_least, duty) of a flag on a grid of `step`.
+
+    An event is found if the flag stands in [t - before, t). An episode is
+    false if it meets no [t - before, t]. A month is 730 hours of `hot` rows.
+    """
+    alerts = rows.where(F.col(flag)).select(*keys, "t")
+    lead = match(alerts, incidents, keys, before, -1).withColumn("lead", (F.col("t") - F.col("first")) / 3.6e9)
+    seen = lead.groupBy(*keys).agg(F.count("first").alias("found"), F.count("*").alias("events"), F.avg("lead").alias("lead_mean"), F.min("lead").alias("lead_least"))
+    ep = episodes(alerts, keys, gap).groupBy(*keys).agg(F.count("*").alias("episodes"))
+    false = false_episodes(alerts, incidents, keys, gap, before).groupBy(*keys).agg(F.count("*").alias("false"), F.sum((F.col("end") - F.col("start") + step) / 3.6e9).alias("false_hours"))
+    base = rows.groupBy(*keys).agg((F.count_if(hot) * (step / 3.6e9) / 730).alias("months"), F.avg(F.col(flag).cast("double")).alias("duty"))
+    out = base.join(seen, list(keys), "left").join(ep, list(keys), "left").join(false, list(keys), "left")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    rate = lambda c: F.when(F.col("months") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col("months"))
+    return out.select(*keys, whole("found"), whole("events"), whole("episodes"), whole("false"), rate("false").alias("false_per_month"), rate("false_hours").alias("false_hours_per_month"), "lead_mean", "lead_least", "duty")
+
+
+def _mixed(x: Column) -> Column:
+    """A repeatable whole number from a whole number, by a linear congruence."""
+    return F.pmod(x.cast("long"), F.lit(1_000_003).cast("long")) * 48_271 + 12_345
+
+
+def resampled_hits(episodes_: DataFrame, pool: DataFrame, incidents: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
+    """(keys, draw, hit, total): episodes of the same lengths that start at drawn rows of `pool`; how many hold an incident, and how many incidents they hold.
+
+    Starts come from a linear congruence of draw and episode number. Incidents
+    inside are a difference of running counts, found by two as-of joins.
+    """
+    rows = pool.select(*keys, "t").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
+    sizes = pool.groupBy(*keys).agg(F.count("*").alias("_n"))
+    eps = episodes_.withColumn("_e", F.row_number().over(Window.partitionBy(*keys).orderBy("start"))).select(*keys, "_e", (F.col("end") - F.col("start")).alias("_len"))
+    made = eps.join(sizes, list(keys)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    made = made.withColumn("_i", F.pmod(_mixed(F.col("draw") * 7919 + F.col("_e") * 104729), F.col("_n")).cast("int"))
+    made = made.join(rows, [*keys, "_i"]).select(*keys, "draw", F.col("t").alias("_s"), (F.col("t") + F.col("_len")).alias("_z"))
+    count = incidents.select(*keys, "t").withColumn("_c", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
+    until = asof(made.withColumn("t", F.col("_z")), count, keys, ["_c"]).withColumn("_b", F.coalesce("_c", F.lit(0))).drop("t", "t_match", "_c")
+    both = asof(until.withColumn("t", F.col("_s") - 1), count, keys, ["_c"]).withColumn("_k", F.col("_b") - F.coalesce("_c", F.lit(0)))
+    return both.groupBy(*keys, "draw").agg(F.count_if(F.col("_k") > 0).alias("hit"), F.sum("_k").alias("total"))
+
+
+def deviation_start(rows: DataFrame, incidents: DataFrame, keys: Sequence[str], on: Sequence[str], search: int, reference: int, sustain: int, least: int, share: float = 0.95) -> DataFrame:
+    """(keys, incident, hours): how long before each incident the value passed the `share` quantile of its own reference and stayed for `sustain` rows.
+
+    The reference is [t - search - reference, t - search), the search
+    [t - search, t]; fewer than `least` rows of reference, or no such run: null.
+    """
+    right = rows.select(*keys, F.col("t").alias("u"), "value")
+    met = range_join(incidents.select(*on, "t"), right, on, search + reference, 0).withColumn("early", F.col("u") < F.col("t") - search)
+    limit = met.where("early").groupBy(*keys, "t").agg(F.percentile("value", share).alias("_limit"), F.count("*").alias("_n"))
+    late = met.where("not early").join(limit.where(F.col("_n") >= least), [*keys, "t"])
+    w = Window.partitionBy(*keys, "t").orderBy("u").rowsBetween(-(sustain - 1), 0)
+    late = late.withColumn("_up", F.sum((F.col("value") > F.col("_limit")).cast("int")).over(w) == sustain).withColumn("_from", F.first("u").over(w))
+    first = late.where("_up").groupBy(*keys, "t").agg(F.min("_from").alias("_from"))
+    every = met.select(*keys, "t").distinct().join(first, [*keys, "t"], "left")
+    return every.select(*keys, F.col("t").alias("incident"), ((F.col("t") - F.col("_from")) / 3.6e9).alias("hours"))
+
+
+def search_cost(table: DataFrame, config: str, event: str, cost: str, budget: float, sizes: Sequence[int], draws: int) -> DataFrame:
+    """(size, mean, low, high): hits of leave-one-event-out over random subsets of `size` settings, over `draws` subsets each.
+
+    `table` has (config, event, hit, cost) for all pairs. A subset is the
+    settings of least rank in a hash order of its own, so all subsets are one job.
+    """
+    order = F.row_number().over(Window.partitionBy("draw").orderBy(_mixed(F.col(config) * 7919 + F.col("draw") * 104729), config))
+    ranked = table.select(config).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_k", order)
+    chosen = ranked.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("_k <= size").drop("_k")
+    rows = table.join(chosen, config)
+    w = Window.partitionBy("size", "draw", config)
+    rows = rows.withColumn("_rest", F.sum(F.col("hit").cast("int")).over(w) - F.col("hit").cast("int")).where(F.col(cost) <= budget)
+    best = F.row_number().over(Window.partitionBy("size", "draw", event).orderBy(F.desc("_rest"), cost, config))
+    found = rows.withColumn("_b", best).where("_b = 1").groupBy("size", "draw").agg(F.count_if("hit").alias("hits"))
+    return found.groupBy("size").agg(F.avg("hits").alias("mean"), F.min("hits").alias("low"), F.max("hits").alias("high"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,15 +38,25 @@ def window_error(x: Column, guess: Column | None = None, squared: bool = False)
 
 
 def window_statistics(x: Column) -> dict[str, Column]:
-    """mean, std (population), min, max, range, lag1 (autocorrelation) and slope of a window."""
+    """The fourteen statistics of a window: mean, std (population), least, largest, range, lag1 and lag2 (autocorrelation), slope, p10, p25, p75, p90 (linear between ranks), and the biased skew and excess kurtosis; null without spread."""
     n = F.size(x)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     mean = total(x) / n
     var = total(F.transform(x, lambda v: (v - mean) * (v - mean)))
-    pairs = F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1), lambda a, b: (a - mean) * (b - mean))
+    pairs = lambda k: F.zip_with(F.slice(x, F.lit(1), n - k), F.slice(x, F.lit(k + 1), n - k), lambda a, b: (a - mean) * (b - mean))
+    moment = lambda k: total(F.transform(x, lambda v: F.pow(v - mean, F.lit(float(k))))) / n
+    ranked = F.sort_array(x)
+
+    def quantile(q: float) -> Column:
+        place = (n - 1) * q
+        low = F.floor(place)
+        a, b = F.get(ranked, low.cast("int")), F.get(ranked, F.least(low + 1, n - 1).cast("int"))
+        return a + (b - a) * (place - low)
+
     mid = (n - 1) / 2.0
     slope = total(F.transform(x, lambda v, i: (i - mid) * (v - mean))) / total(F.transform(x, lambda v, i: (i - mid) * (i - mid)))
-    return {"mean": mean, "std": F.sqrt(var / n), "low": F.array_min(x), "top": F.array_max(x), "range": F.array_max(x) - F.array_min(x), "lag1": F.when(var > 0, total(pairs) / var), "slope": slope}
+    return {"mean": mean, "std": F.sqrt(var / n), "low": F.array_min(x), "top": F.array_max(x), "range": F.array_max(x) - F.array_min(x), "lag1": F.when(var > 0, total(pairs(1)) / var), "slope": slope, "lag2": F.when(var > 0, total(pairs(2)) / var),
+            **{f"p{round(100 * q)}": quantile(q) for q in (0.1, 0.25, 0.75, 0.9)}, "skew": F.when(var > 0, moment(3) / F.pow(var / n, F.lit(1.5))), "kurt": F.when(var > 0, moment(4) / (var / n) / (var / n) - 3)}
 
 
 def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -96,6 +106,72 @@ def mahalanobis(df: DataFrame, columns: Sequence[str], shrink: float = 0.1) -> D
     return df.withColumn("distance", F.sqrt(q))
 
 
+def vector_moments(df: DataFrame, vector: str, centre: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """Count, sum, sum of outer products, and sum of fourth powers of the lengths of the vectors less `centre`.
+
+    Each batch is summed in its task, each of the d * d cells over the tasks;
+    d * d numbers come to the driver. Null vectors are left out; all others
+    have one length.
+    """
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: np.ndarray | None = None
+        for b in batches:
+            x = np.stack(b[vector]).astype(float) if len(b) else None
+            if x is None:
+                continue
+            x = x if centre is None else x - centre
+            own = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel(), [((x * x).sum(axis=1) ** 2).sum()]])
+            total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"place": np.arange(len(total)), "x": total})
+
+    cells = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias(vector)).mapInPandas(part, "place long, x double")
+    row = np.array([r["x"] for r in cells.groupBy("place").agg(F.sum("x").alias("x")).orderBy("place").collect()])
+    if not len(row):
+        return 0, np.zeros(0), np.zeros((0, 0)), 0.0
+    d = int(round(np.sqrt(len(row) - 1.75) - 0.5))
+    return int(row[0]), row[1 : 1 + d], row[1 + d : -1].reshape(d, d), float(row[-1])
+
+
+def _form(df: DataFrame, vector: str, centre: np.ndarray, matrix: np.ndarray, into: str, finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """`df` with the quadratic form (x - centre)' matrix (x - centre) of its vectors, in batches."""
+
+    @F.pandas_udf("double")
+    def form(x: pd.Series) -> pd.Series:
+        out, some = np.full(len(x), np.nan), x.notna().to_numpy()
+        if some.any():
+            z = np.stack(x[some]).astype(float) - centre
+            out[some] = finish(np.einsum("ni,ij,nj->n", z, matrix, z, optimize=True))
+        return pd.Series(out)
+
+    return df.withColumn(into, F.when(F.col(vector).isNotNull(), form(F.col(vector).cast("array<double>"))))
+
+
+def pca_residual_of_vectors(df: DataFrame, vector: str, share: float = 0.95) -> DataFrame:
+    """`df` with residual, the mean squared part of each vector outside the components that hold `share` of the variance; null vectors have null."""
+    n, sums, products, _ = vector_moments(df, vector)
+    mean = sums / max(n, 1)
+    values, vectors = np.linalg.eigh(products / max(n, 1) - np.outer(mean, mean))
+    order = np.argsort(values)[::-1]
+    k = int(np.searchsorted(np.cumsum(values[order]) / values.sum(), share) + 1) if n else 0
+    rest = vectors[:, order[k:]]
+    return _form(df, vector, mean, rest @ rest.T, "residual", lambda x: x / max(1, len(mean)))
+
+
+def mahalanobis_of_vectors(df: DataFrame, vector: str) -> DataFrame:
+    """`df` with distance under the covariance that Ledoit and Wolf (2004) shrink towards its mean variance times the identity; null vectors have null."""
+    n, sums, _, _ = vector_moments(df, vector)
+    mean = sums / max(n, 1)
+    _, _, products, fourth = vector_moments(df, vector, mean)
+    d, cov = len(mean), products / max(n, 1)
+    level = np.trace(cov) / max(d, 1)
+    apart = ((cov - level * np.eye(d)) ** 2).sum() / max(d, 1)
+    noise = min(apart, (fourth / max(n, 1) - (cov**2).sum()) / max(d * n, 1))
+    shrink = noise / apart if apart > 0 else 0.0
+    return _form(df, vector, mean, np.linalg.pinv((1 - shrink) * cov + shrink * level * np.eye(d)), "distance", np.sqrt)
+
+
 def regression_residual(df: DataFrame, target: str, load: str, by: Sequence[str]) -> DataFrame:
     """`df` with residual of target on [1, load] per `by`, by the normal equations as one aggregate; null where load doesn't vary."""
     fit = df.groupBy(*by).agg(F.regr_slope(target, load).alias("_b"), F.regr_intercept(target, load).alias("_a"))
@@ -120,15 +196,19 @@ def quadratic_residual(df: DataFrame, target: str, load: str, by: Sequence[str])
     return df.join(fit, list(by)).withColumn("residual", y - F.col("_b0") - F.col("_b1") * x - F.col("_b2") * x * x).drop("_b0", "_b1", "_b2")
 
 
-def walk_forward(df: DataFrame, period: int, lookback: int, least: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+def walk_forward(df: DataFrame, period: int, lookback: int, least: int, keys: Sequence[str] = KEYS, value: str = "value", anchor: int = 0, usable: str | None = None) -> DataFrame:
     """`df` with z by median and MAD of the rows in the `lookback` of time before the start of its period; null with fewer than `least`.
 
+    Periods start at `anchor` and every `period` from there, so a later anchor
+    is another retraining day and a longer period a slower cadence. With
+    `usable` only rows with that flag are fitted to; all are scored.
     A row is copied to the periods whose look-back holds it, ceil(lookback /
     period) at most; all periods are fitted in one job.
     """
-    first = F.floor(F.col("t") / period).cast("long")
+    first = F.floor((F.col("t") - anchor) / period).cast("long")
     copies = -(-lookback // period)
-    train = df.select(*keys, "t", F.col(value).alias("_x"), F.explode(F.sequence(first + 1, first + copies)).alias("_p")).where(F.col("t") >= F.col("_p") * period - lookback)
+    fit = df if usable is None else df.where(F.col(usable))
+    train = fit.select(*keys, "t", F.col(value).alias("_x"), F.explode(F.sequence(first + 1, first + copies)).alias("_p")).where(F.col("t") >= F.col("_p") * period + anchor - lookback)
     mid = train.groupBy(*keys, "_p").agg(F.percentile("_x", 0.5).alias("_m"), F.count("*").alias("_n"))
     mad = train.join(mid, [*keys, "_p"]).groupBy(*keys, "_p", "_m", "_n").agg(F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5).alias("_d"), F.stddev_samp("_x").alias("_s"))
     scale = F.when(F.col("_d") > 0, 1.4826 * F.col("_d")).otherwise(F.col("_s"))
@@ -136,6 +216,37 @@ def walk_forward(df: DataFrame, period: int, lookback: int, least: int, keys: Se
     return out.withColumn("z", F.when((F.col("_n") >= least) & (scale > 0), (F.col(value) - F.col("_m")) / scale)).drop("_p", "_m", "_n", "_d", "_s")
 
 
+def drift_trigger(df: DataFrame, period: int, least: int, level: float, factor: float, reach: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+    """(keys, period, bundle): for each period the period whose start fitted the baseline that serves it.
+
+    A baseline is the median and MAD of the period before it. It serves until
+    the share of rows with |z| above `level`, in the last period served, is
+    more than `factor` times that of its first one; it may serve `reach` periods
+    at most. A period's share under each baseline that may serve it is one
+    grouped sum; choosing is a fold over the few periods of a key.
+    """
+    p = F.floor(F.col("t") / period).cast("long")
+    rows = df.withColumn("_p", p)
+    train = rows.select(*keys, (F.col("_p") + 1).alias("_b"), F.col(value).alias("_x"))
+    mid = train.groupBy(*keys, "_b").agg(F.percentile("_x", 0.5).alias("_m"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    fit = train.join(mid, [*keys, "_b"]).groupBy(*keys, "_b", "_m").agg((1.4826 * F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5)).alias("_s")).where("_s > 0")
+    pairs = rows.withColumn("_b", F.explode(F.sequence(F.col("_p") - reach + 1, F.col("_p")))).join(fit, [*keys, "_b"])
+    duty = pairs.groupBy(*keys, "_p", "_b").agg(F.avg((F.abs(F.col(value) - F.col("_m")) > level * F.col("_s")).cast("double")).alias("_d"))
+    served = duty.groupBy(*keys, "_p").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_d"))).alias("_by"))  # `reach` entries at most
+    state = F.expr("struct(cast(null as long) as b, cast(null as double) as first, cast(null as double) as last, cast(array() as array<struct<period:bigint,bundle:bigint>>) as out)")
+
+    def step(acc: Column, x: Column) -> Column:
+        stale = acc["b"].isNull() | (x["_p"] - acc["b"] >= reach) | (acc["last"] > factor * acc["first"])
+        fitted = F.map_contains_key(x["_by"], x["_p"])
+        b = F.when(F.coalesce(stale, F.lit(True)) & fitted, x["_p"]).when(F.map_contains_key(x["_by"], F.coalesce(acc["b"], F.lit(-1))), acc["b"])
+        share = F.try_element_at(x["_by"], F.coalesce(b, F.lit(-1)))
+        first = F.when(b.eqNullSafe(acc["b"]), acc["first"]).otherwise(share)
+        return F.struct(b.alias("b"), first.alias("first"), share.alias("last"), F.concat(acc["out"], F.array(F.struct(x["_p"].alias("period"), b.alias("bundle")))).alias("out"))
+
+    folded = served.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_p", "_by")), lambda a, b: (a["_p"] - b["_p"]).cast("int")), state, step)["out"].alias("_o"))
+    return folded.select(*keys, F.explode("_o").alias("_o")).select(*keys, "_o.*")
+
+
 def nearest_template(df: DataFrame, templates: DataFrame, vector: str = "x", name: str = "template") -> DataFrame:
     """`df` with the template of least mean squared distance over its components; `templates` (name, y) is small and broadcast."""
     packed = F.broadcast(templates.agg(F.array_sort(F.collect_list(F.struct(name, "y"))).alias("_t")))
@@ -152,8 +263,9 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], key: str, trees: int
     trees * sample nodes, is broadcast to score all rows in batches.
     """
     rows = df.select(key, *columns)
-    draws = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", F.xxhash64(key, "_tree", F.lit(seed)))
-    draws = draws.where(F.col("_h") <= _hash_bound(rows.count(), sample))
+    bound = _hash_bound(rows.count(), sample)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.struct(k.alias("_tree"), F.xxhash64(key, k, F.lit(seed)).alias("_h"))), lambda x: x["_h"] <= bound)
+    draws = rows.withColumn("_d", F.explode(drawn)).select("*", "_d.*").drop("_d")  # a row is copied only to the trees that draw it
     names = list(columns)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from plantwatch.functions.columns import floor_to
+from plantwatch.operators.blocks import with_halo
 
 KEYS = ("asset", "tag")
 
@@ -37,6 +40,18 @@ def shape_features(df: DataFrame, rows: int, keys: Sequence[str] = KEYS, value:
     return df.withColumns({"rms": rms, "std": std, "kurt": unbiased_kurtosis(value, w), "crest": crest, "d1": F.coalesce(F.col(value) - F.lag(value).over(by_time(keys)), F.lit(0.0))})
 
 
+def sibling_spread(df: DataFrame, by: Sequence[str], name: str, value: str = "value", into: str = "spread") -> DataFrame:
+    """`df` with the value less the median of the other rows of the same `by`, the siblings of a machine at a time; rows alone are left out.
+
+    The siblings of one time are few; they are an array beside each of them.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_all", F.collect_list(F.struct(F.col(name), F.col(value))).over(Window.partitionBy(*by)))
+    rows = rows.withColumn("_x", F.sort_array(F.transform(F.filter("_all", lambda s: s[name] != F.col(name)), lambda s: s[value]))).where(F.size("_x") > 0)
+    n = F.size("_x")
+    middle = (F.get("_x", F.floor((n - 1) / 2).cast("int")) + F.get("_x", F.floor(n / 2).cast("int"))) / 2
+    return rows.withColumn(into, F.col(value) - middle).drop("_all", "_x")
+
+
 def slope(value: Column | str, pos: Column | str, rows: int, keys: Sequence[str] = KEYS, coverage: float = 1.0) -> Column:
     """Least-squares slope over the last `rows` rows; 0 where fewer than `coverage` of them have values."""
     w = back(rows, keys)
@@ -58,18 +73,56 @@ def rank_percent(df: DataFrame, keys: Sequence[str], value: str = "value", into:
     return df.withColumn(into, F.when(F.col(value).isNotNull(), (2 * lowest + ties - 1) / (2.0 * F.count(value).over(w))))
 
 
-def rolling_rank(df: DataFrame, keys: Sequence[str], width: int, value: str = "value") -> DataFrame:
-    """(keys, t, rank_pct): rank of each value among those of the last `width` of time, itself among them, ties averaged.
+def order_statistics(df: DataFrame, keys: Sequence[str], back: int, ahead: int, block: int, share: float = 0.5, value: str = "value") -> DataFrame:
+    """`df` with n, quantile and rank_pct of the values with t in [t - back, t + ahead] of the same keys.
 
-    A bucketed self range join: a row meets only rows of its own bucket of time
-    and of the one before.
+    quantile is the `share` quantile, linear between ranks; rank_pct the row's
+    own rank over n, ties averaged. Both are null where the frame is empty, and
+    rank_pct for a null value. A key is dealt to tasks by blocks of `block` of
+    time with a halo; in a task the frame is a sorted list that each row enters
+    and leaves once, so the cost doesn't grow with rows times frame.
     """
-    left = df.where(F.col(value).isNotNull()).select(*keys, "t", F.col(value).alias("_x"))
-    probe = left.withColumn("_k", F.explode(F.array(floor_to(F.col("t"), width), floor_to(F.col("t"), width) - width)))
-    right = left.select(*keys, F.col("t").alias("_u"), F.col("_x").alias("_y")).withColumn("_k", floor_to(F.col("_u"), width))
-    met = probe.join(right, [*keys, "_k"]).where((F.col("_u") <= F.col("t")) & (F.col("_u") > F.col("t") - width))
-    less, same = F.count_if(F.col("_y") < F.col("_x")), F.count_if(F.col("_y") == F.col("_x"))
-    return met.groupBy(*keys, "t").agg(((2 * less + same + 1) / (2.0 * F.count("*"))).alias("rank_pct"))
+    kind = {"n": "long", "quantile": "double", "rank_pct": "double"}
+    columns = df.columns
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t", kind="stable", ignore_index=True)
+        t, x, own = group["t"].to_numpy(np.int64), group[value].to_numpy(float, na_value=np.nan), group["_own"].to_numpy(bool)
+        first, last = np.searchsorted(t, t - back, "left"), np.searchsorted(t, t + ahead, "right")
+        held: list[float] = []
+        lo = hi = 0
+        out = np.full((len(t), 3), np.nan)
+        for i in np.flatnonzero(own):
+            for v in x[hi : last[i]]:
+                if v == v:
+                    insort(held, v)
+            hi = max(hi, last[i])
+            for v in x[lo : first[i]]:
+                if v == v:
+                    del held[bisect_left(held, v)]
+            lo = max(lo, first[i])
+            n = out[i, 0] = len(held)
+            if n:
+                place = (n - 1) * share
+                k = int(place)
+                out[i, 1] = held[k] if k == place else held[k] + (held[k + 1] - held[k]) * (place - k)
+                if x[i] == x[i]:
+                    less, to = bisect_left(held, x[i]), bisect_right(held, x[i])
+                    out[i, 2] = (less + to + 1) / (2.0 * n)
+        made = group[own][columns].copy()
+        for k, name in enumerate(kind):
+            made[name] = out[own, k] if k else out[own, k].astype(np.int64)
+        return made
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{k} {v}" for k, v in kind.items()])
+    made = with_halo(df, block, max(back, 0), max(ahead, 0)).groupBy(*keys, "_block").applyInPandas(run, schema)
+    return made.withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in ("quantile", "rank_pct")})
+
+
+def rolling_rank(df: DataFrame, keys: Sequence[str], width: int, value: str = "value", block: int | None = None) -> DataFrame:
+    """(keys, t, rank_pct): rank of each value among those of the last `width` of time, itself among them, ties averaged; rows without a value are left out."""
+    rows = order_statistics(df.where(F.col(value).isNotNull()), keys, width - 1, 0, block or 2 * width, value=value)
+    return rows.select(*keys, "t", "rank_pct")
 
 
 def spectral_bands(df: DataFrame, rows: int, stride: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.functions.columns import floor_to
 from plantwatch.operators.blocks import decayed_sums, row_numbers
 from plantwatch.operators.episodes import runs
 
@@ -51,11 +52,21 @@ def ewma_recursive(df: DataFrame, half_life: float, keys: Sequence[str] = KEYS,
     return rows.withColumn("_e", s).withColumn(into, F.coalesce(F.last("_e", ignorenulls=True).over(_w(keys).rowsBetween(Window.unboundedPreceding, 0)), F.col("_f"))).drop("_known", "_k", "_s", "_f", "_e")
 
 
-def cusum(df: DataFrame, drift: float, keys: Sequence[str] = KEYS, z: str = "z", into: str = "cusum") -> DataFrame:
-    """`df` with S = max(0, S + z - drift): the running sum less its least value so far, 0 at most; null z adds nothing."""
-    run = _w(keys).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_c", F.sum(F.coalesce(F.col(z) - drift, F.lit(0.0))).over(run))
-    return rows.withColumn(into, F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(run))).drop("_c")
+def cusum(df: DataFrame, drift: float, keys: Sequence[str] = KEYS, z: str = "z", into: str = "cusum", block: int = 30 * 86_400 * 1_000_000) -> DataFrame:
+    """`df` with S = max(0, S + z - drift): the running sum less its least value so far, 0 at most; null z adds nothing.
+
+    Sums and least values run within blocks of `block` of time; the blocks
+    before add their total and their least value, a window over one row a block.
+    """
+    step = F.coalesce(F.col(z) - drift, F.lit(0.0))
+    run = Window.partitionBy(*keys, "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_b", floor_to(F.col("t"), block)).withColumn("_c", F.sum(step).over(run)).withColumn("_m", F.min("_c").over(run))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_b").agg(F.sum(step).alias("_sum"), F.min("_c").alias("_least"))
+    ends = ends.withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    ends = ends.withColumn("_low", F.coalesce(F.min(F.col("_carry") + F.col("_least")).over(before), F.lit(0.0))).drop("_sum", "_least")
+    low = F.least(F.lit(0.0), F.col("_low"), F.col("_carry") + F.col("_m"))
+    return rows.join(ends, [*keys, "_b"]).withColumn(into, F.col("_carry") + F.col("_c") - low).drop("_b", "_c", "_m", "_carry", "_low")
 
 
 def cusum_segments(df: DataFrame, drift: float, reset: str, load: float, keys: Sequence[str] = KEYS, z: str = "z", into: str = "cusum") -> DataFrame:
@@ -174,3 +185,25 @@ def escalate(df: DataFrame, keys: Sequence[str], flag: str, strength: str, age:
     seen = F.sum(F.col("_high").cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0)) > 0
     rows = rows.withColumn("_part", F.when(seen, 1).otherwise(0))
     return rows.withColumn("episode", F.when(F.col(flag), F.concat_ws("-", "_run", "_part"))).drop("_run", "_high", "_part")
+
+
+def state_of_value(df: DataFrame, keys: Sequence[str], long_off: int, pad: int, off_share: float = 0.05, jump_share: float = 0.99, off_limit: float | None = None, value: str = "value") -> DataFrame:
+    """`df` with state from the value alone: off_short, off_long, transient or on.
+
+    Off is a value at or below `off_limit`, or the `off_share` quantile of its
+    key. A run of off is long from as many rows as `long_off` has median steps.
+    On rows within `pad` of the edge of a run, and those that differ from the
+    row before by the `jump_share` quantile of such differences or more, are
+    transient.
+    """
+    w = _w(keys)
+    rows = df.withColumn("_d", F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)), F.lit(0.0))).withColumn("_step", F.col("t") - F.lag("t").over(w))
+    off = F.percentile(value, off_share) if off_limit is None else F.lit(off_limit)
+    limits = rows.groupBy(*keys).agg(off.alias("_off"), F.percentile("_d", jump_share).alias("_jump"), F.greatest(F.lit(1.0), F.ceil(long_off / F.percentile("_step", 0.5))).alias("_long"))
+    rows = rows.join(limits, list(keys)).withColumn("_is", F.col(value) <= F.col("_off"))
+    rows = runs(rows, keys, "_is", "_run").withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "_run")))
+    edge = F.coalesce((F.col("_is") != F.lag("_is").over(w)).cast("int"), F.lit(0))
+    rows = rows.withColumn("_edge", edge).withColumn("_near", F.max("_edge").over(w.rangeBetween(-pad, pad)) == 1)
+    jump = (F.col("_jump") > 0) & (F.col("_d") >= F.col("_jump"))
+    state = F.when(F.col("_is"), F.when(F.col("_size") >= F.col("_long"), "off_long").otherwise("off_short")).when(F.col("_near") | jump, "transient").otherwise("on")
+    return rows.withColumn("state", state).select(*df.columns, "state")

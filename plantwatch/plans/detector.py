@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import HOUR, floor_to
@@ -15,12 +15,22 @@ from plantwatch.operators.clean import mask_range, since_start
 KEYS = ("asset", "tag")
 
 
-def smoothed_alerts(df: DataFrame, half_life: int, threshold: float, debounce: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """`df` with ewma and alert: the mean is above the threshold and its run has lasted `debounce`."""
-    rows = state.ewma_time(df, half_life, keys).withColumn("_up", F.coalesce(F.col("ewma") > threshold, F.lit(False)))
-    rows = episodes.runs(rows, keys, "_up", "_run")
-    age = F.col("t") - F.min("t").over(Window.partitionBy(*keys, "_run"))
-    return rows.withColumn("alert", F.col("_up") & (age >= debounce)).drop("_up", "_run")
+def points_of(df: DataFrame, span: int, keys: Sequence[str] = KEYS, into: str = "points") -> DataFrame:
+    """`df` with the number of rows that a key has in `span` of time, by the median step of its times; one at least."""
+    step = F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))
+    sizes = df.withColumn("_d", step).groupBy(*keys).agg(F.greatest(F.lit(1.0), F.round(F.lit(span) / F.percentile("_d", 0.5))).alias(into))
+    return df.join(sizes, list(keys))
+
+
+def smoothed_alerts(df: DataFrame, half_life: int, threshold: float, least: int | str, keys: Sequence[str] = KEYS, off: Column | None = None) -> DataFrame:
+    """`df` with ewma and alert: the mean is at the threshold or above, the machine isn't `off`, and so for `least` rows in a row.
+
+    `least` is a number or a column. A run of fewer rows has no alert at all, a
+    longer one has it from its first row on.
+    """
+    up = F.coalesce(F.col("ewma") >= threshold, F.lit(False))
+    rows = state.ewma_time(df, half_life, keys).withColumn("alert", up if off is None else up & ~off)
+    return episodes.drop_short_runs(rows, keys, "alert", F.col(least) if isinstance(least, str) else least)
 
 
 def excursions(readings: DataFrame, incidents: DataFrame, half_life: int = 2 * HOUR, quantile: float = 0.9, sustain: int = 2, gap: int = 6 * HOUR, horizon: int = 12 * HOUR) -> DataFrame:

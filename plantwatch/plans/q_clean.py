@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions import columns as C
 from plantwatch.functions.columns import HOUR
-from plantwatch.operators import clean
+from plantwatch.operators import blocks, clean
 from plantwatch.operators.align import aligned, leave_one_out
 from plantwatch.operators.blocks import rolling
 from plantwatch.plans import tables as T
@@ -145,7 +145,8 @@ def b18(spark: SparkSession, d: str) -> DataFrame:
     x as (select *, abs(value - m) as dev, quantile_cont(abs(value - m), 0.5) over (partition by asset, tag order by t rows between 2 preceding and 2 following) as mad from m)
     select asset, tag, t, round(case when dev > 3 * 1.4826 * mad then m else value end, 6) as cleaned from x""")
 def b19(spark: SparkSession, d: str) -> DataFrame:
-    return clean.hampel(T.readings(spark, d), 2).select("asset", "tag", "t", r6("cleaned").alias("cleaned"))
+    rows = blocks.by_rows(T.readings(spark, d), ("asset", "tag"), 4, lambda x, keys: clean.hampel(x, 2, keys=keys), ahead=4)
+    return rows.select("asset", "tag", "t", r6("cleaned").alias("cleaned"))
 
 
 @query("b20_clip_mad", f"""with {T.READINGS}, m as (select asset, tag, quantile_cont(value, 0.5) as m from readings group by all),

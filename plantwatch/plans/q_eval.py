@@ -51,12 +51,17 @@ def j04(spark: SparkSession, d: str) -> DataFrame:
     return z.select(*KEYS, "t", r6(e).alias("score"), ((F.count("*").over(w) == 6) & (e > 1)).alias("is_anom"))
 
 
-@query("j05_production_alerting", f"""with {T.READINGS}, e as (select a.asset, a.tag, a.t, sum(b.value * power(0.5, (a.t - b.t) / 21600000000.0)) / sum(power(0.5, (a.t - b.t) / 21600000000.0)) as m from readings a join readings b on a.asset = b.asset and a.tag = b.tag and b.t <= a.t group by all),
-    f as (select *, m > 60 as up, lag(m > 60) over ({_P}) as p from e), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from f) select asset, tag, t, up and t - min(t) over (partition by asset, tag, run) >= 3600000000 as alert from g""")
+@query("j05_production_alerting", f"""with {T.RUNNING}, e as (select a.asset, a.tag, a.t, sum(b.value * power(0.5, (a.t - b.t) / 21600000000.0)) / sum(power(0.5, (a.t - b.t) / 21600000000.0)) as m from readings a join readings b on a.asset = b.asset and a.tag = b.tag and b.t <= a.t group by all),
+    s as (select asset, tag, greatest(1, round(3600000000 / quantile_cont(dt, 0.5))) as need from (select *, t - lag(t) over ({_P}) as dt from readings) group by all),
+    f as (select e.*, m >= 60 and coalesce(r."on", false) as up from e left join running r on r.asset = e.asset and r.t = e.t // 3600000000 * 3600000000), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from (select *, lag(up) over ({_P}) as p from f))
+    select asset, tag, t, up and count(*) over (partition by asset, tag, run) >= need as alert from g join s using (asset, tag)""")
 def j05(spark: SparkSession, d: str) -> DataFrame:
-    from plantwatch.plans.detector import smoothed_alerts
+    from plantwatch.functions.columns import floor_to
+    from plantwatch.plans.detector import points_of, smoothed_alerts
 
-    return smoothed_alerts(T.readings(spark, d), 6 * HOUR, 60.0, HOUR).select(*KEYS, "t", "alert")
+    on = T.running(spark, d).select("asset", F.col("t").alias("hour"), ~F.col("on")).toDF("asset", "hour", "off")
+    rows = points_of(T.readings(spark, d), HOUR).withColumn("hour", floor_to(F.col("t"), HOUR)).join(on, ["asset", "hour"], "left")
+    return smoothed_alerts(rows, 6 * HOUR, 60.0, "points", off=F.coalesce("off", F.lit(True))).select(*KEYS, "t", "alert")
 
 
 @query("j06_calibrated_threshold", f"""with {_Z} select asset, tag, round(avg(value) + 3 * stddev_pop(value), 6) as k_sigma, round(quantile_cont(value, 0.95), 6) as q95, round((quantile_cont(value, 0.95) - avg(value)) / stddev_pop(value), 6) as equivalent_k from zs where t < 1705276800000000 group by all""")
@@ -68,14 +73,12 @@ def j06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j07_pca_residual")
 def j07(spark: SparkSession, d: str) -> DataFrame:
-    v = T.table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    return models.pca_residual(v, [f"x{i}" for i in range(8)], 0.8).select("vec_id", r6("residual").alias("residual"))
+    return models.pca_residual_of_vectors(T.table(spark, d, "embeddings"), "embedding", 0.8).select("vec_id", r6("residual").alias("residual"))
 
 
 @query("j09_mahalanobis")
 def j09(spark: SparkSession, d: str) -> DataFrame:
-    v = T.table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)))
-    return models.mahalanobis(v, [f"x{i}" for i in range(6)]).select("vec_id", r6("distance").alias("distance"))
+    return models.mahalanobis_of_vectors(T.table(spark, d, "embeddings"), "embedding").select("vec_id", r6("distance").alias("distance"))
 
 
 _WEEK = "604800000000"
@@ -95,9 +98,9 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy(*KEYS).agg(r6(q(2) / q(1)).alias("ratio"))
 
 
-@query("j14_bearing_spread", f"""with {T.BINS}, s as (select *, value - quantile_cont(value, 0.5) over (partition by asset, t) as spread from bins), m as (select asset, tag, quantile_cont(spread, 0.5) as m from s group by all), q as (select s.asset, s.tag, m, quantile_cont(abs(spread - m), 0.5) as mad from s join m using (asset, tag) group by all) select s.asset, s.tag, s.t, round(abs((spread - m) / nullif(mad, 0)), 6) as z from s join q using (asset, tag)""")
+@query("j14_bearing_spread", f"""with {T.BINS}, o as (select a.asset, a.tag, a.t, any_value(a.value) - quantile_cont(b.value, 0.5) as spread from bins a join bins b on a.asset = b.asset and a.t = b.t and a.tag <> b.tag group by all), m as (select asset, tag, quantile_cont(spread, 0.5) as m from o group by all), q as (select o.asset, o.tag, m, quantile_cont(abs(spread - m), 0.5) as mad from o join m using (asset, tag) group by all) select o.asset, o.tag, o.t, round(abs((spread - m) / nullif(mad, 0)), 6) as z from o join q using (asset, tag)""")
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    s = T.bins(spark, d).withColumn("spread", F.col("value") - F.percentile("value", 0.5).over(Window.partitionBy("asset", "t")))
+    s = rolling.sibling_spread(T.bins(spark, d), ["asset", "t"], "tag")
     m = s.groupBy(*KEYS).agg(F.percentile("spread", 0.5).alias("m"))
     q = s.join(m, KEYS).groupBy(*KEYS, "m").agg(F.percentile(F.abs(F.col("spread") - F.col("m")), 0.5).alias("mad"))
     return s.join(q, KEYS).select(*KEYS, "t", r6(F.abs(F.when(F.col("mad") != 0, (F.col("spread") - F.col("m")) / F.col("mad")))).alias("z"))
@@ -129,8 +132,14 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
     return models.quadratic_residual(loaded(spark, d), "y", "load", ["asset"]).select("asset", "t", F.round("residual", 4).alias("residual"))
 
 
+_SPREAD = "list_sum(list_transform(x, lambda v: power(v - list_avg(x), 2)))"
+_LAG = lambda k: f"round(list_sum(list_transform(range(1, {17 - k}), lambda i: (x[i] - list_avg(x)) * (x[i + {k}] - list_avg(x)))) / nullif({_SPREAD}, 0), 6) as lag{k}"
+_MOMENT = lambda k: f"list_avg(list_transform(x, lambda v: power(v - list_avg(x), {k})))"
+
+
 @query("j20_window_statistics", f"""with {_WIN} select asset, tag, seq, round(list_avg(x), 6) as mean, round(list_stddev_pop(x), 6) as std, list_min(x) as low, list_max(x) as top, round(list_max(x) - list_min(x), 6) as "range",
-    round(list_sum(list_transform(range(1, 16), lambda i: (x[i] - list_avg(x)) * (x[i + 1] - list_avg(x)))) / nullif(list_sum(list_transform(x, lambda v: power(v - list_avg(x), 2))), 0), 6) as lag1, round(list_sum(list_transform(range(1, 17), lambda i: (i - 8.5) * (x[i] - list_avg(x)))) / 340, 6) as slope from win""")
+    {_LAG(1)}, {_LAG(2)}, round(list_sum(list_transform(range(1, 17), lambda i: (i - 8.5) * (x[i] - list_avg(x)))) / 340, 6) as slope, {', '.join(f"round(list_aggregate(x, 'quantile_cont', {q}), 6) as p{round(100 * q)}" for q in (0.1, 0.25, 0.75, 0.9))},
+    round({_MOMENT(3)} / power(nullif({_MOMENT(2)}, 0), 1.5), 6) as skew, round({_MOMENT(4)} / power(nullif({_MOMENT(2)}, 0), 2) - 3, 6) as kurt from win""")
 def j20(spark: SparkSession, d: str) -> DataFrame:
     s = models.window_statistics(F.col("x"))
     return windows(spark, d).select(*KEYS, "seq", *((c if k in ("low", "top") else r6(c)).alias(k) for k, c in s.items()))
@@ -139,8 +148,8 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
 @query("j21_isolation_forest")
 def j21(spark: SparkSession, d: str) -> DataFrame:
     s = models.window_statistics(F.col("x"))
-    feats = windows(spark, d).select(F.concat_ws("/", *KEYS, "seq").alias("window"), *(s[k].alias(k) for k in ("mean", "std", "top", "slope")))
-    return models.isolation_scores(feats, ["mean", "std", "top", "slope"], "window").select("window", r6("score").alias("score"))
+    feats = windows(spark, d).select(F.concat_ws("/", *KEYS, "seq").alias("window"), *(F.coalesce(c, F.lit(0.0)).alias(k) for k, c in s.items()))
+    return models.isolation_scores(feats, list(s), "window", trees=200).select("window", r6("score").alias("score"))
 
 
 @query("j22_nearest_template", """with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings), p as (select a.vec_id, b.vec_id as template, list_avg(list_transform(range(1, len(a.x) + 1), lambda i: power(a.x[i] - b.x[i], 2))) as dist from v a join v b on b.vec_id < 5)
@@ -185,6 +194,12 @@ def k01(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("asset").agg(F.count("*").alias("incidents"), F.count("first").alias("hits"), r6(F.count("first") / F.count("*")).alias("recall"), r6(F.percentile((F.col("t") - F.col("first")) / 6e7, 0.5)).alias("lead_min"))
 
 
+def per_day(counted: DataFrame, rows: DataFrame) -> DataFrame:
+    """`counted` with false_per_day over the days from the first to the last of `rows`, one number."""
+    days = rows.agg(((F.max("t") - F.min("t")) / 8.64e10).alias("_days"))
+    return counted.crossJoin(F.broadcast(days)).withColumn("false_per_day", F.col("false_per_day") / F.col("_days")).drop("_days")
+
+
 def _grid_alerts(spark: SparkSession, d: str) -> DataFrame:
     y = F.explode(F.sequence(F.lit(30), F.lit(150), F.lit(20)))
     return T.readings(spark, d).where("tag = 'purchase'").withColumn("y", y).where("value > y").select("y", "asset", "t")
@@ -195,19 +210,13 @@ _CURVE = f"""{T.INCIDENTS}, {T.READINGS}, g as (select unnest(generate_series(30
     mm as (select i.y, i.asset, i.t, (select min(a.t) from a where a.y = i.y and a.asset = i.asset and a.t between i.t - 28800000000 and i.t) as first from (select * from incidents cross join (select distinct y from a)) i),
     e as (select *, sum(case when t - p <= 21600000000 then 0 else 1 end) over (partition by y, asset order by t rows unbounded preceding) as e from (select *, lag(t) over (partition by y, asset order by t) as p from a)), ep as (select y, asset, e, min(t) as s, max(t) as b from e group by all),
     fl as (select y, count(*) as n, count(*) filter (where not exists (select 1 from incidents i where i.asset = ep.asset and ep.s <= i.t and ep.b >= i.t - 28800000000)) as f from ep group by y),
-    curve as (select y, avg(case when first is not null then 1.0 else 0 end) as recall, quantile_cont((t - first) / 3.6e9, 0.5) as lead_h, any_value(n) as episodes, any_value(f) / 30.0 as false_per_day from mm join fl using (y) group by y)"""
+    curve as (select y, avg(case when first is not null then 1.0 else 0 end) as recall, quantile_cont((t - first) / 3.6e9, 0.5) as lead_h, any_value(n) as episodes, any_value(f) / (select (max(t) - min(t)) / 8.64e10 from readings) as false_per_day from mm join fl using (y) group by y)"""
 _CURVE = _CURVE.replace("""m as (select y, i.asset, i.t, min(a.t) as first from (select * from incidents cross join (select distinct y from a)) i left join a using (y) where a.t is null or true group by all),
     """, "")
 
 
 def curve(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.predictive_curve(_grid_alerts(spark, d), T.incidents(spark, d), ["asset"], 8 * HOUR, 6 * HOUR, 30.0, ["y"])
-
-
-@query("k03_predictive_curve", f"with {_CURVE} select y, round(recall, 6) as recall, round(lead_h, 6) as lead_h, episodes, round(false_per_day, 6) as false_per_day from curve")
-def k03(spark: SparkSession, d: str) -> DataFrame:
-    c = curve(spark, d)
-    return c.select(F.col("y").cast("long").alias("y"), r6("recall").alias("recall"), r6("lead_h").alias("lead_h"), "episodes", r6("false_per_day").alias("false_per_day"))
+    return per_day(evaluate.predictive_curve(_grid_alerts(spark, d), T.incidents(spark, d), ["asset"], 8 * HOUR, 6 * HOUR, F.lit(1.0), ["y"]), T.readings(spark, d))
 
 
 @query("f01_operating_point", f"with {_CURVE} select y, round(recall, 6) as recall from curve order by (false_per_day <= 2) desc, recall desc, y limit 1")
@@ -244,12 +253,22 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return align.range_join(T.incidents(spark, d), rows, ["asset"], DAY, 0).groupBy("asset", "t").agg(F.min("u").alias("first_t"))
 
 
-@query("k05_recall_false_duty", f"""with {_ALERTS}, {T.RUNNING.removeprefix(T.READINGS + ', ')}, s as (select g.asset, g.t, g."on", exists (select 1 from a where a.asset = g.asset and a.t between g.t - 14400000000 and g.t) as alert from running g) select asset, round(avg(case when alert then 1.0 else 0 end) filter (where "on"), 6) as duty, count(*) filter (where "on") as on_rows from s group by asset""")
+@query("k05_recall_false_duty", f"""with {_ALERTS}, {T.RUNNING.removeprefix(T.READINGS + ', ')}, s as (select g.asset, g.t, g."on", exists (select 1 from a where a.asset = g.asset and a.t between g.t - 14400000000 and g.t) as alert from running g),
+    y as (select asset, avg(case when alert then 1.0 else 0 end) filter (where "on") as duty, count(*) filter (where "on") as on_rows, (max(t) - min(t)) / 8.64e10 as days from s group by asset),
+    m as (select asset, avg(case when exists (select 1 from a where a.asset = i.asset and a.t between i.t - 28800000000 and i.t) then 1.0 else 0 end) as recall from incidents i group by asset),
+    e as (select *, sum(case when t - p <= 21600000000 then 0 else 1 end) over (partition by asset order by t rows unbounded preceding) as e from (select *, lag(t) over (partition by asset order by t) as p from a)), ep as (select asset, e, min(t) as s, max(t) as b from e group by all),
+    f as (select asset, count(*) as f from ep where not exists (select 1 from incidents i where i.asset = ep.asset and ep.s <= i.t and ep.b >= i.t - 28800000000) group by asset)
+    select y.asset, round(recall, 6) as recall, round(coalesce(f, 0) / days, 6) as false_per_day, round(duty, 6) as duty, on_rows from y left join m using (asset) left join f using (asset)""")
 def k05(spark: SparkSession, d: str) -> DataFrame:
     from plantwatch.operators.clean import near_events
 
-    s = near_events(T.running(spark, d), alerts(spark, d), ["asset"], 0, 4 * HOUR, "alert")
-    return s.groupBy("asset").agg(r6(F.avg(F.when(F.col("on"), F.col("alert").cast("double")))).alias("duty"), F.count_if("on").alias("on_rows"))
+    said, real = alerts(spark, d), T.incidents(spark, d)
+    s = near_events(T.running(spark, d), said, ["asset"], 0, 4 * HOUR, "alert")
+    duty = s.groupBy("asset").agg(F.avg(F.when(F.col("on"), F.col("alert").cast("double"))).alias("duty"), F.count_if("on").alias("on_rows"), ((F.max("t") - F.min("t")) / 8.64e10).alias("days"))
+    hit = evaluate.match(said, real, ["asset"], 8 * HOUR).groupBy("asset").agg(F.avg(F.col("first").isNotNull().cast("double")).alias("recall"))
+    false = evaluate.false_episodes(said, real, ["asset"], 6 * HOUR, 8 * HOUR).groupBy("asset").agg(F.count("*").alias("f"))
+    out = duty.join(hit, "asset", "left").join(false, "asset", "left")
+    return out.select("asset", r6("recall").alias("recall"), r6(F.coalesce("f", F.lit(0)) / F.col("days")).alias("false_per_day"), r6("duty").alias("duty"), "on_rows")
 
 
 @query("k07_birth_rule", f"""with {_EPISODES}, {T.INCIDENTS} select i.asset, i.t, coalesce(bool_or(e.start between i.t - 86400000000 and i.t), false) as born, coalesce(bool_or(e.start between i.t - 86400000000 and i.t - 7200000000), false) as actionable from incidents i left join ep e on e.asset = i.asset and e.start between i.t - 86400000000 and i.t group by all""")
@@ -345,10 +364,32 @@ def k25(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.shifted_overlap(rows, ["asset"], "gate", "alert", [0, 7, 31])
 
 
-@query("k27_binomial_and_poisson_tests", f"""with {_LABEL}, g as (select tag, least(count(*) filter (where bad and value > 60), 40) as k, 60 as n from lab group by tag) select tag, k, round((select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7))) from (select unnest(generate_series(k, n)) as i)), 6) as p_binomial from g""")
+_NEAR = f"""{_LABEL}, g as (select tag, count(*) filter (where bad and value > 60) as k, count(*) filter (where value > 60) as n, count(*) filter (where bad) as c, count(*) as whole from lab group by tag)"""
+
+
+def _near_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(tag, k, n, c, whole): high readings near incidents, high readings, readings near incidents, readings."""
+    high, bad = F.col("value") > 60, F.col("bad")
+    return labelled(spark, d).groupBy("tag").agg(F.count_if(bad & high).alias("k"), F.count_if(high).alias("n"), F.count_if(bad).alias("c"), F.count("*").alias("whole"))
+
+
+@query("k27_binomial_and_poisson_tests", f"""with {_NEAR}, b as (select tag, k, n, c / whole as p from g) select tag, k, n, round(case when k = 0 then 1 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))) from (select unnest(generate_series(k, n)) as i)) end, 6) as p_binomial,
+    round(case when k = 0 then 1 else 1 - (select sum(exp(i * ln(n * p) - n * p - lgamma(i + 1))) from (select unnest(generate_series(0, k - 1)) as i)) end, 6) as p_poisson from b""")
 def k27(spark: SparkSession, d: str) -> DataFrame:
-    g = labelled(spark, d).groupBy("tag").agg(F.least(F.count_if(F.col("bad") & (F.col("value") > 60)), F.lit(40)).alias("k"))
-    return g.select("tag", "k", r6(evaluate.binomial_tail(F.col("k"), F.lit(60), F.lit(0.3))).alias("p_binomial"))
+    g = _near_counts(spark, d).withColumn("p", F.col("c") / F.col("whole"))
+    poisson = evaluate.poisson_tail(F.col("k"), F.col("n") * F.col("p"))
+    return g.select("tag", "k", "n", r6(evaluate.binomial_tail(F.col("k"), F.col("n"), F.col("p"))).alias("p_binomial"), r6(poisson).alias("p_poisson"))
+
+
+@query("k27_fisher_exact", f"""with {_NEAR} select tag, k, round((select sum(exp(lgamma(n + 1) + lgamma(whole - n + 1) + lgamma(c + 1) + lgamma(whole - c + 1) - lgamma(whole + 1) - lgamma(i + 1) - lgamma(n - i + 1) - lgamma(c - i + 1) - lgamma(whole - n - c + i + 1))) from (select unnest(generate_series(k, least(n, c))) as i)), 6) as p_fisher from g""")
+def k27_fisher(spark: SparkSession, d: str) -> DataFrame:
+    return _near_counts(spark, d).select("tag", "k", r6(evaluate.fisher_tail(F.col("k"), F.col("n"), F.col("c"), F.col("whole"))).alias("p_fisher"))
+
+
+@query("k27_mann_whitney", f"""with {_LABEL}, r as (select *, rank() over (partition by tag order by value) + (count(*) over (partition by tag, value) - 1) / 2.0 as r, cast(count(*) over (partition by tag, value) as double) as c from lab), g as (select tag, sum(r) filter (where bad) as s, cast(count(*) filter (where bad) as double) as a, cast(count(*) filter (where not bad) as double) as b, sum(c * c - 1) as ties from r group by tag)
+    select tag, round(s - a * (a + 1) / 2, 6) as u, round((s - a * (a + 1) / 2 - a * b / 2) / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))), 6) as z from g""")
+def k27_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mann_whitney(labelled(spark, d), ["tag"], "value", "bad").select("tag", r6("u").alias("u"), r6("z").alias("z"))
 
 
 @query("k30_campaign_duty", f"""with {T.RUNNING}, s as (select *, case when "on" and not coalesce(lag("on") over (partition by asset order by t), false) then 1 else 0 end as st from running), c as (select *, sum(st) over (partition by asset order by t rows unbounded preceding) as campaign from s) select c.asset, campaign, count(*) as hours, count(b.value) filter (where b.value > 60) as alert_hours from c left join bins b on b.asset = c.asset and b.t = c.t and b.tag = 'purchase' where "on" group by all having count(*) >= 6""")

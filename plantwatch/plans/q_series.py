@@ -292,7 +292,7 @@ _BACK = "over (partition by asset, tag order by t rows between 11 preceding and
 @query("e01_rolling_shape", f"""with {T.READINGS} select asset, tag, t, round(sqrt(avg(value * value) {_BACK}), 6) as rms, round(coalesce(stddev_samp(value) {_BACK}, 0), 6) as std, round(coalesce(max(abs(value)) {_BACK} / nullif(sqrt(avg(value * value) {_BACK}), 0), 0), 6) as crest,
     round(coalesce(value - lag(value) over (partition by asset, tag order by t), 0), 6) as d1, round(case when count(*) {_BACK} >= 4 then coalesce(kurtosis(value) {_BACK}, 0) else 0 end, 4) as kurt from readings""")
 def e01(spark: SparkSession, d: str) -> DataFrame:
-    rows = rolling.shape_features(T.readings(spark, d), 12)
+    rows = blocks.by_rows(T.readings(spark, d), KEYS, 12, lambda x, keys: rolling.shape_features(x, 12, keys))
     return rows.select("asset", "tag", "t", *(r6(c).alias(c) for c in ("rms", "std", "crest", "d1")), F.round("kurt", 4).alias("kurt"))
 
 
@@ -347,8 +347,8 @@ def e09(spark: SparkSession, d: str) -> DataFrame:
 def e10(spark: SparkSession, d: str) -> DataFrame:
     rows = T.readings(spark, d)
     overall = rows.groupBy(*KEYS).agg(F.percentile("value", 0.9).alias("g"))
-    wide = blocks.rolling(rows, KEYS, 5 * DAY, {"n": lambda w: F.count("value").over(w), "q": lambda w: F.percentile("value", 0.9).over(w)}, ahead=-1, block=10 * DAY)
-    return wide.join(overall, KEYS).select("asset", "tag", "t", r6(F.when(F.col("n") >= 30, F.col("q")).otherwise(F.col("g"))).alias("thr"))
+    wide = rolling.order_statistics(rows, KEYS, 5 * DAY, -1, 10 * DAY, 0.9)
+    return wide.join(overall, KEYS).select("asset", "tag", "t", r6(F.when(F.col("n") >= 30, F.col("quantile")).otherwise(F.col("g"))).alias("thr"))
 
 
 @query("e11_rolling_rank", f"""with {T.READINGS} select a.asset, a.tag, a.t, round((2 * count(*) filter (where b.value < a.value) + count(*) filter (where b.value = a.value) + 1) / (2.0 * count(*)), 6) as rank_pct from readings a join readings b on b.asset = a.asset and b.tag = a.tag and b.t <= a.t and b.t > a.t - 432000000000 group by all""")

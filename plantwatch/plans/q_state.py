@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR
-from plantwatch.operators import align, clean, episodes, state
+from plantwatch.operators import align, blocks, clean, episodes, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_series import _EPISODES, KEYS, W, alert_episodes
-from plantwatch.plans.registry import SQL, query
+from plantwatch.plans.registry import QUERIES, SQL, query
 
 _P = "partition by asset, tag order by t"
 _Z = f"""{T.READINGS}, p as (select asset, tag, avg(value) as mu, stddev_pop(value) as sd from readings group by all), zs as (select asset, tag, t, value, (value - mu) / sd as z from readings join p using (asset, tag))"""
@@ -24,27 +22,10 @@ def z_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(p, KEYS).select(*KEYS, "t", "value", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
-def every_series(name: str) -> str:
-    """The SQL of a query that takes a subset of the series, over all of them."""
-    whole = re.sub(r" where (tag in \('click', 'view'\) and )?asset < \d", "", SQL[name])
-    if whole == SQL[name]:
-        raise ValueError(f"{name} has no subset")
-    return whole
-
-
-@query("i01_ewma_points", f"""with {T.GRID}, n as (select *, row_number() over ({_P}) as k from grid where tag in ('click', 'view') and asset < 3)
+@query("i01_ewma_points", f"""with {T.GRID}, n as (select *, row_number() over ({_P}) as k from grid)
     select a.asset, a.tag, a.t, round(sum(b.value * power(0.5, (a.k - b.k) / 12.0)) / sum(case when b.value is not null then power(0.5, (a.k - b.k) / 12.0) end), 6) as ewma from n a join n b on a.asset = b.asset and a.tag = b.tag and b.k <= a.k group by all""")
 def i01(spark: SparkSession, d: str) -> DataFrame:
-    return _ewma_points(T.grid(spark, d).where("tag in ('click', 'view') and asset < 3"))
-
-
-@query("i01_ewma_points_all", every_series("i01_ewma_points"))
-def i01_all(spark: SparkSession, d: str) -> DataFrame:
-    return _ewma_points(T.grid(spark, d))
-
-
-def _ewma_points(rows: DataFrame) -> DataFrame:
-    return state.ewma_points(rows, 12.0).select(*KEYS, "t", r6("ewma").alias("ewma"))
+    return state.ewma_points(T.grid(spark, d), 12.0).select(*KEYS, "t", r6("ewma").alias("ewma"))
 
 
 @query("i02_ewma_time", f"""with {T.READINGS} select a.asset, a.tag, a.t, round(sum(b.value * power(0.5, (a.t - b.t) / 43200000000.0)) / sum(power(0.5, (a.t - b.t) / 43200000000.0)), 6) as ewma from readings a join readings b on a.asset = b.asset and a.tag = b.tag and b.t <= a.t group by all""")
@@ -52,48 +33,22 @@ def i02(spark: SparkSession, d: str) -> DataFrame:
     return state.ewma_time(T.readings(spark, d), 12 * HOUR).select(*KEYS, "t", r6("ewma").alias("ewma"))
 
 
-@query("i03_health_ewma", f"""with recursive {T.READINGS}, n as (select *, row_number() over ({_P}) as k from readings where asset < 2), r as (select asset, tag, t, k, value as s from n where k = 1 union all select n.asset, n.tag, n.t, n.k, (1 - power(0.5, 1 / 8.0)) * n.value + power(0.5, 1 / 8.0) * r.s from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1)
+@query("i03_health_ewma", f"""with recursive {T.READINGS}, n as (select *, row_number() over ({_P}) as k from readings), r as (select asset, tag, t, k, value as s from n where k = 1 union all select n.asset, n.tag, n.t, n.k, (1 - power(0.5, 1 / 8.0)) * n.value + power(0.5, 1 / 8.0) * r.s from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1)
     select asset, tag, t, round(s, 6) as health from r""")
 def i03(spark: SparkSession, d: str) -> DataFrame:
-    return _health_ewma(T.readings(spark, d).where("asset < 2"))
-
-
-@query("i03_health_ewma_all", every_series("i03_health_ewma"))
-def i03_all(spark: SparkSession, d: str) -> DataFrame:
-    return _health_ewma(T.readings(spark, d))
-
-
-def _health_ewma(rows: DataFrame) -> DataFrame:
-    return state.ewma_recursive(rows, 8.0, into="health").select(*KEYS, "t", r6("health").alias("health"))
+    return state.ewma_recursive(T.readings(spark, d), 8.0, into="health").select(*KEYS, "t", r6("health").alias("health"))
 
 
-@query("i04_cusum", f"""with recursive {_Z}, n as (select *, row_number() over ({_P}) as k from zs where asset < 2), r as (select asset, tag, t, k, greatest(0, z - 0.5) as s from n where k = 1 union all select n.asset, n.tag, n.t, n.k, greatest(0, r.s + n.z - 0.5) from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1)
+@query("i04_cusum", f"""with recursive {_Z}, n as (select *, row_number() over ({_P}) as k from zs), r as (select asset, tag, t, k, greatest(0, z - 0.5) as s from n where k = 1 union all select n.asset, n.tag, n.t, n.k, greatest(0, r.s + n.z - 0.5) from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1)
     select asset, tag, t, round(s, 6) as cusum, s >= 4 as alarm from r""")
 def i04(spark: SparkSession, d: str) -> DataFrame:
-    return _cusum(z_scores(spark, d).where("asset < 2"))
+    return state.cusum(z_scores(spark, d), 0.5).select(*KEYS, "t", r6("cusum").alias("cusum"), (F.col("cusum") >= 4).alias("alarm"))
 
 
-@query("i04_cusum_all", every_series("i04_cusum"))
-def i04_all(spark: SparkSession, d: str) -> DataFrame:
-    return _cusum(z_scores(spark, d))
-
-
-def _cusum(rows: DataFrame) -> DataFrame:
-    return state.cusum(rows, 0.5).select(*KEYS, "t", r6("cusum").alias("cusum"), (F.col("cusum") >= 4).alias("alarm"))
-
-
-@query("i05_cusum_with_reset", f"""with recursive {_Z}, n as (select *, t // 86400000000 <> lag(t // 86400000000) over ({_P}) as reset, row_number() over ({_P}) as k from zs where asset < 2), r as (select asset, tag, t, k, greatest(0, z - 0.2) as s from n where k = 1 union all select n.asset, n.tag, n.t, n.k, greatest(0, r.s * case when n.reset then 0.25 else 1 end + n.z - 0.2) from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1)
+@query("i05_cusum_with_reset", f"""with recursive {_Z}, n as (select *, t // 86400000000 <> lag(t // 86400000000) over ({_P}) as reset, row_number() over ({_P}) as k from zs), r as (select asset, tag, t, k, greatest(0, z - 0.2) as s from n where k = 1 union all select n.asset, n.tag, n.t, n.k, greatest(0, r.s * case when n.reset then 0.25 else 1 end + n.z - 0.2) from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1)
     select asset, tag, t, round(s, 6) as cusum from r""")
 def i05(spark: SparkSession, d: str) -> DataFrame:
-    return _cusum_with_reset(z_scores(spark, d).where("asset < 2"))
-
-
-@query("i05_cusum_with_reset_all", every_series("i05_cusum_with_reset"))
-def i05_all(spark: SparkSession, d: str) -> DataFrame:
-    return _cusum_with_reset(z_scores(spark, d))
-
-
-def _cusum_with_reset(rows: DataFrame) -> DataFrame:
+    rows = z_scores(spark, d)
     day = F.floor(F.col("t") / DAY)
     rows = rows.withColumn("_day", day).withColumn("reset", F.col("_day") != F.lag("_day").over(W()))
     return state.cusum_segments(rows, 0.2, "reset", 0.25).select(*KEYS, "t", r6("cusum").alias("cusum"))
@@ -101,12 +56,14 @@ def _cusum_with_reset(rows: DataFrame) -> DataFrame:
 
 @query("i07_multiscale_glr", f"""with {_Z}, c as (select *, sum(z) over ({_P} rows unbounded preceding) as c, row_number() over ({_P}) as k from zs) select asset, tag, t, round(greatest(0, case when k > 4 then (c - lag(c, 4) over ({_P})) / 2 when k = 4 then c / 2 else 0 end, case when k > 16 then (c - lag(c, 16) over ({_P})) / 4 when k = 16 then c / 4 else 0 end), 6) as glr from c""")
 def i07(spark: SparkSession, d: str) -> DataFrame:
-    return state.glr(z_scores(spark, d), [4, 16]).select(*KEYS, "t", r6("glr").alias("glr"))
+    rows = blocks.by_rows(z_scores(spark, d), KEYS, 17, lambda x, keys: state.glr(x, [4, 16], keys))
+    return rows.select(*KEYS, "t", r6("glr").alias("glr"))
 
 
 @query("i08_sustained_step", f"""with {_Z} select asset, tag, t, sum(case when z > 0 then 1 else 0 end) over ({_P} rows between 2 preceding and current row) = 3 as sustained from zs""")
 def i08(spark: SparkSession, d: str) -> DataFrame:
-    return z_scores(spark, d).select(*KEYS, "t", state.sustained(F.col("z") > 0, 3).alias("sustained"))
+    rows = blocks.by_rows(z_scores(spark, d), KEYS, 3, lambda x, keys: x.withColumn("sustained", state.sustained(F.col("z") > 0, 3, keys)))
+    return rows.select(*KEYS, "t", "sustained")
 
 
 @query("i09_frozen_sensor", f"""with {T.BINS}, v as (select asset, tag, t, floor(value / 40) as value from bins), s as (select *, value - lag(value) over ({_P}) as dv from v) select asset, tag, t, count(dv) over ({_P} rows between 2 preceding and current row) = 3 and count(*) filter (where dv <> 0) over ({_P} rows between 2 preceding and current row) = 0 as frozen from s""")
@@ -303,3 +260,8 @@ def i43(spark: SparkSession, d: str) -> DataFrame:
     rr = episodes.runs(T.running(spark, d), ["asset"], "on")
     rr = rr.withColumn("run_start", F.min("t").over(Window.partitionBy("asset", "run"))).select("asset", "t", "on", "run_start")
     return align.asof(T.incidents(spark, d), rr, ["asset"], ["run_start", "on"]).drop("t_match")
+
+
+#: Other names of these queries, from when they left out series.
+for _name in ("i01_ewma_points", "i03_health_ewma", "i04_cusum", "i05_cusum_with_reset"):
+    query(f"{_name}_all", SQL[_name])(QUERIES[_name])

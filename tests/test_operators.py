@@ -303,3 +303,89 @@ def test_wide_to_long_takes_every_order(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     got = {(r["asset"], r["tag"]): r["value"] for r in __spark_entry__.queries()["a02_wide_to_long_all"](spark, str(tmp_path)).collect()}
     assert got == {(k, "price"): k * 1.5 for k in range(1, 22)} | {(k, "customer"): k + 100.0 for k in range(1, 22)}
+
+
+def test_row_blocks_give_what_whole_series_give(spark):
+    from plantwatch.operators import blocks, clean
+
+    rng = np.random.default_rng(41)
+    data = [(a, "x", int(t), float(v)) for a in range(2) for t, v in zip(np.cumsum(rng.integers(1, 9, 400)), rng.normal(0, 1, 400), strict=True)]
+    df = spark.createDataFrame(data, "asset long, tag string, t long, value double")
+    keys = ["asset", "tag"]
+    for back, ahead, f in ((12, 0, lambda x, k: rolling.shape_features(x, 12, k)), (4, 4, lambda x, k: clean.hampel(x, 2, keys=k)), (17, 0, lambda x, k: state.glr(x, [4, 16], k, "value"))):
+        whole, parts = f(df, keys), blocks.by_rows(df, keys, back, f, ahead, block=37, span=200)
+        assert parts.columns == whole.columns
+        a, b = (x.orderBy("asset", "t").toPandas() for x in (whole, parts))
+        assert np.allclose(a.select_dtypes("number"), b.select_dtypes("number"), atol=1e-9)
+
+
+def test_block_cusum_and_decayed_sums_are_the_loops(spark):
+    from plantwatch.operators import blocks
+
+    rng = np.random.default_rng(42)
+    t = np.cumsum(rng.choice([1, 2, 900, 5000], 300, p=[0.6, 0.37, 0.02, 0.01]))
+    z = rng.normal(0.1, 1, 300)
+    df = spark.createDataFrame([(0, "x", int(a), float(b)) for a, b in zip(t, z, strict=True)], "asset long, tag string, t long, value double")
+    s, want = 0.0, []
+    for v in z:
+        s = max(0.0, s + v - 0.2)
+        want.append(s)
+    for block in (7, 100, 10**9):
+        got = [r["cusum"] for r in state.cusum(df, 0.2, z="value", block=block).orderBy("t").collect()]
+        assert got == pytest.approx(want, abs=1e-9)
+    num = [sum(z[j] * 0.5 ** ((t[i] - t[j]) / 3.0) for j in range(i + 1)) for i in range(300)]
+    got = [r["s"] for r in blocks.decayed_sums(df, ["asset", "tag"], "t", 3.0, {"s": F.col("value")}).orderBy("t").collect()]
+    assert got == pytest.approx(num, rel=1e-9, abs=1e-12)
+
+
+def test_order_statistics_are_recomputed_ones(spark):
+    rng = np.random.default_rng(43)
+    t, x = np.cumsum(rng.integers(0, 4, 250)), np.round(rng.normal(0, 2, 250))
+    data = [(0, "x", int(a), None if k % 17 == 0 else float(b)) for k, (a, b) in enumerate(zip(t, x, strict=True))]
+    df = spark.createDataFrame(data, "asset long, tag string, t long, value double").withColumn("k", F.monotonically_increasing_id())
+    for back, ahead, block in ((20, 0, 30), (20, -1, 50), (5, 5, 1000)):
+        for r in rolling.order_statistics(df, ["asset", "tag"], back, ahead, block, 0.9).collect():
+            own = [v for _, _, u, v in data if r["t"] - back <= u <= r["t"] + ahead and v is not None]
+            assert r["n"] == len(own)
+            if own:
+                assert r["quantile"] == pytest.approx(np.quantile(own, 0.9), abs=1e-9)
+                if r["value"] is not None and ahead >= 0:
+                    assert r["rank_pct"] == pytest.approx((2 * sum(v < r["value"] for v in own) + sum(v == r["value"] for v in own) + 1) / (2 * len(own)))
+
+
+def test_tests_of_counts_for_small_and_large_numbers(spark):
+    import math
+
+    rows = [(3, 10, 0.2), (0, 10, 0.2), (10, 10, 0.5), (11, 10, 0.5), (40, 60, 0.3), (700, 2000, 0.33), (120_000, 400_000, 0.3), (121_500, 400_000, 0.3)]
+    got = spark.createDataFrame(rows, "k long, n long, p double").select("k", "n", "p", evaluate.binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("b"), evaluate.poisson_tail(F.col("k"), F.col("n") * F.col("p")).alias("q")).collect()
+    log = lambda n, i, p: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)
+    for r in got:
+        want = sum(math.exp(log(r["n"], i, r["p"])) for i in range(r["k"], r["n"] + 1)) if r["k"] else 1.0
+        assert r["b"] == pytest.approx(min(want, 1.0), rel=1e-6, abs=1e-12), r
+        m = r["n"] * r["p"]
+        want = 1 - sum(math.exp(i * math.log(m) - m - math.lgamma(i + 1)) for i in range(r["k"])) if r["k"] else 1.0
+        assert r["q"] == pytest.approx(max(want, 0.0), rel=1e-6, abs=1e-9), r
+    fisher = spark.createDataFrame([(3, 4, 4, 8), (1, 4, 4, 8), (0, 4, 4, 8)], "a long, r long, c long, n long").select(evaluate.fisher_tail(F.col("a"), F.col("r"), F.col("c"), F.col("n")).alias("p")).collect()
+    assert [r["p"] for r in fisher] == pytest.approx([17 / 70, 69 / 70, 1.0])
+
+
+def test_residuals_and_distances_of_vectors(spark):
+    from plantwatch.operators import models
+
+    rng = np.random.default_rng(44)
+    x = rng.normal(0, 1, (200, 5)) @ rng.normal(0, 1, (5, 5)) + 3
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r["distance"] for r in models.mahalanobis_of_vectors(df, "embedding").collect()}
+    z = x - x.mean(axis=0)
+    cov, n, d = z.T @ z / 200, 200, 5
+    mu = np.trace(cov) / d
+    apart = ((cov - mu * np.eye(d)) ** 2).sum() / d
+    noise = min(apart, sum(((np.outer(v, v) - cov) ** 2).sum() for v in z) / n**2 / d)
+    inverse = np.linalg.inv((1 - noise / apart) * cov + noise / apart * mu * np.eye(d))
+    assert got[999] is None and [got[i] for i in range(200)] == pytest.approx([float(np.sqrt(v @ inverse @ v)) for v in z], rel=1e-6)
+    res = {r["vec_id"]: r["residual"] for r in models.pca_residual_of_vectors(df, "embedding", 0.8).collect()}
+    w, v = np.linalg.eigh(cov)
+    order = np.argsort(w)[::-1]
+    k = int(np.searchsorted(np.cumsum(w[order]) / w.sum(), 0.8) + 1)
+    rest = v[:, order[k:]]
+    assert res[999] is None and [res[i] for i in range(200)] == pytest.approx((((z @ rest) ** 2).sum(axis=1) / d).tolist(), rel=1e-6, abs=1e-9)
