@@ -16,7 +16,11 @@ from plantwatch.streaming import alerting
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A folder that all machines share; a new temporary one on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return base or tempfile.mkdtemp(prefix="spark-stream-")
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -33,11 +37,12 @@ def l03(spark: SparkSession, d: str) -> DataFrame:
     return out.select("asset", "tag", micros(F.col("start")).alias("start"), "n", r6("mean").alias("mean"), "top")
 
 
-@query("l04_stream_alerts", f"""with {T.READINGS}, e as (select a.asset, a.tag, a.t, sum(b.value * power(0.5, (a.t - b.t) / 21600000000.0)) / sum(power(0.5, (a.t - b.t) / 21600000000.0)) as m from readings a join readings b on a.asset = b.asset and a.tag = b.tag and b.t <= a.t group by all),
-    f as (select *, m > 60 as up, lag(m > 60) over ({_P}) as p from e), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from f) select asset, tag, t, round(m, 6) as ewma, up and t - min(t) over (partition by asset, tag, run) >= 3600000000 as alert from g""")
+@query("l04_stream_alerts", f"""with {T.READINGS}, e as (select a.asset, a.tag, a.t, a.value, sum(b.value * power(0.5, (a.t - b.t) / 21600000000.0)) / sum(power(0.5, (a.t - b.t) / 21600000000.0)) as m from readings a join readings b on a.asset = b.asset and a.tag = b.tag and b.t <= a.t where a.t < ((select max(t) from readings) // 1000 - 600000) * 1000 group by all),
+    f as (select *, m >= 60 and value >= 2 as up from e), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from (select *, lag(up) over ({_P}) as p from f)), h as (select *, count(*) over (partition by asset, tag, run) as size, max(run) over (partition by asset, tag) as newest from g)
+    select asset, tag, t, round(m, 6) as ewma, up and size >= 3 as alert from h where not (up and size < 3 and run = newest)""")
 def l04(spark: SparkSession, d: str) -> DataFrame:
-    stream = event_stream(spark, d).select("asset", "tag", "t", "value")
-    out = alerting.run_to_table(alerting.alert_stream(stream, 6 * HOUR, 60.0, HOUR), _folder(spark))
+    stream = event_stream(spark, d).withColumn("off", F.col("value") < 2)
+    out = alerting.run_to_table(alerting.alert_stream(stream, 6 * HOUR, 60.0, 3), _folder(spark))
     return out.select("asset", "tag", "t", r6("ewma").alias("ewma"), "alert")
 
 
