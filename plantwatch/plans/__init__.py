@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more", "q_rest", "q_stream")
+MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more", "q_rest", "q_source", "q_stream")
 
 
 def load() -> None:

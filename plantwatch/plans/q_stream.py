@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +13,6 @@ from plantwatch.plans.registry import query
 from plantwatch.streaming import alerting
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that all machines share; a new temporary one on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    return base or tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """(asset, tag, ts, t, value) of the events as they are found in the folder."""
     schema = T.table(spark, d, "events").schema
@@ -33,7 +23,7 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l03_stream_bins", f"""with {T.READINGS}, b as (select asset, tag, t // 7200000000 * 7200000000 as start, count(*) as n, round(avg(value), 6) as mean, max(value) as top from readings group by all) select * from b where start + 7200000000 <= (select max(t) - 600000000 from readings)""")
 def l03(spark: SparkSession, d: str) -> DataFrame:
-    out = alerting.run_to_table(alerting.binned(event_stream(spark, d), "2 hours"), _folder(spark))
+    out = alerting.run_to_table(alerting.binned(event_stream(spark, d), "2 hours"), T.shared_folder(spark, "stream"))
     return out.select("asset", "tag", micros(F.col("start")).alias("start"), "n", r6("mean").alias("mean"), "top")
 
 
@@ -42,12 +32,12 @@ def l03(spark: SparkSession, d: str) -> DataFrame:
     select asset, tag, t, round(m, 6) as ewma, up and size >= 3 as alert from h where not (up and size < 3 and run = newest)""")
 def l04(spark: SparkSession, d: str) -> DataFrame:
     stream = event_stream(spark, d).withColumn("off", F.col("value") < 2)
-    out = alerting.run_to_table(alerting.alert_stream(stream, 6 * HOUR, 60.0, 3), _folder(spark))
+    out = alerting.run_to_table(alerting.alert_stream(stream, 6 * HOUR, 60.0, 3), T.shared_folder(spark, "stream"))
     return out.select("asset", "tag", "t", r6("ewma").alias("ewma"), "alert")
 
 
 @query("l05_stream_dedup", f"""with {T.READINGS} select asset, tag, count(distinct t) as n from readings group by all""")
 def l05(spark: SparkSession, d: str) -> DataFrame:
     stream = event_stream(spark, d)
-    out = alerting.run_to_table(alerting.deduplicated(stream.union(stream)), _folder(spark))
+    out = alerting.run_to_table(alerting.deduplicated(stream.union(stream)), T.shared_folder(spark, "stream"))
     return out.groupBy("asset", "tag").agg(F.count("*").alias("n"))

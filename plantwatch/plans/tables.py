@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that all machines share, in spark.checkpoint.dir; a temporary one on one machine where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix=f"spark-{kind}-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, tag, t, value): asset is user_id % 8, tag the event type."""
     e = table(spark, sf_dir, "events")

@@ -5,26 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantwatch.functions.columns import clean_tag, fold_accents, micros, number
+from plantwatch.functions.columns import clean_tag, floor_to, fold_accents, micros, number
+from plantwatch.operators.episodes import episodes
 
 #: canonical name -> fragments of the headers that mean it, accents and case folded
 ALARM_HEADERS = {"ts": ("data da ocorr", "date", "timestamp", "time"), "tag": ("tag alarme", "tag"), "condition": ("condic", "condition"), "priority": ("priori",), "status": ("status",), "description": ("descri",)}
 
 
-def wide_csv(spark: SparkSession, path: str, columns: Sequence[str], time: str, asset: str = "0", prefix: str = "") -> DataFrame:
+def wide_csv(spark: SparkSession, path: str, columns: Sequence[str], time: str | None = None, asset: str | None = "0", prefix: str = "", keep: Sequence[str] | None = None) -> DataFrame:
     """Long rows (asset, tag, t, value) of CSV files with one column a tag.
 
-    `columns` are the headers in order. Every tag is read as text and coerced:
-    status words, NaN and infinities become null. Rows without a time are
-    dropped; a time without a zone is UTC.
+    `columns` are the headers in order; the first is the time if none is named.
+    Every tag is read as text and coerced: status words, NaN and infinities
+    become null. Rows without a time are dropped; a time without a zone is UTC.
+    With `asset` None the files have a column of whole numbers with that name.
+    Only the columns of `keep`, where given, are parsed.
     """
+    time = columns[0] if time is None else time
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.schema(schema).csv(path, header=True).withColumn("t", micros(F.expr(f"try_cast(`{time}` as timestamp)"))).where("t is not null")
-    tags = [c for c in columns if c != time]
+    rows = rows if asset is not None else rows.withColumn("asset", F.expr("try_cast(asset as bigint)"))
+    tags = [c for c in columns if c not in (time, *([] if asset is not None else ["asset"])) and (keep is None or c in keep)]
     return to_long(rows, tags, asset, prefix)
 
 
@@ -64,6 +70,41 @@ def trips_json(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.explode(lists).alias("s")).select(micros(F.expr("try_cast(s as timestamp)")).alias("t")).where("t is not null").distinct().orderBy("t")
 
 
+def trips(spark: SparkSession, path: str, how: str = "csv") -> DataFrame:
+    """(t): sorted distinct trips of CSV files with a column `evento`, or of JSON texts as in trips_json(); none where the path doesn't exist."""
+    try:
+        if how == "json":
+            return trips_json(spark.read.text(path, wholetext=True))
+        rows = spark.read.csv(path, header=True).select(F.col("evento").alias("s"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "t long")
+    return rows.select(micros(F.expr("try_cast(s as timestamp)")).alias("t")).where("t is not null").distinct().orderBy("t")
+
+
+def grid_job(raw: DataFrame, path: str, step: int, low: float, high: float) -> None:
+    """Masks values out of [low, high], takes the median of each `step` of time, and writes the grid; a step is whole wherever its rows lie."""
+    inside = F.when(F.col("value").between(low, high), F.col("value"))
+    write_grid(raw.groupBy("asset", "tag", floor_to(F.col("t"), step).alias("t")).agg(F.percentile(inside, 0.5).alias("value")), path)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Window scores (tag, seq_start, mae_seq, is_anom_seq, ...) as Parquet by tag."""
+    scores.repartition("tag").write.mode("overwrite").partitionBy("tag").parquet(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of a row a tag, or of a few, as JSON lines."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def episode_summary(alerts: DataFrame, gap: int) -> DataFrame:
+    """(asset, start, end, hours, strength, channels) of alerts (asset, t, strength, channels): one row an alarm, with the greatest of both."""
+    rows = episodes(alerts, ["asset"], gap, strength=F.max("strength"), channels=F.max("channels"))
+    return rows.select("asset", "start", "end", ((F.col("end") - F.col("start")) / 3.6e9).alias("hours"), "strength", "channels")
+
+
 def write_grid(df: DataFrame, path: str) -> None:
     """Parquet by asset and month, so that a date filter reads only its months."""
     month = F.date_format(F.timestamp_micros("t"), "yyyy-MM")

@@ -102,10 +102,8 @@ def alert_stream(stream: DataFrame, half_life: int, threshold: float, least: int
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream over what its source holds now, appends to a new Parquet table in `folder`, and reads it."""
-    import uuid
-
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Runs a stream over what its source holds now, writes a Parquet table in `folder`, a new one, and reads it."""
+    base = folder.rstrip("/")
     query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
