@@ -216,6 +216,23 @@ def walk_forward(df: DataFrame, period: int, lookback: int, least: int, keys: Se
     return out.withColumn("z", F.when((F.col("_n") >= least) & (scale > 0), (F.col(value) - F.col("_m")) / scale)).drop("_p", "_m", "_n", "_d", "_s")
 
 
+def guarded_z(df: DataFrame, step: int, guard: int, back: int, least: int, keys: Sequence[str] = KEYS, value: str = "value", usable: str | None = None) -> DataFrame:
+    """`df` with z by median and MAD of the rows that end `guard` before its block of `step` and begin `back` before it; null with fewer than `least`.
+
+    With `usable` only rows with that flag are fitted to. A row is copied to
+    (back - guard) / step blocks.
+    """
+    rows = df.withColumn("_k", F.floor(F.col("t") / step))
+    fit = rows if usable is None else rows.where(F.col(usable))
+    first, last = F.floor((F.col("t") + guard) / step) + 1, F.floor((F.col("t") + back) / step)
+    train = fit.select(*keys, F.col(value).alias("_x"), F.explode(F.sequence(first, last)).alias("_k"))
+    train = train.join(rows.select(*keys, "_k").distinct(), [*keys, "_k"], "left_semi")
+    mid = train.groupBy(*keys, "_k").agg(F.percentile("_x", 0.5).alias("_m"), F.count("*").alias("_n"))
+    mad = train.join(mid, [*keys, "_k"]).groupBy(*keys, "_k", "_m", "_n").agg(F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5).alias("_d"))
+    z = F.when((F.col("_n") >= least) & (F.col("_d") > 0), (F.col(value) - F.col("_m")) / (1.4826 * F.col("_d")))
+    return rows.join(mad, [*keys, "_k"], "left").withColumn("z", z).drop("_k", "_m", "_n", "_d")
+
+
 def drift_trigger(df: DataFrame, period: int, least: int, level: float, factor: float, reach: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """(keys, period, bundle): for each period the period whose start fitted the baseline that serves it.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,25 @@ def cusum_segments(df: DataFrame, drift: float, reset: str, load: float, keys: S
     return rows.join(carried, [*keys, "_g"]).withColumn(into, F.col("_c") + F.greatest(F.col("_a"), -F.col("_low"))).drop("_g", "_c", "_low", "_a")
 
 
+def cusum_with_signals(df: DataFrame, drift: float, limit: float, after: float | None = None, most: float | None = None, keys: Sequence[str] = KEYS, z: str = "z", into: str = "cusum") -> DataFrame:
+    """`df` with S = max(0, S + z - drift), S starting from `after` once it has reached `limit` (None: it goes on), and `most` at most.
+
+    Where S starts anew depends on all of it before, so a series is a fold in one task; null z adds nothing.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t", kind="stable")
+        s, out = 0.0, np.empty(len(group))
+        for k, x in enumerate(np.nan_to_num(group[z].to_numpy(float, na_value=np.nan) - drift)):
+            s = max(0.0, (after if after is not None and s >= limit else s) + x)
+            s = s if most is None else min(s, most)
+            out[k] = s
+        return group.assign(**{into: out})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*keys).applyInPandas(run, f"{schema}, `{into}` double")
+
+
 def glr(df: DataFrame, spans: Sequence[int], keys: Sequence[str] = KEYS, z: str = "z", into: str = "glr") -> DataFrame:
     """`df` with the largest (C_t - C_{t-j}) / sqrt(j) over j in `spans`, C the running sum; 0 at least."""
     rows = df.withColumn("_c", F.sum(z).over(_w(keys).rowsBetween(Window.unboundedPreceding, 0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions import columns as C
 from plantwatch.functions.columns import DAY, HOUR
-from plantwatch.operators import align, blocks, clean, evaluate, rolling, state
+from plantwatch.operators import align, blocks, clean, evaluate, models, rolling, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _ALERTS, _CURVE, _LABEL, _LOAD, alerts, curve, labelled, loaded
@@ -286,15 +286,7 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 @query("j16_rolling_z_with_guard", f"""with {T.READINGS}, b as (select distinct asset, tag, t // 21600000000 as block from readings), tr as (select b.asset, b.tag, b.block, r.value as x from b join readings r on r.asset = b.asset and r.tag = b.tag and r.t < b.block * 21600000000 - 86400000000 and r.t >= b.block * 21600000000 - 518400000000), m as (select asset, tag, block, quantile_cont(x, 0.5) as m, count(*) as n from tr group by all),
     s as (select m.asset, m.tag, m.block, m, n, quantile_cont(abs(x - m), 0.5) as mad from m join tr using (asset, tag, block) group by all) select r.asset, r.tag, r.t, round(case when n >= 10 and mad > 0 then (value - m) / (1.4826 * mad) end, 6) as z from readings r left join s on s.asset = r.asset and s.tag = r.tag and s.block = r.t // 21600000000""")
 def j16(spark: SparkSession, d: str) -> DataFrame:
-    step, guard, back = 6 * HOUR, DAY, 6 * DAY
-    rows = T.readings(spark, d).withColumn("block", F.floor(F.col("t") / step))
-    first, last = F.floor((F.col("t") + guard) / step) + 1, F.floor((F.col("t") + back) / step)
-    train = rows.select(*KEYS, F.col("value").alias("x"), F.explode(F.sequence(first, last)).alias("block"))  # (back - guard) / step copies of a row
-    train = train.join(rows.select(*KEYS, "block").distinct(), [*KEYS, "block"], "left_semi")
-    mid = train.groupBy(*KEYS, "block").agg(F.percentile("x", 0.5).alias("m"), F.count("*").alias("n"))
-    mad = train.join(mid, [*KEYS, "block"]).groupBy(*KEYS, "block", "m", "n").agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("mad"))
-    z = F.when((F.col("n") >= 10) & (F.col("mad") > 0), (F.col("value") - F.col("m")) / (1.4826 * F.col("mad")))
-    return rows.join(mad, [*KEYS, "block"], "left").select(*KEYS, "t", r6(z).alias("z"))
+    return models.guarded_z(T.readings(spark, d), 6 * HOUR, DAY, 6 * DAY, 10).select(*KEYS, "t", r6("z").alias("z"))
 
 
 @query("k11_censored_lead", f"""with {_EPISODES}, {T.INCIDENTS}, x as (select i.asset, i.t, max(e.start) as s from incidents i join ep e on e.asset = i.asset and e.start <= i.t and e."end" >= i.t - 28800000000 group by i.asset, i.t) select asset, t, round((t - s) / 3600000000.0, 6) as lead_h, t - s > 28800000000 as censored from x""")
