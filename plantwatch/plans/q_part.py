@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR, micros
-from plantwatch.operators import align, clean, episodes, evaluate, models, rolling, state
+from plantwatch.operators import clean, episodes, evaluate, models, rolling, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _LABEL, _LOAD, _P, loaded
