@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantwatch.llm.tables import cut_lineage
+from plantwatch.llm.tables import cut_lineage, numbered, without_ids
 from plantwatch.llm.utf8 import LOWER_AZ, mix64, slices, text_bytes
 
 #: Bytes of a chunk: at least, on average beyond that, at most.
@@ -101,7 +101,9 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     kind = own.schema["id"].dataType.simpleString()
     made = own.mapInArrow(_chunks("text", False), f"id {kind}, text_sha256 string, keys array<long>, checks array<binary>")
     made = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
-    contested = chunk_store(docs, text).where("contested").select("key", F.lit(True).alias("contested"))
+    contested = cut_lineage(chunk_store(docs, text).where("contested").select("key", F.lit(True).alias("contested")))
+    if contested.isEmpty():  # every key names one chunk
+        return made.select("row", "id", "text_sha256", F.concat_ws(",", F.transform("keys", F.hex)).alias("recipe"))
     part = made.select("row", F.posexplode(F.arrays_zip("keys", "checks")).alias("pos", "c")).select("row", "pos", F.col("c.keys").alias("key"), F.col("c.checks").alias("check"))
     named = part.join(contested, "key", "left").select("row", "pos", F.concat(F.hex("key"), F.when(F.col("contested"), F.hex("check")).otherwise("")).alias("name"))
     lists = named.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("l")).select("row", F.concat_ws(",", F.col("l.name")).alias("recipe"))
@@ -125,16 +127,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    verdict = cut_lineage(exact_dedup(docs, doc_id, text).select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
-    kept = verdict.where("kept")
-    stay = docs.withColumn("_own", F.sha2(lower, 256)).join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    if _repeats(verdict):
-        stay = stay.dropDuplicates([doc_id, "_own"])
-    return stay.drop("_own")
-
-
-def _repeats(verdict: DataFrame) -> bool:
-    """Whether a row repeats both the id and the text of another."""
-    return not verdict.groupBy("_id", "_sha").count().where("count > 1").isEmpty()
+    """The rows of `docs` that stay, with all their columns, whatever their names.
+
+    Of rows that repeat both the id and the text of the one that stays, one stays.
+    """
+    verdict = cut_lineage(exact_dedup(docs, doc_id, text).select("id", "kept"))
+    if not verdict.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        rows = numbered(docs)
+        made = exact_dedup(rows.select(F.struct(F.col(f"row.`{doc_id}`").alias("id"), "k").alias("id"), F.col(f"row.`{text}`").alias("text")), "id")
+        return rows.join(made.where("kept").select("id.k"), "k", "left_semi").select("row.*")
+    return without_ids(docs, doc_id, verdict.where("not kept"))

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most ids, of eight bytes each where they are whole numbers, that are sent to all tasks.
+BROADCAST_IDS = 1_000_000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +49,18 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id isn't in `gone` (id), with all their columns.
+
+    Up to BROADCAST_IDS ids go to all tasks, so that the rows stay where they
+    are; beyond, both sides are shuffled by id.
+    """
+    gone = cut_lineage(gone.select("id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own"))
+    return rows.join(gone, F.col("own") == F.col("id"), "left_anti").select("row.*")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(k, row): every row of `docs` as a struct, with a number of its own that stays."""
     return cut_lineage(docs.select(F.monotonically_increasing_id().alias("k"), F.struct("*").alias("row")))
