@@ -28,7 +28,7 @@ ROUTES, SAMPLE = 256, 4096
 LEAF = 256
 FACTOR = 0.5
 #: Queries that are compared at once, and pairs that are scored at once.
-QUERIES_AT_ONCE, PAIRS_AT_ONCE = 128, 1 << 16
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 16
 #: Squared distances that are as near as this count as equal until the exact scores are known.
 NEARLY = 1e-11
 

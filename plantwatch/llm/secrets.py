@@ -110,18 +110,20 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secret_spans"
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """`docs` with every span of its texts replaced by `mark`, spans that overlap as one; null texts stay null."""
+    """`docs` with every span of its texts replaced by `mark`, spans that overlap as one; null texts stay null; columns may have any names."""
+    whole = F.col(f"row.`{text}`")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
+        piece = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
         new = x["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, piece).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate(F.col("_spans"), state, step)
-    whole = F.concat(folded["out"], F.substring(F.col(text), folded["at"] + 1, F.length(F.col(text))))
-    changed = F.when(F.size("_spans") > 0, whole).otherwise(F.col(text))
-    return scan_secrets(docs, text, "_spans").withColumn(text, changed).drop("_spans")
+    rows = docs.select(F.struct("*").alias("row"), secret_spans(F.coalesce(F.col(text), F.lit(""))).alias("spans"))
+    folded = F.aggregate(F.col("spans"), state, step)
+    clean = F.concat(folded["out"], F.substring(whole, folded["at"] + 1, F.length(whole)))
+    changed = F.when(F.size("spans") > 0, clean).otherwise(whole)
+    return rows.select(*(changed.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def span_digest(spans: Column) -> Column:
