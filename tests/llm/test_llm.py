@@ -220,20 +220,6 @@ def test_scan_over_blocks_is_the_sequential_run():
     assert byte_bpe.scan_states(f).tolist() == want
 
 
-def test_word_encoder_is_the_tokenizer():
-    P = pytest.importorskip("public_tokenizers")
-    from tokenizers import Tokenizer
-
-    from plantwatch.llm.word_bpe import WordEncoder
-
-    path = P.path("word_bpe_49k.json")
-    plain, own = Tokenizer.from_file(path), WordEncoder(path, cached_words=60)
-    rng = np.random.default_rng(8)
-    texts = [*CASES, "ΣΑΣ Σ, İstanbul. ǅ Éa. é. word.'s (a) a.b,", *(text(rng, 30) + "." for _ in range(20)), "Word, word. WORD! it's"]
-    for got, t in zip(own.encode_all(texts), texts, strict=True):
-        assert np.frombuffer(got, own.code).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
-
-
 def check_packing(docs, rows, window, ids_of):
     by_doc = {}
     for r in rows:

@@ -46,3 +46,29 @@ def test_stages_take_effect_in_order(spark, tmp_path):
     check_packing(None, pieces, 4096, {i: [*plain.encode(t or "", add_special_tokens=False).ids, 2] for i, t in kept["secret scans"].items()})
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in whole.select("doc_id").distinct().collect()) == sorted(kept["secret scans"])
+
+
+def run_on(spark, folder, rows, labels, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_an_empty_table_gives_no_pieces(spark, tmp_path):
+    assert run_on(spark, tmp_path, [], [], "doc_id long, text string, lang string, source string, n_chars long").count() == 0
+
+
+def test_nulls_repeats_and_names_that_clash(spark, tmp_path):
+    """Repeated and null ids, null columns, repeated rows, extra columns with the names that stages use."""
+    long = "some words of one long text that goes on and on for a while " * 3
+    rows = [(1, long, "en", "s", 9, 1, 2, 3), (1, long, "en", "s", 9, 1, 2, 3), (1, "other words", None, None, None, None, None, None), (None, long + "more", None, "s", None, 7, 8, 9), (None, None, None, None, None, None, None, None), (2, "x password=hunter22", "en", "t", 1, 4, 5, 6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, k long, own long"
+    out = run_on(spark, tmp_path, rows, [(1, 1, 0), (2, 1, 0), (None, 1, 1)], schema)
+    pieces = out.collect()
+    assert sorted({(r["doc_id"] is None, r["doc_id"] or 0) for r in pieces}) == [(False, 1), (False, 2), (True, 0)]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), schema)
+        assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["k"] or 0) for r in docs.collect())
+    assert kept == [(0, "", 0), (1, "other words", 0), (1, long, 2), (2, "x [secret]", 5)]
