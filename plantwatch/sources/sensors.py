@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from plantwatch.functions.columns import clean_tag, floor_to, fold_accents, micros, number
 from plantwatch.operators.episodes import episodes
 
-#: canonical name -> fragments of the headers that mean it, accents and case folded
+#: canonical name -> fragments of the headers that mean it, accents and case folded; fixed words of given files
 ALARM_HEADERS = {"ts": ("data da ocorr", "date", "timestamp", "time"), "tag": ("tag alarme", "tag"), "condition": ("condic", "condition"), "priority": ("priori",), "status": ("status",), "description": ("descri",)}
 
 
