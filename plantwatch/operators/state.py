@@ -228,3 +228,61 @@ def state_of_value(df: DataFrame, keys: Sequence[str], long_off: int, pad: int,
     jump = (F.col("_jump") > 0) & (F.col("_d") >= F.col("_jump"))
     state = F.when(F.col("_is"), F.when(F.col("_size") >= F.col("_long"), "off_long").otherwise("off_short")).when(F.col("_near") | jump, "transient").otherwise("on")
     return rows.withColumn("state", state).select(*df.columns, "state")
+
+
+def cut_runs(df: DataFrame, flag: str, keys: Sequence[str] = KEYS, value: str = "value", span: int | None = None, calm: int | None = None, gain: float = 0.0, level: float | None = None) -> DataFrame:
+    """`df` with kept and part of the runs of `flag`.
+
+    kept ends `span` of time after a run's start, and at the first row from
+    which the greatest value so far hasn't grown by the share `gain` over the
+    `calm` rows before. part counts the rows at which the value passes `level`
+    from below within a run: there a new episode starts.
+    """
+    inner = Window.partitionBy(*keys, "_run").orderBy("t")
+    rows = runs(df, keys, flag, "_run")
+    kept = F.col(flag)
+    if span is not None:
+        kept = kept & (F.col("t") - F.min("t").over(inner) <= span)
+    if calm is not None:
+        rows = rows.withColumn("_top", F.max(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("_calm", F.coalesce(F.col("_top") <= F.lag("_top", calm).over(inner) * (1 + gain), F.lit(False)))
+        kept = kept & ~F.max("_calm").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    part = F.lit(0).cast("long")
+    if level is not None:
+        rows = rows.withColumn("_rise", F.coalesce(F.col(flag) & (F.col(value) > level) & (F.lag(value).over(inner) <= level), F.lit(False)))
+        part = F.sum(F.col("_rise").cast("long")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("kept", kept).withColumn("part", part).select(*df.columns, "kept", "part")
+
+
+def cut_by_fold(df: DataFrame, flag: str, grows: float, ceiling: int, rest: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+    """`df` with part and kept, by rules whose state is all that went before, so a series is a fold in one task.
+
+    Within a run of `flag`, part grows where the value is over `grows` times the
+    least one since the last such row. kept holds for `ceiling` rows of the flag,
+    then not until the flag has been off for `rest` rows in a row.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t", kind="stable")
+        up, x = group[flag].to_numpy(bool, na_value=False), np.nan_to_num(group[value].to_numpy(float, na_value=np.nan))
+        part, kept = np.zeros(len(up), np.int64), np.zeros(len(up), bool)
+        floor, number, had, off = np.inf, 0, 0, rest
+        for k in range(len(up)):
+            if up[k]:
+                if k == 0 or not up[k - 1]:
+                    floor, number = x[k], 0
+                elif floor > 0 and x[k] > grows * floor:
+                    floor, number = x[k], number + 1
+                else:
+                    floor = min(floor, x[k])
+                part[k], off = number, 0
+                if had < ceiling:
+                    had, kept[k] = had + 1, True
+            else:
+                off += 1
+                if off >= rest:
+                    had = 0
+        return group.assign(part=part, kept=kept)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*keys).applyInPandas(run, f"{schema}, part long, kept boolean")

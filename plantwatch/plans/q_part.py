@@ -215,3 +215,23 @@ def k20(spark: SparkSession, d: str) -> DataFrame:
     said = rows.withColumn("up", up[0] & up[1] & up[2] & up[3]).where("up").select(*own, "t")
     c = _curve(spark, d, said, ["y", "steps"])
     return c.select("y", "steps", r6("recall").alias("recall"), r6("lead_h").alias("lead_h"), "episodes", r6("false_per_day").alias("false_per_day"))
+
+
+_RUNS_UP = f"""{_Z}, u as (select *, z > -0.5 as up from zs), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from (select *, lag(up) over ({_P}) as p from u))"""
+
+
+def _up(spark: SparkSession, d: str) -> DataFrame:
+    return z_scores(spark, d).withColumn("up", F.col("z") > -0.5)
+
+
+@query("i36_truncated_calm_and_absolute", f"""with {_RUNS_UP}, c as (select *, t - min(t) over r as age, max(value) over (partition by asset, tag, run order by t rows unbounded preceding) as top, coalesce(up and value > 60 and lag(value) over r <= 60, false) as rise from g window r as (partition by asset, tag, run order by t)),
+    k as (select *, coalesce(top <= lag(top, 4) over r * 1.05, false) as calm from c window r as (partition by asset, tag, run order by t)) select asset, tag, t, up and age <= 86400000000 and not bool_or(calm) over (partition by asset, tag, run order by t rows unbounded preceding) as kept, cast(sum(case when rise then 1 else 0 end) over (partition by asset, tag, run order by t rows unbounded preceding) as bigint) as part from k""")
+def i36_native(spark: SparkSession, d: str) -> DataFrame:
+    return state.cut_runs(_up(spark, d), "up", span=DAY, calm=4, gain=0.05, level=60.0).select(*KEYS, "t", "kept", "part")
+
+
+@query("i36_magnitude_and_ceiling", f"""with recursive {_Z}, n as (select *, z > -0.5 as up, row_number() over ({_P}) as k from zs), r(asset, tag, t, k, up, floor, part, had, off, kept) as (select asset, tag, t, k, up, value, cast(0 as bigint), case when up then 1 else 0 end, case when up then 0 else 4 end, up from n where k = 1
+    union all select n.asset, n.tag, n.t, n.k, n.up, case when not n.up or not r.up or (r.floor > 0 and n.value > 3 * r.floor) then n.value else least(r.floor, n.value) end, case when not n.up or not r.up then 0 when r.floor > 0 and n.value > 3 * r.floor then r.part + 1 else r.part end,
+    case when n.up then least(r.had + 1, 6) when r.off + 1 >= 3 then 0 else r.had end, case when n.up then 0 else r.off + 1 end, n.up and r.had < 6 from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1) select asset, tag, t, part, kept from r""")
+def i36_fold(spark: SparkSession, d: str) -> DataFrame:
+    return state.cut_by_fold(_up(spark, d), "up", 3.0, 6, 3).select(*KEYS, "t", "part", "kept")

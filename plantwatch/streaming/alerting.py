@@ -94,7 +94,8 @@ def alert_stream(stream: DataFrame, half_life: int, threshold: float, least: int
         state.update((num, den, last, confirmed, t[n:].tolist(), v[n:].tolist(), off[n:].tolist(), held_t, held_e))
         if n < len(t):
             state.setTimeoutTimestamp(max(int(t[n]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield out
+        if len(out):
+            yield out
 
     kept = "num double, den double, last long, confirmed boolean, wait_t array<long>, wait_v array<double>, wait_off array<boolean>, held_t array<long>, held_e array<double>"
     rows = stream.withWatermark("ts", delay).select("asset", "tag", "ts", "t", "value", "off")
