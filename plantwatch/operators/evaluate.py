@@ -268,3 +268,24 @@ def search_cost(table: DataFrame, config: str, event: str, cost: str, budget: fl
     best = F.row_number().over(Window.partitionBy("size", "draw", event).orderBy(F.desc("_rest"), cost, config))
     found = rows.withColumn("_b", best).where("_b = 1").groupBy("size", "draw").agg(F.count_if("hit").alias("hits"))
     return found.groupBy("size").agg(F.avg("hits").alias("mean"), F.min("hits").alias("low"), F.max("hits").alias("high"))
+
+
+def random_windows(rows: DataFrame, pool: DataFrame, keys: Sequence[str], name: str, draws: int, length: int, gap: int, base: int, least: int) -> DataFrame:
+    """(keys, draw, start, ge3, ge10, grade) of windows that start at drawn rows of `pool`, the negative control of an alarm.
+
+    Of each `name` the greatest robust z in [start, start + length) against the
+    median and MAD of [start - gap - base, start - gap) counts, if the base has
+    `least` rows. Two of 10 or more are strong, two of 3 moderate, one edge.
+    """
+    n = F.count("*").over(Window.partitionBy(*keys))
+    spots = pool.select(*keys, "t").withColumn("_n", n).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
+    made = spots.select(*keys, "_n").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    made = made.withColumn("_i", F.pmod(_mixed(F.col("draw") * 7919), F.col("_n")).cast("int")).join(spots.drop("_n"), [*keys, "_i"]).select(*keys, "draw", "t")
+    met = range_join(made, rows.select(*keys, name, F.col("t").alias("u"), "value"), keys, gap + base, length - 1)
+    own = [*keys, "draw", "t", name]
+    before = met.where(F.col("u") < F.col("t") - gap)
+    mid = before.groupBy(*own).agg(F.percentile("value", 0.5).alias("_m"), F.count("*").alias("_c")).where(F.col("_c") >= least)
+    mad = before.join(mid, own).groupBy(*own, "_m").agg((1.4826 * F.percentile(F.abs(F.col("value") - F.col("_m")), 0.5)).alias("_s")).where("_s > 1e-9")
+    peak = met.where(F.col("u") >= F.col("t")).join(mad, own).groupBy(*own).agg(F.max(F.abs(F.col("value") - F.col("_m")) / F.col("_s")).alias("_p"))
+    g = peak.groupBy(*keys, "draw", F.col("t").alias("start")).agg(F.count_if(F.col("_p") >= 3).alias("ge3"), F.count_if(F.col("_p") >= 10).alias("ge10"))
+    return g.withColumn("grade", F.when(F.col("ge10") >= 2, "strong").when(F.col("ge3") >= 2, "moderate").when(F.col("ge3") >= 1, "edge").otherwise("weak"))

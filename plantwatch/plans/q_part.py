@@ -235,3 +235,13 @@ def i36_native(spark: SparkSession, d: str) -> DataFrame:
     case when n.up then least(r.had + 1, 6) when r.off + 1 >= 3 then 0 else r.had end, case when n.up then 0 else r.off + 1 end, n.up and r.had < 6 from r join n on n.asset = r.asset and n.tag = r.tag and n.k = r.k + 1) select asset, tag, t, part, kept from r""")
 def i36_fold(spark: SparkSession, d: str) -> DataFrame:
     return state.cut_by_fold(_up(spark, d), "up", 3.0, 6, 3).select(*KEYS, "t", "part", "kept")
+
+
+@query("k26_random_windows", f"""with {T.INCIDENTS}, {T.RUNNING}, pool as (select asset, t, row_number() over (partition by asset order by t) - 1 as i, count(*) over (partition by asset) as n from running g where "on" and not exists (select 1 from incidents i where i.asset = g.asset and i.t between g.t - 10800000000 and g.t + 10800000000)),
+    dr as (select asset, any_value(n) as n, unnest(generate_series(1, 30)) as draw from pool group by asset), st as (select d.asset, d.draw, p.t as s from dr d join pool p on p.asset = d.asset and p.i = ((d.draw * 7919) % 1000003 * 48271 + 12345) % d.n),
+    m as (select st.asset, draw, s, tag, r.t as u, value from st join readings r on r.asset = st.asset and r.t >= s - 216000000000 and r.t < s + 43200000000), b as (select asset, draw, s, tag, quantile_cont(value, 0.5) as m from m where u < s - 43200000000 group by all having count(*) >= 10),
+    q as (select asset, draw, s, tag, b.m, 1.4826 * quantile_cont(abs(value - b.m), 0.5) as sd from m join b using (asset, draw, s, tag) where u < s - 43200000000 group by all), p as (select asset, draw, s, tag, max(abs(value - q.m) / sd) as p from m join q using (asset, draw, s, tag) where u >= s and sd > 1e-9 group by all),
+    g as (select asset, draw, s as start, count(*) filter (where p >= 3) as ge3, count(*) filter (where p >= 10) as ge10 from p group by all) select asset, cast(draw as integer) as draw, start, ge3, ge10, case when ge10 >= 2 then 'strong' when ge3 >= 2 then 'moderate' when ge3 >= 1 then 'edge' else 'weak' end as grade from g""")
+def k26(spark: SparkSession, d: str) -> DataFrame:
+    far = clean.near_events(T.running(spark, d).where("on"), T.incidents(spark, d), ["asset"], 3 * HOUR, 3 * HOUR, "near").where("not near")
+    return evaluate.random_windows(T.readings(spark, d), far, ["asset"], "tag", 30, 12 * HOUR, 12 * HOUR, 48 * HOUR, 10)
