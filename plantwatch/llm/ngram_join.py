@@ -4,17 +4,18 @@
 2. The elements of a set are dealt to K partitions by hash. Two sets within the
    threshold differ by D elements at most, so with K > D some partition holds
    the same elements in both: nodes that share the hash of a partition may link,
-   others can't. K follows the size band of a set.
-3. Nodes of a size band that may link, directly or by others, form a block; a
-   node near the end of its band is in two.
-4. In a block each set has a token bitmap. A signature tree's nodes hold the OR
-   of the bitmaps and the range of sizes below; a dual traversal drops a pair of
+   others can't. K follows the size band of a set. The nodes of a key make a
+   star around the least of them.
+3. Each star is compared in one task, many stars a task; a node near the end of
+   its band is in the stars of two bands.
+4. There each set has a token bitmap. A signature tree's nodes hold the OR of
+   the bitmaps and the range of sizes below; a dual traversal drops a pair of
    tree nodes when the greatest overlap possible can't reach the threshold, or
    when all below both is linked already. Pairs of sets that are left are
    compared exactly.
-5. A block too large for one task is dealt to tiles that share a few pivots;
-   what isn't linked to the block's largest component by then is compared with
-   all tiles, tile by tile.
+5. Stars too large for one task, with those that they meet, form blocks, which
+   are dealt to tiles that share a few pivots; what isn't linked to the largest
+   component of a block by then is compared with all its tiles, tile by tile.
 """
 
 from __future__ import annotations
@@ -27,17 +28,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.llm.components import connected_components
-from plantwatch.llm.tables import cut_lineage, numbered
+from plantwatch.llm.tables import cut_lineage, numbered, without_ids
 from plantwatch.llm.utf8 import mix64, shingle_sets, slices
 
 #: Set elements that one task compares at once; larger blocks are dealt to tiles.
 TILE_ELEMENTS = 2_000_000
 #: Bytes of text that one task compares at once.
 TILE_BYTES = 16 << 20
+#: Rows of a slice with one key from which on they are merged before the shuffle.
+HOT_ROWS = 64
 #: Names of sets that a task remembers to leave out repeats; beyond, it starts anew and repeats are merged later.
 REMEMBERED = 1 << 18
 #: Sets below a leaf and nodes below a node of a signature tree.
@@ -163,10 +166,11 @@ class Naming(NamedTuple):
 def _emit(what: str, size: int, naming: Naming, num: int = 0, den: int = 1, wanted: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over texts: digests of every row, or partition keys or texts of the distinct sets of a task.
 
-    Copies of a text are merged here, before anything is shuffled, and so are
-    the sets of a slice that share a key: the one with the least name stands
+    Copies of a text are merged here, before anything is shuffled. Of HOT_ROWS
+    sets of a slice or more that share a key the one with the least name stands
     for them, and each other one goes on as a row with it as `own` low, under
-    a key of its own. `wanted` are the bits of a Bloom filter of names.
+    a key of its own, so no key gathers many rows of a task. `wanted` are the
+    bits of a Bloom filter of names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +207,13 @@ def _emit(what: str, size: int, naming: Naming, num: int = 0, den: int = 1, want
 
 
 def _merge_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, low) of rows: low is the least node of the rows with the same key; other rows than that one get a key of their own."""
+    """(key, low) of rows: where HOT_ROWS rows or more have one key, low is their least node and the others get a key of their own; else low is the node."""
     order = np.lexsort((node, key))
     first = np.ones(len(order), bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
     at = np.flatnonzero(first)
-    low = np.empty(len(order), np.int64)
-    low[order] = np.repeat(node[order[at]], np.diff(np.append(at, len(order))))
+    low, size = np.empty(len(order), np.int64), np.diff(np.append(at, len(order)))
+    low[order] = np.where(np.repeat(size, size) >= HOT_ROWS, np.repeat(node[order[at]], size), node[order])
     return np.where(low == node, key, mix64(key ^ mix64(node.view(np.uint64)))), low
 
 
@@ -329,6 +333,12 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
     order = np.lexsort((sizes, least[:, 1], least[:, 0])) if side is None else np.lexsort((sizes, least[:, 1], least[:, 0], side))
     for i, j in zip(order, order[1:], strict=False):
         test(i, j)
+    if n <= FANOUT:  # the tree is one leaf
+        for i in range(n):
+            for j in range(i + 1, n):
+                if side is None or not (side[i] and side[j]):
+                    test(i, j)
+        return out
     width = 64
     while width < min(MOST_BITS, 4 * int(sizes.max(initial=1))):
         width *= 2
@@ -382,6 +392,15 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
     return out
 
 
+def _sets_of(texts: pd.Series, words: int) -> list[np.ndarray]:
+    """The set of each text, made a slice of bounded bytes at a time."""
+    sets = []
+    for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], "text"):
+        elements, bounds = shingle_sets(part.column("text"), words)
+        sets += [elements[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    return sets
+
+
 def _link_unit(words: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """For applyInPandas over the rows (node, text, hint, known, side) of one task."""
 
@@ -389,10 +408,7 @@ def _link_unit(words: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.Da
         rows = rows.sort_values(["side", "node"], ignore_index=True).drop_duplicates("node", ignore_index=True)
         names = rows["node"].to_numpy(np.int64)
         place = {int(x): i for i, x in enumerate(names)}
-        sets = []
-        for part in slices([pa.RecordBatch.from_pandas(rows[["text"]], pa.schema([("text", pa.large_string())]), preserve_index=False)], "text"):
-            elements, bounds = shingle_sets(part.column("text"), words)
-            sets += [elements[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        sets = _sets_of(rows["text"], words)
         hints = np.array([-1 if pd.isna(x) else place.get(int(x), -1) for x in rows["hint"]], np.int64)
         side = rows["side"].to_numpy(np.int64)
         pairs = link_sets(sets, num, den, rows["known"].to_numpy(np.int64), hints, side if side.any() else None)
@@ -448,8 +464,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     keys = texts.mapInArrow(_emit("keys", words, naming, num, den), "key long, node long, band short, own long")
     low = F.coalesce("own", F.min("node").over(Window.partitionBy("key")))
-    stars = cut_lineage(keys.withColumn("low", low).where("node > low").groupBy("band", "low", "node").agg(F.count("*").alias("shared")))
-    links = _block_links(texts, nodes, stars, words, naming, num, den, tile_elements, tile_bytes)
+    stars = keys.withColumn("low", low).where("node > low").groupBy("band", "low", "node").agg(F.count("*").alias("shared"), F.max(F.col("own").isNotNull()).alias("own"))
+    stars = cut_lineage(stars)
+    links = _star_links(texts, nodes, stars, words, naming, num, den, tile_elements, tile_bytes)
     linked = connected_components(links)
 
     named = rows.where("n > 0").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
@@ -460,21 +477,99 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.union(alone)
 
 
-def _block_links(texts: DataFrame, nodes: DataFrame, stars: DataFrame, words: int, naming: Naming, num: int, den: int, tile_elements: int, tile_bytes: int) -> DataFrame:
-    """(u, v) links between nodes that connect all that the links of the blocks connect."""
-    name = lambda node: F.xxhash64("band", node)  # noqa: E731  two names that collide only make one block of two
-    blocks = connected_components(stars.select(name("node").alias("u"), name("low").alias("v"))).select(F.col("node").alias("name"), F.col("component").alias("unit"))
+def _named(node: str) -> Column:
+    """A node in its band; two that collide only make one block of two."""
+    return F.xxhash64("band", node)
+
+
+def _blocks(stars: DataFrame, nodes: DataFrame, tile_elements: int, tile_bytes: int) -> DataFrame:
+    """(unit, node, n, size, hint, tiles, members) of the nodes that the edges of `stars` connect."""
+    blocks = connected_components(stars.select(_named("node").alias("u"), _named("low").alias("v"))).select(F.col("node").alias("name"), F.col("component").alias("unit"))
     members = stars.groupBy("band", "node").agg(F.max_by("low", F.struct("shared", -F.col("low"))).alias("hint"))
     members = members.unionByName(stars.select("band", F.col("low").alias("node")).distinct(), allowMissingColumns=True).groupBy("band", "node").agg(F.max("hint").alias("hint"))
-    active = members.withColumn("name", name("node")).join(blocks, "name").join(nodes.select("node", "n", "size"), "node")
+    active = members.withColumn("name", _named("node")).join(blocks, "name").join(nodes.select("node", "n", "size"), "node")
     active = cut_lineage(active.groupBy("unit", "node", "n", "size").agg(F.max("hint").alias("hint")))
     tiles = F.greatest(F.ceil(F.sum("n") / tile_elements), F.ceil(F.sum("size") / tile_bytes)).cast("int")
     weight = active.groupBy("unit").agg(tiles.alias("tiles"), F.count("*").alias("members"))
-    active = cut_lineage(active.join(weight, "unit"))
-    units = active.select("unit", F.lit(0).alias("tile"), F.lit(0).alias("other"), "node", "hint", F.col("node").alias("known"), F.lit(0).alias("side"), "tiles", "members")
-    links = _link(units.where("tiles = 1"), texts, words, naming, num, den)
-    large = cut_lineage(units.where("tiles > 1"))
-    return links if large.isEmpty() else links.union(_large_block_links(large, texts, words, naming, num, den))
+    return cut_lineage(active.join(weight, "unit"))
+
+
+def _as_units(active: DataFrame) -> DataFrame:
+    return active.select("unit", F.lit(0).alias("tile"), F.lit(0).alias("other"), "node", "hint", F.col("node").alias("known"), F.lit(0).alias("side"), "tiles", "members")
+
+
+def _hubs(stars: DataFrame) -> DataFrame:
+    """(low, hub): where the least node of a star is itself in stars of other ones, the one that it shares most keys with, two steps on.
+
+    The stars of a group of near copies have few hubs, so that most of their
+    nodes go to one task. Only nodes with two keys or more in common count.
+    """
+    near = stars.where("shared > 1").groupBy("node").agg(F.max_by("low", F.struct("shared", -F.col("low"))).alias("to"))
+    step = near.select(F.col("node").alias("at"), F.col("to").alias("next"))
+    first = near.select(F.col("node").alias("low"), F.col("to").alias("at"))
+    return first.join(step, "at", "left").select("low", F.coalesce("next", "at").alias("hub"))
+
+
+def _star_links(texts: DataFrame, nodes: DataFrame, stars: DataFrame, words: int, naming: Naming, num: int, den: int, tile_elements: int, tile_bytes: int) -> DataFrame:
+    """(u, v) links between nodes that connect all that the links within the stars connect.
+
+    Two sets that share a key are in the star of its least node, so each star
+    is compared with all of its nodes in one task, many stars a task. Where a
+    key was merged in a slice its sets are in several stars; those stars, and
+    stars too large for a task, make blocks, which are compared tile by tile.
+    """
+    merged = cut_lineage(stars.where("own").select("band", "low").distinct())
+    through = stars.join(merged.withColumnRenamed("low", "node"), ["band", "node"], "left_semi").select("band", "low")
+    of_star = stars.select("band", "low", "node").union(stars.select("band", "low", F.col("low").alias("node")).distinct())
+    of_star = cut_lineage(of_star.join(nodes.select("node", "n", "size"), "node"))
+    large = of_star.groupBy("band", "low").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(f"n > {tile_elements} or size > {tile_bytes}").select("band", "low")
+    apart = cut_lineage(merged.union(through).union(large).distinct())
+    none_apart = apart.isEmpty()
+    few = of_star if none_apart else of_star.join(apart, ["band", "low"], "left_anti")
+    few = few.join(_hubs(stars), "low", "left").withColumn("hub", F.coalesce("hub", "low"))
+    wide = few.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(f"n > {tile_elements} or size > {tile_bytes}").select("hub", F.lit(True).alias("wide"))
+    few = few.join(wide, "hub", "left").withColumn("home", F.when(F.col("wide"), F.col("low")).otherwise(F.col("hub")))
+    weight = few.agg(F.greatest(F.sum("n") / (tile_elements / 2), F.sum("size") / (tile_bytes / 2))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("home"), F.lit(int(weight) + 1)).alias("bucket")
+    links = _link_stars(few.select(bucket, F.xxhash64("band", "low").alias("star"), "node"), texts, words, naming, num, den)
+    if none_apart:
+        return links
+    units = _blocks(stars.join(apart, ["band", "low"], "left_semi"), nodes, tile_elements, tile_bytes)
+    links = links.union(_link(_as_units(units.where("tiles = 1")), texts, words, naming, num, den))
+    tiled = cut_lineage(_as_units(units.where("tiles > 1")))
+    return links if tiled.isEmpty() else links.union(_large_block_links(tiled, texts, words, naming, num, den))
+
+
+def _link_star_unit(words: int, num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas over the rows (node, stars, text) of one task: the links within each star."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node", ignore_index=True)
+        names, sets = rows["node"].to_numpy(np.int64), _sets_of(rows["text"], words)
+        place = np.repeat(np.arange(len(rows)), [len(x) for x in rows["stars"]])
+        star = np.concatenate([np.asarray(x, np.int64) for x in rows["stars"]])
+        order = np.argsort(star, kind="stable")
+        links, out = _Links(len(rows)), []
+        for own in np.split(place[order], np.flatnonzero(np.diff(star[order])) + 1):
+            known = np.array([links.root(int(i)) for i in own])
+            if (known == known[0]).all():
+                continue
+            for i, j in link_sets([sets[i] for i in own], num, den, known):
+                links.join(int(own[i]), int(own[j]))
+                out.append((names[own[i]], names[own[j]]))
+        return pd.DataFrame({"u": [a for a, _ in out], "v": [b for _, b in out]}, dtype="int64")
+
+    return run
+
+
+def _link_stars(rows: DataFrame, texts: DataFrame, words: int, naming: Naming, num: int, den: int) -> DataFrame:
+    """Links within each star of `rows` (bucket, star, node); a bucket is one task, and each of its texts goes there once."""
+    rows = cut_lineage(rows.groupBy("bucket", "node").agg(F.collect_set("star").alias("stars")))
+    wanted = texts.sparkSession.sparkContext.broadcast(_name_filter(rows.select("node").distinct()))
+    held = texts.mapInArrow(_emit("texts", words, naming, wanted=wanted), "node long, text string")
+    links = cut_lineage(rows.join(held, "node").groupBy("bucket").applyInPandas(_link_star_unit(words, num, den), "u long, v long"))
+    wanted.destroy()
+    return links
 
 
 def _large_block_links(large: DataFrame, texts: DataFrame, words: int, naming: Naming, num: int, den: int) -> DataFrame:
@@ -513,5 +608,4 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         placed = cut_lineage(verdict.join(rows.select("k", place.alias("place")), "k"))
         stays = placed.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.k").alias("k"))
         return rows.join(stays, "k", "left_semi").select("row.*")
-    drop = verdict.where("component_id < id").select("id")
-    return docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id")).join(drop, "id", "left_anti").select("row.*")
+    return without_ids(docs, doc_id, verdict.where("component_id < id"))
