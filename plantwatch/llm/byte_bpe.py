@@ -88,9 +88,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                     found.append(c)
         at += 1
     values = np.array(found, np.uint8)
-    first = np.array([place[f] for f in found])
     compose = np.array([[place[tuple(b[x] for x in a)] for b in found] for a in found], np.uint8)
-    del first
     starts = np.array([[_starts(s, k) for k in range(11)] for s in range(12)])
     return kinds, compose, values, starts
 

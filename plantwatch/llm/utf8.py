@@ -25,7 +25,7 @@ def _inverse(odd: int) -> int:
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser that spreads every input bit over 64 output bits."""
+    """A bijective finaliser that spreads every input bit over 64 output bits; its constants are fixed public values."""
     x = x.astype(np.uint64, copy=True)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
