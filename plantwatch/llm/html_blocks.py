@@ -328,10 +328,10 @@ class Labeller:
             out[i] = s
         return out, kept
 
-    def scores(self, pages: list) -> list[np.ndarray]:
-        """Probability of main text for every block of every page."""
-        x, mask, _ = self._inputs(pages, np.float32)
-        h, w = HIDDEN, self.p["out"].astype(np.float32)
+    def scores(self, pages: list, kind: type = np.float32) -> list[np.ndarray]:
+        """Probability of main text for every block of every page, computed in numbers of `kind`."""
+        x, mask, _ = self._inputs(pages, kind)
+        h, w = HIDDEN, self.p["out"].astype(kind)
         z = self._lstm(x, mask, "f", False)[0] @ w[:h] + self._lstm(x, mask, "b", False)[0] @ w[h : 2 * h] + x @ w[2 * h :]
         p = 1 / (1 + np.exp(-np.clip(z[:, :, 0] + self.p["bias"], -40, 40)))
         return [p[: len(page[2]), j] for j, page in enumerate(pages)]

@@ -436,7 +436,7 @@ def test_labeller_gradient_is_numeric():
     labels = [np.array([1.0, 0, 1]), np.array([0.0])]
 
     def loss():
-        p = np.concatenate(model.scores(pages))
+        p = np.concatenate(model.scores(pages, np.float64))
         y = np.concatenate(labels)
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
