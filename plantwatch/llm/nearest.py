@@ -175,7 +175,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of a with the same row of b, in double precision."""
+    """Cosine of each row of a with the same row of b, in double precision; powers of two, which change no digit, keep squares in range."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
