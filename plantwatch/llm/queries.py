@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwatch.llm import byte_bpe, html_blocks, toxicity
+from plantwatch.llm import byte_bpe, html_blocks, quality_cascade, toxicity
 from plantwatch.llm.exact_dedup import exact_dedup
 from plantwatch.llm.licenses import license_scan
 from plantwatch.llm.line_dedup import line_dedup
 from plantwatch.llm.nearest import nearest
 from plantwatch.llm.ngram_join import near_duplicates
 from plantwatch.llm.packing import pack
+from plantwatch.llm.periodic_runs import periodic_runs
 from plantwatch.llm.secrets import scan_secrets, span_digest
 from plantwatch.llm.tables import read_table
+from plantwatch.llm.token_alignment import align
 
 #: Folder of the public vocabulary files on every machine; None: that of the installed package.
 VOCABULARIES: str | None = None
@@ -83,6 +85,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2).withColumnRenamed("id", "doc_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality_cascade.cascade(read_table(spark, sf_dir, "documents"), report=base)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select(F.col("id").alias("doc_id"), *base, failed.alias("base_failed"), "kept")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def looped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) of `docs`; where crc32 of the id is a multiple of ten, words from one on repeat a stretch of the text's own.
+
+    With g that tenth and n words, a = g % n and p = 1 + (n - a) // (3 + g % 8),
+    word i from a on becomes word a + (i - a) % p. Such a text is its words joined
+    by one space; those without words stay.
+    """
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), h.alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != ""))
+    rows = rows.withColumn("w", words).withColumn("n", F.size("w").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.array_join(F.expr("transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)]))"), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(looped(read_table(spark, sf_dir, "documents")), least=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("r", longest)
+    said = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("r.start")).alias("start"), F.col("r.length").alias("length"), (-F.col("r.period")).alias("period"), F.expr("1000 * r.length div -r.period").alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def _license_sql() -> str:
     from plantwatch.llm.licenses import TEMPLATES, THRESHOLD, python_bigrams
 
@@ -99,7 +137,7 @@ def _license_sql() -> str:
     """
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_byte_bpe, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_nearest_vectors, op8_line_dedup, op9_secret_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_byte_bpe, op3_exact_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_nearest_vectors, op8_line_dedup, op9_secret_scan, op10_packing, op11_quality_rules, op12_token_alignment, op13_periodic_runs)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -153,4 +191,18 @@ ORACLE_SQL = {
         from d left join r using (doc_id) group by doc_id
     """,
     "op5_license_scan": _license_sql(),
+    "op11_quality_rules": r"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+        g as (select doc_id, unnest(range(1, len(w) - 3)) as i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from w where len(w) > 4),
+        r as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 5)) as k from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1) group by doc_id),
+        s as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+              cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+              len(l) as n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_capitals, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as n_letter_words
+              from w left join r using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+            not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words
+                 or 2 * n_letter_words < n_words or 2 * n_capitals > word_chars) as kept from s
+    """,
 }
