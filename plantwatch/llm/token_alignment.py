@@ -16,6 +16,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from plantwatch.llm.tables import cut_lineage, stored
 from plantwatch.llm.utf8 import slices, text_bytes
 
 #: Bytes of text whose distinct chunks are encoded together.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: Pairs, the most frequent ones, whose counts go to all tasks: 17 bytes each. The others are looked up by a join.
 BROADCAST_PAIRS = 1_000_000
 #: Code points of a chunk from which on it counts as long.
 LONG = 20_000
+#: Chunks that are encoded at once.
+ENCODED = 20_000
 #: A pair is a * PAIR + b.
 PAIR = 1 << 32
 
@@ -120,10 +123,14 @@ def chunk_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _lists(values: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
-    flat = np.fromiter((x for own in values for x in own), np.int32, int(sizes.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
+def _lists(encode: Callable[[list[str]], list[list[int]]], texts: list[str]) -> pa.ListArray:
+    """Token lists of the texts; some thousands of texts at a time are Python lists."""
+    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(texts), ENCODED):
+        own = encode(texts[at : at + ENCODED])
+        sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+        flat.append(np.fromiter(chain.from_iterable(own), np.int32, int(sizes[-1].sum())))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes))), pa.int32()), pa.array(np.concatenate(flat)))
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -132,6 +139,12 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(total, prepend=0)
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of stretches of these sizes, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Aligned:
     """Groups and overlapping pairs of the token lists of many texts (here: chunks).
 
@@ -205,7 +218,7 @@ def _align_slice(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> dict[str, ob
         bounds = np.append(starts, len(data)).astype(np.int64)
         chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
         texts = chunks.dictionary.to_pylist()
-        found = Aligned([x.encode() for x in texts], _lists(a.encode(texts)), _lists(b.encode(texts)), a.bytes_of, b.bytes_of)
+        found = Aligned([x.encode() for x in texts], _lists(a.encode, texts), _lists(b.encode, texts), a.bytes_of, b.bytes_of)
         return chunks.indices.to_numpy().astype(np.int64), found
 
     first = offs[:-1][some]
@@ -236,13 +249,14 @@ def _align_slice(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> dict[str, ob
         text = b"".join([digest[s:e] for s, e in map(own.__getitem__, index[at:to].tolist())])
         said.append(hashlib.sha256(text[:-1]).hexdigest())
         at = to
-    # distinct chunks that stay, renumbered
+    # distinct chunks that stay, renumbered, and their links as numbers of distinct pairs
     used, index = np.unique(index, return_inverse=True)
     sizes = size[used]
-    from_, links = np.append(0, found.pair_ends)[used], np.zeros(0, np.int64)
-    if len(used):
-        links = found.pairs[np.arange(int(sizes.sum())) + np.repeat(from_ - np.append(0, np.cumsum(sizes)[:-1]), sizes)]
-    return out | {"groups_sha256": said, "chunk_ends": ends, "chunks": index, "pairs": links, "pair_ends": np.cumsum(sizes)}
+    links = found.pairs[_ragged(np.append(0, found.pair_ends)[used], sizes)]
+    coded = pa.array(links).dictionary_encode()
+    times = np.repeat(np.bincount(index, minlength=len(used)), sizes)
+    counts = pa.table({"pair": coded.indices, "n": pa.array(times)}).group_by("pair", use_threads=False).aggregate([("n", "sum")]).sort_by("pair")
+    return out | {"groups_sha256": said, "chunk_ends": ends, "chunks": index, "pairs": coded.dictionary.to_numpy(), "counts": counts["n_sum"].to_numpy(), "links": coded.indices.to_numpy(), "link_ends": np.cumsum(sizes)}
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -256,8 +270,10 @@ def _aligned(a_path: str, b_path: str, most: int) -> Callable[[Iterator[pa.Recor
             got = _align_slice(batch, a, b)
             one = lambda x, kind: pa.array([x], pa.list_(kind))
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id"))
-            columns = [pa.array([number], pa.int64()), ids, *(one(got[k], pa.int64()) for k in _NUMBERS), one(got["groups_sha256"], pa.string()), one(got["chunk_ends"], pa.int32()), one(got["chunks"], pa.int32()), one(got["pairs"], pa.int64()), one(got["pair_ends"], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", *_NUMBERS, "groups_sha256", "chunk_ends", "chunks", "pairs", "pair_ends"])
+            columns = [pa.array([number], pa.int64()), ids, *(one(got[k], pa.int64()) for k in _NUMBERS), one(got["groups_sha256"], pa.string()), one(got["chunk_ends"], pa.int32()), one(got["chunks"], pa.int32()), one(got["pairs"], pa.int64()), one(got["counts"], pa.int64()), one(got["links"], pa.int32()), one(got["link_ends"], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", *_NUMBERS, "groups_sha256", "chunk_ends", "chunks", "pairs", "counts", "links", "link_ends"])
+            del got, columns
+            pa.default_memory_pool().release_unused()
             number += 1
 
     return run
@@ -274,19 +290,10 @@ def _ints(x: pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        ends = _ints(row["pair_ends"])
-        times = np.bincount(_ints(row["chunks"]), minlength=len(ends))
-        of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        links = pa.table({"pair": row["pairs"].cast(pa.int64()), "n": pa.array(times[of])})
-        counts = links.group_by("pair", use_threads=False).aggregate([("n", "sum")])
-        yield from pa.table({"pair": counts["pair"], "n": counts["n_sum"]}).combine_chunks().to_batches()
-
-
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n, best): how many links hold each pair, and whether its count is the highest of its B id."""
-    counts = aligned.select("chunks", "pairs", "pair_ends").mapInArrow(_partial_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    partial = aligned.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p"))
+    counts = partial.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("n"))
     counts = cut_lineage(counts.withColumn("b", F.col("pair") % PAIR))
     top = counts.groupBy("b").agg(F.max("n").alias("top"))  # one row for each entry of B's vocabulary
     return counts.join(F.broadcast(top), "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -298,27 +305,24 @@ def _scored(shared, rare: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = shared.value
         for row in _rows(batches):
-            pairs, ends, chunks, of_text = _ints(row["pairs"]), _ints(row["pair_ends"]), _ints(row["chunks"]), _ints(row["chunk_ends"])
+            pairs, links, ends, chunks, of_text = (_ints(row[k]) for k in ("pairs", "links", "link_ends", "chunks", "chunk_ends"))
             at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
             known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
             if not rare:
                 sums = []
                 for values in (best, counts):
                     own = np.where(known, values[at], 0) if len(keys) else np.zeros(len(pairs), np.int64)
-                    sums.append(_sums(_sums(own, ends)[chunks], of_text))
+                    sums.append(_sums(_sums(own[links], ends)[chunks], of_text))
                 n = len(of_text)
                 columns = [pa.array(np.full(n, row["slice"])), pa.array(np.arange(n)), row["ids"], *(row[k] for k in _NUMBERS), *map(pa.array, sums), row["groups_sha256"]]
                 yield pa.RecordBatch.from_arrays(columns, ["slice", "at", "id", *_NUMBERS, "n_best", "count_sum", "groups_sha256"])
                 continue
-            chunk_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[~known]
-            pairs = pairs[~known]
-            from_ = np.searchsorted(chunk_of, np.arange(len(ends) + 1))
-            sizes = np.diff(from_)
-            some = np.flatnonzero(sizes[chunks] > 0)
-            text = np.searchsorted(of_text, some, side="right")
-            own = sizes[chunks[some]]
-            link = np.arange(int(own.sum())) + np.repeat(from_[chunks[some]] - np.append(0, np.cumsum(own)[:-1])[: len(own)], own)
-            found = pa.table({"at": pa.array(np.repeat(text, own)), "pair": pa.array(pairs[link])}).group_by(["at", "pair"], use_threads=False).aggregate([([], "count_all")])
+            other = ~known[links]
+            per_chunk = _sums(other, ends)
+            sizes = per_chunk[chunks]
+            text = np.repeat(np.searchsorted(of_text, np.arange(len(chunks)), side="right"), sizes)
+            link = links[other][_ragged((np.cumsum(per_chunk) - per_chunk)[chunks], sizes)]
+            found = pa.table({"at": pa.array(text), "pair": pa.array(pairs[link])}).group_by(["at", "pair"], use_threads=False).aggregate([([], "count_all")])
             out = pa.table({"slice": pa.array(np.full(found.num_rows, row["slice"])), "at": found["at"], "pair": found["pair"], "times": found["count_all"]})
             yield from out.combine_chunks().to_batches()
 
@@ -342,14 +346,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     count each, and give rows of their own; other columns are ignored.
 
     What is written between the passes, to the shared folder, is the chunk
-    numbers of all texts and the pairs of a slice's distinct chunks. Counts of
+    numbers of all texts, the links of a slice's distinct chunks, and the slice's
+    count of each pair. Counts of
     the frequent pairs, `broadcast_pairs` at most, go to all tasks; the others, of
     which no pair is frequent, are joined by pair. A text is worked on whole by
     one task.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    schema = f"slice long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, chunk_ends array<int>, chunks array<int>, pairs array<long>, pair_ends array<int>"
+    schema = f"slice long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, chunk_ends array<int>, chunks array<int>, pairs array<long>, counts array<long>, links array<int>, link_ends array<int>"
     rows, _ = stored(own.mapInArrow(_aligned(a_path, b_path, slice_bytes), schema))
     counts = cut_lineage(pair_counts(rows))
     # the least power of two from which on at most `broadcast_pairs` pairs are as frequent
@@ -365,10 +370,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     order = np.argsort(frequent["pair"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((frequent["pair"].to_numpy()[order], frequent["n"].to_numpy()[order], frequent["best"].to_numpy(zero_copy_only=False)[order].astype(np.int8)))
     numbers = ", ".join(f"{k} long" for k in (*_NUMBERS, "n_best", "count_sum"))
-    texts = rows.select("slice", "ids", *_NUMBERS, "groups_sha256", "chunk_ends", "chunks", "pairs", "pair_ends").mapInArrow(_scored(shared, False), f"slice long, at long, id {kind}, {numbers}, groups_sha256 string")
+    texts = rows.select("slice", "ids", *_NUMBERS, "groups_sha256", "chunk_ends", "chunks", "pairs", "links", "link_ends").mapInArrow(_scored(shared, False), f"slice long, at long, id {kind}, {numbers}, groups_sha256 string")
     if total == sum(sizes.values()) and least == min(sizes, default=64):
         return texts.drop("slice", "at")
-    rare = rows.select("slice", "chunk_ends", "chunks", "pairs", "pair_ends").mapInArrow(_scored(shared, True), "slice long, at long, pair long, times long")
+    rare = rows.select("slice", "chunk_ends", "chunks", "pairs", "links", "link_ends").mapInArrow(_scored(shared, True), "slice long, at long, pair long, times long")
     rest = rare.join(counts.where(level < least), "pair").groupBy("slice", "at").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more"))
     both = texts.join(rest, ["slice", "at"], "left")
     plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)

@@ -261,7 +261,7 @@ def test_a_whole_text_decides_where_a_chunk_differs():
     a, b = token_alignment.encoders(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     batch = pa.RecordBatch.from_pydict({"text": ["one two ▁ three", "one two three", "▁"]})
     got = token_alignment._align_slice(batch, a, b)
-    assert [int(x) for x in got["n_a"]] == [0, 3, 0] and got["groups_sha256"][0] == "" and len(got["pair_ends"]) == 3
+    assert [int(x) for x in got["n_a"]] == [0, 3, 0] and got["groups_sha256"][0] == "" and len(got["link_ends"]) == 3
 
 
 def test_long_texts_of_one_character():
@@ -269,7 +269,7 @@ def test_long_texts_of_one_character():
     a, b = token_alignment.encoders(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     texts = [" " * 300_000, "x" + "\n" * 200_000 + "y", "a" * 100_000, "word " * 40_000]
     got = token_alignment._align_slice(pa.RecordBatch.from_pydict({"text": texts}), a, b)
-    assert all(int(n) > 0 for n in got["n_a"]) and int(got["n_a"][3]) == 40_001 and len(got["pair_ends"]) == 5
+    assert all(int(n) > 0 for n in got["n_a"]) and int(got["n_a"][3]) == 40_001 and len(got["link_ends"]) == 5
 
 
 # --- vectors of odd sizes --------------------------------------------------------------------------
