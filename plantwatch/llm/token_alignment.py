@@ -29,13 +29,13 @@ from plantwatch.llm.tables import cut_lineage, stored
 from plantwatch.llm.utf8 import slices, text_bytes
 
 #: Bytes of text whose distinct chunks are encoded together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Pairs, the most frequent ones, whose counts go to all tasks: 17 bytes each. The others are looked up by a join.
 BROADCAST_PAIRS = 1_000_000
 #: Code points of a chunk from which on it counts as long.
 LONG = 20_000
 #: Chunks that are encoded at once.
-ENCODED = 20_000
+ENCODED = 5_000
 #: A pair is a * PAIR + b.
 PAIR = 1 << 32
 
