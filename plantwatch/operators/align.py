@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import floor_to
+from plantwatch.operators import scans
 
 
 def regular_grid(df: DataFrame, step: int, keys: Sequence[str] = ("asset", "tag")) -> DataFrame:
@@ -24,23 +25,23 @@ def regular_grid(df: DataFrame, step: int, keys: Sequence[str] = ("asset", "tag"
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], direction: str = "backward") -> DataFrame:
     """`left` with the columns of the nearest row of `right` at or before t ("backward"), at or after, or nearest ("nearest": the earlier one on ties).
 
-    One union, one sort a key; `t_match` is the time of the row taken.
+    One union, whose rows are dealt to tasks by key and block of time; the row
+    last seen is carried over the blocks. `t_match` is the time of the row taken.
     """
     pack = F.struct(F.col("t").alias("t_match"), *columns)
     rows = left.withColumn("_r", F.lit(None).cast(right.select(pack.alias("x")).schema["x"].dataType)).withColumn("_side", F.lit(1))
     other = right.select(*keys, "t", pack.alias("_r"), F.lit(0).alias("_side"))
     both = rows.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    back = F.last("_r", ignorenulls=True).over(w.orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("t"), "_side").rowsBetween(Window.unboundedPreceding, 0))
-    if direction == "backward":
-        found = back
-    elif direction == "forward":
-        found = ahead
+    if direction != "forward":
+        both = scans.scan(both, keys, {"_back": scans.known(F.col("_r"))}, order=("t", "_side"))
+    if direction != "backward":
+        both = both.withColumn("_rank", -F.col("_side"))  # falling: at one time the right side comes first too
+        both = scans.scan(both, keys, {"_ahead": scans.known(F.col("_r"), descending=True)}, order=("t", "_rank"), descending=True).drop("_rank")
+    if direction == "nearest":
+        nearer = F.col("_ahead.t_match") - F.col("t") < F.col("t") - F.col("_back.t_match")
+        found = F.when(F.col("_back").isNull() | nearer, F.coalesce("_ahead", "_back")).otherwise(F.col("_back"))
     else:
-        both = both.withColumn("_b", back).withColumn("_a", ahead)
-        nearer = F.col("_a.t_match") - F.col("t") < F.col("t") - F.col("_b.t_match")
-        found = F.when(F.col("_b").isNull() | nearer, F.coalesce("_a", "_b")).otherwise(F.col("_b"))
+        found = F.col("_back" if direction == "backward" else "_ahead")
     return both.withColumn("_f", found).where("_side = 1").select(*left.columns, "_f.*")
 
 

@@ -7,20 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.operators import scans
+
 
 def runs(df: DataFrame, keys: Sequence[str], flag: str, into: str = "run") -> DataFrame:
     """`df` with a run number that grows by one wherever `flag` changes along t; a null flag is a value of its own."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    change = (~F.col(flag).eqNullSafe(F.lag(flag).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    return df.withColumn("_change", change).withColumn(into, F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_change")
+    return scans.run_numbers(df, keys, flag, into)
 
 
 def chain(df: DataFrame, keys: Sequence[str], gap: int, into: str = "episode", strict: bool = False) -> DataFrame:
     """`df` with an episode number: a gap over `gap` since the row before starts a new one; `strict`: a gap of `gap` too."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    since = F.col("t") - F.lag("t").over(w)
-    new = F.when(since < gap if strict else since <= gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn(into, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return scans.chains(df, keys, gap, into, strict)
 
 
 def episodes(df: DataFrame, keys: Sequence[str], gap: int, strict: bool = False, **more: Column) -> DataFrame:
@@ -30,8 +27,8 @@ def episodes(df: DataFrame, keys: Sequence[str], gap: int, strict: bool = False,
 
 def drop_short_runs(df: DataFrame, keys: Sequence[str], flag: str, least: int | Column) -> DataFrame:
     """`df` with `flag` false in runs of fewer than `least` rows."""
-    size = F.count("*").over(Window.partitionBy(*keys, "_run"))
-    return runs(df, keys, flag, "_run").withColumn(flag, F.col(flag) & (size >= least)).drop("_run")
+    sized = scans.of_runs(runs(df, keys, flag, "_run"), keys, "_run", {"_size": (F.count, F.lit(1))})
+    return sized.withColumn(flag, F.col(flag) & (F.col("_size") >= least)).drop("_run", "_size")
 
 
 def _fold(rows: DataFrame, keys: Sequence[str], state: Column, step, columns: Sequence[str]) -> DataFrame:

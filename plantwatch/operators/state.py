@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import floor_to
+from plantwatch.operators import folds, scans
 from plantwatch.operators.blocks import decayed_sums, row_numbers
 from plantwatch.operators.episodes import runs
 
@@ -93,23 +94,22 @@ def cusum_segments(df: DataFrame, drift: float, reset: str, load: float, keys: S
     return rows.join(carried, [*keys, "_g"]).withColumn(into, F.col("_c") + F.greatest(F.col("_a"), -F.col("_low"))).drop("_g", "_c", "_low", "_a")
 
 
-def cusum_with_signals(df: DataFrame, drift: float, limit: float, after: float | None = None, most: float | None = None, keys: Sequence[str] = KEYS, z: str = "z", into: str = "cusum") -> DataFrame:
+def cusum_with_signals(df: DataFrame, drift: float, limit: float, after: float | None = None, most: float | None = None, keys: Sequence[str] = KEYS, z: str = "z", into: str = "cusum", block: int = scans.BLOCK) -> DataFrame:
     """`df` with S = max(0, S + z - drift), S starting from `after` once it has reached `limit` (None: it goes on), and `most` at most.
 
-    Where S starts anew depends on all of it before, so a series is a fold in one task; null z adds nothing.
+    Where S starts anew depends on all of it before, so blocks of time are folded
+    from a guess and corrected (see folds); null z adds nothing.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        s, out = 0.0, np.empty(len(group))
-        for k, x in enumerate(np.nan_to_num(group[z].to_numpy(float, na_value=np.nan) - drift)):
+    def run(rows: pd.DataFrame, before: tuple) -> tuple[dict[str, object], tuple]:
+        s, out = float(before[0]), np.empty(len(rows))
+        for k, x in enumerate(np.nan_to_num(rows[z].to_numpy(float, na_value=np.nan) - drift).tolist()):
             s = max(0.0, (after if after is not None and s >= limit else s) + x)
             s = s if most is None else min(s, most)
             out[k] = s
-        return group.assign(**{into: out})
+        return {into: out}, (s,)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*keys).applyInPandas(run, f"{schema}, `{into}` double")
+    return folds.fold_series(df, keys, run, (0.0,), "s double", f"{into} double", block, [z])
 
 
 def glr(df: DataFrame, spans: Sequence[int], keys: Sequence[str] = KEYS, z: str = "z", into: str = "glr") -> DataFrame:
@@ -131,11 +131,10 @@ def k_of_n(flag: Column | str, k: int, n: int, keys: Sequence[str] = KEYS) -> Co
     return F.sum(F.coalesce(f, F.lit(False)).cast("int")).over(_w(keys).rowsBetween(-(n - 1), 0)) >= k
 
 
-def hysteresis(value: Column | str, high: float, low: float, keys: Sequence[str] = KEYS) -> Column:
-    """On from `high`, off below `low`, else as before; off at first."""
-    v = F.col(value) if isinstance(value, str) else value
-    mark = F.when(v >= high, True).when(v < low, False)
-    return F.coalesce(F.last(mark, ignorenulls=True).over(_w(keys).rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+def hysteresis(df: DataFrame, high: float, low: float, keys: Sequence[str] = KEYS, value: str = "z", into: str = "armed") -> DataFrame:
+    """`df` with `into`: on from `high`, off below `low`, else as before; off at first."""
+    mark = F.when(F.col(value) >= high, True).when(F.col(value) < low, False)
+    return scans.scan(df, keys, {into: scans.known(mark)}).withColumn(into, F.coalesce(into, F.lit(False)))
 
 
 def sticky(flag: Column | str, span: int, keys: Sequence[str] = KEYS) -> Column:
@@ -154,9 +153,11 @@ def frozen_flag(df: DataFrame, rows: int, keys: Sequence[str] = KEYS, value: str
 def gate_runs(df: DataFrame, flag: str, ok: str, mode: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """`df` with gated: "lock" is on from the first ok row of a run of `flag` to its end, "door" is the run if its first row is ok."""
     rows = runs(df, keys, flag, "_run")
-    inner = Window.partitionBy(*keys, "_run").orderBy("t")
-    held = F.max(F.col(ok)).over(inner.rowsBetween(Window.unboundedPreceding, 0)) if mode == "lock" else F.first(ok).over(inner)
-    return rows.withColumn("gated", F.col(flag) & held).drop("_run")
+    if mode == "lock":
+        rows = scans.in_runs(rows, keys, "_run", {"_held": scans.extreme(F.col(ok))})
+    else:  # what the run's first row says
+        rows = scans.of_runs(rows, keys, "_run", {"_held": (F.min, F.struct("t", ok))}).withColumn("_held", F.col(f"_held.{ok}"))
+    return rows.withColumn("gated", F.col(flag) & F.col("_held")).drop("_run", "_held")
 
 
 def vote(df: DataFrame, keys: Sequence[str], flag: str, least: int) -> DataFrame:
@@ -172,13 +173,11 @@ def sequence_to_point(df: DataFrame, k: int, width: int, keys: Sequence[str] = K
 
 def operational_state(df: DataFrame, keys: Sequence[str], long_off: int, transient: int, on: str = "on") -> DataFrame:
     """`df` with state: on, off_short, off_long, or transient up to `transient` after a start; a run of off is long from `long_off` on."""
-    rows = runs(df, keys, on, "_run")
-    whole = Window.partitionBy(*keys, "_run")
-    span = F.max("t").over(whole) - F.min("t").over(whole)
-    since = F.col("t") - F.min("t").over(whole)
+    rows = scans.of_runs(runs(df, keys, on, "_run"), keys, "_run", {"_from": (F.min, F.col("t")), "_to": (F.max, F.col("t"))})
+    span, since = F.col("_to") - F.col("_from"), F.col("t") - F.col("_from")
     started = F.col("_run") > 1
     state = F.when(~F.col(on), F.when(span >= long_off, "off_long").otherwise("off_short")).when(started & (since <= transient), "transient").otherwise("on")
-    return rows.withColumn("state", state).drop("_run")
+    return rows.withColumn("state", state).drop("_run", "_from", "_to")
 
 
 def stabilised_cut(df: DataFrame, flag: str, strength: str, share: float, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -254,22 +253,21 @@ def cut_runs(df: DataFrame, flag: str, keys: Sequence[str] = KEYS, value: str =
     return rows.withColumn("kept", kept).withColumn("part", part).select(*df.columns, "kept", "part")
 
 
-def cut_by_fold(df: DataFrame, flag: str, grows: float, ceiling: int, rest: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
-    """`df` with part and kept, by rules whose state is all that went before, so a series is a fold in one task.
+def cut_by_fold(df: DataFrame, flag: str, grows: float, ceiling: int, rest: int, keys: Sequence[str] = KEYS, value: str = "value", block: int = scans.BLOCK) -> DataFrame:
+    """`df` with part and kept, by rules whose state is all that went before; blocks of time are folded from a guess and corrected (see folds).
 
     Within a run of `flag`, part grows where the value is over `grows` times the
     least one since the last such row. kept holds for `ceiling` rows of the flag,
     then not until the flag has been off for `rest` rows in a row.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        up, x = group[flag].to_numpy(bool, na_value=False), np.nan_to_num(group[value].to_numpy(float, na_value=np.nan))
+    def run(rows: pd.DataFrame, before: tuple) -> tuple[dict[str, object], tuple]:
+        up, x = rows[flag].to_numpy(bool, na_value=False).tolist(), np.nan_to_num(rows[value].to_numpy(float, na_value=np.nan)).tolist()
         part, kept = np.zeros(len(up), np.int64), np.zeros(len(up), bool)
-        floor, number, had, off = np.inf, 0, 0, rest
-        for k in range(len(up)):
-            if up[k]:
-                if k == 0 or not up[k - 1]:
+        inside, floor, number, had, off = bool(before[0]), float(before[1]), *map(int, before[2:])
+        for k, on in enumerate(up):
+            if on:
+                if not inside:
                     floor, number = x[k], 0
                 elif floor > 0 and x[k] > grows * floor:
                     floor, number = x[k], number + 1
@@ -279,10 +277,11 @@ def cut_by_fold(df: DataFrame, flag: str, grows: float, ceiling: int, rest: int,
                 if had < ceiling:
                     had, kept[k] = had + 1, True
             else:
-                off += 1
+                off = min(off + 1, rest)
+                floor, number = 0.0, 0  # of no use until the next run, so that states meet
                 if off >= rest:
                     had = 0
-        return group.assign(part=part, kept=kept)
+            inside = on
+        return {"part": part, "kept": kept}, (inside, floor, number, had, off)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*keys).applyInPandas(run, f"{schema}, part long, kept boolean")
+    return folds.fold_series(df, keys, run, (False, 0.0, 0, 0, rest), "inside boolean, floor double, number long, had long, off long", "part long, kept boolean", block, [flag, value])

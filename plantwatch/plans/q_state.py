@@ -85,7 +85,7 @@ def i12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i13_hysteresis", f"""with {_Z} select asset, tag, t, coalesce(last_value(case when z >= 1 then true when z < -0.3 then false end ignore nulls) over ({_P} rows unbounded preceding), false) as armed from zs""")
 def i13(spark: SparkSession, d: str) -> DataFrame:
-    return z_scores(spark, d).select(*KEYS, "t", state.hysteresis("z", 1.0, -0.3).alias("armed"))
+    return state.hysteresis(z_scores(spark, d), 1.0, -0.3).select(*KEYS, "t", "armed")
 
 
 @query("i14_sticky_alert", f"""with {_Z} select asset, tag, t, bool_or(z > 2) over ({_P} range between 28800000000 preceding and current row) as sticky from zs""")

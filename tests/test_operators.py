@@ -142,7 +142,7 @@ def test_rules_on_flags(spark):
     assert column(df.withColumn("s", state.sticky("f", 1)), "s") == [False, True, True, True, True, True, True, False, True, True]
     assert column(episodes.drop_short_runs(df, KEYS, "f", 2), "f") == [False, True, True, True, False, False, False, False, True, True]
     h = series(spark, [0, 5, 3, 1, 3, 5, 4])
-    assert column(h.withColumn("s", state.hysteresis("value", 5, 2)), "s") == [False, True, True, False, False, True, True]
+    assert column(state.hysteresis(h, 5, 2, value="value", into="s"), "s") == [False, True, True, False, False, True, True]
 
 
 def test_episode_gaps_and_dedups_differ(spark):
