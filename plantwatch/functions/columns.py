@@ -64,6 +64,23 @@ def parse_time(text: Column, day_first: Column) -> Column:
     return F.coalesce(iso, F.when(day_first, dmy).otherwise(mdy))
 
 
+def time_shares(text: Column) -> dict[str, Column]:
+    """Aggregates that choose a column's time format: the shares of texts that look slashed and ISO, and of those that don't parse in the strict ISO form; nulls count as texts."""
+    s = F.coalesce(F.trim(text), F.lit(""))
+    look = lambda pattern: F.avg(s.rlike(pattern).cast("double"))
+    return {"slashed": look(r"^\d{1,2}/\d{1,2}/\d{4}"), "iso": look(r"^\d{4}-\d{2}-\d{2}"), "failed": F.avg(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")).isNull().cast("double"))}
+
+
+def parse_by_shares(text: Column, slashed: Column, iso: Column, failed: Column) -> Column:
+    """Timestamp of a text by its column's shares: slashes day first from 80 % slashed on; strictly ISO from 80 % ISO on, unless over 10 % fail; else ISO forms and slashes month first. Null for anything else."""
+    s = F.trim(text)
+    first = lambda *forms: F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in forms))
+    iso_forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+    slashes = lambda order: tuple(f"{order}/yyyy{tail}" for tail in (" H:mm:ss", " H:mm", ""))
+    loose = first(*iso_forms, *slashes("M/d"))
+    return F.when(slashed >= 0.8, first(*slashes("d/M"), *iso_forms)).when((iso >= 0.8) & (failed <= 0.1), first(iso_forms[0])).otherwise(loose)
+
+
 def to_utc(local: Column, zone: str, shift_hours: int = 0) -> Column:
     """UTC of a local wall time; null where the wall time occurs twice.
 

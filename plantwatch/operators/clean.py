@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.operators import scans
 from plantwatch.operators.episodes import runs
 
 KEYS = ("asset", "tag")
@@ -40,11 +41,10 @@ def long_gaps(df: DataFrame, limit: int, keys: Sequence[str] = KEYS, value: str
 
 def interpolate(df: DataFrame, limit: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """`df` with filled: on the straight line by position, at most `limit` rows from each side of a gap; the ends are held, as far."""
-    n = Window.partitionBy(*keys).orderBy("t")
-    rows = df.withColumn("_n", F.row_number().over(n))
-    back, ahead = n.rowsBetween(Window.unboundedPreceding, 0), n.rowsBetween(0, Window.unboundedFollowing)
+    rows = scans.scan(df, keys, {"_n": scans.total(F.lit(1))})
     known = F.when(F.col(value).isNotNull(), F.struct("_n", F.col(value).alias("v")))
-    rows = rows.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_q", F.first(known, ignorenulls=True).over(ahead))
+    rows = scans.scan(rows, keys, {"_p": scans.known(known)})
+    rows = scans.scan(rows, keys, {"_q": scans.known(known, descending=True)}, descending=True)
     near = F.least(F.col("_n") - F.col("_p._n"), F.col("_q._n") - F.col("_n")) <= limit
     line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("_n") - F.col("_p._n")) / (F.col("_q._n") - F.col("_p._n"))
     held = F.coalesce("_p.v", "_q.v")
@@ -52,6 +52,20 @@ def interpolate(df: DataFrame, limit: int, keys: Sequence[str] = KEYS, value: st
     return rows.withColumn("filled", filled).drop("_n", "_p", "_q")
 
 
+def fill_all(df: DataFrame, limit: int, keys: Sequence[str] = KEYS, value: str = "value", weighted: bool = True, otherwise: float | None = None) -> DataFrame:
+    """`df` with filled: as `interpolate`; then what a gap has left on the line by time between the filled rows beside it (`weighted`) or carried from before; then held ends; then `otherwise`.
+
+    Without `otherwise`, series without values stay null.
+    """
+    rows = interpolate(df, limit, keys, value)
+    known = F.when(F.col("filled").isNotNull(), F.struct("t", F.col("filled").alias("v")))
+    rows = scans.scan(rows, keys, {"_p": scans.known(known)})
+    rows = scans.scan(rows, keys, {"_q": scans.known(known, descending=True)}, descending=True)
+    line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * ((F.col("t") - F.col("_p.t")) / (F.col("_q.t") - F.col("_p.t")))
+    rest = F.coalesce(*([F.when(F.col("_p.t") < F.col("_q.t"), line)] if weighted else []), "_p.v", "_q.v", *([F.lit(otherwise)] if otherwise is not None else []))
+    return rows.withColumn("filled", F.coalesce("filled", rest)).drop("_p", "_q")
+
+
 def constant_runs(df: DataFrame, least: int, keys: Sequence[str] = KEYS, value: str = "value", back_spill: bool = False) -> DataFrame:
     """`df` with constant, whether the row is in a run of `least` equal values; `back_spill` marks the row before a run too."""
     w = Window.partitionBy(*keys).orderBy("t")

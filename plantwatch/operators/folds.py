@@ -11,7 +11,6 @@ three for rules that restart, and at most one round for each block.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -19,24 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import floor_to
+from plantwatch.operators.lineage import cut_lineage
 from plantwatch.operators.scans import BLOCK
 
 #: Takes a block's rows in time order and the state before them; gives the columns to add, and the state after.
 Fold = Callable[[pd.DataFrame, tuple], tuple[dict[str, object], tuple]]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder; a temporary one on one machine where spark.checkpoint.dir is unset."""
-    session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        base = session.conf.get("spark.checkpoint.dir", None)
-        if base is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint().select(*(F.col(f"`{c}`").alias(c) for c in df.columns))  # as columns of its own, apart from those of `df`
-
-
 def fold_series(df: DataFrame, keys: Sequence[str], fold: Fold, first: tuple, state: str, columns: str, block: int = BLOCK, inputs: Sequence[str] | None = None) -> DataFrame:
     """`df` with `columns` (a schema) that `fold` gives for each row along t, from the state `first` (of schema `state`) on.
 
@@ -51,7 +39,7 @@ def fold_series(df: DataFrame, keys: Sequence[str], fold: Fold, first: tuple, st
     ids = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _b long"
     at = [*keys, "_b"]
     lean = rows.select(*at, "t", *(c for c in (inputs or df.columns) if c not in (*at, "t")))
-    begin = F.lit(first).cast(own) if len(first) > 1 else F.struct(F.lit(first[0])).cast(own)
+    begin = F.struct(*map(F.lit, first)).cast(own)
 
     def ends(_, block_rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         if not len(starts) or not len(block_rows):

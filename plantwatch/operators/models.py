@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.operators.align import range_join
+from plantwatch.operators.state import running_clock
+
 KEYS = ("asset", "tag")
 
 
@@ -216,6 +219,51 @@ def walk_forward(df: DataFrame, period: int, lookback: int, least: int, keys: Se
     return out.withColumn("z", F.when((F.col("_n") >= least) & (scale > 0), (F.col(value) - F.col("_m")) / scale)).drop("_p", "_m", "_n", "_d", "_s")
 
 
+def causal_z(df: DataFrame, period: int, span: int, least: int, usable: str, most: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+    """`df` with z by the usable rows of the last `span` of usable time before the start of its period; null with fewer than `least`.
+
+    The clock advances only on usable rows (see state.running_clock), so the
+    look-back reaches as far as it must. z is by median and MAD, by the sample
+    deviation where the MAD is 0. A period finds its rows through buckets of the
+    clock; `span` of usable time is all that a group holds.
+    """
+    clocked = running_clock(df, usable, most, keys, "_ran").withColumn("_p", F.floor(F.col("t") / period).cast("long"))
+    start = clocked.groupBy(*keys, "_p").agg(F.max("_ran").alias("_last"))
+    before = F.coalesce(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_p")), F.lit(0))
+    start = start.select(*keys, "_p", before.alias("t"))  # the clock as the period starts
+    fit = clocked.where(F.col(usable) & F.col(value).isNotNull()).select(*keys, F.col("_ran").alias("u"), F.col(value).alias("_x"))
+    train = range_join(start, fit, list(keys), span - 1, 0)
+    mid = train.groupBy(*keys, "_p").agg(F.percentile("_x", 0.5).alias("_m"), F.count("*").alias("_n"), F.stddev_samp("_x").alias("_s"))
+    mad = train.join(mid, [*keys, "_p"]).groupBy(*keys, "_p").agg(F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5).alias("_d"))
+    scale = F.when(F.col("_d") > 0, 1.4826 * F.col("_d")).otherwise(F.col("_s"))
+    out = clocked.join(mid.join(mad, [*keys, "_p"]), [*keys, "_p"], "left")
+    return out.withColumn("z", F.when((F.col("_n") >= least) & (scale > 0), (F.col(value) - F.col("_m")) / scale)).select(*df.columns, "z")
+
+
+def score_with_bundles(df: DataFrame, bundles: DataFrame, size: int, stride: int, keys: Sequence[str] = KEYS, value: str = "value", on: str | None = None) -> DataFrame:
+    """(keys, seq, start, end, score, state, is_anom): windows of new rows scored with stored statistics.
+
+    `bundles` has a row for each key: centre, scale (0 counts as 1), threshold,
+    and low and high to clip to, null for no bound. A window's score is the mean
+    absolute z of its rows; it is anomalous above the threshold. With `on`, a
+    window whose last row is off has state "off" and isn't anomalous. A bundle
+    whose key has no row is an error that names it.
+    """
+    gone = bundles.select(*keys).join(df.select(*keys).distinct(), list(keys), "left_anti").orderBy(*keys).limit(20).collect()
+    if gone:
+        raise ValueError("no rows for " + ", ".join("/".join(map(str, r)) for r in gone))
+    rows = df.join(bundles, list(keys))
+    x = F.least(F.greatest(F.col(value), F.coalesce("low", F.lit(float("-inf")))), F.coalesce("high", F.lit(float("inf"))))
+    scale = F.when(F.col("scale") != 0, F.col("scale")).otherwise(1.0)
+    rows = rows.withColumn("_z", F.when(F.col(value).isNotNull(), (x - F.col("centre")) / scale))
+    seq = windows(rows, size, stride, keys, "_z").withColumn("score", window_error(F.col("x"), F.transform("x", lambda v: F.lit(0.0)))).drop("x")
+    seq = seq.join(bundles.select(*keys, "threshold"), list(keys))
+    if on is None:
+        return seq.select(*keys, "seq", "start", "end", "score", F.lit("on").alias("state"), (F.col("score") > F.col("threshold")).alias("is_anom"))
+    seq = seq.join(df.select(*keys, F.col("t").alias("end"), F.coalesce(on, F.lit(False)).alias("_on")), [*keys, "end"])
+    return seq.select(*keys, "seq", "start", "end", "score", F.when(F.col("_on"), "on").otherwise("off").alias("state"), (F.col("_on") & (F.col("score") > F.col("threshold"))).alias("is_anom"))
+
+
 def guarded_z(df: DataFrame, step: int, guard: int, back: int, least: int, keys: Sequence[str] = KEYS, value: str = "value", usable: str | None = None) -> DataFrame:
     """`df` with z by median and MAD of the rows that end `guard` before its block of `step` and begin `back` before it; null with fewer than `least`.
 

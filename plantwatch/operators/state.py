@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import floor_to
 from plantwatch.operators import folds, scans
-from plantwatch.operators.blocks import decayed_sums, row_numbers
+from plantwatch.operators.blocks import by_rows, decayed_sums, row_numbers
 from plantwatch.operators.episodes import runs
 
 KEYS = ("asset", "tag")
@@ -119,6 +119,28 @@ def glr(df: DataFrame, spans: Sequence[int], keys: Sequence[str] = KEYS, z: str
     return rows.withColumn(into, F.greatest(F.lit(0.0), *steps)).drop("_c")
 
 
+def running_clock(df: DataFrame, on: str, most: int, keys: Sequence[str] = KEYS, into: str = "ran") -> DataFrame:
+    """`df` with the time that has passed while `on` held: a row that is on adds the time since the row before, `most` at most; a first row adds `most`."""
+    rows = scans.scan(df, keys, {"_before": scans.known(F.col("t"))}, inclusive=False)
+    step = F.when(F.col(on), F.least(F.coalesce(F.col("t") - F.col("_before"), F.lit(most)), F.lit(most))).otherwise(F.lit(0)).cast("long")
+    return scans.scan(rows.withColumn("_step", step), keys, {into: scans.total(F.col("_step"))}).drop("_before", "_step")
+
+
+def sustained_running(df: DataFrame, flag: str, on: str, least: int, most: int, keys: Sequence[str] = KEYS, into: str = "held") -> DataFrame:
+    """`df` with `into`: the machine is on, the flag holds, and it has held for `least` of running time; rows that are off stop the clock and don't end a run."""
+    rows = running_clock(df, on, most, keys, "_ran").withColumn("_up", F.coalesce(F.col(flag), F.lit(False)))
+    # the running time at the last row that was on without the flag
+    rows = scans.scan(rows, keys, {"_since": scans.known(F.when(F.col(on) & ~F.col("_up"), F.col("_ran")))})
+    long = F.col("_ran") - F.coalesce("_since", F.lit(0)) >= least
+    return rows.withColumn(into, F.col(on) & F.col("_up") & long).drop("_ran", "_up", "_since")
+
+
+def smoothed_median(df: DataFrame, rows: int, value: str, into: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """`df` with the median of the last `rows` values, of as many as there are at first; a key's rows are spread over tasks."""
+    median = lambda x, ks: x.withColumn(into, F.percentile(value, 0.5).over(Window.partitionBy(*ks).orderBy("t").rowsBetween(-(rows - 1), 0)))
+    return by_rows(df, keys, rows, median)
+
+
 def sustained(flag: Column | str, rows: int, keys: Sequence[str] = KEYS) -> Column:
     """Whether the flag holds in all of the last `rows` rows."""
     f = F.col(flag) if isinstance(flag, str) else flag

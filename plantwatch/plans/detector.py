@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import HOUR, floor_to
-from plantwatch.operators import episodes, evaluate, models, state
+from plantwatch.operators import episodes, evaluate, models, quantiles, state
 from plantwatch.operators.align import regular_grid
 from plantwatch.operators.clean import mask_range, since_start
 
@@ -41,12 +41,12 @@ def excursions(readings: DataFrame, incidents: DataFrame, half_life: int = 2 * H
     """
     bins = readings.groupBy(*KEYS, floor_to(F.col("t"), HOUR).alias("t")).agg(F.percentile("value", 0.5).alias("value"))
     rows = state.ewma_time(mask_range(bins, 0.0, 1000.0), half_life)
-    threshold = rows.groupBy("tag").agg(F.percentile("ewma", quantile).alias("threshold"))
-    rows = rows.join(F.broadcast(threshold), "tag")
+    threshold = quantiles.quantiles(rows, ["tag"], "ewma", {"threshold": quantile}, within=readings)
+    rows = rows.join(threshold, "tag")
     alerts = rows.withColumn("on", state.sustained(F.col("ewma") > F.col("threshold"), sustain)).where("on").select("tag", "asset", "t")
     days = rows.agg(((F.max("t") - F.min("t")) / 8.64e10).alias("days"))
     curve = evaluate.predictive_curve(alerts, incidents, ["asset"], horizon, gap, F.lit(1.0), ["tag"])
-    return curve.join(F.broadcast(threshold), "tag").crossJoin(F.broadcast(days)).select("tag", "threshold", "episodes", "recall", "lead_h", (F.col("false_per_day") / F.col("days")).alias("false_per_day"))
+    return curve.join(threshold, "tag").crossJoin(F.broadcast(days)).select("tag", "threshold", "episodes", "recall", "lead_h", (F.col("false_per_day") / F.col("days")).alias("false_per_day"))
 
 
 def four_signal_vote(readings: DataFrame, running_tag: str = "view", running_above: float = 15.0, step: int = HOUR, low: float = 1.5, high: float = 3.0, kappa: float = 0.5, limit: float = 5.0, gap: int = 6 * HOUR, refractory: int = 24 * HOUR, least: int = HOUR, blackout: int = 3 * HOUR) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR, micros
-from plantwatch.operators import clean, episodes, evaluate, models, rolling, state
+from plantwatch.operators import clean, episodes, evaluate, models, quantiles, rolling, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _LABEL, _LOAD, _P, loaded
@@ -29,7 +29,10 @@ def b04(spark: SparkSession, d: str) -> DataFrame:
 @query("d07_all_threshold_modes", f"""with {T.READINGS} select asset, tag, max(value) as top, {', '.join(f"round(quantile_cont(value, {q}), 6) as {n}" for n, q in (("p95", 0.95), ("p97", 0.97), ("p99", 0.99), ("p995", 0.995), ("rate", 0.98)))}, round(avg(value) + 3 * stddev_pop(value), 6) as k_sigma from readings group by all""")
 def d07(spark: SparkSession, d: str) -> DataFrame:
     q = {"p95": 0.95, "p97": 0.97, "p99": 0.99, "p995": 0.995, "rate": 0.98}
-    return T.readings(spark, d).groupBy(*KEYS).agg(F.max("value").alias("top"), *(r6(F.percentile("value", x)).alias(n) for n, x in q.items()), r6(F.avg("value") + 3 * F.stddev_pop("value")).alias("k_sigma"))
+    rows = T.readings(spark, d)
+    out = rows.groupBy(*KEYS).agg(F.max("value").alias("top"), r6(F.avg("value") + 3 * F.stddev_pop("value")).alias("k_sigma"))
+    out = out.join(quantiles.quantiles(rows, KEYS, "value", q), list(KEYS))
+    return out.select(*KEYS, "top", *(r6(n).alias(n) for n in q), "k_sigma")
 
 
 _COMBOS = f"""{T.BINS}, a as (select asset, t, list(tag) as tags from bins where value > 60 group by all), e as (select *, sum(case when t - p <= 21600000000 then 0 else 1 end) over (partition by asset order by t rows unbounded preceding) as e from (select *, lag(t) over (partition by asset order by t) as p from a)),

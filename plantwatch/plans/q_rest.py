@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR, floor_to
-from plantwatch.operators import align, clean, episodes, evaluate, models, state
+from plantwatch.operators import align, clean, episodes, evaluate, models, quantiles, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _ALERTS, _CURVE, _LABEL, _LOAD, _P, _grid_alerts, alerts, curve, labelled, loaded, per_day
@@ -49,9 +49,10 @@ _PERCENTS = [float(f"{0.999 - s * 0.299 / 149:.12f}") for s in range(150)]
     select tag, s, round(score, 6) as score from (select *, row_number() over (partition by tag order by ok desc, case when ok then s end, round(score, 9) desc, s) as k from k) where k = 1""")
 def k02(spark: SparkSession, d: str) -> DataFrame:
     rows = T.readings(spark, d)
-    q = rows.groupBy("tag").agg(F.percentile("value", F.array(*map(F.lit, _PERCENTS))).alias("_q"))  # a row a tag
+    steps = {f"_q{s}": x for s, x in enumerate(_PERCENTS)}
+    q = quantiles.quantiles(rows, ["tag"], "value", steps).select("tag", F.array(*steps).alias("_q"))  # a row a tag
     passed = F.filter(F.transform("_q", lambda y, s: F.struct(s.cast("long").alias("s"), y.alias("y"))), lambda x: F.col("value") > x["y"])
-    said = rows.join(F.broadcast(q), "tag").withColumn("_s", F.explode(passed)).select("tag", "_s.s", "asset", "t")
+    said = rows.join(q, "tag").withColumn("_s", F.explode(passed)).select("tag", "_s.s", "asset", "t")
     score, ok = F.col("recall") - 0.5 * F.least(F.lit(1.0), F.col("false_per_day") / 10), (F.col("recall") >= 0.3) & (F.col("false_per_day") <= 2)
     w = Window.partitionBy("tag").orderBy(F.desc(ok.cast("int")), F.when(ok, F.col("s")), F.desc(F.round(score, 9)), "s")
     return _curve(spark, d, said, ["tag", "s"]).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("tag", "s", r6(score).alias("score"))
@@ -61,8 +62,10 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     {_curve_sql("select l.tag, s, asset, t from live l join p using (tag) cross join g where value >= mu + (0.25 + s * 0.25) * sd", "tag, s")} select tag, s, round(recall, 6) as recall, round(lead_h, 6) as lead_h, episodes, round(false_per_day, 6) as false_per_day from curve""")
 def k03(spark: SparkSession, d: str) -> DataFrame:
     live = _while_running(spark, d)
-    p = live.groupBy("tag").agg(F.avg("value").alias("mu"), ((F.percentile("value", 0.75) - F.percentile("value", 0.25)) / 1.35).alias("sd"))
-    said = live.join(F.broadcast(p), "tag").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(19)))).where(F.col("value") >= F.col("mu") + (0.25 + F.col("s") * 0.25) * F.col("sd"))
+    q = quantiles.quantiles(live, ["tag"], "value", {"a": 0.25, "b": 0.75}, within=T.readings(spark, d))
+    p = live.groupBy("tag").agg(F.avg("value").alias("mu")).join(q, "tag").select("tag", "mu", ((F.col("b") - F.col("a")) / 1.35).alias("sd"))
+    passed = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda s: F.col("value") >= F.col("mu") + (0.25 + s * 0.25) * F.col("sd"))
+    said = live.join(p, "tag").withColumn("s", F.explode(passed))
     c = _curve(spark, d, said.select("tag", F.col("s").cast("long").alias("s"), "asset", "t"), ["tag", "s"])
     return c.select("tag", "s", r6("recall").alias("recall"), r6("lead_h").alias("lead_h"), "episodes", r6("false_per_day").alias("false_per_day"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions import columns as C
 from plantwatch.functions.columns import DAY, HOUR, MINUTE
-from plantwatch.operators import align, blocks, clean, rolling
+from plantwatch.operators import align, blocks, clean, quantiles, rolling
 from plantwatch.operators.episodes import episodes, runs
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
@@ -165,18 +165,19 @@ def d04(spark: SparkSession, d: str) -> DataFrame:
     round(avg(case when value > thr then 1.0 else 0 end), 6) as rate, quantile_cont(value, 0.95) > 1.1 * max(thr) as drifted from readings join p using (tag) group by all""")
 def d06(spark: SparkSession, d: str) -> DataFrame:
     rows = T.readings(spark, d)
-    thr = rows.groupBy("tag").agg(F.percentile("value", 0.95).alias("thr"))
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = rows.join(F.broadcast(thr), "tag").groupBy("tag", F.floor(F.col("t") / (7 * DAY)).alias("week"))
-    out = g.agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("sd"), p.alias("p"), F.max("value").alias("top"), r6(F.avg((F.col("value") > F.col("thr")).cast("double"))).alias("rate"), F.max("thr").alias("thr"))
-    return out.select("tag", "week", "n", "mean", "sd", *(r6(F.col("p")[i]).alias(k) for i, k in enumerate(("p50", "p95", "p99"))), "top", "rate", (F.col("p")[1] > 1.1 * F.col("thr")).alias("drifted"))
+    thr = quantiles.quantiles(rows, ["tag"], "value", {"thr": 0.95})
+    rows = rows.join(thr, "tag").withColumn("week", F.floor(F.col("t") / (7 * DAY)))
+    out = rows.groupBy("tag", "week").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("sd"), F.max("value").alias("top"), r6(F.avg((F.col("value") > F.col("thr")).cast("double"))).alias("rate"), F.max("thr").alias("thr"))
+    out = out.join(quantiles.quantiles(rows, ["tag", "week"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), ["tag", "week"])
+    return out.select("tag", "week", "n", "mean", "sd", *(r6(k).alias(k) for k in ("p50", "p95", "p99")), "top", "rate", (F.col("p95") > 1.1 * F.col("thr")).alias("drifted"))
 
 
 @query("d07_threshold_modes", f"""with {T.READINGS} select asset, tag, max(value) as top, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.995), 6) as p995, round(avg(value) + 3 * stddev_pop(value), 6) as mean_std, round(quantile_cont(value, 0.98), 6) as target_rate from readings group by all""")
 def d07(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.95), F.lit(0.995), F.lit(0.98)))
-    out = T.readings(spark, d).groupBy("asset", "tag").agg(F.max("value").alias("top"), q.alias("q"), r6(F.avg("value") + 3 * F.stddev_pop("value")).alias("mean_std"))
-    return out.select("asset", "tag", "top", r6(F.col("q")[0]).alias("p95"), r6(F.col("q")[1]).alias("p995"), "mean_std", r6(F.col("q")[2]).alias("target_rate"))
+    rows = T.readings(spark, d)
+    out = rows.groupBy(*KEYS).agg(F.max("value").alias("top"), r6(F.avg("value") + 3 * F.stddev_pop("value")).alias("mean_std"))
+    out = out.join(quantiles.quantiles(rows, KEYS, "value", {"p95": 0.95, "p995": 0.995, "target_rate": 0.98}), list(KEYS))
+    return out.select(*KEYS, "top", *(r6(c).alias(c) for c in ("p95", "p995", "target_rate")), "mean_std")
 
 
 @query("d08_regime_band_thresholds", f"""with {T.BINS}, x as (select b.*, v.value as load from bins b left join bins v on v.asset = b.asset and v.t = b.t and v.tag = 'view' where b.tag = 'click'), c as (select *, case when load is null then -1 when load < 20 then 0 when load < 50 then 1 else 2 end as band from x),
