@@ -289,3 +289,23 @@ def random_windows(rows: DataFrame, pool: DataFrame, keys: Sequence[str], name:
     peak = met.where(F.col("u") >= F.col("t")).join(mad, own).groupBy(*own).agg(F.max(F.abs(F.col("value") - F.col("_m")) / F.col("_s")).alias("_p"))
     g = peak.groupBy(*keys, "draw", F.col("t").alias("start")).agg(F.count_if(F.col("_p") >= 3).alias("ge3"), F.count_if(F.col("_p") >= 10).alias("ge10"))
     return g.withColumn("grade", F.when(F.col("ge10") >= 2, "strong").when(F.col("ge3") >= 2, "moderate").when(F.col("ge3") >= 1, "edge").otherwise("weak"))
+
+
+def cuts_that_keep_positives(rows: DataFrame, by: Sequence[str] = ("feature",), event: str = "event", value: str = "x", positive: str = "positive") -> DataFrame:
+    """(by, cut, positives, negatives, kept, left_out): for each feature the greatest cut that keeps all positives, the negatives it keeps, and the positives kept when they are left out of the choice.
+
+    `rows` have a row for each event and feature; null values count as below any
+    cut. Only the two least positives of a feature matter: without the least one
+    the cut is the second, and without any other it stays, so leaving out is one
+    look-up. With one positive there is no cut without it, and left_out is 0.
+    """
+    by = list(by)
+    x = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
+    rows = rows.select(*by, event, x.alias("_x"), F.col(positive).alias("_y"))
+    key = F.struct("_x", event)
+    least = rows.where("_y").groupBy(*by).agg(F.min(key).alias("_a"), F.count("*").alias("positives"))
+    second = rows.where("_y").join(least, by).where(key > F.col("_a")).groupBy(*by).agg(F.min("_x").alias("_b"))
+    cut = least.join(second, by, "left").select(*by, F.col("_a._x").alias("cut"), "_b", "positives")
+    all_ = rows.join(cut, by).groupBy(*by, "cut", "_b", "positives").agg(F.count_if(~F.col("_y")).alias("negatives"), F.count_if(~F.col("_y") & (F.col("_x") >= F.col("cut"))).alias("kept"))
+    others = F.when(F.col("_b").isNull(), 0).otherwise(F.col("positives") - F.when(F.col("cut") < F.col("_b"), 1).otherwise(0))
+    return all_.select(*by, "cut", "positives", "negatives", "kept", others.cast("long").alias("left_out"))

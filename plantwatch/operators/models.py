@@ -240,6 +240,28 @@ def causal_z(df: DataFrame, period: int, span: int, least: int, usable: str, mos
     return out.withColumn("z", F.when((F.col("_n") >= least) & (scale > 0), (F.col(value) - F.col("_m")) / scale)).select(*df.columns, "z")
 
 
+def period_z(df: DataFrame, period: str, least: int, smooth: int = 1, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+    """`df` with z by the rows of the key's periods before: the means, over the last `smooth` periods with `least` rows, of their medians and of their scaled MADs; null without such a period.
+
+    Periods are numbers in a column and may be of any length, such as campaigns.
+    Each is fitted once, and what serves a period is a window over one row a
+    period, so no row is copied.
+    """
+    fit = df.where(F.col(period).isNotNull()).groupBy(*keys, period)
+    mid = fit.agg(F.percentile(value, 0.5).alias("_m"), F.count(value).alias("_n"))
+    mad = df.join(mid, [*keys, period]).groupBy(*keys, period).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5)).alias("_d"))
+    good = F.col("_n") >= least
+    fits = mid.join(mad, [*keys, period]).select(*keys, period, F.when(good, F.struct(F.col("_m").alias("m"), F.col("_d").alias("d"))).alias("_f"))
+    # periods without enough rows leave the order, so that `smooth` rows back are `smooth` fits
+    w = Window.partitionBy(*keys).orderBy(period)
+    some = fits.where(F.col("_f").isNotNull()).withColumn("_own", F.array_agg("_f").over(w.rowsBetween(-(smooth - 1), 0)))
+    fits = fits.join(some.select(*keys, period, "_own"), [*keys, period], "left").withColumn("_l", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    mean = lambda part: F.aggregate("_l", F.lit(0.0), lambda a, x: a + x[part]) / F.size("_l")
+    served = fits.select(*keys, period, F.when(F.size("_l") > 0, mean("m")).alias("_c"), F.when(F.size("_l") > 0, mean("d")).alias("_s"))
+    out = df.join(served, [*keys, period], "left")
+    return out.withColumn("z", F.when(F.col("_s") > 0, (F.col(value) - F.col("_c")) / F.col("_s"))).select(*df.columns, "z")
+
+
 def score_with_bundles(df: DataFrame, bundles: DataFrame, size: int, stride: int, keys: Sequence[str] = KEYS, value: str = "value", on: str | None = None) -> DataFrame:
     """(keys, seq, start, end, score, state, is_anom): windows of new rows scored with stored statistics.
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR, micros, parse_by_shares, time_shares
-from plantwatch.operators import align, clean, models, ranks, state
+from plantwatch.operators import align, clean, episodes, evaluate, models, ranks, scans, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _LABEL, labelled
-from plantwatch.plans.q_series import KEYS
+from plantwatch.plans.q_series import _EPISODES, KEYS, alert_episodes
 from plantwatch.plans.q_state import _P
 from plantwatch.plans.registry import query
 
@@ -91,3 +91,89 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
 def k19(spark: SparkSession, d: str) -> DataFrame:
     m = T.readings(spark, d).groupBy(*KEYS, F.floor(F.col("t") / (3 * DAY)).alias("period")).agg(F.percentile("value", 0.5).alias("v"))
     return ranks.trends(m, KEYS, "period", "v").select(*KEYS, "periods", r6("rho_p").alias("rho_p"), r6("tau_p").alias("tau_p"))
+
+
+_SEVERITY = f"""{_EPISODES}, inc as (select asset, min(t) as t from (select *, sum(new) over (partition by asset order by t rows unbounded preceding) as e from
+    (select user_id % 8 as asset, epoch_us(ts) as t, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id % 8 order by epoch_us(ts)) <= 14400000000 then 0 else 1 end as new from events where event_type = 'error' and value > 60)) group by asset, e)"""
+
+
+@query("k12_cut_and_leave_one_out", f"""with {_SEVERITY}, f as (select e.asset || '-' || e.start as event, count(distinct r.tag) as channels, max(r.value) as peak, sum(r.value) as total, arg_max(r.t, [r.value, -r.t]) - e.start as to_peak, bool_or(exists (select 1 from inc i where i.asset = e.asset and i.t between e.start and e.start + {2 * DAY})) as positive
+        from ep e join readings r on r.asset = e.asset and r.value > 60 and r.t between e.start and e.start + 43200000000 group by e.asset, e.start),
+    l as (select event, positive, unnest(['channels', 'peak', 'total', 'to_peak']) as feature, unnest([channels, peak, total, to_peak]::double[]) as x from f), c as (select feature, min(x) as cut, count(*) as positives from l where positive group by feature)
+    select feature, round(cut, 6) as cut, positives, count(*) filter (where not positive) as negatives, count(*) filter (where not positive and x >= cut) as kept,
+        count(*) filter (where positive and x >= (select min(o.x) from l o where o.feature = l.feature and o.positive and o.event <> l.event)) as left_out from l join c using (feature) group by feature, cut, positives""")
+def k12(spark: SparkSession, d: str) -> DataFrame:
+    heads = alert_episodes(spark, d).select("asset", F.col("start").alias("t"))
+    r = T.readings(spark, d).where("value > 60").select("asset", "tag", F.col("t").alias("u"), "value")
+    g = align.range_join(heads, r, ["asset"], 0, 12 * HOUR).groupBy("asset", F.col("t"))
+    f = g.agg(F.count_distinct("tag").alias("channels"), F.max("value").alias("peak"), F.sum("value").alias("total"), (F.max_by("u", F.struct("value", -F.col("u"))) - F.first("t")).alias("to_peak"))
+    hit = align.range_join(f.select("asset", "t"), T.incidents(spark, d).withColumnRenamed("t", "u"), ["asset"], 0, 2 * DAY).select("asset", "t").distinct().withColumn("positive", F.lit(True))
+    f = f.join(hit, ["asset", "t"], "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("event", F.concat_ws("-", "asset", "t"))
+    names = ("channels", "peak", "total", "to_peak")
+    long = f.select("event", "positive", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names))).alias("p")).select("event", "positive", "p.*")
+    out = evaluate.cuts_that_keep_positives(long)
+    return out.select("feature", r6("cut").alias("cut"), "positives", "negatives", "kept", "left_out")
+
+
+_CAMPAIGNS = f"""{T.RUNNING}, s as (select *, sum(case when "on" and not coalesce(p, false) then 1 else 0 end) over (partition by asset order by t rows unbounded preceding) as campaign from (select *, lag("on") over (partition by asset order by t) as p from running)),
+    r as (select b.asset, b.tag, b.t, b.value, s.campaign as p from bins b join s on s.asset = b.asset and s.t = b.t and s."on"), m as (select asset, tag, p, quantile_cont(value, 0.5) as m, count(*) as n from r group by all),
+    f as (select m.asset, m.tag, m.p, m, 1.4826 * quantile_cont(abs(value - m), 0.5) as d from m join r using (asset, tag, p) where n >= 3 group by all)"""
+
+
+def campaigns(spark: SparkSession, d: str) -> DataFrame:
+    """(asset, tag, t, value, campaign): hourly values while the machine runs, with the number of its starts so far."""
+    on = T.running(spark, d)
+    on = scans.scan(on, ["asset"], {"_p": scans.known(F.col("on"))}, inclusive=False)
+    on = scans.scan(on.withColumn("_s", (F.col("on") & ~F.coalesce("_p", F.lit(False))).cast("long")), ["asset"], {"campaign": scans.total(F.col("_s"))})
+    return T.bins(spark, d).join(on.where("on").select("asset", "t", "campaign"), ["asset", "t"])
+
+
+@query("j12_campaign_baseline", f"""with {_CAMPAIGNS}, l as (select r.*, (select max(f.p) from f where f.asset = r.asset and f.tag = r.tag and f.p < r.p) as q from r) select l.asset, l.tag, l.t, round(case when d > 0 then (value - m) / d end, 6) as z from l left join f on f.asset = l.asset and f.tag = l.tag and f.p = l.q""")
+def j12_campaign(spark: SparkSession, d: str) -> DataFrame:
+    return models.period_z(campaigns(spark, d), "campaign", 3).select(*KEYS, "t", r6("z").alias("z"))
+
+
+@query("j12_smoothed_normaliser", f"""with {T.BINS}, r as (select *, t // {2 * DAY} as p from bins), m as (select asset, tag, p, quantile_cont(value, 0.5) as m, count(*) as n from r group by all), f as (select m.asset, m.tag, m.p, m, 1.4826 * quantile_cont(abs(value - m), 0.5) as d from m join r using (asset, tag, p) where n >= 10 group by all),
+    k as (select *, avg(m) over w as c, avg(d) over w as s from f window w as (partition by asset, tag order by p rows between 2 preceding and current row)), l as (select r.*, (select max(k.p) from k where k.asset = r.asset and k.tag = r.tag and k.p < r.p) as q from r)
+    select l.asset, l.tag, l.t, round(case when s > 0 then (value - c) / s end, 6) as z from l left join k on k.asset = l.asset and k.tag = l.tag and k.p = l.q""")
+def j12_smoothed(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.bins(spark, d).withColumn("period", F.floor(F.col("t") / (2 * DAY)).cast("long"))
+    return models.period_z(rows, "period", 10, smooth=3).select(*KEYS, "t", r6("z").alias("z"))
+
+
+@query("d19_redundancy", f"""with {T.READINGS}, f as (select *, value > 60 as up, lag(value > 60) over ({_P}) as p from readings), o as (select asset, tag, t from f where up and not coalesce(p, false)),
+    e as (select *, sum(case when t - q <= 3600000000 then 0 else 1 end) over (partition by asset order by t rows unbounded preceding) as c from (select *, lag(t) over (partition by asset order by t) as q from o)), k as (select asset, c, count(*) as n, count(distinct tag) as tags from e group by all)
+    select asset, cast(sum(n) as bigint) as onsets, count(*) as clusters, count(*) filter (where tags > 1) as coordinated, round(sum(n) / count(*), 6) as redundancy from k group by asset""")
+def d19(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.readings(spark, d).withColumn("up", F.col("value") > 60)
+    rows = scans.scan(rows, KEYS, {"_p": scans.known(F.col("up"))}, inclusive=False)
+    onsets = rows.where(F.col("up") & ~F.coalesce("_p", F.lit(False)))
+    k = episodes.episodes(onsets, ["asset"], HOUR, tags=F.count_distinct("tag"))
+    return k.groupBy("asset").agg(F.sum("points").alias("onsets"), F.count("*").alias("clusters"), F.count_if(F.col("tags") > 1).alias("coordinated"), r6(F.sum("points") / F.count("*")).alias("redundancy"))
+
+
+@query("d17_inventory_with_coverage", f"""with {T.RUNNING}, {T.INCIDENTS}, s as (select asset, t, "on", case when "on" and not coalesce(lag("on") over (partition by asset order by t), false) then t end as st from running), g as (select asset, t, "on", max(st) over (partition by asset order by t rows unbounded preceding) as start from s),
+    x as (select i.asset, i.t, g."on", g.start from incidents i asof left join g on g.asset = i.asset and g.t <= i.t), c as (select asset, tag, round(count(value) / count(*), 6) as coverage from grid group by all),
+    n as (select asset, count(*) as incidents, count(*) filter (where "on") as on_incidents, round(count(*) filter (where "on" and t - start <= 21600000000) / nullif(count(*) filter (where "on"), 0), 6) as after_start from x group by asset)
+    select asset, tag, incidents, on_incidents, after_start, coverage, case when coverage < 0.1 then 'none' when on_incidents >= 20 and after_start < 0.5 then 'target' when on_incidents > 0 then 'context' else 'none' end as role from c join n using (asset)""")
+def d17(spark: SparkSession, d: str) -> DataFrame:
+    on = scans.scan(T.running(spark, d), ["asset"], {"_p": scans.known(F.col("on"))}, inclusive=False)
+    on = scans.scan(on.withColumn("_s", F.when(F.col("on") & ~F.coalesce("_p", F.lit(False)), F.col("t"))), ["asset"], {"start": scans.known(F.col("_s"))})
+    x = align.asof(T.incidents(spark, d), on.select("asset", "t", "on", "start"), ["asset"], ["on", "start"])
+    soon = F.col("on") & (F.col("t") - F.col("start") <= 6 * HOUR)
+    n = x.groupBy("asset").agg(F.count("*").alias("incidents"), F.count_if("on").alias("on_incidents"), r6(F.try_divide(F.count_if(soon), F.count_if("on"))).alias("after_start"))
+    c = T.grid(spark, d).groupBy(*KEYS).agg(r6(F.count("value") / F.count("*")).alias("coverage"))
+    role = F.when(F.col("coverage") < 0.1, "none").when((F.col("on_incidents") >= 20) & (F.col("after_start") < 0.5), "target").when(F.col("on_incidents") > 0, "context").otherwise("none")
+    return c.join(n, "asset").select(*KEYS, "incidents", "on_incidents", "after_start", "coverage", role.alias("role"))
+
+
+@query("d18_health_index", f"""with {T.READINGS}, e as (select a.asset, a.tag, a.t, sum(b.value * power(0.5, (a.t - b.t) / {5 * DAY}.0)) / sum(power(0.5, (a.t - b.t) / {5 * DAY}.0)) as m from readings a join readings b on a.asset = b.asset and a.tag = b.tag and b.t <= a.t group by all),
+    r as (select *, 100.0 * percent_rank() over (partition by asset, tag order by round(m, 9)) as h from e), p as (select asset, tag, t // {5 * DAY} as period, quantile_cont(h, 0.5) as v from r group by all), s as (select asset, tag, count(*) as periods, regr_slope(v, period) as slope, arg_max(v, period) as latest from p group by all)
+    select asset, tag, periods, round(latest, 4) as latest, round(slope, 4) as slope, case when slope > 2 then 'worsening' when slope < -2 then 'improving' else 'stable' end as label from s""")
+def d18(spark: SparkSession, d: str) -> DataFrame:
+    e = state.ewma_time(T.readings(spark, d), 5 * DAY)
+    h = 100.0 * F.percent_rank().over(Window.partitionBy(*KEYS).orderBy(F.round("ewma", 9)))
+    p = e.withColumn("h", h).groupBy(*KEYS, F.floor(F.col("t") / (5 * DAY)).alias("period")).agg(F.percentile("h", 0.5).alias("v"))
+    s = p.groupBy(*KEYS).agg(F.count("*").alias("periods"), F.regr_slope("v", "period").alias("slope"), F.max_by("v", "period").alias("latest"))
+    label = F.when(F.col("slope") > 2, "worsening").when(F.col("slope") < -2, "improving").otherwise("stable")
+    return s.select(*KEYS, "periods", F.round("latest", 4).alias("latest"), F.round("slope", 4).alias("slope"), label.alias("label"))

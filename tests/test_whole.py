@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import micros, parse_by_shares, time_shares
-from plantwatch.operators import clean, models, ranks, state
+from plantwatch.operators import clean, evaluate, models, ranks, state
 
 KEYS = ["asset", "tag"]
 
@@ -108,3 +108,23 @@ def test_causal_z_reaches_back_over_usable_time_only(spark):
     flat = series(spark, [1.0, 1.0, 1.0, 3.0, 1.0, 2.0]).withColumn("hot", F.lit(True))
     z = {r["t"]: r["z"] for r in models.causal_z(flat, 5, 5, 2, "hot", 1).collect()}
     assert z[5] == pytest.approx((2 - 1) / np.std([1, 1, 1, 3, 1], ddof=1))
+
+
+def test_cuts_and_leaving_one_out(spark):
+    rng = np.random.default_rng(62)
+    rows = [(f, f"e{k}", None if k == 11 else float(rng.integers(0, 9)), bool(rng.random() < 0.4)) for f in ("a", "b", "c") for k in range(30)] + [("one", "e1", 2.0, True), ("one", "e2", 3.0, False)]
+    got = {r["feature"]: tuple(r)[1:] for r in evaluate.cuts_that_keep_positives(spark.createDataFrame(rows, "feature string, event string, x double, positive boolean")).collect()}
+    for f in ("a", "b", "c", "one"):
+        own = [(-np.inf if x is None else x, y, e) for g, e, x, y in rows if g == f]
+        good = [(x, e) for x, y, e in own if y]
+        cut = min(x for x, _ in good)
+        loo = sum(any(e != o for _, o in good) and x >= min(v for v, o in good if o != e) for x, e in good)
+        assert got[f] == (cut, len(good), len(own) - len(good), sum(x >= cut for x, y, _ in own if not y), loo)
+
+
+def test_baselines_of_periods_of_any_length(spark):
+    values, periods = [1.0, 2.0, 3.0, 9.0, 4.0, 6.0, 8.0, 5.0], [1, 1, 1, 2, 3, 3, 3, 4]
+    rows = series(spark, values).withColumn("p", F.element_at(F.array(*map(F.lit, periods)), (F.col("t") + 1).cast("int")))
+    z = lambda m: {r["t"]: r["z"] for r in models.period_z(rows, "p", 3, m).collect()}
+    assert z(1)[0] is None and z(1)[3] == pytest.approx((9 - 2) / 1.4826) and z(1)[4] == pytest.approx((4 - 2) / 1.4826) and z(1)[7] == pytest.approx((5 - 6) / 1.4826 / 2)
+    assert z(2)[7] == pytest.approx((5 - 4) / (1.4826 * 1.5)) and z(2)[4] == z(1)[4]
