@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR, micros, parse_by_shares, time_shares
-from plantwatch.operators import align, clean, episodes, evaluate, models, ranks, scans, state
+from plantwatch.operators import align, channels, clean, episodes, evaluate, models, ranks, scans, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _LABEL, labelled
@@ -177,3 +177,30 @@ def d18(spark: SparkSession, d: str) -> DataFrame:
     s = p.groupBy(*KEYS).agg(F.count("*").alias("periods"), F.regr_slope("v", "period").alias("slope"), F.max_by("v", "period").alias("latest"))
     label = F.when(F.col("slope") > 2, "worsening").when(F.col("slope") < -2, "improving").otherwise("stable")
     return s.select(*KEYS, "periods", F.round("latest", 4).alias("latest"), F.round("slope", 4).alias("slope"), label.alias("label"))
+
+
+_SPECS = [("hot", "zmax", ["click", "purchase", "view"], None), ("trio", "spread", ["click", "purchase", "view"], None), ("target", "spread_alvo", ["click", "purchase", "view"], "purchase"), ("pair", "spread", ["error", "view"], None)]
+
+
+def _period_z(spark: SparkSession, d: str, step: int = HOUR, least: int = 20) -> DataFrame:
+    """Values of each `step` with z by the week before, and the number of the week."""
+    z = models.walk_forward(T.bins(spark, d, step), 7 * DAY, 7 * DAY, least)
+    return z.select(*KEYS, "t", "z", F.floor(F.col("t") / (7 * DAY)).cast("long").alias("period"))
+
+
+def _specs(spark: SparkSession, rows: list) -> DataFrame:
+    return spark.createDataFrame(rows, "channel string, kind string, tags array<string>, target string")
+
+
+@query("j11_channels_of_specs", f"""with {T.BINS}, w as (select *, t // {7 * DAY} as p from bins), m as (select asset, tag, p + 1 as p, quantile_cont(value, 0.5) as m, count(*) as n, stddev_samp(value) as s from w group by all), q as (select m.asset, m.tag, m.p, m, n, s, quantile_cont(abs(value - m), 0.5) as mad from m join w on w.asset = m.asset and w.tag = m.tag and w.p + 1 = m.p group by all),
+    z as (select w.asset, w.tag, w.t, (value - m) / case when mad > 0 then 1.4826 * mad else s end as z from w join q using (asset, tag, p) where n >= 20 and (mad > 0 or s > 0)),
+    c(channel, kind, tags, target) as (values {', '.join(f"('{c}', '{k}', {t}, {'null' if g is None else repr(g)})" for c, k, t, g in _SPECS)}), r as (select channel, kind, target, asset, tag, t, z, sum(z) over v as s, count(*) over v as n from z join c on list_contains(tags, tag) window v as (partition by channel, asset, t))
+    select channel, kind, asset, t, round(max(case when kind = 'zmax' then abs(z) else abs(z - (s - z) / (n - 1)) end), 6) as score from r where kind = 'zmax' or (n >= 2 and (kind = 'spread' or tag = target)) group by all""")
+def j11(spark: SparkSession, d: str) -> DataFrame:
+    return channels.channel_scores(_period_z(spark, d), _specs(spark, _SPECS)).select("channel", "kind", "asset", "t", r6("score").alias("score"))
+
+
+@query("j11_pca_channels")
+def j11_pca(spark: SparkSession, d: str) -> DataFrame:
+    specs = [("three", "pca", ["click", "purchase", "view"], None), ("five", "pca", ["click", "error", "purchase", "signup", "view"], None), *_SPECS]
+    return channels.channel_scores(_period_z(spark, d, 6 * HOUR, 10), _specs(spark, specs), share=0.7, least=10).select("channel", "kind", "asset", "t", r6("score").alias("score"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import micros, parse_by_shares, time_shares
-from plantwatch.operators import clean, evaluate, models, ranks, state
+from plantwatch.operators import channels, clean, evaluate, models, ranks, state
 
 KEYS = ["asset", "tag"]
 
@@ -128,3 +128,46 @@ def test_baselines_of_periods_of_any_length(spark):
     z = lambda m: {r["t"]: r["z"] for r in models.period_z(rows, "p", 3, m).collect()}
     assert z(1)[0] is None and z(1)[3] == pytest.approx((9 - 2) / 1.4826) and z(1)[4] == pytest.approx((4 - 2) / 1.4826) and z(1)[7] == pytest.approx((5 - 6) / 1.4826 / 2)
     assert z(2)[7] == pytest.approx((5 - 4) / (1.4826 * 1.5)) and z(2)[4] == z(1)[4]
+
+
+def test_channels_of_specs_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(63)
+    tags, rows, data = ["a", "b", "c", "d"], [], {}
+    for asset in (0, 1):
+        for t in range(90):
+            base = rng.normal()
+            for k, tag in enumerate(tags):
+                x = None if rng.random() < 0.1 else float(base * (k + 1) + 0.1 * rng.normal())
+                rows.append((asset, tag, t, t // 30, x))
+                data[asset, t, tag] = x
+    specs = [("p", "pca", tags, None), ("q", "pca", ["a", "c"], None), ("m", "zmax", tags, None), ("s", "spread", ["b", "a", "c"], None), ("g", "spread_alvo", tags, "b")]
+    z = spark.createDataFrame(rows, "asset long, tag string, t long, period long, z double")
+    got = {(r["channel"], r["asset"], r["t"]): r["score"] for r in channels.channel_scores(z, spark.createDataFrame(specs, "channel string, kind string, tags array<string>, target string")).collect()}
+    want = {}
+    for channel, kind, own, target in specs:
+        for asset in (0, 1):
+            bases = {}
+            for period in range(3):
+                full = np.array([[data[asset, t, g] for g in sorted(own)] for t in range(30 * period, 30 * period + 30) if all(data[asset, t, g] is not None for g in own)])
+                if len(full) >= 20:
+                    mean = full.mean(axis=0)
+                    values, vectors = np.linalg.eigh(np.cov(full.T, bias=True))
+                    order = np.argsort(values)[::-1]
+                    rest = vectors[:, order[int(np.searchsorted(np.cumsum(values[order]) / values.sum(), 0.95)) + 1 :]]
+                    bases[period] = mean, rest @ rest.T
+            for t in range(90):
+                x = {g: data[asset, t, g] for g in own if data[asset, t, g] is not None}
+                apart = {g: abs(v - np.mean([u for h, u in x.items() if h != g])) for g, v in x.items()} if len(x) > 1 else {}
+                if kind == "pca":
+                    before = [p for p in bases if p < t // 30]
+                    if len(x) == len(own) and before:
+                        mean, out = bases[max(before)]
+                        want[channel, asset, t] = float(((out @ (np.array([x[g] for g in sorted(own)]) - mean)) ** 2).mean())
+                elif kind == "zmax" and x:
+                    want[channel, asset, t] = max(map(abs, x.values()))
+                elif kind == "spread" and apart:
+                    want[channel, asset, t] = max(apart.values())
+                elif kind == "spread_alvo" and target in apart:
+                    want[channel, asset, t] = apart[target]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
+    assert sum(k[0] == "p" for k in want) > 50
