@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -115,6 +116,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
+    opened: Counter[str] = Counter()
     linked = raw_depth = in_link = beyond = 0
     path: tuple[str, ...] | None = None
 
@@ -135,6 +137,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         for tag, _ in stack[k:]:
             raw_depth -= tag in RAW
             in_link -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
         path = None
 
@@ -163,7 +166,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if beyond and tag not in RAW:
                 beyond -= 1
                 continue
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():  # without one open there is nothing to look for
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -190,8 +193,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 ends, scope = _SIBLINGS[tag]
                 last = None
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in scope:
-                        break
+                    if stack[k][0] in scope or stack[k][0] in RAW:
+                        break  # what is in a raw element ends nothing around it
                     if stack[k][0] in ends:
                         last = k
                 if last is not None:
@@ -207,6 +210,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         names = [p.lower() for a in _NAMES.findall(attributes) for p in _PARTS.findall(next(filter(None, a), "")) if not p.isdigit()] if attributes else []
         stack.append((tag, (f"<{tag}>", *names) if tag not in INLINE else tuple(names)))
+        opened[tag] += 1
         path = None
         raw_depth += tag in RAW
         in_link += tag == "a"

@@ -1,6 +1,7 @@
 """Periodic runs, the rule cascade and token alignment against brute force, and on odd rows."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plantwatch.llm import nearest, periodic_runs, quality_cascade, token_alignment
+from plantwatch.llm import html_blocks, nearest, periodic_runs, quality_cascade, token_alignment
 from plantwatch.llm.queries import looped
 from tests.llm.test_llm import CASES, WORDS, corpus, documents, no_rows, text
 
@@ -272,6 +273,23 @@ def test_long_texts_of_one_character():
     assert all(int(n) > 0 for n in got["n_a"]) and int(got["n_a"][3]) == 40_001 and len(got["link_ends"]) == 5
 
 
+# --- markup ----------------------------------------------------------------------------------------
+
+
+def test_raw_elements_and_stray_end_tags_cost_linear_time():
+    def took(n):
+        best = 9.0
+        for shape in ("<svg>" * n + "</x>" * n, "<svg>" * n + "<li>" * n, "<svg>" * n + "</svg>" * n):
+            at = time.process_time()
+            html_blocks.blocks("<p>before</p>" + shape)
+            best = max(best if best < 9.0 else 0.0, time.process_time() - at)
+        return best
+
+    took(500)
+    assert took(16_000) < 25 * max(took(2000), 0.01)
+    assert [t for _, t, _ in html_blocks.blocks("<ul><li>a<svg><li>x</svg>b<li>c</ul></x>d")] == ["a", "b", "c", "d"]
+
+
 # --- vectors of odd sizes --------------------------------------------------------------------------
 
 
