@@ -80,14 +80,15 @@ def scan(df: DataFrame, keys: Sequence[str], columns: dict[str, Summary], block:
 def stretches(df: DataFrame, keys: Sequence[str], held: Column, new: Callable[[Column, Column], Column], into: str, block: int = BLOCK) -> DataFrame:
     """`df` with a number from 1 that grows at each row for which `new(before, own)` holds along t, given `held` of the row before and its own.
 
+    Rows of one time are in the order of `held`, so that their order is defined.
     A block's summary is `held` of its first and last row and the new stretches
     inside; the one at its start is known once the block before is.
     """
     rows = df.withColumn("_b", floor_to(F.col("t"), block)).withColumn("_h", F.struct(held.alias("v")))  # a struct, so that null is a value
-    w = Window.partitionBy(*keys, "_b").orderBy("t")
+    w = Window.partitionBy(*keys, "_b").orderBy("t", "_h")
     before = F.lag("_h").over(w)
     rows = rows.withColumn("_new", F.when(before.isNull(), 0).otherwise(F.coalesce(new(before["v"], F.col("_h.v")), F.lit(True)).cast("long")))
-    ends = rows.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"), F.min_by("_h", "t").alias("_first"), F.max_by("_h", "t").alias("_last"))
+    ends = rows.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"), F.min_by("_h", F.struct("t", "_h")).alias("_first"), F.max_by("_h", F.struct("t", "_h")).alias("_last"))
     along = Window.partitionBy(*keys).orderBy("_b")
     last = F.lag("_last").over(along)
     ends = ends.withColumn("_more", F.when(last.isNull(), 1).otherwise(F.coalesce(new(last["v"], F.col("_first.v")), F.lit(True)).cast("long")))

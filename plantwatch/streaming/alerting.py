@@ -69,7 +69,7 @@ def alert_stream(stream: DataFrame, half_life: int, threshold: float, least: int
             v.append(rows["value"].to_numpy(float, na_value=np.nan))
             off.append(rows["off"].to_numpy(bool, na_value=False))
         t, v, off = np.concatenate(t), np.concatenate(v), np.concatenate(off)
-        order = np.argsort(t, kind="stable")
+        order = np.lexsort((~off, t))  # of rows of one time those that are off come first, as in the batch form
         t, v, off = t[order], v[order], off[order]
         now = state.getCurrentWatermarkMs() * 1000
         n = int(np.searchsorted(t, now, side="left"))

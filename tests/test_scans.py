@@ -121,3 +121,16 @@ def test_asof_in_every_direction_over_blocks(spark):
             back, ahead = max((u for u in right if u <= t), default=None), min((u for u in right if u >= t), default=None)
             near = ahead if back is None or (ahead is not None and ahead - t < t - back) else back
             assert got[t] == {"backward": back, "forward": ahead, "nearest": near}[how]
+
+
+def test_rows_of_one_time_are_in_the_order_of_the_flag(spark):
+    rng = np.random.default_rng(22)
+    rows = [(0, "x", int(t), None, bool(f)) for t, f in zip(rng.integers(0, 9, 60) * 400, rng.random(60) < 0.5, strict=True)]
+    df = spark.createDataFrame(rows, "asset long, tag string, t long, value double, flag boolean").repartition(3)
+    got = sorted((r["t"], r["flag"], r["run"]) for r in scans.run_numbers(df, KEYS, "flag", "run", BLOCK).collect())
+    run, want = 1, []
+    ordered = sorted((t, f) for _, _, t, _, f in rows)
+    for k, (t, f) in enumerate(ordered):
+        run += k > 0 and f != ordered[k - 1][1]
+        want.append((t, f, run))
+    assert got == want
