@@ -35,9 +35,9 @@ def fold_series(df: DataFrame, keys: Sequence[str], fold: Fold, first: tuple, st
     names = [part.split()[0] for part in columns.split(", ")]
     parts = [part.split()[0] for part in state.split(", ")]
     own = f"struct<{', '.join(f'{p.split()[0]}:{p.split()[1]}' for p in state.split(', '))}>"
-    rows = df.withColumn("_b", floor_to(F.col("t"), block))
-    ids = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _b long"
-    at = [*keys, "_b"]
+    rows = df.withColumn("_fo_b", floor_to(F.col("t"), block))
+    ids = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _fo_b long"
+    at = [*keys, "_fo_b"]
     lean = rows.select(*at, "t", *(c for c in (inputs or df.columns) if c not in (*at, "t")))
     begin = F.struct(*map(F.lit, first)).cast(own)
 
@@ -49,25 +49,25 @@ def fold_series(df: DataFrame, keys: Sequence[str], fold: Fold, first: tuple, st
         return pd.DataFrame([[*(ordered.iloc[0][c] for c in at), *last]], columns=[*at, *parts])
 
     spread = lambda c: [F.col(f"{c}.{p}").alias(p) for p in parts]
-    known = cut_lineage(rows.select(*at).distinct().withColumn("_start", begin).withColumn("_end", F.lit(None).cast(own)).withColumn("_do", F.lit(True)))
-    along = Window.partitionBy(*keys).orderBy("_b")
+    known = cut_lineage(rows.select(*at).distinct().withColumn("_fo_start", begin).withColumn("_fo_end", F.lit(None).cast(own)).withColumn("_fo_do", F.lit(True)))
+    along = Window.partitionBy(*keys).orderBy("_fo_b")
     while True:
-        todo = known.where("_do").select(*at, *spread("_start"))
-        chosen = known.where("_do").select(*(F.col(c).alias(c) for c in at))
+        todo = known.where("_fo_do").select(*at, *spread("_fo_start"))
+        chosen = known.where("_fo_do").select(*(F.col(c).alias(c) for c in at))
         folded = lean.join(chosen, at, "left_semi").groupBy(*at).cogroup(todo.groupBy(*at)).applyInPandas(ends, f"{ids}, {state}")
-        folded = folded.select(*at, F.struct(*parts).cast(own).alias("_got"))
-        after = known.join(folded, at, "left").withColumn("_end", F.coalesce("_got", "_end")).drop("_got")
-        right = F.coalesce(F.lag("_end").over(along), begin)
-        after = after.withColumn("_right", right).withColumn("_do", ~F.col("_right").eqNullSafe(F.col("_start")))
-        known = cut_lineage(after.select(*at, F.col("_right").alias("_start"), "_end", "_do"))
-        if known.where("_do").isEmpty():
+        folded = folded.select(*at, F.struct(*parts).cast(own).alias("_fo_got"))
+        after = known.join(folded, at, "left").withColumn("_fo_end", F.coalesce("_fo_got", "_fo_end")).drop("_fo_got")
+        right = F.coalesce(F.lag("_fo_end").over(along), begin)
+        after = after.withColumn("_fo_right", right).withColumn("_fo_do", ~F.col("_fo_right").eqNullSafe(F.col("_fo_start")))
+        known = cut_lineage(after.select(*at, F.col("_fo_right").alias("_fo_start"), "_fo_end", "_fo_do"))
+        if known.where("_fo_do").isEmpty():
             break
 
     def add(_, block_rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         ordered = block_rows.sort_values("t", kind="stable")
         found, _ = fold(ordered, tuple(starts.iloc[0][p] for p in parts))
-        return ordered.drop(columns="_b").assign(**{n: found[n] for n in names})
+        return ordered.drop(columns="_fo_b").assign(**{n: found[n] for n in names})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    starts = known.select(*at, *spread("_start"))
+    starts = known.select(*at, *spread("_fo_start"))
     return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInPandas(add, f"{schema}, {columns}")

@@ -61,20 +61,20 @@ def scan(df: DataFrame, keys: Sequence[str], columns: dict[str, Summary], block:
     come first.
     """
     along = [F.desc(c) if descending else F.asc(c) for c in order]
-    rows = df.withColumn("_b", floor_to(F.col(order[0]), block))
+    rows = df.withColumn("_sc_b", floor_to(F.col(order[0]), block))
     last = 0 if inclusive else -1
-    inner = Window.partitionBy(*keys, "_b").orderBy(*along).rowsBetween(Window.unboundedPreceding, last)
-    sums = rows.groupBy(*keys, "_b").agg(*(s.block(order).alias(f"_s{k}") for k, s in enumerate(columns.values())))
-    blocks = Window.partitionBy(*keys).orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    named = {key: f"_k{i}" for i, key in enumerate((*keys, "_b"))}
-    before = sums.select(*(F.col(key).alias(n) for key, n in named.items()), *(s.over(f"_s{k}", blocks).alias(f"_c{k}") for k, s in enumerate(columns.values())))
-    local = rows.withColumns({f"_l{k}": s.running(inner) for k, s in enumerate(columns.values())})
+    inner = Window.partitionBy(*keys, "_sc_b").orderBy(*along).rowsBetween(Window.unboundedPreceding, last)
+    sums = rows.groupBy(*keys, "_sc_b").agg(*(s.block(order).alias(f"_sc_s{k}") for k, s in enumerate(columns.values())))
+    blocks = Window.partitionBy(*keys).orderBy(F.desc("_sc_b") if descending else F.asc("_sc_b")).rowsBetween(Window.unboundedPreceding, -1)
+    named = {key: f"_sc_k{i}" for i, key in enumerate((*keys, "_sc_b"))}
+    before = sums.select(*(F.col(key).alias(n) for key, n in named.items()), *(s.over(f"_sc_s{k}", blocks).alias(f"_sc_c{k}") for k, s in enumerate(columns.values())))
+    local = rows.withColumns({f"_sc_l{k}": s.running(inner) for k, s in enumerate(columns.values())})
     same = None
     for key, n in named.items():
         one = F.col(key).eqNullSafe(F.col(n))
         same = one if same is None else same & one
     found = local.join(before, same, "left")
-    return found.select(*df.columns, *(s.joined(F.col(f"_c{k}"), F.col(f"_l{k}")).alias(name) for k, (name, s) in enumerate(columns.items())))
+    return found.select(*df.columns, *(s.joined(F.col(f"_sc_c{k}"), F.col(f"_sc_l{k}")).alias(name) for k, (name, s) in enumerate(columns.items())))
 
 
 def stretches(df: DataFrame, keys: Sequence[str], held: Column, new: Callable[[Column, Column], Column], into: str, block: int = BLOCK) -> DataFrame:
@@ -84,17 +84,17 @@ def stretches(df: DataFrame, keys: Sequence[str], held: Column, new: Callable[[C
     A block's summary is `held` of its first and last row and the new stretches
     inside; the one at its start is known once the block before is.
     """
-    rows = df.withColumn("_b", floor_to(F.col("t"), block)).withColumn("_h", F.struct(held.alias("v")))  # a struct, so that null is a value
-    w = Window.partitionBy(*keys, "_b").orderBy("t", "_h")
-    before = F.lag("_h").over(w)
-    rows = rows.withColumn("_new", F.when(before.isNull(), 0).otherwise(F.coalesce(new(before["v"], F.col("_h.v")), F.lit(True)).cast("long")))
-    ends = rows.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"), F.min_by("_h", F.struct("t", "_h")).alias("_first"), F.max_by("_h", F.struct("t", "_h")).alias("_last"))
-    along = Window.partitionBy(*keys).orderBy("_b")
-    last = F.lag("_last").over(along)
-    ends = ends.withColumn("_more", F.when(last.isNull(), 1).otherwise(F.coalesce(new(last["v"], F.col("_first.v")), F.lit(True)).cast("long")))
-    ends = ends.withColumn("_from", F.sum(F.col("_n") + F.col("_more")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    rows = df.withColumn("_sc_b", floor_to(F.col("t"), block)).withColumn("_sc_h", F.struct(held.alias("v")))  # a struct, so that null is a value
+    w = Window.partitionBy(*keys, "_sc_b").orderBy("t", "_sc_h")
+    before = F.lag("_sc_h").over(w)
+    rows = rows.withColumn("_sc_new", F.when(before.isNull(), 0).otherwise(F.coalesce(new(before["v"], F.col("_sc_h.v")), F.lit(True)).cast("long")))
+    ends = rows.groupBy(*keys, "_sc_b").agg(F.sum("_sc_new").alias("_sc_n"), F.min_by("_sc_h", F.struct("t", "_sc_h")).alias("_sc_first"), F.max_by("_sc_h", F.struct("t", "_sc_h")).alias("_sc_last"))
+    along = Window.partitionBy(*keys).orderBy("_sc_b")
+    last = F.lag("_sc_last").over(along)
+    ends = ends.withColumn("_sc_more", F.when(last.isNull(), 1).otherwise(F.coalesce(new(last["v"], F.col("_sc_first.v")), F.lit(True)).cast("long")))
+    ends = ends.withColumn("_sc_from", F.sum(F.col("_sc_n") + F.col("_sc_more")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sc_n"))
     inner = w.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(ends.select(*keys, "_b", "_from"), [*keys, "_b"]).withColumn(into, F.col("_from") + F.sum("_new").over(inner)).select(*df.columns, into)
+    return rows.join(ends.select(*keys, "_sc_b", "_sc_from"), [*keys, "_sc_b"]).withColumn(into, F.col("_sc_from") + F.sum("_sc_new").over(inner)).select(*df.columns, into)
 
 
 def run_numbers(df: DataFrame, keys: Sequence[str], flag: str, into: str = "run", block: int = BLOCK) -> DataFrame:
@@ -114,11 +114,11 @@ def of_runs(df: DataFrame, keys: Sequence[str], run: str, columns: dict[str, tup
     block of it gets the result.
     """
     merge = {F.count: F.sum}
-    rows = df.withColumn("_b", floor_to(F.col("t"), block))
-    parts = rows.groupBy(*keys, run, "_b").agg(*(f(x).alias(f"_p{k}") for k, (f, x) in enumerate(columns.values())))
+    rows = df.withColumn("_sc_b", floor_to(F.col("t"), block))
+    parts = rows.groupBy(*keys, run, "_sc_b").agg(*(f(x).alias(f"_sc_p{k}") for k, (f, x) in enumerate(columns.values())))
     whole = Window.partitionBy(*keys, run)
-    parts = parts.select(*keys, run, "_b", *(merge.get(f, f)(f"_p{k}").over(whole).alias(name) for k, (name, (f, _)) in enumerate(columns.items())))
-    return rows.join(parts, [*keys, run, "_b"]).select(*df.columns, *columns)
+    parts = parts.select(*keys, run, "_sc_b", *(merge.get(f, f)(f"_sc_p{k}").over(whole).alias(name) for k, (name, (f, _)) in enumerate(columns.items())))
+    return rows.join(parts, [*keys, run, "_sc_b"]).select(*df.columns, *columns)
 
 
 def in_runs(df: DataFrame, keys: Sequence[str], run: str, columns: dict[str, Summary], block: int = BLOCK) -> DataFrame:

@@ -134,3 +134,12 @@ def test_rows_of_one_time_are_in_the_order_of_the_flag(spark):
         run += k > 0 and f != ordered[k - 1][1]
         want.append((t, f, run))
     assert got == want
+
+
+def test_scans_keep_columns_of_any_name(series):
+    """Names that other operators use for columns of their own."""
+    names = ["_b", "_h", "_s0", "_c0", "_l0", "_k0", "_n", "_new", "_first", "_last", "_from"]
+    rows = series.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    got = scans.run_numbers(scans.scan(rows, KEYS, {"a": scans.known(F.col("value"))}, BLOCK), KEYS, "flag", "run", BLOCK)
+    got = scans.of_runs(got, KEYS, "run", {"n": (F.count, F.lit(1))}, BLOCK)
+    assert got.select(*names).distinct().collect() == [tuple(range(len(names)))] and got.count() == series.count()
