@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantwatch.operators.align import range_join
+from plantwatch.operators.blocks import with_halo
+from plantwatch.operators.frames import Frames
 from plantwatch.operators.state import running_clock
 
 KEYS = ("asset", "tag")
@@ -289,18 +291,34 @@ def score_with_bundles(df: DataFrame, bundles: DataFrame, size: int, stride: int
 def guarded_z(df: DataFrame, step: int, guard: int, back: int, least: int, keys: Sequence[str] = KEYS, value: str = "value", usable: str | None = None) -> DataFrame:
     """`df` with z by median and MAD of the rows that end `guard` before its block of `step` and begin `back` before it; null with fewer than `least`.
 
-    With `usable` only rows with that flag are fitted to. A row is copied to
-    (back - guard) / step blocks.
+    With `usable` only rows with that flag are fitted to; null values and NaN
+    count as no rows. A key is dealt to tasks by stretches of some four times
+    `back`, so a row is copied once at most; in a task the references of all
+    blocks are read from one merge tree, however much they overlap.
     """
+    span = step * -(-4 * (back + step) // step)
     rows = df.withColumn("_k", F.floor(F.col("t") / step))
-    fit = rows if usable is None else rows.where(F.col(usable))
-    first, last = F.floor((F.col("t") + guard) / step) + 1, F.floor((F.col("t") + back) / step)
-    train = fit.select(*keys, F.col(value).alias("_x"), F.explode(F.sequence(first, last)).alias("_k"))
-    train = train.join(rows.select(*keys, "_k").distinct(), [*keys, "_k"], "left_semi")
-    mid = train.groupBy(*keys, "_k").agg(F.percentile("_x", 0.5).alias("_m"), F.count("*").alias("_n"))
-    mad = train.join(mid, [*keys, "_k"]).groupBy(*keys, "_k", "_m", "_n").agg(F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5).alias("_d"))
+    fits = F.lit(True) if usable is None else F.coalesce(F.col(usable), F.lit(False))
+    dealt = with_halo(df.select(*keys, "t", F.when(fits, F.col(value).cast("double")).alias("_x")), span, back + step)
+
+    def references(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t", kind="stable", ignore_index=True)
+        at, x = group["t"].to_numpy(np.int64), group["_x"].to_numpy(float, na_value=np.nan)
+        blocks = np.unique(at[group["_own"].to_numpy(bool)] // step)
+        t, x = at[~np.isnan(x)], x[~np.isnan(x)]
+        low = np.searchsorted(t, blocks * step - back, "left")
+        high = np.maximum(low, np.searchsorted(t, blocks * step - guard, "left"))
+        frames = Frames(x)
+        mid = frames.quantile(low, high, 0.5)
+        out = pd.DataFrame({"_k": blocks, "_m": mid, "_n": high - low, "_d": frames.median_distance(low, high, mid)})
+        for name in keys:
+            out[name] = group[name].iloc[0] if len(group) else None
+        return out[[*keys, "_k", "_m", "_n", "_d"]]
+
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _k long, _m double, _n long, _d double"
+    fit = dealt.groupBy(*keys, "_block").applyInPandas(references, schema)
     z = F.when((F.col("_n") >= least) & (F.col("_d") > 0), (F.col(value) - F.col("_m")) / (1.4826 * F.col("_d")))
-    return rows.join(mad, [*keys, "_k"], "left").withColumn("z", z).drop("_k", "_m", "_n", "_d")
+    return rows.join(fit, [*keys, "_k"], "left").withColumn("z", z).drop("_k", "_m", "_n", "_d")
 
 
 def drift_trigger(df: DataFrame, period: int, least: int, level: float, factor: float, reach: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:

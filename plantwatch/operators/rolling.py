@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plantwatch.operators.blocks import with_halo
+from plantwatch.operators.frames import Frames
 
 KEYS = ("asset", "tag")
 
@@ -79,8 +79,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], back: int, ahead: int,
     quantile is the `share` quantile, linear between ranks; rank_pct the row's
     own rank over n, ties averaged. Both are null where the frame is empty, and
     rank_pct for a null value. A key is dealt to tasks by blocks of `block` of
-    time with a halo; in a task the frame is a sorted list that each row enters
-    and leaves once, so the cost doesn't grow with rows times frame.
+    time with a halo; in a task all frames are answered from one merge tree.
     """
     kind = {"n": "long", "quantile": "double", "rank_pct": "double"}
     columns = df.columns
@@ -88,30 +87,18 @@ def order_statistics(df: DataFrame, keys: Sequence[str], back: int, ahead: int,
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t", kind="stable", ignore_index=True)
         t, x, own = group["t"].to_numpy(np.int64), group[value].to_numpy(float, na_value=np.nan), group["_own"].to_numpy(bool)
-        first, last = np.searchsorted(t, t - back, "left"), np.searchsorted(t, t + ahead, "right")
-        held: list[float] = []
-        lo = hi = 0
-        out = np.full((len(t), 3), np.nan)
-        for i in np.flatnonzero(own):
-            for v in x[hi : last[i]]:
-                if v == v:
-                    insort(held, v)
-            hi = max(hi, last[i])
-            for v in x[lo : first[i]]:
-                if v == v:
-                    del held[bisect_left(held, v)]
-            lo = max(lo, first[i])
-            n = out[i, 0] = len(held)
-            if n:
-                place = (n - 1) * share
-                k = int(place)
-                out[i, 1] = held[k] if k == place else held[k] + (held[k + 1] - held[k]) * (place - k)
-                if x[i] == x[i]:
-                    less, to = bisect_left(held, x[i]), bisect_right(held, x[i])
-                    out[i, 2] = (less + to + 1) / (2.0 * n)
+        known = ~np.isnan(x)
+        place = np.concatenate([[0], np.cumsum(known)])
+        low = place[np.searchsorted(t, t[own] - back, "left")]
+        high = np.maximum(low, place[np.searchsorted(t, t[own] + ahead, "right")])
+        frames, mine, n = Frames(x[known]), x[own], high - low
         made = group[own][columns].copy()
-        for k, name in enumerate(kind):
-            made[name] = out[own, k] if k else out[own, k].astype(np.int64)
+        made["n"] = n
+        made["quantile"] = frames.quantile(low, high, share)
+        ranked = (n > 0) & ~np.isnan(mine)
+        less, to = (frames.below(low[ranked], high[ranked], mine[ranked], side) for side in ("left", "right"))
+        made["rank_pct"] = np.nan
+        made.loc[ranked, "rank_pct"] = (less + to + 1) / (2.0 * n[ranked])
         return made
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{k} {v}" for k, v in kind.items()])
