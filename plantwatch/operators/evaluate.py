@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, floor_to
 from plantwatch.operators.align import asof, overlaps, range_join
-from plantwatch.operators.episodes import episodes
+from plantwatch.operators.episodes import chain, episodes
 
 
 def match(alerts: DataFrame, incidents: DataFrame, keys: Sequence[str], before: int, after: int = 0, config: Sequence[str] = ()) -> DataFrame:
@@ -309,3 +309,100 @@ def cuts_that_keep_positives(rows: DataFrame, by: Sequence[str] = ("feature",),
     all_ = rows.join(cut, by).groupBy(*by, "cut", "_b", "positives").agg(F.count_if(~F.col("_y")).alias("negatives"), F.count_if(~F.col("_y") & (F.col("_x") >= F.col("cut"))).alias("kept"))
     others = F.when(F.col("_b").isNull(), 0).otherwise(F.col("positives") - F.when(F.col("cut") < F.col("_b"), 1).otherwise(0))
     return all_.select(*by, "cut", "positives", "negatives", "kept", others.cast("long").alias("left_out"))
+
+
+def failures(stops: DataFrame, alarms: DataFrame, keys: Sequence[str], offsets: Sequence[int], before: int, after: int, gap: int, text: str = "text", most: int = 3) -> DataFrame:
+    """(keys, event, hours, repeats, texts, offset): stops that an alarm announces, those less than `gap` after the last one merged into one event.
+
+    `stops` has (keys, start, hours), `alarms` (keys, t, text). An alarm
+    announces a stop from `before` before to `after` after its start. The
+    clocks of the two differ by one of `offsets`, the same for all keys: the one
+    under which most stops are announced, the first of them on ties. An event is
+    its first stop with that stop's first `most` distinct texts, the longest
+    stop's hours, and the number of further stops.
+    """
+    shifts = F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(o).cast("long").alias("offset")) for i, o in enumerate(offsets)))
+    moved = alarms.select(*keys, "t", F.col(text).alias("_text"), F.explode(shifts).alias("_o")).select(*keys, "_text", "_o.*", (F.col("t") + F.col("_o.offset")).alias("u"))
+    near = range_join(stops.withColumnRenamed("start", "t"), moved, keys, before, after)
+    told = near.groupBy("_i", "offset", *keys, "t", "hours", "_text").agg(F.min("u").alias("_first"))
+    trips = told.groupBy("_i", "offset", *keys, "t", "hours").agg(F.slice(F.array_sort(F.collect_list(F.struct("_first", "_text"))), 1, most)["_text"].alias("texts"))  # a key has few texts
+    best = trips.groupBy("_i").agg(F.count("*").alias("_n")).agg(F.max_by("_i", F.struct("_n", -F.col("_i"))).alias("_i"))
+    own = chain(trips.join(best, "_i", "left_semi"), keys, gap, "_e", strict=True)
+    return own.groupBy(*keys, "_e", "offset").agg(F.min("t").alias("event"), F.max("hours").alias("hours"), (F.count("*") - 1).alias("repeats"), F.min_by("texts", "t").alias("texts")).select(*keys, "event", "hours", "repeats", "texts", "offset")
+
+
+def text_mode(text: Column, modes: Sequence[tuple[str, str]], otherwise: str = "?") -> Column:
+    """The mode of the first (part, mode) whose part the text contains, else `otherwise`; null texts contain nothing."""
+    out = F.lit(otherwise)
+    for part, mode in reversed(modes):
+        out = F.when(F.contains(text, F.lit(part)), mode).otherwise(out)
+    return out
+
+
+def signal_attribution(rows: DataFrame, events: DataFrame, keys: Sequence[str], signal: str, before: int, value: str = "value", limit: str = "limit", held: str = "held") -> DataFrame:
+    """(events, signal, points, peak, sustained, first): what each signal did in [t - before, t] of each event.
+
+    points counts the values, peak is the greatest value over its limit,
+    sustained whether `held` stood, first the first time it did. An event and
+    signal without rows there have no row.
+    """
+    own = rows.select(*keys, signal, F.col("t").alias("u"), value, limit, held)
+    near = range_join(events, own, keys, before, 0).groupBy(*events.columns, signal)
+    return near.agg(F.count(value).alias("points"), F.max(F.col(value) / F.col(limit)).alias("peak"), F.coalesce(F.bool_or(held), F.lit(False)).alias("sustained"), F.min(F.when(F.col(held), F.col("u"))).alias("first"))
+
+
+def modes(attributed: DataFrame, event: Sequence[str], mode: str, signal: str, t: str = "t") -> DataFrame:
+    """(mode, events, detected, lead_h, first_signal): per mode how many events a sustained signal came before, the median lead of those, and the signal that came first most often (the smaller name on ties)."""
+    head = F.min(F.when(F.col("first").isNotNull(), F.struct("first", signal))).alias("_h")
+    each = attributed.groupBy(*event, t, mode).agg(head).withColumn("_lead", (F.col(t) - F.col("_h.first")) / 3.6e9)
+    whole = each.groupBy(mode).agg(F.count("*").alias("events"), F.count("_h").alias("detected"), F.percentile("_lead", 0.5).alias("lead_h"))
+    often = each.where("_h is not null").groupBy(mode, F.col(f"_h.{signal}").alias("_s")).agg(F.count("*").alias("_n"))
+    top = often.groupBy(mode).agg(F.min(F.struct(-F.col("_n"), F.col("_s").alias("first_signal")))["first_signal"].alias("first_signal"))
+    return whole.join(top, mode, "left")
+
+
+def left_out_costs(episodes_: DataFrame, incidents: DataFrame, keys: Sequence[str], config: Sequence[str], before: int, width: int) -> DataFrame:
+    """(config, keys, t, false): for each setting and incident the episodes that touch no [t - before, t] of another incident.
+
+    Those are the episodes that touch none and those that touch this one
+    alone, so leaving out is a sum of two counts.
+    """
+    windows = incidents.select(*keys, (F.col("t") - before).alias("a"), F.col("t").alias("b"))
+    touched = overlaps(episodes_, windows, keys, width).groupBy(*config, *keys, "start").agg(F.count("*").alias("_n"), F.min("b").alias("t"))
+    alone = touched.where("_n = 1").groupBy(*config, *keys, "t").agg(F.count("*").alias("_alone"))
+    total = episodes_.groupBy(*config).agg(F.count("*").alias("_all"))
+    met = touched.groupBy(*config).agg(F.count("*").alias("_met"))
+    none = total.join(met, list(config), "left").select(*config, (F.col("_all") - F.coalesce("_met", F.lit(0))).alias("_none"))
+    every = incidents.select(*keys, "t").withColumn("_one", F.lit(1)).join(none.withColumn("_one", F.lit(1)), "_one")  # settings are few
+    return every.join(alone, [*config, *keys, "t"], "left").select(*config, *keys, "t", (F.col("_none") + F.coalesce("_alone", F.lit(0))).alias("false"))
+
+
+#: What a setting is chosen by: events found, those of its worst neighbour, the plateau it lies on, lead.
+CRITERIA = ("found", "worst", "plateau", "found_lead", "worst_lead")
+
+
+def robust_selection(table: DataFrame, neighbours: DataFrame, config: str, event: str, cost: str, budget: float) -> DataFrame:
+    """(criterion, hits, events) of leave-one-event-out under the five CRITERIA.
+
+    `table` has (config, event, hit, lead, cost) for all pairs, lead 0 without
+    a hit; `neighbours` pairs of (config, other). For each event the setting is
+    chosen on the others, of those within the budget for that event: by events
+    found less cost; the same of its worst neighbour; events found, then the
+    neighbours that find as many, less cost; found, then mean lead; worst
+    neighbour's found, then mean lead. Ties go to the smaller setting, and an
+    event that no setting is within the budget for is no hit.
+    """
+    w = Window.partitionBy(config)
+    hit = F.col("hit").cast("int")
+    others = F.count("*").over(w) - 1
+    rows = table.withColumn("_found", F.sum(hit).over(w) - hit).withColumn("_lead", F.coalesce((F.sum("lead").over(w) - F.col("lead")) / F.when(others > 0, others), F.lit(0.0)))
+    beside = rows.select(F.col(config).alias("_other"), event, F.col("_found").alias("_theirs"))
+    met = rows.select(config, event, "_found").join(neighbours.select(config, F.col("other").alias("_other")), config).join(beside, ["_other", event])
+    met = met.groupBy(config, event).agg(F.min("_theirs").alias("_least"), F.count_if(F.col("_theirs") >= F.col("_found")).alias("_plateau"))
+    rows = rows.join(met, [config, event], "left").withColumn("_worst", F.least("_found", F.coalesce("_least", F.col("_found"))))
+    many, c = F.lit(1000.0), F.col(cost)
+    scores = (F.col("_found") * many - c, F.col("_worst") * many - c, F.col("_found") * many + F.coalesce("_plateau", F.lit(0)) * 10.0 - c, F.col("_found") * many + F.col("_lead"), F.col("_worst") * many + F.col("_lead"))
+    long = rows.withColumn("_s", F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), F.when(c <= budget, F.round(s, 9)).alias("score")) for n, s in zip(CRITERIA, scores, strict=True)))))
+    best = F.min(F.when(F.col("_s.score").isNotNull(), F.struct(-F.col("_s.score"), F.col(config), F.col("hit").alias("_hit"))))
+    chosen = long.groupBy(F.col("_s.criterion").alias("criterion"), event).agg(best.alias("_b"))
+    return chosen.groupBy("criterion").agg(F.count_if(F.coalesce("_b._hit", F.lit(False))).alias("hits"), F.count("*").alias("events"))

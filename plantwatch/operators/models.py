@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plantwatch.operators.align import range_join
 from plantwatch.operators.blocks import with_halo
 from plantwatch.operators.frames import Frames
+from plantwatch.operators.quantiles import quantiles
 from plantwatch.operators.state import running_clock
 
 KEYS = ("asset", "tag")
@@ -352,6 +353,32 @@ def drift_trigger(df: DataFrame, period: int, least: int, level: float, factor:
     return folded.select(*keys, F.explode("_o").alias("_o")).select(*keys, "_o.*")
 
 
+def cell_residual(df: DataFrame, keys: Sequence[str], axes: dict[str, int], target: str, fit: str) -> DataFrame:
+    """`df` with cell, expected and residual of `target` by a table over several axes, fitted to the rows with the flag `fit`.
+
+    Each axis is cut at the quantiles of its fitted values into as many bins as
+    `axes` says; values outside go to the first and the last bin. expected is
+    the median of the fitted rows of the cell, of the key where the cell has
+    none; keys without fitted rows and rows with a null axis have nulls.
+    """
+    fitted = df.where(fit)
+    out = df
+    cell = []
+    for k, (axis, n) in enumerate(axes.items()):
+        edges = quantiles(fitted, keys, axis, {f"_q{i}": i / n for i in range(1, n)})
+        out = out.join(edges.select(*keys, F.array(*(f"_q{i}" for i in range(1, n))).alias(f"_e{k}")), list(keys), "left")
+        cell.append(F.size(F.filter(f"_e{k}", lambda e: e <= F.col(axis))))  # noqa: B023
+    known = F.lit(True)
+    for k, axis in enumerate(axes):
+        known = known & F.col(axis).isNotNull() & F.col(f"_e{k}").isNotNull()
+    out = out.withColumn("cell", F.when(known, F.array(*cell))).drop(*(f"_e{k}" for k in range(len(axes))))
+    own = quantiles(out.where(F.col(fit) & F.col("cell").isNotNull()), [*keys, "cell"], target, {"_own": 0.5})
+    whole = quantiles(fitted, keys, target, {"_whole": 0.5})
+    out = out.join(own, [*keys, "cell"], "left").join(whole, list(keys), "left")
+    out = out.withColumn("expected", F.when(F.col("cell").isNotNull(), F.coalesce("_own", "_whole"))).drop("_own", "_whole")
+    return out.withColumn("residual", F.col(target) - F.col("expected"))
+
+
 def nearest_template(df: DataFrame, templates: DataFrame, vector: str = "x", name: str = "template") -> DataFrame:
     """`df` with the template of least mean squared distance over its components; `templates` (name, y) is small and broadcast."""
     packed = F.broadcast(templates.agg(F.array_sort(F.collect_list(F.struct(name, "y"))).alias("_t")))

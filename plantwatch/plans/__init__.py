@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more", "q_rest", "q_part", "q_source", "q_stream", "q_whole")
+MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more", "q_rest", "q_part", "q_source", "q_stream", "q_whole", "q_modes")
 
 
 def load() -> None:
