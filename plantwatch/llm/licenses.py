@@ -12,7 +12,8 @@ template goes before its lines are looked at.
 
 A notice within a line or over several is found in the spans of bigrams of the
 whole text. The best span starts and ends with a bigram of its template and
-has as many as the threshold asks for, so only such spans are compared.
+has as many as the threshold asks for, so only such starts are looked at, each
+in one pass over the bigrams after it.
 """
 
 from __future__ import annotations
@@ -69,50 +70,69 @@ def _marks(pairs: Column, grams: dict[str, list[str]]) -> Column:
     return F.transform(pairs, lambda x: F.element_at(bits, (F.crc32(x.cast("binary")) % SLOTS + 1).cast("int")))
 
 
-def _places(marks: Column, pairs: Column) -> Column:
-    """(at, pair, bits) of the bigrams that some template may hold, at from 1."""
-    return F.filter(F.transform(marks, lambda b, i: F.when(b != 0, F.struct((i + 1).alias("at"), F.get(pairs, i).alias("pair"), b.alias("bits")))), lambda x: x.isNotNull())
-
-
 def _enough(marks: Column, grams: dict[str, list[str]], threshold: float) -> Column:
     """Whether some template may have as many of its bigrams among those marked as the threshold asks for."""
     some = F.lit(False)
     for k, name in enumerate(sorted(grams)):
         bit = F.lit(1 << k)
-        own = F.size(F.filter(marks, lambda x: x["bits"].bitwiseAND(bit) != 0))  # noqa: B023
+        own = F.size(F.filter(marks, lambda b: b.bitwiseAND(bit) != 0))  # noqa: B023
         some = some | (own >= _sizes(len(grams[name]), threshold)[0])
     return some
 
 
-def _span(pairs: Column, marks: Column, bit: int, name: str, gram: list[str], threshold: float) -> Column:
-    """The best span of `pairs` for a template that reaches the threshold, or null."""
+def _before(pairs: Column) -> Column:
+    """Of each bigram the place, from 1, where it stood last before; 0 for its first place."""
+    placed = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x.alias("pair"), (i + 1).alias("at"))))
+    back = F.transform(F.array(placed), lambda all_: F.transform(all_, lambda x, i: F.struct(x["at"].alias("at"), F.when(F.get(all_, i - 1)["pair"] == x["pair"], F.get(all_, i - 1)["at"]).otherwise(F.lit(0)).alias("before"))))
+    return F.transform(F.array_sort(F.flatten(back)), lambda x: x["before"])
+
+
+def _span(pairs: Column, places: Column, bit: int, name: str, gram: list[str], threshold: float) -> Column:
+    """The best span of `pairs` for a template that reaches the threshold, or null; of equal ones the last.
+
+    From each start one pass counts the distinct bigrams and those of the
+    template: a bigram is new to the span if it stood last before the start. So
+    a start costs the longest span that may reach the threshold, whatever repeats.
+    """
     least, most = _sizes(len(gram), threshold)
     own = F.array(*map(F.lit, gram))
-    at = F.transform(F.filter(marks, lambda x: (x["bits"].bitwiseAND(F.lit(1 << bit)) != 0) & F.array_contains(own, x["pair"])), lambda x: x["at"])
+    flags = F.transform(places, lambda x, i: F.struct(x["before"].alias("before"), ((x["bits"].bitwiseAND(F.lit(1 << bit)) != 0) & F.array_contains(own, F.get(pairs, i))).alias("own")))
+
+    def spans(flags: Column) -> Column:
+        at = F.filter(F.transform(flags, lambda x, i: F.when(x["own"], i + 1)), lambda p: p.isNotNull())
+        return F.flatten(F.transform(F.array(at), lambda at: F.transform(F.filter(at, lambda p, k: F.get(at, k + (least - 1)) - p < most), lambda p: best(flags, p))))
 
-    def spans(at: Column) -> Column:
-        starts = F.filter(at, lambda p, k: F.get(at, k + (least - 1)) - p < most)
-        return F.flatten(F.transform(starts, lambda p: F.transform(F.filter(at, lambda q: (q >= p + (least - 1)) & (q < p + most)), lambda q: one(p, q))))
+    def best(flags: Column, p: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            new = (x["before"] < p).cast("int")
+            shared = acc["shared"] + F.when(x["own"], new).otherwise(0)
+            total = acc["total"] + new
+            return F.struct(total.alias("total"), shared.alias("shared"), F.when(x["own"], F.greatest(acc["dice"], 2.0 * shared / (total + len(gram)))).otherwise(acc["dice"]).alias("dice"))
 
-    def one(p: Column, q: Column) -> Column:
-        span = F.slice(pairs, p, q - p + 1)
-        d = 2.0 * F.size(F.array_intersect(span, own)) / (F.size(F.array_distinct(span)) + len(gram))
-        return F.struct((-d).alias("less"), F.lit(name).alias("license"), (-p).cast("int").alias("unit"), d.alias("dice"))
+        start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"))
+        d = F.aggregate(F.slice(flags, p, F.lit(most)), start, step, lambda acc: acc["dice"])
+        return F.transform(F.array(d), lambda d: _hit(d, len(gram), name, (-p).cast("int")))
 
-    each = F.flatten(F.transform(F.array(at), spans))
+    each = F.flatten(F.flatten(F.transform(F.array(flags), spans)))
     return F.array_min(F.filter(each, lambda s: s["dice"] >= threshold))
 
 
+def _hit(dice: Column, n: int, name: str, unit: Column) -> Column:
+    """Sorts by Dice coefficient, the larger template, its name, the unit."""
+    return F.struct((-dice).alias("less"), F.lit(-n).alias("fewer"), F.lit(name).alias("license"), unit.alias("unit"), dice.alias("dice"))
+
+
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id, license, dice, unit, n_matches): one row for each row of `docs`.
 
     license is the template with the largest Dice coefficient among all units
-    that reach the threshold, null without one; ties go to the smaller name,
-    then to the smaller unit. unit is the line number from 1, or 0 for the
+    that reach the threshold, null without one; ties go to the template with
+    more bigrams, then to the smaller name and unit. unit is the line number from 1, or 0 for the
     whole text; n_matches counts units and templates that reach the threshold.
     Of a template that neither the text nor a line matches, the best span of
     the text counts, with up to as many bigrams as the threshold leaves; its
-    unit is -p, p the number from 1 of its first word.
+    unit is -p, p the number from 1 of its first word. A text's cost grows with
+    its bigrams of templates times the longest span of a template.
     Null and empty texts match nothing; rows that repeat an id give rows of
     their own; an empty table gives no rows. Templates need two words; there
     are 63 at most, as each is a literal of the plan.
@@ -128,15 +148,16 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     rows = rows.select("id", "value", _words(F.col("value")).alias("words"))
     rows = rows.select("id", "value", "words", _all_bigrams(F.col("words")).alias("pairs"))
     rows = rows.select("id", "value", "words", "pairs", _marks(F.col("pairs"), grams).alias("bits"))
-    rows = rows.select("id", "value", "words", "pairs", _places(F.col("bits"), F.col("pairs")).alias("marks"))
-    rows = rows.select("id", "value", "words", "pairs", "marks", _enough(F.col("marks"), grams, threshold).alias("near"))
+    rows = rows.select("id", "value", "words", "pairs", "bits", _enough(F.filter("bits", lambda b: b != 0), grams, threshold).alias("near"))
+    places = F.zip_with("bits", _before(F.col("pairs")), lambda b, p: F.struct(b.alias("bits"), p.alias("before")))
+    rows = rows.select("id", "value", "words", "pairs", "near", F.when(F.col("near"), places).alias("marks"))
     lines = F.transform(F.split("value", "\n", -1), lambda u, k: F.struct((k + 1).alias("unit"), F.when(F.length(u) < 2 * low + 1, nothing).otherwise(_words(u)).alias("words")))
     units = F.concat(F.array(F.struct(F.lit(0).alias("unit"), F.col("words").alias("words"))), lines)
     no_units = F.expr("cast(array() as array<struct<unit:int,words:array<string>>>)")
     rows = rows.select("id", "near", "pairs", "marks", F.when(F.col("near"), F.filter(units, lambda x: F.size(x["words"]) > low)).otherwise(no_units).alias("units"))
     bigrams = F.transform("units", lambda x: F.struct(x["unit"].alias("unit"), _bigrams(x["words"]).alias("grams")))
     rows = rows.select("id", "near", "pairs", "marks", F.filter(bigrams, lambda x: F.size(x["grams"]).between(low, high)).alias("units"))
-    per_unit = F.transform("units", lambda u: F.filter(F.array(*(F.struct((-d).alias("less"), F.lit(n).alias("license"), u["unit"].alias("unit"), d.alias("dice")) for n, d in _dice(u["grams"], grams, threshold))), lambda s: s["dice"] >= threshold))
+    per_unit = F.transform("units", lambda u: F.filter(F.array(*(_hit(d, len(grams[n]), n, u["unit"]) for n, d in _dice(u["grams"], grams, threshold))), lambda s: s["dice"] >= threshold))
     hits = rows.select("id", "near", "pairs", "marks", F.flatten(per_unit).alias("hits"))
     hits = hits.select("id", "near", "pairs", "marks", "hits", F.transform("hits", lambda s: s["license"]).alias("known"))
     spans = [F.when(F.col("near") & ~F.array_contains("known", n), _span(F.col("pairs"), F.col("marks"), k, n, grams[n], threshold)) for k, n in enumerate(sorted(grams))]

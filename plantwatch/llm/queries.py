@@ -131,8 +131,8 @@ def _license_sql() -> str:
             union all select doc_id, unnest(string_split(coalesce(text, ''), chr(10))), generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) from documents),
         w as (select doc_id, unit, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+(?:\\.[\\p{{N}}]+)*') as w from u),
         g as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as a from w where len(w) > 1),
-        s as (select doc_id, unit, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) as dice from g, t where 2.0 * least(len(a), len(b)) / (len(a) + len(b)) >= {THRESHOLD}),
-        h as (select *, row_number() over (partition by doc_id order by dice desc, license, unit) as k, count(*) over (partition by doc_id) as n from s where dice >= {THRESHOLD})
+        s as (select doc_id, unit, license, len(b) as size, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) as dice from g, t where 2.0 * least(len(a), len(b)) / (len(a) + len(b)) >= {THRESHOLD}),
+        h as (select *, row_number() over (partition by doc_id order by dice desc, size desc, license, unit) as k, count(*) over (partition by doc_id) as n from s where dice >= {THRESHOLD})
         select d.doc_id, license, round(dice, 6) as dice, cast(unit as bigint) as unit, coalesce(n, 0) as n_matches from documents d left join h on h.doc_id = d.doc_id and k = 1
     """
 
