@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def _bigrams(words: Column) -> Column:
 
 def _sizes(n: int, threshold: float) -> tuple[int, int]:
     """Least number of shared bigrams, and most bigrams, of what reaches the threshold with a template of n."""
-    return max(1, int(-(-threshold * n // (2 - threshold)))), int((2 - threshold) * n / threshold)
+    return max(1, ceil(threshold * n / (2 - threshold) - 1e-9)), floor((2 - threshold) * n / threshold + 1e-9)  # bounds that are whole numbers count
 
 
 def _marks(pairs: Column, grams: dict[str, list[str]]) -> Column:

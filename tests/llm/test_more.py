@@ -182,7 +182,7 @@ def test_spans_of_a_licence_against_all_spans(spark):
         hits = [(-dice(g, o), -len(o), n, u) for n, o in own.items() for u in (0, 1) if dice(g, o) >= 0.6]
         for n, o in own.items():
             if not any(h[2] == n for h in hits):
-                most = int(1.4 * len(o) / 0.6)
+                most = int(1.4 * len(o) / 0.6 + 1e-9)
                 spans = [(-dice(g[a:b], o), -len(o), n, -a - 1) for a in range(len(g)) for b in range(a + 1, min(len(g), a + most) + 1) if g[a] in o]
                 hits += [min(s for s in spans if -s[0] >= 0.6)] if any(-s[0] >= 0.6 for s in spans) else []
         want = min(hits, default=(None, 0, None, None))
