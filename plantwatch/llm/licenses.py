@@ -149,7 +149,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     rows = rows.select("id", "value", _words(F.col("value")).alias("words"))
     rows = rows.select("id", "value", "words", _all_bigrams(F.col("words")).alias("pairs"))
     rows = rows.select("id", "value", "words", "pairs", _marks(F.col("pairs"), grams).alias("bits"))
-    rows = rows.select("id", "value", "words", "pairs", "bits", _enough(F.filter("bits", lambda b: b != 0), grams, threshold).alias("near"))
+    rows = rows.select("id", "value", "words", "pairs", "bits", F.filter("bits", lambda b: b != 0).alias("some"))
+    rows = rows.select("id", "value", "words", "pairs", "bits", _enough(F.col("some"), grams, threshold).alias("near"))
     places = F.zip_with("bits", _before(F.col("pairs")), lambda b, p: F.struct(b.alias("bits"), p.alias("before")))
     rows = rows.select("id", "value", "words", "pairs", "near", F.when(F.col("near"), places).alias("marks"))
     lines = F.transform(F.split("value", "\n", -1), lambda u, k: F.struct((k + 1).alias("unit"), F.when(F.length(u) < 2 * low + 1, nothing).otherwise(_words(u)).alias("words")))
