@@ -99,10 +99,13 @@ def partition_keys(sets: np.ndarray, bounds: np.ndarray, bands: Bands, wanted: n
     """(document, key, band) rows of the wanted sets: sets that are within the threshold and differ share a key.
 
     Only partitions with the band's least number of elements, one or two, give
-    keys. Of two sets at least one of which has no more partitions below that
-    than the band's slack, one of the equal partitions, slack + 1 at least,
-    gives both a key. Sets with more are dealt anew by the next hash, as all
-    such sets are; after the last one they share one key of their band.
+    keys, and of those a set's first D + 1, where it differs from any set within
+    the threshold by D elements at most. Partitions with more elements come
+    first, then by number: equal partitions hold the same in both sets, so the
+    first equal one has at most D others before it in either. A set with more
+    than D such partitions meets all others within the threshold there; sets
+    with fewer are dealt anew by the next hash, and after the last one they
+    share one key of their band.
     """
     sizes = np.diff(bounds)
     docs, keys, of_band = [], [], []
@@ -112,6 +115,7 @@ def partition_keys(sets: np.ndarray, bounds: np.ndarray, bands: Bands, wanted: n
             if not len(which):
                 break
             size, own = sizes[which], band[which]
+            differ = (bands.den - bands.num) * (size + np.minimum(size * bands.den // bands.num, bands.highs[own])) // (bands.den + bands.num)
             at = np.repeat(bounds[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             h, doc = sets[at], np.repeat(np.arange(len(which)), size)
             if deal:
@@ -121,15 +125,17 @@ def partition_keys(sets: np.ndarray, bounds: np.ndarray, bands: Bands, wanted: n
             part = ((h >> np.uint64(32)) * k[doc]) >> np.uint64(32)  # grows with h, so each partition is one run
             first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
             sums = np.add.reduceat(mix64(h), first)
-            strong = np.diff(np.append(first, len(h))) >= bands.least[own][doc[first]]
-            first, sums = first[strong], sums[strong]
+            count = np.diff(np.append(first, len(h)))
+            strong = count >= bands.least[own][doc[first]]
+            given = np.bincount(doc[first[strong]], minlength=len(which))
+            kept = np.flatnonzero(strong)[_leading(doc[first[strong]], count[strong], given, differ + 1)]
+            first, sums = first[kept], sums[kept]
             of = doc[first]
             tag = mix64(own.astype(np.uint64) * np.uint64(1 << 40) + np.uint64(7 + deal))
             docs.append(which[of])
             of_band.append(own[of])
             keys.append(mix64(sums ^ mix64(tag[of] + part[first])))
-            given = np.bincount(of, minlength=len(which))
-            which = which[k.astype(np.int64) - given > bands.slack[own]]
+            which = which[given <= differ]
         if len(which):
             docs.append(which)
             of_band.append(band[which])
@@ -139,6 +145,13 @@ def partition_keys(sets: np.ndarray, bounds: np.ndarray, bands: Bands, wanted: n
     return np.concatenate(docs), np.concatenate(keys), np.concatenate(of_band)
 
 
+def _leading(of: np.ndarray, count: np.ndarray, given: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places, in order, of each set's `most` rows with the largest counts; `of` ascends, `given` are its rows a set. Earlier rows come first of equal counts."""
+    order = np.argsort((of << 32) - count, kind="stable")
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(given) - given, given)
+    return np.sort(order[rank < most[of[order]]])
+
+
 def set_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Two 64-bit digests of each set, 0 for an empty one."""
     sums, some = np.zeros((2, len(bounds) - 1), np.uint64), np.flatnonzero(np.diff(bounds))
