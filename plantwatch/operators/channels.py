@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantwatch.operators.lineage import cut_lineage
+from plantwatch.operators.quantiles import quantiles
+from plantwatch.operators.state import ewma_time
+
 
 def outside_of(n: float, sums: Sequence[float], products: Sequence[float], share: float) -> list[float] | None:
     """The projector outside the components that hold `share` of the variance, row by row; None without variance. products are those of i <= j, by i and j."""
@@ -73,3 +77,33 @@ def channel_scores(z: DataFrame, specs: DataFrame, share: float = 0.95, least: i
     two = F.col("n") >= 2
     kinds = F.when(F.col("kind") == "zmax", F.array_max(F.transform("v", lambda x: F.abs(x)))).when((F.col("kind") == "spread") & two, F.array_max(F.transform("v", apart))).when((F.col("kind") == "spread_alvo") & two, apart(own))
     return rows.where("kind <> 'pca'").select(*at, kinds.alias("score")).where("score is not null").union(pca.where("score is not null"))
+
+
+#: The forms of a channel's movement that `movements` makes.
+FORMS = ("volatility", "delta", "slope")
+
+
+def movements(df: DataFrame, rows: int, half_life: int, watched: str, keys: Sequence[str] = ("asset", "tag"), value: str = "value") -> DataFrame:
+    """`df` with the forms of a channel's movement, each as its distance from the median of the watched rows in robust deviations.
+
+    volatility is the standard deviation of the last `rows` rows; delta the
+    EWMA by time less the median of the `rows` EWMAs that end `rows` rows
+    before; slope the least-squares slope of the EWMA over `rows` rows. A frame
+    with values in fewer than half its rows, in 80 % or fewer for the slope,
+    gives null. The median and the MAD come from rows where `watched` holds,
+    the MAD 1e-9 at least; a series without such rows has nulls.
+    """
+    by = Window.partitionBy(*keys).orderBy("t")
+    now, before = by.rowsBetween(1 - rows, 0), by.rowsBetween(1 - 2 * rows, -rows)
+    e = ewma_time(df, half_life, keys, value, "_e").withColumn("_k", F.row_number().over(by))
+    full = lambda c, w, share: F.count(c).over(w) >= share * rows
+    e = e.withColumn("volatility", F.when(full(value, now, 0.5), F.stddev_samp(value).over(now)))
+    e = e.withColumn("delta", F.when(full("_e", before, 0.5), F.col("_e") - F.percentile("_e", 0.5).over(before)))
+    e = cut_lineage(e.withColumn("slope", F.when(F.count("_e").over(now) > 0.8 * rows, F.regr_slope("_e", "_k").over(now))).drop("_e", "_k"))
+    seen, out = e.where(watched), e
+    for form in FORMS:
+        middle = quantiles(seen, keys, form, {"_m": 0.5})
+        apart = seen.join(middle, list(keys)).withColumn("_a", F.abs(F.col(form) - F.col("_m")))
+        fit = middle.join(quantiles(apart, keys, "_a", {"_d": 0.5}), list(keys))
+        out = out.join(fit, list(keys), "left").withColumn(form, F.abs(F.col(form) - F.col("_m")) / F.greatest(1.4826 * F.col("_d"), F.lit(1e-9))).drop("_m", "_d")
+    return out

@@ -165,6 +165,23 @@ def pca_residual_of_vectors(df: DataFrame, vector: str, share: float = 0.95) ->
     return _form(df, vector, mean, rest @ rest.T, "residual", lambda x: x / max(1, len(mean)))
 
 
+def scaled_pca_score(df: DataFrame, vector: str, share: float = 0.95, unit: float = 0.99, into: str = "score") -> DataFrame:
+    """`df` with its mean squared PCA residual after robust scaling, over the residual's quantile `unit`.
+
+    Each component is scaled by its median and interquartile range (1 where
+    that is 0). Null vectors, and all where the quantile is 0, have null.
+    """
+    parts = df.where(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("_k", "_x")).withColumn("_x", F.col("_x").cast("double"))
+    fit = sorted(quantiles(parts, ["_k"], "_x", {"a": 0.25, "m": 0.5, "b": 0.75}).collect(), key=lambda r: r["_k"])  # a row a component
+    if not fit:
+        return df.withColumn(into, F.lit(None).cast("double"))
+    centre, spread = ([float(x) for x in c] for c in ([r["m"] for r in fit], [(r["b"] - r["a"]) or 1.0 for r in fit]))
+    scale = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in zip(centre, spread, strict=True)))
+    scaled = pca_residual_of_vectors(df.withColumn("_scaled", F.zip_with(vector, scale, lambda x, c: (x - c["m"]) / c["d"])), "_scaled", share)
+    top = quantiles(scaled.select("residual"), [], "residual", {"_p": unit})  # one row
+    return scaled.crossJoin(F.broadcast(top)).withColumn(into, F.when(F.col("_p") > 0, F.col("residual") / F.col("_p"))).drop("_scaled", "_p", "residual")
+
+
 def mahalanobis_of_vectors(df: DataFrame, vector: str) -> DataFrame:
     """`df` with distance under the covariance that Ledoit and Wolf (2004) shrink towards its mean variance times the identity; null vectors have null."""
     n, sums, _, _ = vector_moments(df, vector)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more", "q_rest", "q_part", "q_source", "q_stream", "q_whole", "q_modes")
+MODULES = ("q_clean", "q_series", "q_state", "q_eval", "q_more", "q_rest", "q_part", "q_source", "q_stream", "q_whole", "q_modes", "q_forms")
 
 
 def load() -> None:
