@@ -245,3 +245,10 @@ def test_main_text_of_skeletons_without_names(spark):
     for k in range(len(skeletons)):
         assert sum(got[i, "u"] == want[i] for i in range(n + 12 * k, n + 12 * k + 12)) >= 10, k
     assert got[900, "u"] == got[901, "u"] == got[902, "u"] == "" and got[0, "again"] == got[0, "http://h/0"]
+
+
+def test_a_set_gives_its_fullest_partitions_first():
+    of, count = np.array([0, 0, 0, 0, 2, 2]), np.array([1, 3, 2, 3, 1, 1])
+    kept = ngram_join._leading(of, count, np.array([4, 0, 2]), np.array([3, 1, 1]))
+    assert kept.tolist() == [1, 2, 3, 4]
+    assert ngram_join._leading(of[:0], count[:0], np.zeros(3, int), np.ones(3, int)).tolist() == []
