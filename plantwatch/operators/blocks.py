@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 from plantwatch.functions.columns import floor_to
 
 
-def with_halo(df: DataFrame, block: int, back: int, ahead: int = 0, order: str = "t") -> DataFrame:
+def with_halo(df: DataFrame, block: int, back: int, ahead: int = 0, order: str = "t", outer: bool = False) -> DataFrame:
     """`df` with columns _block and _own: each row in its own block of `order`, and as a halo in those that look back or ahead to it.
 
-    A row is copied at most ceil(back / block) + ceil(ahead / block) times.
+    A row is copied at most ceil(back / block) + ceil(ahead / block) times. Rows
+    with a null `order` are left out; with `outer` they are the null block.
     """
     if block < 1:
         raise ValueError("block must be positive")
     own = floor_to(F.col(order), block)
     first, last = floor_to(F.col(order) - ahead, block), floor_to(F.col(order) + back, block)
-    return df.withColumn("_block", F.explode(F.sequence(first, last, F.lit(block)))).withColumn("_own", F.col("_block") == own)
+    copies = (F.explode_outer if outer else F.explode)(F.sequence(first, last, F.lit(block)))
+    return df.withColumn("_block", copies).withColumn("_own", F.col("_block").eqNullSafe(own))
 
 
 def rolling(df: DataFrame, keys: Sequence[str], back: int, columns: dict[str, Callable[[Window], Column]], ahead: int = 0, block: int | None = None) -> DataFrame:

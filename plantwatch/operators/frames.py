@@ -83,3 +83,33 @@ class Frames:
         n = high - low
         out[some] = (self._nth_distance(low, high, centre, (n - 1) // 2) + self._nth_distance(low, high, centre, n // 2)) / 2
         return out
+
+
+class Sums:
+    """Sums of frames [low, high) of `values`, each put together from a tree of pairwise sums.
+
+    Nothing is subtracted, so what lies outside a frame can't touch its sum; a
+    frame takes two look-ups a level.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [np.asarray(values, float)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            while len(self.levels[-1]) > 1:
+                level = self.levels[-1]
+                level = np.append(level, 0.0) if len(level) % 2 else level
+                self.levels.append(level[0::2] + level[1::2])
+
+    def over(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        low, high = np.array(low, np.int64), np.array(high, np.int64)
+        total = np.zeros(len(low))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for level in self.levels:
+                odd = (low < high) & (low % 2 == 1)
+                total[odd] += level[low[odd]]
+                low[odd] += 1
+                odd = (low < high) & (high % 2 == 1)
+                high[odd] -= 1
+                total[odd] += level[high[odd]]
+                low, high = low >> 1, high >> 1
+        return total

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plantwatch.operators.blocks import with_halo
-from plantwatch.operators.frames import Frames
+from plantwatch.operators.frames import Frames, Sums
 
 KEYS = ("asset", "tag")
 
@@ -106,6 +107,37 @@ def order_statistics(df: DataFrame, keys: Sequence[str], back: int, ahead: int,
     return made.withColumns({k: F.when(~F.isnan(k), F.col(k)) for k in ("quantile", "rank_pct")})
 
 
+def means(df: DataFrame, keys: Sequence[str], back: int, columns: dict[str, Column], block: int, ahead: int = 0) -> DataFrame:
+    """`df` with the mean of each of `columns` over the rows with t in [t - back, t + ahead] of the same keys; nulls don't count, a frame without values has null.
+
+    A window over a moving range adds up every frame anew, so its cost grows
+    with the square of the rows in a range. Here a key is dealt to tasks by
+    blocks of `block` of time with a halo, and a block's frames are answered
+    from one tree of sums. Rows without a time are a block of their own.
+    """
+    kept, names = df.columns, list(columns)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("t")
+        own = group["_own"].to_numpy()
+        if group["t"].null_count:
+            low, high = np.zeros(own.sum(), np.int64), np.full(own.sum(), len(own))
+        else:
+            t = group["t"].to_numpy()
+            low, high = np.searchsorted(t, t[own] - back, "left"), np.searchsorted(t, t[own] + ahead, "right")
+        made = group.filter(group["_own"]).select(kept)
+        for k, name in enumerate(names):
+            x = group[f"_x{k}"]
+            n = Sums(x.is_valid().to_numpy()).over(low, high)
+            total = Sums(x.fill_null(0.0).to_numpy()).over(low, high)
+            made = made.append_column(name, pa.array(total / np.maximum(n, 1), mask=n == 0))
+        return made
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{c}` double" for c in columns])
+    wide = with_halo(df.withColumns({f"_x{k}": x.cast("double") for k, x in enumerate(columns.values())}), block, back, ahead, outer=True)
+    return wide.groupBy(*keys, "_block").applyInArrow(run, schema)
+
+
 def rolling_rank(df: DataFrame, keys: Sequence[str], width: int, value: str = "value", block: int | None = None) -> DataFrame:
     """(keys, t, rank_pct): rank of each value among those of the last `width` of time, itself among them, ties averaged; rows without a value are left out."""
     rows = order_statistics(df.where(F.col(value).isNotNull()), keys, width - 1, 0, block or 2 * width, value=value)

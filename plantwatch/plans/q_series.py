@@ -311,7 +311,7 @@ def e03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e04_long_baseline", f"""with {T.READINGS} select asset, tag, t, round(value - avg(value) over (partition by asset, tag order by t range between 86400000000 preceding and current row), 6) as dev from readings""")
 def e04(spark: SparkSession, d: str) -> DataFrame:
-    rows = blocks.rolling(T.readings(spark, d), KEYS, DAY, {"m": lambda w: F.avg("value").over(w)}, block=3 * DAY)
+    rows = rolling.means(T.readings(spark, d), KEYS, DAY, {"m": F.col("value")}, 3 * DAY)
     return rows.select("asset", "tag", "t", r6(F.col("value") - F.col("m")).alias("dev"))
 
 
