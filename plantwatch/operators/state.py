@@ -160,9 +160,10 @@ def hysteresis(df: DataFrame, high: float, low: float, keys: Sequence[str] = KEY
 
 
 def sticky(flag: Column | str, span: int, keys: Sequence[str] = KEYS) -> Column:
-    """Whether the flag held in [t - span, t]."""
+    """Whether the flag held in [t - span, t]: the last time of it is `span` back at most, so that no frame is gone through anew."""
     f = F.col(flag) if isinstance(flag, str) else flag
-    return F.max(F.coalesce(f, F.lit(False))).over(_w(keys).rangeBetween(-span, 0))
+    last = F.max(F.when(f, F.col("t"))).over(_w(keys).rangeBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(last >= F.col("t") - span, F.lit(False))
 
 
 def frozen_flag(df: DataFrame, rows: int, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR
-from plantwatch.operators import align, blocks, clean, episodes, state
+from plantwatch.operators import align, blocks, clean, episodes, rolling, state
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_series import _EPISODES, KEYS, W, alert_episodes
@@ -75,7 +75,8 @@ def i09(spark: SparkSession, d: str) -> DataFrame:
 @query("i11_k_of_n", f"""with {_Z} select asset, tag, t, sum(case when z > 0 then 1 else 0 end) over ({_P} rows between 7 preceding and current row) >= 5 as dense, round(avg(case when z > 0 then 1.0 else 0 end) over ({_P} range between 43200000000 preceding and current row), 6) as density from zs""")
 def i11(spark: SparkSession, d: str) -> DataFrame:
     up = F.col("z") > 0
-    return z_scores(spark, d).select(*KEYS, "t", state.k_of_n(up, 5, 8).alias("dense"), r6(F.avg(up.cast("double")).over(W().rangeBetween(-12 * HOUR, 0))).alias("density"))
+    rows = rolling.means(z_scores(spark, d), KEYS, 12 * HOUR, {"density": F.coalesce(up, F.lit(False)).cast("double")}, 36 * HOUR)
+    return rows.select(*KEYS, "t", state.k_of_n(up, 5, 8).alias("dense"), r6("density").alias("density"))
 
 
 @query("i12_short_run_removal", f"""with {_Z}, f as (select *, z > 0 as up, lag(z > 0) over ({_P}) as p from zs), g as (select *, sum(case when up is distinct from p then 1 else 0 end) over ({_P} rows unbounded preceding) as run from f) select asset, tag, t, up and count(*) over (partition by asset, tag, run) >= 3 as up from g""")
