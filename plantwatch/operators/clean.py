@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantwatch.operators import scans
+from plantwatch.operators import quantiles, scans
 from plantwatch.operators.episodes import runs
 
 KEYS = ("asset", "tag")
@@ -135,7 +135,7 @@ def stable(df: DataFrame, quantile: float, keys: Sequence[str] = KEYS, value: st
     """`df` with stable, whether the step from the row before is within the key's quantile of steps; false for the first."""
     d = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy("t")))
     rows = df.withColumn("_d", d)
-    edge = rows.groupBy(*keys).agg(F.percentile("_d", quantile).alias("_e"))
+    edge = quantiles.cut_points(rows, keys, "_d", {"_e": quantile})
     return rows.join(edge, list(keys)).withColumn("stable", F.coalesce(F.col("_d") <= F.col("_e"), F.lit(False))).drop("_d", "_e")
 
 

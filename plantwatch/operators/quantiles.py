@@ -86,6 +86,33 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Data
     return whole.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "rank", "x")
 
 
+def interpolated(low: Column, high: Column, part: Column) -> Column:
+    """The point `part` of the way from `low` to `high`: low * (1 - part) + high * part with one rounding less, a fused multiply-add, as DuckDB's quantile_cont has it.
+
+    On two equal values it may be off them by one unit in the last place, which decides whether rows of that value are below it.
+    """
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+    return F.when(part == 0, low).when(low.isNotNull() & high.isNotNull(), fused)
+
+
+def cut_points(df: DataFrame, keys: Sequence[str], value: str, columns: dict[str, float], rows: int = SORTED_ROWS) -> DataFrame:
+    """(keys, columns): quantiles of each group that rows are compared with, to the last bit those of quantile_cont in DuckDB.
+
+    Values are held against these points, so a difference in the last bit moves
+    the rows that tie with one. The two ranks beside each point are selected, of
+    groups of any size.
+    """
+    df = cut_lineage(df.select(*keys, value))  # read once a round
+    sizes = cut_lineage(df.groupBy(*keys).agg(F.count(value).alias("_n")))
+    place = {c: F.lit(float(q)) * (F.col("_n") - 1) for c, q in columns.items()}
+    both = F.array(*(f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)))
+    ranks = sizes.where("_n > 0").select(*keys, F.explode(F.array_distinct(both)).alias("rank"))
+    got = order_statistics(df, keys, value, ranks, rows).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("_m"))  # two entries a point at most
+    at = lambda f, p: F.element_at("_m", f(p).cast("long"))
+    points = {c: interpolated(at(F.floor, p), at(F.ceil, p), p - F.floor(p)) for c, p in place.items()}
+    return _matched(sizes, got, keys, "left").select(*keys, *(x.alias(c) for c, x in points.items()))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, columns: dict[str, float], rows: int = SORTED_ROWS, within: DataFrame | None = None) -> DataFrame:
     """(keys, columns): what `percentile` gives for each share, linear between ranks, of the values of each group that aren't null.
 
