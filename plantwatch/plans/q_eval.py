@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions import columns as C
 from plantwatch.functions.columns import DAY, HOUR
-from plantwatch.operators import align, episodes, evaluate, models, rolling
+from plantwatch.operators import align, episodes, evaluate, models, quantiles, rolling
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_series import _EPISODES, KEYS, W, alert_episodes
@@ -404,7 +404,7 @@ def k30(spark: SparkSession, d: str) -> DataFrame:
 @query("k31_load_bin_residual", f"""with {_LOAD}, q as (select asset, quantile_cont(load, 0.33) as a, quantile_cont(load, 0.66) as b from x group by asset), c as (select x.*, case when load < a then 0 when load < b then 1 else 2 end as bin from x join q using (asset)), m as (select asset, bin, quantile_cont(y, 0.5) as expected, count(*) as n from c group by all) select asset, bin, n, round(expected, 6) as expected from m""")
 def k31(spark: SparkSession, d: str) -> DataFrame:
     x = loaded(spark, d)
-    q = x.groupBy("asset").agg(F.percentile("load", 0.33).alias("a"), F.percentile("load", 0.66).alias("b"))
+    q = quantiles.cut_points(x, ["asset"], "load", {"a": 0.33, "b": 0.66})
     c = x.join(F.broadcast(q), "asset").withColumn("bin", F.when(F.col("load") < F.col("a"), 0).when(F.col("load") < F.col("b"), 1).otherwise(2))
     return c.groupBy("asset", "bin").agg(F.count("*").alias("n"), r6(F.percentile("y", 0.5)).alias("expected"))
 

@@ -113,7 +113,7 @@ _BANDS = f"{_LOAD}, q as (select asset, quantile_cont(load, 0.33) as a, quantile
 
 def _banded(spark: SparkSession, d: str) -> DataFrame:
     x = loaded(spark, d)
-    q = x.groupBy("asset").agg(F.percentile("load", 0.33).alias("a"), F.percentile("load", 0.66).alias("b"))
+    q = quantiles.cut_points(x, ["asset"], "load", {"a": 0.33, "b": 0.66})
     return x.join(q, "asset").withColumn("band", F.when(F.col("load") < F.col("a"), 0).when(F.col("load") < F.col("b"), 1).otherwise(2))
 
 
