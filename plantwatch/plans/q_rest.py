@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plantwatch.functions.columns import DAY, HOUR, floor_to
 from plantwatch.operators import align, clean, episodes, evaluate, models, quantiles, state
+from plantwatch.operators.lineage import cut_lineage
 from plantwatch.plans import tables as T
 from plantwatch.plans.q_clean import r6
 from plantwatch.plans.q_eval import _ALERTS, _CURVE, _LABEL, _LOAD, _P, _grid_alerts, alerts, curve, labelled, loaded, per_day
@@ -48,14 +49,19 @@ _PERCENTS = [float(f"{0.999 - s * 0.299 / 149:.12f}") for s in range(150)]
     {_curve_sql("select r.tag, s, asset, t from readings r join q on q.tag = r.tag and r.value > y", "tag, s")}, k as (select *, recall - 0.5 * least(1, false_per_day / 10) as score, recall >= 0.3 and false_per_day <= 2 as ok from curve)
     select tag, s, round(score, 6) as score from (select *, row_number() over (partition by tag order by ok desc, case when ok then s end, round(score, 9) desc, s) as k from k) where k = 1""")
 def k02(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.readings(spark, d)
-    steps = {f"_q{s}": x for s, x in enumerate(_PERCENTS)}
-    q = quantiles.quantiles(rows, ["tag"], "value", steps).select("tag", F.array(*steps).alias("_q"))  # a row a tag
-    passed = F.filter(F.transform("_q", lambda y, s: F.struct(s.cast("long").alias("s"), y.alias("y"))), lambda x: F.col("value") > x["y"])
-    said = rows.join(q, "tag").withColumn("_s", F.explode(passed)).select("tag", "_s.s", "asset", "t")
+    rows = T.readings(spark, d).where("tag is not null")
+    y = quantiles.sorted_points(rows, ["tag"], "value", _PERCENTS)  # a row a tag
+    # ties of values put a threshold a last bit above the one before, so the thresholds are put in order; k is the place in it
+    order = cut_lineage(y.select("tag", F.sort_array(F.transform("points", lambda y, s: F.struct(y.alias("y"), s.cast("long").alias("s"))), asc=False).alias("_o")))
+    least = order.select("tag", F.transform("_o", lambda x: x["y"]).alias("_y"))
+    said = rows.where("value is not null").join(F.broadcast(least), "tag").where(F.col("value") > F.element_at("_y", -1))
+    said = said.withColumn("_l", quantiles.position("_y", len(_PERCENTS), lambda y: y >= F.col("value")))
+    found = evaluate.nested_curve(said, T.incidents(spark, d), ["asset"], ["tag"], "_l", len(_PERCENTS), 8 * HOUR, 6 * HOUR)
+    found = found.join(order.select("tag", F.posexplode("_o").alias("k", "_o")).select("tag", "k", "_o.s"), ["tag", "k"])
+    found = per_day(found.withColumnRenamed("false", "false_per_day"), T.readings(spark, d))
     score, ok = F.col("recall") - 0.5 * F.least(F.lit(1.0), F.col("false_per_day") / 10), (F.col("recall") >= 0.3) & (F.col("false_per_day") <= 2)
     w = Window.partitionBy("tag").orderBy(F.desc(ok.cast("int")), F.when(ok, F.col("s")), F.desc(F.round(score, 9)), "s")
-    return _curve(spark, d, said, ["tag", "s"]).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("tag", "s", r6(score).alias("score"))
+    return found.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("tag", "s", r6(score).alias("score"))
 
 
 @query("k03_predictive_curve", f"""with {_RUNS}, p as (select tag, avg(value) as mu, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.35 as sd from live group by tag), g as (select unnest(generate_series(0, 19)) as s),
