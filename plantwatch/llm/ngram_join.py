@@ -247,13 +247,13 @@ def _filter_slices(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def _name_filter(names: DataFrame) -> bytes:
     """Bits of a Bloom filter of the column `node`: 16 bits a name, at most FILTER_BITS, whatever the number of names; made in slices by tasks."""
-    bits = 1 << 16
-    while bits < min(FILTER_BITS, 16 * names.count()):
+    bits, asked = 1 << 16, min(FILTER_BITS, 16 * names.count())
+    while bits < asked:
         bits *= 2
     at = names.select(F.explode(F.array(F.pmod("node", F.lit(bits)), F.pmod(F.shiftright("node", 32), F.lit(bits)))).alias("bit"))
     at = at.select(F.expr(f"bit div {SLICE_BITS}").alias("slice"), "bit").repartition(-(-bits // SLICE_BITS), "slice")
     out = np.zeros(bits // 8, np.uint8)
-    for row in at.mapInArrow(_filter_slices(bits), "slice long, bytes binary").toLocalIterator():  # FILTER_BITS at most
+    for row in at.mapInArrow(_filter_slices(bits), "slice long, bytes binary").collect():  # FILTER_BITS at most; an iterator would run a job a partition
         own = np.frombuffer(row["bytes"], np.uint8)
         out[row["slice"] * SLICE_BITS // 8 :][: len(own)] = own
     return out.tobytes()
@@ -467,7 +467,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = cut_lineage(own.mapInArrow(_emit("digests", words, naming), "id long, n long, size long, d1 long, d2 long"))
     nodes = cut_lineage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("n").alias("n"), F.min("id").alias("class_id"), F.max("size").alias("size")))
     name = F.col("d1")
-    shared = tuple(sorted(r["d1"] for r in nodes.groupBy("d1").count().where("count > 1").select("d1").toLocalIterator()))
+    shared = tuple(sorted(r["d1"] for r in nodes.groupBy("d1").count().where("count > 1").select("d1").collect()))  # few; an iterator would run a job a partition
     if shared:
         naming = Naming(name_bits, shared)
         name = F.when(F.col("d1").isin(list(shared)), F.col("d2")).otherwise(F.col("d1"))
