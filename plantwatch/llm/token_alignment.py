@@ -5,9 +5,10 @@ on both sides. The distinct chunks of a slice are encoded once. Their token
 lists are flattened, with parent indices; segmented cumulative sums of token
 bytes give the ends; an Acero join of both sides on (chunk, end) gives all
 boundaries, of which those on both sides close a group. Each stretch between
-boundaries is one pair of tokens that overlap. Partial counts of pairs come from
-Table.group_by over a slice, and Spark merges them. Texts follow from their
-chunks by look-up.
+boundaries is one pair of tokens that overlap. Texts follow from their chunks by
+look-up: between the passes a row is one text with its distinct pairs and how
+often it links each, so that no row, and no batch of rows, grows with a slice or a
+partition. Spark sums the counts of pairs over all texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ from plantwatch.llm.utf8 import slices, text_bytes
 SLICE_BYTES = 1 << 20
 #: Pairs, the most frequent ones, whose counts go to all tasks: 17 bytes each. The others are looked up by a join.
 BROADCAST_PAIRS = 1_000_000
+#: Bytes of a Parquet row group between the passes: a task that writes or reads one holds about as much, whatever its share of the input.
+GROUP_BYTES = 8 << 20
+#: Pairs of texts that are looked up at once; a text with more is looked up whole.
+LOOKED_UP = 1 << 18
 #: Code points of a chunk from which on it counts as long.
 LONG = 20_000
 #: Chunks that are encoded at once.
@@ -254,9 +259,30 @@ def _align_slice(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> dict[str, ob
     sizes = size[used]
     links = found.pairs[_ragged(np.append(0, found.pair_ends)[used], sizes)]
     coded = pa.array(links).dictionary_encode()
-    times = np.repeat(np.bincount(index, minlength=len(used)), sizes)
-    counts = pa.table({"pair": coded.indices, "n": pa.array(times)}).group_by("pair", use_threads=False).aggregate([("n", "sum")]).sort_by("pair")
-    return out | {"groups_sha256": said, "chunk_ends": ends, "chunks": index, "pairs": coded.dictionary.to_numpy(), "counts": counts["n_sum"].to_numpy(), "links": coded.indices.to_numpy(), "link_ends": np.cumsum(sizes)}
+    return out | {"groups_sha256": said, "chunk_ends": ends, "chunks": index, "pairs": coded.dictionary.to_numpy(), "links": coded.indices.to_numpy(), "link_ends": np.cumsum(sizes)}
+
+
+def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their n."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    last = np.append(keys[1:] != keys[:-1], True)[: len(keys)]
+    return keys[last], _sums(n[order], np.flatnonzero(last) + 1)
+
+
+def _text_pairs(got: dict[str, object]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of each text of a slice, how often the text links each, both end to end, and their ends."""
+    chunks, pairs, of_text, ends = (got[k] for k in ("chunks", "pairs", "chunk_ends", "link_ends"))
+    n, kinds, first = len(of_text), max(len(ends), 1), np.append(0, ends)
+    # a chunk that a text holds again adds to its number, not to the links that are gone through
+    text = np.repeat(np.arange(n), np.diff(of_text, prepend=0))
+    own, held = np.unique(text * kinds + chunks, return_counts=True)
+    text, chunk = own // kinds, own % kinds
+    sizes = np.diff(first)[chunk]
+    link = got["links"][_ragged(first[chunk], sizes)]
+    kinds = max(len(pairs), 1)
+    own, times = _totals(np.repeat(text, sizes) * kinds + link, np.repeat(held, sizes))
+    return pairs[own % kinds], times, np.searchsorted(own // kinds, np.arange(n), side="right")
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -268,32 +294,33 @@ def _aligned(a_path: str, b_path: str, most: int) -> Callable[[Iterator[pa.Recor
         number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", most):
             got = _align_slice(batch, a, b)
-            one = lambda x, kind: pa.array([x], pa.list_(kind))
-            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id"))
-            columns = [pa.array([number], pa.int64()), ids, *(one(got[k], pa.int64()) for k in _NUMBERS), one(got["groups_sha256"], pa.string()), one(got["chunk_ends"], pa.int32()), one(got["chunks"], pa.int32()), one(got["pairs"], pa.int64()), one(got["counts"], pa.int64()), one(got["links"], pa.int32()), one(got["link_ends"], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", *_NUMBERS, "groups_sha256", "chunk_ends", "chunks", "pairs", "counts", "links", "link_ends"])
-            del got, columns
+            pairs, times, ends = _text_pairs(got)
+            bounds = pa.array(np.append(0, ends), pa.int32())
+            lists = (pa.ListArray.from_arrays(bounds, pa.array(x, kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32())))
+            keys = pa.array(np.arange(number, number + batch.num_rows))
+            columns = [keys, batch.column("id"), *(pa.array(got[k], pa.int64()) for k in _NUMBERS), pa.array(got["groups_sha256"], pa.string()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "id", *_NUMBERS, "groups_sha256", "pairs", "times"])
+            number += batch.num_rows
+            del got, columns, pairs, times, lists
             pa.default_memory_pool().release_unused()
-            number += 1
 
     return run
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, object]]:
-    """The rows of batches with numpy arrays for lists of numbers."""
+def _parts(batches: Iterator[pa.RecordBatch], most: int = LOOKED_UP) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The same rows in parts of about `most` pairs, with the number of pairs of each row."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(name)[i].values if pa.types.is_list(batch.schema.field(name).type) else batch.column(name)[i].as_py() for name in batch.schema.names}
-
-
-def _ints(x: pa.Array) -> np.ndarray:
-    return x.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(batch.column("pairs")).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a), sizes[a:b]
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n, best): how many links hold each pair, and whether its count is the highest of its B id."""
-    partial = aligned.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p"))
-    counts = partial.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("n"))
+    held = aligned.select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
+    counts = held.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum(F.col("p.times").cast("long")).alias("n"))
     counts = cut_lineage(counts.withColumn("b", F.col("pair") % PAIR))
     top = counts.groupBy("b").agg(F.max("n").alias("top"))  # one row for each entry of B's vocabulary
     return counts.join(F.broadcast(top), "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -304,27 +331,18 @@ def _scored(shared, rare: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = shared.value
-        for row in _rows(batches):
-            pairs, links, ends, chunks, of_text = (_ints(row[k]) for k in ("pairs", "links", "link_ends", "chunks", "chunk_ends"))
+        for batch, sizes in _parts(batches):
+            pairs, times = (batch.column(x).flatten().to_numpy() for x in ("pairs", "times"))
             at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
             known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
-            if not rare:
-                sums = []
-                for values in (best, counts):
-                    own = np.where(known, values[at], 0) if len(keys) else np.zeros(len(pairs), np.int64)
-                    sums.append(_sums(_sums(own[links], ends)[chunks], of_text))
-                n = len(of_text)
-                columns = [pa.array(np.full(n, row["slice"])), pa.array(np.arange(n)), row["ids"], *(row[k] for k in _NUMBERS), *map(pa.array, sums), row["groups_sha256"]]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "at", "id", *_NUMBERS, "n_best", "count_sum", "groups_sha256"])
+            if rare:
+                columns = [np.repeat(batch.column("k").to_numpy(), sizes)[~known], pairs[~known], times[~known].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["k", "pair", "times"])
                 continue
-            other = ~known[links]
-            per_chunk = _sums(other, ends)
-            sizes = per_chunk[chunks]
-            text = np.repeat(np.searchsorted(of_text, np.arange(len(chunks)), side="right"), sizes)
-            link = links[other][_ragged((np.cumsum(per_chunk) - per_chunk)[chunks], sizes)]
-            found = pa.table({"at": pa.array(text), "pair": pa.array(pairs[link])}).group_by(["at", "pair"], use_threads=False).aggregate([([], "count_all")])
-            out = pa.table({"slice": pa.array(np.full(found.num_rows, row["slice"])), "at": found["at"], "pair": found["pair"], "times": found["count_all"]})
-            yield from out.combine_chunks().to_batches()
+            own = np.where(known, times, 0).astype(np.int64)
+            ends = np.cumsum(sizes)
+            sums = [pa.array(_sums(own * values[at], ends) if len(keys) else np.zeros(len(sizes), np.int64)) for values in (best, counts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("k", "id", *_NUMBERS)), *sums, batch.column("groups_sha256")], ["k", "id", *_NUMBERS, "n_best", "count_sum", "groups_sha256"])
 
     return run
 
@@ -345,17 +363,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     text, have noughts and an empty digest, and count for no pair. Repeated rows
     count each, and give rows of their own; other columns are ignored.
 
-    What is written between the passes, to the shared folder, is the chunk
-    numbers of all texts, the links of a slice's distinct chunks, and the slice's
-    count of each pair. Counts of
+    What is written between the passes, to the shared folder, is a row for each
+    text with its distinct pairs and how often it links each. Counts of
     the frequent pairs, `broadcast_pairs` at most, go to all tasks; the others, of
     which no pair is frequent, are joined by pair. A text is worked on whole by
     one task.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    schema = f"slice long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, chunk_ends array<int>, chunks array<int>, pairs array<long>, counts array<long>, links array<int>, link_ends array<int>"
-    rows, _ = stored(own.mapInArrow(_aligned(a_path, b_path, slice_bytes), schema))
+    numbers = ", ".join(f"{k} long" for k in _NUMBERS)
+    rows, _ = stored(own.mapInArrow(_aligned(a_path, b_path, slice_bytes), f"k long, id {kind}, {numbers}, groups_sha256 string, pairs array<long>, times array<int>"), GROUP_BYTES)
     counts = cut_lineage(pair_counts(rows))
     # the least power of two from which on at most `broadcast_pairs` pairs are as frequent
     level = F.floor(F.log2("n")).cast("int")
@@ -369,12 +386,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     frequent = counts.where(level >= least).toArrow()
     order = np.argsort(frequent["pair"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((frequent["pair"].to_numpy()[order], frequent["n"].to_numpy()[order], frequent["best"].to_numpy(zero_copy_only=False)[order].astype(np.int8)))
-    numbers = ", ".join(f"{k} long" for k in (*_NUMBERS, "n_best", "count_sum"))
-    texts = rows.select("slice", "ids", *_NUMBERS, "groups_sha256", "chunk_ends", "chunks", "pairs", "links", "link_ends").mapInArrow(_scored(shared, False), f"slice long, at long, id {kind}, {numbers}, groups_sha256 string")
+    texts = rows.mapInArrow(_scored(shared, False), f"k long, id {kind}, {numbers}, n_best long, count_sum long, groups_sha256 string")
     if total == sum(sizes.values()) and least == min(sizes, default=64):
-        return texts.drop("slice", "at")
-    rare = rows.select("slice", "chunk_ends", "chunks", "pairs", "links", "link_ends").mapInArrow(_scored(shared, True), "slice long, at long, pair long, times long")
-    rest = rare.join(counts.where(level < least), "pair").groupBy("slice", "at").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more"))
-    both = texts.join(rest, ["slice", "at"], "left")
+        return texts.drop("k")
+    rare = rows.select("k", "pairs", "times").mapInArrow(_scored(shared, True), "k long, pair long, times long")
+    rest = rare.join(counts.where(level < least), "pair").groupBy("k").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more"))
+    both = texts.join(rest, "k", "left")
     plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
     return both.select("id", *_NUMBERS, plus("n_best", F.col("more_best")), plus("count_sum", F.col("more")), "groups_sha256")

@@ -4,9 +4,11 @@ import hashlib
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +258,37 @@ def test_alignment_of_repeated_rows_and_nothing(spark):
     assert token_alignment.align(corpus(spark, [None, ""]), *paths).agg(F.sum("n_links")).first()[0] == 0
 
 
+def test_what_is_kept_between_passes_is_bounded_rows(spark, monkeypatch):
+    """A row is a text, and a row group ends at a number of bytes, so that no task holds its whole share of the input; rows were slices before."""
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_alignment, "GROUP_BYTES", 1 << 16, raising=False)
+    kept, stored = [], token_alignment.stored
+    monkeypatch.setattr(token_alignment, "stored", lambda *a: kept.append(stored(*a)) or kept[-1])
+    rng = np.random.default_rng(46)
+    texts = ["".join(rng.choice([*"abcdefgh "], 900)) for _ in range(300)]
+    got = {r["id"]: tuple(r[k] for k in NAMES) for r in token_alignment.align(corpus(spark, texts).coalesce(1), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), broadcast_pairs=100).collect()}
+    assert list(got[i] for i in range(300)) == brute_alignment(texts)
+    path = Path(kept[0][1].removeprefix("file:"))
+    groups = [(g.num_rows, g.total_byte_size) for f in path.glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(rows for rows, _ in groups) == 300 and len(groups) > 4 and max(size for _, size in groups) < 1 << 18
+
+
+def test_texts_pairs_and_their_look_up():
+    """Pairs of each text from its chunks, repeated ones too, and sums by parts of a batch, against plain counting."""
+    P = pytest.importorskip("public_tokenizers")
+    encoders = token_alignment.encoders(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    texts = [None, "unbelievable things unbelievable things", "", "things", "\u2581 x", "a b a b a", "unbelievable"] * 3
+    got = token_alignment._align_slice(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), *encoders)
+    pairs, times, ends = token_alignment._text_pairs(got)
+    assert np.add.reduceat(np.append(times, 0), np.append(0, ends[:-1]))[ends > np.append(0, ends[:-1])].tolist() == [int(n) for n in got["n_links"] if n]
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(x, kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *lists], ["k", "pairs", "times"]).slice(1)
+    parts = list(token_alignment._parts([batch, batch.slice(0, 0)], 3))
+    assert len(parts) > 3 and [k for part, _ in parts for k in part.column("k").to_pylist()] == list(range(1, len(texts)))
+    assert all(part.column("pairs").flatten().to_pylist() == pairs[np.append(0, ends)[k] : ends[k + len(sizes) - 1]].tolist() and sizes.sum() == len(part.column("pairs").flatten()) for part, sizes in parts for k in [part.column("k")[0].as_py()])
+    assert token_alignment._text_pairs(token_alignment._align_slice(pa.RecordBatch.from_pydict({"text": pa.array([None, ""], pa.string())}), *encoders))[2].tolist() == [0, 0]
+
+
 def test_a_whole_text_decides_where_a_chunk_differs():
     """Chunks of a text that holds U+2581 differ; of the other texts in the slice nothing is lost."""
     P = pytest.importorskip("public_tokenizers")
